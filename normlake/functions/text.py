@@ -17,8 +17,8 @@ from pyspark.sql.types import ArrayType, StringType
 
 from normlake.dims import charclass as cc
 
-OPEN_MARK = "﷐"
-CLOSE_MARK = "﷑"
+OPEN_MARK = "\ufdd0"
+CLOSE_MARK = "\ufdd1"
 HIT = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -42,7 +42,7 @@ def indexed_chars(text: Column) -> Column:
     A marker is put behind each character beyond the basic plane; the split array index then counts
     UTF-16 units, and dropping the markers leaves code points.
     """
-    clean = F.translate(text, OPEN_MARK, "�")
+    clean = F.translate(text, OPEN_MARK, "\ufffd")
     marked = F.regexp_replace(clean, r"([\x{10000}-\x{10FFFF}])", "$1" + OPEN_MARK)
     units = F.transform(chars(marked), lambda c, i: F.struct(c.alias("c"), i.cast("int").alias("u16")))
     return F.filter(units, lambda u: u["c"] != OPEN_MARK)
@@ -50,7 +50,7 @@ def indexed_chars(text: Column) -> Column:
 
 def hits(text: Column, pattern: str) -> Column:
     """Every match of ``pattern`` as (start, end, value) in code points, left to right."""
-    clean = F.translate(text, OPEN_MARK + CLOSE_MARK, "��")
+    clean = F.translate(text, OPEN_MARK + CLOSE_MARK, "\ufffd\ufffd")
     marked = F.regexp_replace(clean, F.lit(pattern), F.lit(OPEN_MARK + "$0" + CLOSE_MARK))
 
     def positions(units: Column, mark: str, shift: int) -> Column:
