@@ -38,14 +38,15 @@ EMOJI_RANGES = (
 # --- fixed values: protected-span, list-marker, word and URL patterns ------------------------------
 EMAIL_LOCAL = r"[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]"
 EMAIL_CORE = EMAIL_LOCAL + r"+@[A-Za-z0-9.-]+\.[A-Za-z]{2,63}"
+# (kind, pattern, substrings of which every match holds one)
 PROTECTED_PATTERNS = (
-    ("CODE", r"`[^`\r\n]+`"),
-    ("EMAIL", EMAIL_CORE),
-    ("URL", r"(?i)https?://[^\s<>]+"),
-    ("IDENTIFIER", r"(?<![\p{L}\p{N}_])[\p{L}_][\p{L}\p{N}_-]*_[\p{L}\p{N}_-]+(?![\p{L}\p{N}_])"),
-    ("CRYPTOGRAPHIC_STRING", r"(?<![A-Za-z0-9])[A-Fa-f0-9]{24,}(?![A-Za-z0-9])"),
-    ("MATHEMATICS", r"(?<!\w)\d+(?:\s*[+×÷=−]\s*\d+)+(?!\w)|(?<!\w)\d+–\d+(?!\w)"),
-    ("QUOTED_LITERAL", r'"[^"\r\n]+"'),
+    ("CODE", r"`[^`\r\n]+`", ("`",)),
+    ("EMAIL", EMAIL_CORE, ("@",)),
+    ("URL", r"(?i)https?://[^\s<>]+", ("://",)),
+    ("IDENTIFIER", r"(?<![\p{L}\p{N}_])[\p{L}_][\p{L}\p{N}_-]*_[\p{L}\p{N}_-]+(?![\p{L}\p{N}_])", ("_",)),
+    ("CRYPTOGRAPHIC_STRING", r"(?<![A-Za-z0-9])[A-Fa-f0-9]{24,}(?![A-Za-z0-9])", ()),
+    ("MATHEMATICS", r"(?<!\w)\d+(?:\s*[+×÷=−]\s*\d+)+(?!\w)|(?<!\w)\d+–\d+(?!\w)", ("+", "×", "÷", "=", "−", "–")),
+    ("QUOTED_LITERAL", r'"[^"\r\n]+"', ('"',)),
 )
 LIST_MARKER = r"^\s*(?:[-*+]|[0-9]+[.)])(?=\s)"
 COLLISION_WORD = r"[\p{L}\p{N}_-]+"
@@ -93,3 +94,5 @@ WHITESPACE = char_class(WHITESPACE_RANGES)
 LINE_TERMINATOR = char_class(LINE_TERMINATOR_RANGES)
 INVISIBLE = "[" + class_body(DEFAULT_IGNORABLE_RANGES) + class_body(BIDI_RANGES) + r"\p{Cf}]"
 EMOJI = char_class(EMOJI_RANGES)
+# A grapheme cluster that holds a non-ASCII character; plain ASCII is skipped character by character.
+WIDE_CLUSTER = r"(?:(?=[^\x00-\x7F])|(?=[\x00-\x7F][\p{M}\x{200C}\x{200D}]))\X"

@@ -8,7 +8,10 @@ loops are linear in the text: positions come from marker characters in a split a
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable
+from functools import cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +22,7 @@ from normlake.dims import charclass as cc
 
 OPEN_MARK = "\ufdd0"
 CLOSE_MARK = "\ufdd1"
+NON_ASCII_SPACES = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 HIT = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -48,8 +52,12 @@ def indexed_chars(text: Column) -> Column:
     return F.filter(units, lambda u: u["c"] != OPEN_MARK)
 
 
-def hits(text: Column, pattern: str) -> Column:
-    """Every match of ``pattern`` as (start, end, value) in code points, left to right."""
+def hits(text: Column, pattern: str, needle: tuple[str, ...] = ()) -> Column:
+    """Every match of ``pattern`` as (start, end, value) in code points, left to right.
+
+    ``needle`` names substrings of which every match holds at least one: a byte search that lets most
+    texts skip the regex.
+    """
     clean = F.translate(text, OPEN_MARK + CLOSE_MARK, "\ufffd\ufffd")
     marked = F.regexp_replace(clean, F.lit(pattern), F.lit(OPEN_MARK + "$0" + CLOSE_MARK))
 
@@ -67,7 +75,10 @@ def hits(text: Column, pattern: str) -> Column:
             F.regexp_extract_all(clean, F.lit(pattern), F.lit(0)).alias("value"),
         ),
     )
-    return F.when(text.rlike(pattern), zipped.cast(HIT)).otherwise(F.array().cast(HIT))
+    present = text.rlike(pattern)
+    if needle:
+        present = reduce(lambda a, b: a | b, [text.contains(n) for n in needle]) & present
+    return F.when(present, zipped.cast(HIT)).otherwise(F.array().cast(HIT))
 
 
 def scripts_of(text: Column) -> Column:
@@ -89,8 +100,43 @@ def skeleton(text: Column) -> Column:
     return F.translate(text, cc.CONFUSABLE_FROM, cc.CONFUSABLE_TO)
 
 
-# Below these code points a normal form leaves text unchanged, so such rows never reach Python.
-_STABLE_BELOW = {"NFC": "02FF", "NFD": "00BF", "NFKC": "009F", "NFKD": "009F"}
+# Blocks searched for characters that a normal form leaves alone; everything outside counts as risky.
+_STABLE_BLOCKS = ((0x0000, 0x052F), (0x2010, 0x2027))
+
+
+@cache
+def _risky_class(form: str) -> str:
+    """Regex class of the characters a text must hold to be changed by ``form`` (a superset of them).
+
+    A character is safe if the form keeps it and it never attaches to a neighbour (no mark, class 0).
+    """
+    safe = [
+        cp for low, high in _STABLE_BLOCKS for cp in range(low, high + 1)
+        if unicodedata.normalize(form, chr(cp)) == chr(cp) and not unicodedata.combining(chr(cp))
+        and not unicodedata.category(chr(cp)).startswith("M")
+    ]
+    return "[^" + _ranges(safe) + "]"
+
+
+@cache
+def compatibility_class() -> str:
+    """Regex class of characters outside the searched blocks or with a compatibility mapping inside them."""
+    nf = unicodedata.normalize
+    same = [
+        cp for low, high in _STABLE_BLOCKS for cp in range(low, high + 1)
+        if nf("NFKC", chr(cp)) == nf("NFC", chr(cp)) and nf("NFKD", chr(cp)) == nf("NFD", chr(cp))
+    ]
+    return "[^" + _ranges(same) + "]"
+
+
+def _ranges(code_points: list[int]) -> str:
+    ranges: list[list[int]] = []
+    for cp in code_points:
+        if ranges and ranges[-1][1] == cp - 1:
+            ranges[-1][1] = cp
+        else:
+            ranges.append([cp, cp])
+    return "".join(rf"\x{{{a:04X}}}-\x{{{b:04X}}}" for a, b in ranges)
 
 
 def _normalizer(form: str):
@@ -101,18 +147,28 @@ def _normalizer(form: str):
     return normalize
 
 
-def _list_normalizer(form: str):
-    from unicodedata import normalize as nf
+def _list_normalizer(form: str, spaces: str | None):
+    """Element-wise form; with ``spaces`` set, runs of those characters are passed through untouched."""
 
     @F.pandas_udf(ArrayType(StringType()))
     def normalize(values: pd.Series) -> pd.Series:
-        return values.map(lambda items: None if items is None else [nf(form, x) for x in items])
+        nf = unicodedata.normalize
+        odd = re.compile(f"([{spaces}]+)") if spaces else None
+
+        def one(item):
+            if item is None:
+                return None
+            if odd is None or not odd.search(item):
+                return nf(form, item)
+            return "".join(part if odd.fullmatch(part) else nf(form, part) for part in odd.split(item))
+
+        return values.map(lambda items: None if items is None else [one(x) for x in items])
 
     return normalize
 
 
 def needs_normalizing(text: Column, form: str) -> Column:
-    return text.rlike(rf"[^\x00-\x{{{_STABLE_BELOW[form]}}}]")
+    return text.rlike(_risky_class(form))
 
 
 def normalize(text: Column, form: str) -> Column:
@@ -121,6 +177,8 @@ def normalize(text: Column, form: str) -> Column:
     return F.coalesce(_normalizer(form)(risky), text)
 
 
-def normalize_all(items: Column, form: str) -> Column:
-    """Element-wise normal form of a string array (NULL passes through)."""
-    return _list_normalizer(form)(items)
+def normalize_all(items: Column, form: str, keep_spaces: bool = False) -> Column:
+    """Element-wise normal form of a string array (NULL passes through); optionally between spaces only."""
+    # ASCII spaces never change or combine, so only the others split a text.
+    spaces = "".join(chr(c) for c in NON_ASCII_SPACES) if keep_spaces else None
+    return _list_normalizer(form, spaces)(items)

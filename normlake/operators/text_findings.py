@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from normlake.dims import charclass as cc
 from normlake.functions import text as tx
+from normlake.functions.rows import to_rows
 from normlake.operators import text_inventory as inv
 
 FINDING = inv.FINDING
@@ -44,23 +45,68 @@ def _gated(review: Column, plain, gated) -> Column:
     return F.when(review.isNull(), F.lit(plain)).otherwise(F.lit(gated))
 
 
-def inspect(sources: DataFrame, allowed_scripts: tuple[str, ...] = (), allowed_languages: tuple[str, ...] = ()) -> DataFrame:
-    """Adds spans, segments, mixed tokens and the findings array of every source; row-local throughout."""
-    staged = inv.with_normal_forms(inv.with_spans(sources))
+def evidence(sources: DataFrame, compatibility_only: bool) -> DataFrame:
+    """Adds spans, segments, changed clusters, mixed tokens and controls; row-local throughout."""
     text = F.col("text")
+    staged = inv.with_normal_forms(inv.with_spans(sources), compatibility_only)
     staged = staged.withColumn("segments", inv.segment_array(text, F.col("spans")))
     foreign = text.rlike(r"[^\p{IsLatin}\p{IsCommon}\p{IsInherited}]")
     mixed = F.filter(inv.token_array(text, F.col("segments")), lambda t: t["mixed"])
     token_type = "array<struct<start:int,end:int,token:string,scripts:array<string>,skeleton:string,mixed:boolean,protected:boolean>>"
     staged = staged.withColumn("mixed_tokens", F.when(foreign, mixed).otherwise(F.array().cast(token_type)).cast(token_type))
-    staged = staged.withColumn("controls", inv.control_array(text))
+    return staged.withColumn("controls", inv.control_array(text))
+
+
+def inspect(sources: DataFrame, allowed_scripts: tuple[str, ...] = (), allowed_languages: tuple[str, ...] = ()) -> DataFrame:
+    """Evidence columns plus ``findings`` and the review codes among them."""
+    staged = evidence(sources, compatibility_only=False)
     staged = staged.withColumn(
-        "findings", _finding_array(text, allowed_scripts, bool(allowed_scripts or allowed_languages))
+        "findings", _finding_array(F.col("text"), allowed_scripts, bool(allowed_scripts or allowed_languages))
     )
     codes = F.array_distinct(F.filter(F.transform("findings", lambda f: f["review_code"]), lambda c: c.isNotNull()))
     return staged.withColumn("review_codes", codes)
 
 
+def with_review_codes(sources: DataFrame, allowed_scripts: tuple[str, ...] = (), allowed_languages: tuple[str, ...] = ()) -> DataFrame:
+    """Evidence columns plus ``review_codes`` by whole-text tests: the codes ``inspect`` finds, without
+    building a record per finding. The transforms need no more than this."""
+    staged = evidence(sources, compatibility_only=True)
+    text, kind = F.col("text"), F.col("source_kind")
+    joiners = r"[\x{200C}\x{200D}]"
+    sensitive = text.rlike(f"{cc.char_class(cc.VARIATION_RANGES)}|(?<={cc.EMOJI}){joiners}|{joiners}(?={cc.EMOJI})")
+    if any(s in cc.SHAPING_SCRIPTS for s in allowed_scripts):
+        sensitive = sensitive | text.rlike(joiners)
+    letters = r"[\p{L}\p{Nd}]"
+    compat = F.exists(
+        "norm_hits",
+        lambda h: h["f"]["value"].rlike(letters)
+        & (((h["f"]["nfkc"] != h["f"]["value"]) & (h["f"]["nfc"] == h["f"]["value"]))
+           | ((h["f"]["nfkd"] != h["f"]["value"]) & (h["f"]["nfd"] == h["f"]["value"]))),
+    )
+    in_math = lambda g: F.coalesce(g["kind"] == "MATHEMATICS", F.lit(False))
+    variant, dash = cc.char_class(cc.PUNCTUATION_VARIANT_RANGES), cc.char_class(cc.DASH_RANGES)
+    has_mixed = F.size("mixed_tokens") > 0
+    policy_given = bool(allowed_scripts or allowed_languages)
+    tests = {
+        "MALFORMED_UNICODE_REVIEW": ~F.is_valid_utf8(text),
+        "UNSUPPORTED_CONTROL_REVIEW": F.size("controls") > 0,
+        "BIDI_DISPLAY_REVIEW": text.rlike(cc.char_class(cc.BIDI_RANGES)),
+        "LANGUAGE_SENSITIVE_CONTROL_REVIEW": text.rlike(cc.INVISIBLE) & sensitive,
+        "MIXED_SCRIPT_CONFUSABLE_REVIEW": has_mixed & (kind != "IDENTIFIER"),
+        "IDENTIFIER_CONFUSABLE_REVIEW": has_mixed & (kind == "IDENTIFIER"),
+        "PUNCTUATION_SEMANTICS_REVIEW": text.rlike(dash) & F.exists("segments", lambda g: ~in_math(g) & g["value"].rlike(dash)),
+        "MATH_AND_RANGE_PUNCTUATION_REVIEW": text.contains("\u2212")
+        | (text.rlike(variant) & F.exists("segments", lambda g: in_math(g) & g["value"].rlike(variant))),
+        "LANGUAGE_POLICY_REVIEW": F.lit(not policy_given) & ~has_mixed & text.rlike(r"\p{IsLatin}") & text.rlike(r"[\p{IsGreek}\p{IsCyrillic}]"),
+        "CODE_REGION_REVIEW": kind == "CODE_BLOCK",
+        "COMPATIBILITY_NORMALIZATION_REVIEW": compat,
+        "VIEWPORT_WRAP_REVIEW": F.size("wrap_offsets") > 0,
+        "VISIBLE_TEXT_LINK_TARGET_REVIEW": F.col("hidden_alt") | (kind == "HTML_CLIPBOARD"),
+    }
+    codes = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(code)) for code, test in tests.items()]))
+    return staged.withColumn("review_codes", codes)
+
+
 def _finding_array(text: Column, allowed_scripts, policy_given: bool) -> Column:
     empty = F.array().cast(FINDING)
     n = F.length(text)
@@ -176,12 +222,12 @@ def _finding_array(text: Column, allowed_scripts, policy_given: bool) -> Column:
 
 
 def explode_findings(inspected: DataFrame, prefix: str = "text") -> DataFrame:
-    rows = inspected.select("source_id", F.posexplode("findings").alias("i", "f"))
-    gated = F.col("f.review_code").isNotNull()
+    rows = to_rows(inspected, ["source_id"], F.col("findings"), "i")
+    gated = F.col("review_code").isNotNull()
     return rows.select(
         "source_id",
         F.concat(F.lit(f"{prefix}-f-"), F.col("i")).alias("finding_id"),
-        "f.*",
+        *[c for c in rows.columns if c not in ("source_id", "i")],
         gated.alias("requires_decision"),
         F.when(gated, F.lit("REVIEW_REQUIRED")).otherwise(F.lit("DETECTED")).alias("status"),
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from normlake.dims import charclass as cc
 from normlake.dims.unicode_props import block_rule, unicode_props
 from normlake.functions import text as tx
+from normlake.functions.rows import to_rows
 
 SPAN = "array<struct<start:int,end:int,kind:string,locked:boolean>>"
 FINDING = (
@@ -51,13 +52,13 @@ def _char_records(text: Column, test, record) -> Column:
 def scalar_inventory(sources: DataFrame) -> DataFrame:
     """One row per code point with UTF-16 range, general category, script and combining class."""
     spark = sources.sparkSession
-    exploded = sources.select("source_id", F.posexplode(tx.indexed_chars(F.col("text"))).alias("scalar_idx", "u"))
-    cp = tx.code_point(F.col("u.c"))
+    exploded = to_rows(sources, ["source_id"], tx.indexed_chars(F.col("text")), "scalar_idx")
+    cp = tx.code_point(F.col("c"))
     rows = exploded.select(
         "source_id",
         "scalar_idx",
-        F.col("u.u16").alias("utf16_start"),
-        (F.col("u.u16") + F.when(cp > 0xFFFF, 2).otherwise(1)).alias("utf16_end"),
+        F.col("u16").alias("utf16_start"),
+        (F.col("u16") + F.when(cp > 0xFFFF, 2).otherwise(1)).alias("utf16_end"),
         cp.alias("cp"),
     )
     joined = rows.join(F.broadcast(unicode_props(spark)), "cp", "left")
@@ -71,16 +72,19 @@ def scalar_inventory(sources: DataFrame) -> DataFrame:
 
 def grapheme_inventory(sources: DataFrame) -> DataFrame:
     """Extended grapheme clusters with code-point and UTF-16 bounds."""
-    clusters = tx.hits(F.col("text"), r"\X")
     units = F.transform(tx.indexed_chars(F.col("text")), lambda u: u["u16"])
     total = F.length("text") + F.length(F.regexp_replace("text", r"[^\x{10000}-\x{10FFFF}]", ""))
-    rows = sources.select("source_id", clusters.alias("clusters"), F.concat(units, F.array(total)).alias("u16"))
-    rows = rows.select("source_id", "u16", F.posexplode("clusters").alias("cluster_idx", "g"))
-    return rows.select(
-        "source_id", "cluster_idx",
-        F.col("g.start").alias("scalar_start"), F.col("g.end").alias("scalar_end"),
-        F.get("u16", F.col("g.start")).alias("utf16_start"), F.get("u16", F.col("g.end")).alias("utf16_end"),
-    )
+
+    def bounds(u16: Column) -> Column:
+        return F.transform(
+            tx.hits(F.col("text"), r"\X"),
+            lambda g, i: F.struct(
+                i.cast("int").alias("cluster_idx"), g["start"].alias("scalar_start"), g["end"].alias("scalar_end"),
+                F.get(u16, g["start"]).alias("utf16_start"), F.get(u16, g["end"]).alias("utf16_end"),
+            ),
+        )
+
+    return _explode_records(sources, tx.let(F.concat(units, F.array(total)), bounds))
 
 
 # --------------------------------------------------------------------------------------------------- T03
@@ -105,13 +109,16 @@ def _changed_forms():
     return changed
 
 
-def with_normal_forms(sources: DataFrame) -> DataFrame:
+def with_normal_forms(sources: DataFrame, compatibility_only: bool = False) -> DataFrame:
     """Adds ``norm_hits``: grapheme clusters (start, end, value, four forms) that some form changes.
 
     Only the distinct non-ASCII clusters of a row go to the Arrow worker, and only changed ones return.
+    ``compatibility_only`` looks at texts that hold a character with a compatibility mapping at all.
     """
     risky = tx.needs_normalizing(F.col("text"), "NFKD")
-    clusters = F.filter(tx.hits(F.col("text"), r"\X"), lambda g: g["value"].rlike(r"[^\x00-\x7F]"))
+    if compatibility_only:
+        risky = F.col("text").rlike(tx.compatibility_class())
+    clusters = tx.hits(F.col("text"), cc.WIDE_CLUSTER)
     staged = sources.withColumn("_clusters", F.when(risky, clusters).otherwise(F.array().cast(tx.HIT)))
     distinct = F.array_distinct(F.transform("_clusters", lambda g: g["value"]))
     staged = staged.withColumn("_changed", _changed_forms()(F.when(F.size(distinct) > 0, distinct)))
@@ -132,16 +139,12 @@ def with_normal_forms(sources: DataFrame) -> DataFrame:
 
 def normalization_deltas(sources: DataFrame) -> DataFrame:
     """Clusters whose NFC, NFD, NFKC or NFKD form differs, one row per form."""
-    rows = with_normal_forms(sources).select("source_id", F.explode("norm_hits").alias("g"))
+    rows = to_rows(with_normal_forms(sources), ["source_id"], F.col("norm_hits"))
     per_form = F.array(
-        *[F.struct(F.lit(form).alias("form"), F.col(f"g.f.{form.lower()}").alias("after")) for form in _FORMS]
-    )
-    rows = rows.select("source_id", "g", F.explode(per_form).alias("d"))
-    return rows.where(F.col("d.after") != F.col("g.f.value")).select(
-        "source_id",
-        F.col("g.start").alias("scalar_start"), F.col("g.end").alias("scalar_end"),
-        F.col("d.form").alias("form"), F.col("g.f.value").alias("before"), F.col("d.after").alias("after"),
+        *[F.struct(F.lit(form).alias("form"), F.col(f"f.{form.lower()}").alias("after")) for form in _FORMS]
     )
+    kept = ["source_id", F.col("start").alias("scalar_start"), F.col("end").alias("scalar_end"), F.col("f.value").alias("before")]
+    return to_rows(rows, kept, per_form).where("after <> before")
 
 
 # ---------------------------------------------------------------------------------------------- T04-T06
@@ -203,7 +206,7 @@ def punctuation_array(text: Column) -> Column:
 
 
 def _explode_records(sources: DataFrame, records: Column) -> DataFrame:
-    return sources.select("source_id", F.inline(records))
+    return to_rows(sources, ["source_id"], records)
 
 
 def invisible_inventory(sources: DataFrame, allowed_scripts: tuple[str, ...] = ()) -> DataFrame:
@@ -241,7 +244,7 @@ def line_structure(sources: DataFrame) -> DataFrame:
             ),
         )
 
-    rows = sources.select("source_id", F.inline(tx.let(breaks, lines)))
+    rows = to_rows(sources, ["source_id"], tx.let(breaks, lines))
     indent = F.length(F.regexp_extract("content", "^" + cc.WHITESPACE + "*", 0))
     marker = F.regexp_extract("content", cc.LIST_MARKER, 0)
     return rows.select(
@@ -263,15 +266,15 @@ def protected_array(text: Column, source_kind: Column, explicit_spans: Column) -
         whole_kind.isNotNull() & (text != ""),
         F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end"), whole_kind.alias("kind"), F.lit(True).alias("locked"))),
     ).otherwise(F.array().cast(SPAN))
-    def spans_of(kind: str, pattern: str) -> Column:
+    def spans_of(kind: str, pattern: str, needle: tuple[str, ...]) -> Column:
         return F.transform(
-            tx.hits(text, pattern),
+            tx.hits(text, pattern, needle),
             lambda h: F.struct(
                 h["start"].alias("start"), h["end"].alias("end"), F.lit(kind).alias("kind"), F.lit(True).alias("locked")
             ),
         )
 
-    found = [spans_of(kind, pattern) for kind, pattern in cc.PROTECTED_PATTERNS]
+    found = [spans_of(*rule) for rule in cc.PROTECTED_PATTERNS]
     return F.concat(explicit_spans.cast(SPAN), whole.cast(SPAN), *found)
 
 
@@ -431,9 +434,9 @@ def control_array(text: Column) -> Column:
 
 def text_failures(sources: DataFrame, raw: str | None = None) -> DataFrame:
     """Invalid encoding (checked on the raw bytes column if named) and unsupported controls."""
-    controls = sources.select(
-        "source_id", F.lit("UNSUPPORTED_SCALAR").alias("code"), F.lit("TXT-001").alias("block_id"),
-        F.inline(control_array(F.col("text"))),
+    controls = to_rows(
+        sources, ["source_id", F.lit("UNSUPPORTED_SCALAR").alias("code"), F.lit("TXT-001").alias("block_id")],
+        control_array(F.col("text")),
     )
     broken = sources.where(~F.is_valid_utf8(F.col(raw or "text"))).select(
         "source_id", F.lit("MALFORMED_UTF").alias("code"), F.lit("TXT-001").alias("block_id"),

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from normlake.dims import charclass as cc
 from normlake.functions import text as tx
+from normlake.functions.rows import keep_rows, to_rows
 from normlake.operators import text_findings as fnd
 from normlake.operators import text_inventory as inv
 
 _URL_JOIN = ("/", "?", "&", "=", "#", "-", "_", ".")
 _IGNORABLE_BUT_JOINER = "[" + cc.class_body(cc.DEFAULT_IGNORABLE_RANGES) + r"\p{Cf}&&[^\x{200D}]]"
 _ANY_IGNORABLE = "[" + cc.class_body(cc.DEFAULT_IGNORABLE_RANGES) + r"\p{Cf}]"
-_GAP = "﷐"
+_GAP = "\ufdd0"
 
 
 # ------------------------------------------------------------------------------------ column functions
@@ -82,14 +83,18 @@ def plain_punctuation(value: Column, profile: str, dashes: Column) -> Column:
 def segment(sources: DataFrame) -> DataFrame:
     """Free and protected segments, with the facts about neighbours that later steps need."""
     staged = inv.with_spans(sources)
-    staged = staged.select("source_id", inv.segment_array(F.col("text"), F.col("spans")).alias("segs"))
-    rows = staged.select("source_id", "segs", F.posexplode("segs").alias("seg_idx", "g"))
-    return rows.select(
-        "source_id", "seg_idx", F.col("g.start").alias("start"), F.col("g.value").alias("value"),
-        F.col("g.protected").alias("protected"),
-        _ends_content(F.get("segs", F.col("seg_idx") - 1)["value"]).alias("content_before"),
-        _starts_content(F.get("segs", F.col("seg_idx") + 1)["value"]).alias("content_after"),
-    )
+
+    def facts(segs: Column) -> Column:
+        return F.transform(
+            segs,
+            lambda g, i: F.struct(
+                i.cast("int").alias("seg_idx"), g["start"].alias("start"), g["value"].alias("value"), g["protected"].alias("protected"),
+                _ends_content(F.get(segs, i - 1)["value"]).alias("content_before"),
+                _starts_content(F.get(segs, i + 1)["value"]).alias("content_after"),
+            ),
+        )
+
+    return to_rows(staged, ["source_id"], tx.let(inv.segment_array(F.col("text"), F.col("spans")), facts))
 
 
 def _ends_content(value: Column) -> Column:
@@ -117,18 +122,9 @@ def remove_wraps(segments: DataFrame, approvals: DataFrame) -> DataFrame:
 
 def normalize_text(segments: DataFrame, form: str = "NFKC") -> DataFrame:
     """A normal form on the runs between white space; the spaces stay as they are."""
-    return _step(segments.withColumn("_n", _normalize_runs(F.col("value"), form)), F.col("_n"))
-
-
-def _normalize_runs(value: Column, form: str) -> Column:
-    spaces = cc.WHITESPACE
-    plain = tx.normalize(value, form)
-    odd = F.when(tx.needs_normalizing(value, form) & value.rlike(f"[{cc.class_body(cc.WHITESPACE_RANGES)}&&[^\\x00-\\x7F]]"), value)
-    parts = F.split(F.regexp_replace(odd, f"({spaces}+)", f"{_GAP}$1{_GAP}"), _GAP)
-    risky = F.transform(parts, lambda p: F.when(p.rlike(spaces), F.lit("")).otherwise(p))
-    fixed = tx.normalize_all(risky, form)
-    joined = F.array_join(F.zip_with(parts, fixed, lambda p, f: F.when(p.rlike(spaces), p).otherwise(f)), "")
-    return F.coalesce(joined, plain)
+    risky = F.when(~F.col("protected") & tx.needs_normalizing(F.col("value"), form), F.array("value"))
+    fixed = segments.withColumn("_n", tx.normalize_all(risky, form, keep_spaces=True))
+    return _step(fixed, F.coalesce(F.get("_n", F.lit(0)), F.col("value")))
 
 
 def remove_ignorables(segments: DataFrame, keep_emoji_joiners: bool = True) -> DataFrame:
@@ -153,9 +149,14 @@ def canonicalize_punctuation(segments: DataFrame, profile: str = "ASCII_STABLE",
 def with_collisions(sources: DataFrame, form: str) -> DataFrame:
     """Adds ``collisions``: (normal_form, originals) groups of distinct words sharing a normal form."""
     kind = "array<struct<normal_form:string,originals:array<string>>>"
+    # Only words that can change leave the JVM; the others are their own normal form.
+    risky = tx.needs_normalizing(F.col("text"), form) & F.lit(form in ("NFKC", "NFKD"))
     words = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(cc.COLLISION_WORD), F.lit(0)))
-    risky = tx.needs_normalizing(F.col("text"), form) & (F.lit(form in ("NFKC", "NFKD")))
-    staged = sources.withColumn("_words", F.when(risky, words)).withColumn("_norms", tx.normalize_all(F.col("_words"), form))
+    can_change = lambda w: tx.needs_normalizing(w, form)
+    staged = sources.withColumn("_words", F.when(risky, words))
+    staged = staged.withColumn("_odd", F.filter("_words", can_change))
+    staged = staged.withColumn("_norms", tx.normalize_all(F.when(F.size("_odd") > 0, F.col("_odd")), form))
+    plain = F.filter("_words", lambda w: ~can_change(w))
 
     def groups(pairs: Column) -> Column:
         repeated = F.array_distinct(
@@ -172,14 +173,16 @@ def with_collisions(sources: DataFrame, form: str) -> DataFrame:
             ),
         )
 
-    pairs = F.array_sort(F.zip_with("_norms", "_words", lambda n, w: F.struct(n.alias("n"), w.alias("w"))))
-    found = F.when(F.size(F.array_distinct("_norms")) < F.size("_words"), tx.let(pairs, groups))
-    return staged.withColumn("collisions", F.coalesce(found.cast(kind), F.array().cast(kind))).drop("_words", "_norms")
+    changed = F.zip_with("_norms", "_odd", lambda n, w: F.struct(n.alias("n"), w.alias("w")))
+    pairs = F.array_sort(F.concat(changed, F.transform(plain, lambda w: F.struct(w.alias("n"), w.alias("w")))))
+    shared = (F.size(F.array_distinct("_norms")) < F.size("_odd")) | F.arrays_overlap("_norms", plain)
+    found = F.when(F.size("_norms") > 0, F.when(shared, tx.let(pairs, groups)))
+    return staged.withColumn("collisions", F.coalesce(found.cast(kind), F.array().cast(kind))).drop("_words", "_odd", "_norms")
 
 
 def normalization_collisions(sources: DataFrame, form: str = "NFKC") -> DataFrame:
     """Distinct words of one text with the same compatibility form."""
-    return with_collisions(sources, form).select("source_id", F.inline("collisions"))
+    return to_rows(with_collisions(sources, form), ["source_id"], F.col("collisions"))
 
 
 def strip_rich(sources: DataFrame) -> DataFrame:
@@ -226,7 +229,7 @@ def prepare(
     sources: DataFrame, approvals: DataFrame | None = None, form: str = "NFKC", allowed_scripts: tuple[str, ...] = ()
 ) -> DataFrame:
     """Inspection columns plus approvals and gate states, still one row per source."""
-    staged = fnd.inspect(sources, allowed_scripts)
+    staged = fnd.with_review_codes(sources, allowed_scripts)
     if approvals is not None:
         wanted = [c for c in NO_APPROVALS if c in approvals.columns]
         staged = staged.join(approvals.select("source_id", *wanted), "source_id", "left")
@@ -238,10 +241,7 @@ def prepare(
     for name, empty in empties.items():
         staged = staged.withColumn(name, F.coalesce(F.col(name), empty) if name in staged.columns else empty)
     staged = with_collisions(staged, form)
-    extra = fnd._finding("TXT-010", "SEMANTIC", "HIGH", "CERTAIN_BY_PARSER", F.lit(None), F.lit(None),
-                         "NORMALIZATION_IDENTIFIER_COLLISION", "HIGH_IMPACT", "NORMALIZATION_COLLISION_REVIEW")
     collided = F.size("collisions") > 0
-    staged = staged.withColumn("findings", F.when(collided, F.concat("findings", F.array(extra).cast(fnd.FINDING))).otherwise(F.col("findings")))
     staged = staged.withColumn(
         "gate_codes",
         F.array_sort(F.when(collided, F.array_append("review_codes", "NORMALIZATION_COLLISION_REVIEW")).otherwise(F.col("review_codes"))),
@@ -279,23 +279,12 @@ def canonical_stages(
     norm_gate = F.when(F.size("collisions") > 0, F.lit("NORMALIZATION_COLLISION_REVIEW")).when(
         F.lit(compat) & has("COMPATIBILITY_NORMALIZATION_REVIEW"), F.lit("COMPATIBILITY_NORMALIZATION_REVIEW")
     )
-    spaces = cc.WHITESPACE
-    runs = F.transform("v1", lambda v: F.split(F.regexp_replace(v, f"({spaces}+)", f"{_GAP}$1{_GAP}"), _GAP))
-    risky = F.exists(F.zip_with("v1", "segments", lambda v, g: ~g["protected"] & tx.needs_normalizing(v, form)), lambda b: b)
-    staged = staged.withColumn("_runs", F.when(risky & ~F.col("blocked_input"), runs))
-    words = F.array_distinct(F.filter(F.flatten("_runs"), lambda r: tx.needs_normalizing(r, form) & ~r.rlike(spaces)))
-    staged = staged.withColumn("_words", words).withColumn("_fixed", tx.normalize_all(F.col("_words"), form))
-    mapping = F.map_from_arrays("_words", "_fixed")
-    normalized = tx.let(
-        mapping,
-        lambda m: F.zip_with(
-            F.arrays_zip(F.col("v1").alias("v"), F.col("_runs").alias("r")), "segments",
-            lambda z, g: F.when(
-                g["protected"], z["v"]
-            ).otherwise(F.array_join(F.transform(z["r"], lambda r: F.coalesce(F.element_at(m, r), r)), "")),
-        ),
-    )
-    staged = advance(staged, 2, "TXT-010", norm_gate, F.when(F.size("_words") > 0, normalized).otherwise(F.col("v1"))).drop("_runs", "_words", "_fixed")
+    risky = F.zip_with("v1", "segments", lambda v, g: F.when(~g["protected"] & tx.needs_normalizing(v, form), v))
+    staged = staged.withColumn("_risky", F.when(~F.col("blocked_input"), risky))
+    sent = F.when(F.exists("_risky", lambda v: v.isNotNull()), F.col("_risky"))
+    staged = staged.withColumn("_fixed", tx.normalize_all(sent, form, keep_spaces=True))
+    normalized = F.when(F.col("_fixed").isNotNull(), F.zip_with("v1", "_fixed", lambda v, f: F.coalesce(f, v))).otherwise(F.col("v1"))
+    staged = advance(staged, 2, "TXT-010", norm_gate, normalized).drop("_risky", "_fixed")
 
     ignorable_gate = F.when(has("BIDI_DISPLAY_REVIEW"), F.lit("BIDI_DISPLAY_REVIEW")).when(
         has("LANGUAGE_SENSITIVE_CONTROL_REVIEW"), F.lit("LANGUAGE_SENSITIVE_CONTROL_REVIEW")
@@ -366,7 +355,7 @@ class Canonicalization:
         steps = [step(k, block) for k, block in enumerate(_STEPS, start=1)]
         kind = "array<struct<block_id:string,seg_idx:int,step:int,before:string,after:string,review_code:string,applied:boolean>>"
         every = F.concat(F.coalesce(strip.cast(kind), F.array().cast(kind)), *[s.cast(kind) for s in steps])
-        return self.staged.select("source_id", F.inline(every))
+        return to_rows(self.staged, ["source_id"], every)
 
     def ledger(self) -> DataFrame:
         """Applied changes with their ids; the id counts the source's applied changes in order."""
@@ -382,8 +371,10 @@ class Canonicalization:
         )
 
     def gates(self) -> DataFrame:
-        rows = self.staged.select("source_id", "approved_gates", F.explode("gate_codes").alias("review_code"))
-        done = F.array_contains("approved_gates", F.col("review_code"))
+        states = F.transform(
+            "gate_codes", lambda c: F.struct(c.alias("review_code"), F.array_contains("approved_gates", c).alias("done")))
+        rows = to_rows(self.staged, ["source_id"], states)
+        done = F.col("done")
         return rows.select(
             "source_id", "review_code", F.lit(True).alias("blocking"),
             F.when(done, F.lit("APPROVED")).otherwise(F.lit("PENDING")).alias("status"),
@@ -391,19 +382,15 @@ class Canonicalization:
 
     def failures(self) -> DataFrame:
         blocks = F.create_map(*[F.lit(x) for kv in fnd.REVIEW_BLOCK.items() for x in kv])
-        unresolved = self.staged.select("source_id", F.explode("pending").alias("c")).select(
-            "source_id", F.lit("UNRESOLVED_REVIEW").alias("code"), blocks[F.col("c")].alias("block_id"),
-        ).distinct()
-        hard = self.staged.where("blocked_input").select(
+        pending = F.array_distinct(F.transform("pending", lambda c: blocks[c]))
+        unresolved = to_rows(self.staged, ["source_id", F.lit("UNRESOLVED_REVIEW").alias("code")], pending, struct=False, name="block_id")
+        hard = keep_rows(self.staged, F.col("blocked_input")).select(
             "source_id",
             F.when(~F.is_valid_utf8("text"), F.lit("MALFORMED_UTF")).otherwise(F.lit("UNSUPPORTED_SCALAR")).alias("code"),
             F.lit("TXT-001").alias("block_id"),
         )
         return hard.unionByName(unresolved)
 
-    def findings(self) -> DataFrame:
-        return fnd.explode_findings(self.staged)
-
 
 def canonicalize_text(sources: DataFrame, approvals: DataFrame | None = None, **policy) -> Canonicalization:
     """Canonical text, proposals, ledger, gates and failures of every source."""

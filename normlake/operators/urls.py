@@ -16,6 +16,7 @@ from pyspark.sql.types import StringType
 from normlake.dims import charclass as cc
 from normlake.dims import url_rules as ur
 from normlake.functions import text as tx
+from normlake.functions.rows import keep_rows, to_rows
 from normlake.operators.text_inventory import cover_array, with_source_defaults
 from normlake.operators.text_findings import FINDING, _finding
 
@@ -56,7 +57,7 @@ def absolute_array(text: Column) -> Column:
         kind = F.when(target.rlike("(?i)^mailto:"), F.lit("EMAIL_LIKE")).otherwise(F.lit("ABSOLUTE"))
         return _candidate(h["start"], h["start"] + F.length(target), kind, target, target, target, F.lit(False), F.lit(False), h["start"])
 
-    return F.transform(tx.hits(text, ABSOLUTE), one)
+    return F.transform(tx.hits(text, ABSOLUTE, (":",)), one)
 
 
 def markdown_array(text: Column) -> Column:
@@ -68,7 +69,7 @@ def markdown_array(text: Column) -> Column:
         return _candidate(h["start"], h["end"], F.lit("MARKDOWN_TARGET"), target, label, target, ~target.rlike(_HTTP),
                           F.lit(False), h["start"] + F.length(label) + 3 + lead)
 
-    return F.filter(F.transform(tx.hits(text, MARKDOWN), one), lambda c: c["target"] != "")
+    return F.filter(F.transform(tx.hits(text, MARKDOWN, ("](",)), one), lambda c: c["target"] != "")
 
 
 def schemeless_array(text: Column) -> Column:
@@ -82,7 +83,7 @@ def schemeless_array(text: Column) -> Column:
 
 def email_array(text: Column) -> Column:
     return F.transform(
-        tx.hits(text, cc.EMAIL),
+        tx.hits(text, cc.EMAIL, ("@",)),
         lambda h: _candidate(h["start"], h["end"], F.lit("EMAIL_LIKE"), h["value"], h["value"], h["value"],
                              F.lit(False), F.lit(False), h["start"]),
     )
@@ -186,7 +187,7 @@ def candidate_array(text: Column, kind: Column, wraps: Column) -> Column:
 
 
 def _extract(sources: DataFrame, found: Column) -> DataFrame:
-    return sources.select("source_id", F.inline(found)).drop("target_start")
+    return to_rows(sources, ["source_id"], found).drop("target_start")
 
 
 def extract_absolute(sources: DataFrame) -> DataFrame:
@@ -219,8 +220,8 @@ def url_candidates(sources: DataFrame, prefix: str = "url") -> DataFrame:
     """Numbered candidates of every source; token ids count inside the source."""
     sources = with_source_defaults(sources)
     found = candidate_array(F.col("text"), F.col("source_kind"), F.col("wrap_offsets"))
-    rows = sources.select("source_id", F.posexplode(found).alias("_i", "c"))
-    return rows.select("source_id", F.concat(F.lit(f"{prefix}-u-"), F.col("_i")).alias("token_id"), "c.*").drop("target_start")
+    rows = to_rows(sources, ["source_id"], found, "_i")
+    return rows.withColumn("token_id", F.concat(F.lit(f"{prefix}-u-"), F.col("_i"))).drop("_i", "target_start")
 
 
 # ------------------------------------------------------------------------------------------ U07, U08
@@ -428,14 +429,14 @@ def with_risks(parsed: DataFrame) -> DataFrame:
 
 def query_inventory(analysed: DataFrame) -> DataFrame:
     """One row per query parameter with its risk."""
-    rows = analysed.select("source_id", "token_id", F.posexplode(F.arrays_zip("query", "query_risks")).alias("idx", "q"))
-    return rows.select("source_id", "token_id", "idx", F.col("q.query.name").alias("name"), F.col("q.query.value").alias("value"), F.col("q.query_risks").alias("risk"))
+    rows = to_rows(analysed, ["source_id", "token_id"], F.arrays_zip("query", "query_risks"), "idx")
+    return rows.select("source_id", "token_id", "idx", F.col("query.name").alias("name"), F.col("query.value").alias("value"), F.col("query_risks").alias("risk"))
 
 
 def path_inventory(analysed: DataFrame) -> DataFrame:
     """One row per decoded path segment with its risk."""
-    rows = analysed.select("source_id", "token_id", F.posexplode(F.arrays_zip("path_segments", "path_risks")).alias("idx", "p"))
-    return rows.select("source_id", "token_id", "idx", F.col("p.path_segments").alias("segment"), F.col("p.path_risks").alias("risk"))
+    rows = to_rows(analysed, ["source_id", "token_id"], F.arrays_zip("path_segments", "path_risks"), "idx")
+    return rows.select("source_id", "token_id", "idx", F.col("path_segments").alias("segment"), F.col("path_risks").alias("risk"))
 
 
 def subdomain_risk(analysed: DataFrame) -> DataFrame:
@@ -511,10 +512,11 @@ def _url_findings() -> Column:
 
 def url_findings(analysed: DataFrame) -> DataFrame:
     """U16: one row per finding, ids numbered inside the candidate."""
-    rows = analysed.select("source_id", "token_id", F.posexplode("findings").alias("i", "f"))
-    gated = F.col("f.review_code").isNotNull()
+    rows = to_rows(analysed, ["source_id", "token_id"], F.col("findings"), "i")
+    gated = F.col("review_code").isNotNull()
     return rows.select(
-        "source_id", "token_id", F.concat("token_id", F.lit("-f-"), "i").alias("finding_id"), "f.*",
+        "source_id", "token_id", F.concat("token_id", F.lit("-f-"), "i").alias("finding_id"),
+        *[c for c in rows.columns if c not in ("source_id", "token_id", "i")],
         gated.alias("requires_decision"),
         F.when(gated, F.lit("REVIEW_REQUIRED")).otherwise(F.lit("DETECTED")).alias("status"),
     )
@@ -695,8 +697,7 @@ def change_array() -> Column:
 
 def url_changes(proposed: DataFrame) -> DataFrame:
     """One row per changed component."""
-    rows = proposed.select("source_id", "token_id", F.posexplode(change_array()).alias("seq", "c"))
-    return rows.select("source_id", "token_id", "seq", "c.*")
+    return to_rows(proposed, ["source_id", "token_id"], change_array(), "seq")
 
 
 class UrlCanonicalization:
@@ -707,13 +708,15 @@ class UrlCanonicalization:
 
     def tokens(self) -> DataFrame:
         gates = F.size("review_codes") > 0
-        return self.staged.where("can_apply").select(
+        return keep_rows(self.staged, F.col("can_apply")).select(
             "source_id", "token_id", "display", F.col("proposed_text").alias("final_text"), "policy", "warning", gates.alias("user_approved")
         )
 
     def gates(self) -> DataFrame:
-        rows = self.staged.select("source_id", "token_id", "approved_gates", F.explode("review_codes").alias("review_code"))
-        done = F.array_contains("approved_gates", F.col("review_code"))
+        states = F.transform(
+            "review_codes", lambda c: F.struct(c.alias("review_code"), F.array_contains("approved_gates", c).alias("done")))
+        rows = to_rows(self.staged, ["source_id", "token_id"], states)
+        done = F.col("done")
         return rows.select("source_id", "token_id", "review_code", F.lit(True).alias("blocking"), F.when(done, F.lit("APPROVED")).otherwise(F.lit("PENDING")).alias("status"))
 
     def decisions(self) -> DataFrame:
@@ -724,7 +727,7 @@ class UrlCanonicalization:
         )
 
     def ledger(self) -> DataFrame:
-        rows = url_changes(self.staged.where("can_apply"))
+        rows = url_changes(keep_rows(self.staged, F.col("can_apply")))
         impact = F.when(F.col("review_code").isNull(), F.lit("NONE")).otherwise(F.lit("POSSIBLE"))
         return rows.select(
             "source_id", "token_id", F.concat("token_id", F.lit("-c-"), "seq").alias("change_id"), "block_id",
@@ -732,7 +735,7 @@ class UrlCanonicalization:
         )
 
     def failures(self) -> DataFrame:
-        return self.staged.select("source_id", "token_id", F.explode("failures").alias("f")).select("source_id", "token_id", "f.*").distinct()
+        return to_rows(self.staged, ["source_id", "token_id"], F.array_distinct("failures"))
 
 
 def canonicalize_urls(analysed: DataFrame, approvals: DataFrame | None = None) -> UrlCanonicalization:

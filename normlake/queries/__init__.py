@@ -1 +1,4 @@
+"""All registered queries; importing the package fills the registry."""
 
+from normlake.queries import text  # noqa: F401
+from normlake.queries.base import ORACLES, QUERIES  # noqa: F401
