@@ -13,6 +13,7 @@ from normlake.dims import catalog as cat
 from normlake.operators import text_findings as fnd
 from normlake.operators import text_transform as tt
 from normlake.operators import urls
+from normlake.session import ensure_checkpoint_dir
 from normlake.operators.common import code_map, coded, codes_of, union_all, unmatched, verdict
 
 _SATISFIED = ("PASS", "PASS_WITH_DECLARED_RESIDUAL", "NOT_APPLICABLE")
@@ -374,12 +375,13 @@ def region_coverage_audit(runs: DataFrame, terminal: DataFrame, declared: DataFr
 def idempotence_audit(sources: DataFrame, **policy) -> DataFrame:
     """A second pass over the canonical text, all gates approved, changes nothing.
 
-    The first pass gives the approved text; both passes stay row-local. Output per source: second text equal
+    The first pass gives the approved text, written once so that the second pass starts from stored rows. Output per source: second text equal
     and number of second-pass changes.
     """
     everything = F.array(*[F.lit(c) for c in fnd.REVIEW_BLOCK])
     first = tt.canonical_stages(_approving(sources, everything), None, **policy)
-    second_in = first.select("source_id", F.col("canonical").alias("text"), "source_kind")
+    ensure_checkpoint_dir(sources.sparkSession)
+    second_in = first.select("source_id", F.col("canonical").alias("text"), "source_kind").checkpoint()
     second = tt.canonical_stages(_approving(second_in, everything), None, **policy)
     changed = F.lit(0)
     for k in range(1, 7):

@@ -245,7 +245,7 @@ def _(q):
 
 
 fixture("signals", f"SELECT o_orderkey AS signal_id, {case('o_orderkey % 8', list(cat.SIGNALS))} AS signal, {case('o_custkey % 4', cat.MODES)} AS output_mode FROM {{orders}}")
-_sig = lambda i: "CASE signal " + " ".join(f"WHEN '{s}' THEN {'output_mode = ' + chr(39) + 'DERIVATIVE_IMAGE' + chr(39) if v[i] is None else str(v[i]).upper()}" for s, v in cat.SIGNALS.items()) + " END"
+_sig = lambda i: "CASE s.signal " + " ".join(f"WHEN '{s}' THEN {'output_mode = ' + chr(39) + 'DERIVATIVE_IMAGE' + chr(39) if v[i] is None else str(v[i]).upper()}" for s, v in cat.SIGNALS.items()) + " END"
 
 
 @query("p04_invalidation_plan", f"""
