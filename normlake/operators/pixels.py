@@ -28,7 +28,7 @@ def image_resource_plan(
     w, h = F.col("width").cast("bigint"), F.col("height").cast("bigint")
     depth = F.when(F.col("bit_depth") > 8, 8).when(F.col("channels") >= 3, 4).otherwise(2).cast("bigint")
     df = headers.withColumn("_px", F.try_multiply(w, h)).withColumn("_full", F.try_multiply(F.col("_px"), depth)).withColumn("_depth", depth)
-    steps = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda k: F.shiftleft(F.lit(1), k))
+    steps = F.array(*[F.lit(2**k) for k in range(1, 8)])
     ceil_div = lambda v, s: F.floor((v + s - 1) / s).cast("bigint")
 
     def fits(s: Column) -> Column:

@@ -44,7 +44,8 @@ def build_saved_results(bundles: DataFrame, artifacts: DataFrame, statuses: Data
     bundles(saved_result_id, display_label, output_mode, canonical_revision, assurance_class, verified, ...);
     statuses(saved_result_id, type, status) packs in report order.
     """
-    ok = bundles.where(F.col("verified") & (F.col("assurance_class") != "AS_0_UNVERIFIED"))
+    ok = bundles.where(F.col("verified") & (F.col("assurance_class") != "AS_0_UNVERIFIED")).select(
+        "saved_result_id", "display_label", "output_mode", "canonical_revision", "assurance_class")
     sums = artifacts.groupBy("saved_result_id").agg(F.sum("byte_count").alias("storage_byte_count"))
     pack = [
         F.max(F.when(F.col("type") == t, F.concat(F.col("type"), F.lit("="), F.col("status")))).alias(t) for t in cat.CHECK_TYPES

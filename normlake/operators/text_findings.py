@@ -49,11 +49,9 @@ def evidence(sources: DataFrame, compatibility_only: bool) -> DataFrame:
     """Adds spans, segments, changed clusters, mixed tokens and controls; row-local throughout."""
     text = F.col("text")
     staged = inv.with_normal_forms(inv.with_spans(sources), compatibility_only)
-    staged = staged.withColumn("segments", inv.segment_array(text, F.col("spans")))
     foreign = text.rlike(r"[^\p{IsLatin}\p{IsCommon}\p{IsInherited}]")
-    mixed = F.filter(inv.token_array(text, F.col("segments")), lambda t: t["mixed"])
-    token_type = "array<struct<start:int,end:int,token:string,scripts:array<string>,skeleton:string,mixed:boolean,protected:boolean>>"
-    staged = staged.withColumn("mixed_tokens", F.when(foreign, mixed).otherwise(F.array().cast(token_type)).cast(token_type))
+    staged = inv.with_tokens(inv.with_segments(staged), "_tokens", foreign)
+    staged = staged.withColumn("mixed_tokens", F.filter("_tokens", lambda t: t["mixed"])).drop("_tokens")
     return staged.withColumn("controls", inv.control_array(text))
 
 

@@ -278,62 +278,41 @@ def protected_array(text: Column, source_kind: Column, explicit_spans: Column) -
     return F.concat(explicit_spans.cast(SPAN), whole.cast(SPAN), *found)
 
 
-def merge_array(spans: Column) -> Column:
-    """T11 in one row: union of overlapping spans without a running maximum.
+def with_spans(sources: DataFrame) -> DataFrame:
+    """Adds ``spans``: the merged protected spans of each source (T11 in one row).
 
-    With starts and ends sorted apart, a new island begins at k exactly when the k-th end so far is not past
-    the k-th start. Islands are index ranges of the (start, -end) order, so the last member is a lookup.
+    Union of overlapping spans without a running maximum: with starts and ends sorted apart, a new island
+    begins at k exactly when the k-th end so far is not past the k-th start. Islands are index ranges of the
+    (start, -end) order, so the last member is a lookup. The steps are columns of their own: deeply nested
+    lambdas would make the planner slow.
     """
+    sources = with_source_defaults(sources)
+    raw = protected_array(F.col("text"), F.col("source_kind"), F.col("explicit_spans"))
+    keyed = F.transform("_raw", lambda s, i: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), i.alias("i"), s.alias("s")))
+    df = sources.withColumn("_raw", raw).withColumn("_keyed", F.array_sort(keyed))
+    df = df.withColumns({
+        "_members": F.transform("_keyed", lambda k: k["s"]),
+        "_ends": F.array_sort(F.transform("_raw", lambda s: s["end"])),
+    })
+    members, ends = F.col("_members"), F.col("_ends")
+    heads = F.filter(
+        F.sequence(F.lit(0), F.size(members) - 1),
+        lambda k: (k == 0) | (F.get(ends, k - 1) <= F.get(members, k)["start"]),
+    )
+    df = df.withColumn("_heads", F.when(F.size(members) > 0, heads))
 
-    def merge(spans_sorted: Column) -> Column:
-        def with_ends(pair: Column) -> Column:
-            members, ends = pair["members"], pair["ends"]
-            starts = F.filter(
-                F.sequence(F.lit(0), F.size(members) - 1),
-                lambda k: (k == 0) | (F.get(ends, k - 1) <= F.get(members, k)["start"]),
-            )
-            return tx.let(
-                starts,
-                lambda heads: F.transform(
-                    heads,
-                    lambda k, j: tx.let(
-                        F.struct(
-                            k.alias("first"), (F.coalesce(F.get(heads, j + 1), F.size(members)) - 1).alias("last")
-                        ),
-                        lambda r: F.struct(
-                            F.get(members, r["first"])["start"].alias("start"),
-                            F.get(ends, r["last"]).alias("end"),
-                            F.when(
-                                F.exists(
-                                    F.slice(members, r["first"] + 1, r["last"] - r["first"] + 1),
-                                    lambda m: m["kind"] == "USER_LOCKED",
-                                ),
-                                F.lit("USER_LOCKED"),
-                            ).otherwise(F.get(members, r["last"])["kind"]).alias("kind"),
-                            F.exists(
-                                F.slice(members, r["first"] + 1, r["last"] - r["first"] + 1), lambda m: m["locked"]
-                            ).alias("locked"),
-                        ),
-                    ),
-                ),
-            )
-
-        pair = F.struct(
-            spans_sorted.alias("members"),
-            F.array_sort(F.transform(spans_sorted, lambda s: s["end"])).alias("ends"),
+    def island(k: Column, j: Column) -> Column:
+        last = F.coalesce(F.get("_heads", j + 1), F.size(members)) - 1
+        inside = F.slice(members, k + 1, last - k + 1)
+        return F.struct(
+            F.get(members, k)["start"].alias("start"), F.get(ends, last).alias("end"),
+            F.when(F.exists(inside, lambda m: m["kind"] == "USER_LOCKED"), F.lit("USER_LOCKED"))
+            .otherwise(F.get(members, last)["kind"]).alias("kind"),
+            F.exists(inside, lambda m: m["locked"]).alias("locked"),
         )
-        return tx.let(pair, with_ends)
 
-    keyed = F.transform(spans, lambda s, i: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), i.alias("i"), s.alias("s")))
-    ordered = F.transform(F.array_sort(keyed), lambda k: k["s"])
-    return F.when(F.size(spans) > 0, tx.let(ordered, merge)).otherwise(F.array().cast(SPAN)).cast(SPAN)
-
-
-def with_spans(sources: DataFrame) -> DataFrame:
-    """Adds ``spans``: the merged protected spans of each source."""
-    sources = with_source_defaults(sources)
-    raw = protected_array(F.col("text"), F.col("source_kind"), F.col("explicit_spans"))
-    return sources.withColumn("_raw", raw).withColumn("spans", merge_array(F.col("_raw"))).drop("_raw")
+    spans = F.coalesce(F.transform("_heads", island).cast(SPAN), F.array().cast(SPAN))
+    return df.withColumn("spans", spans).drop("_raw", "_keyed", "_members", "_ends", "_heads")
 
 
 def protected_spans(sources: DataFrame) -> DataFrame:
@@ -349,25 +328,27 @@ def merge_spans(sources: DataFrame) -> DataFrame:
     return _explode_records(with_spans(sources), F.col("spans"))
 
 
-def segment_array(text: Column, spans: Column) -> Column:
-    """N01 in one row: ordered protected and free segments (start, end, value, protected, kind)."""
+def with_segments(df: DataFrame) -> DataFrame:
+    """N01 in one row: adds ``segments``, ordered protected and free pieces (start, end, value, protected, kind)."""
+    piece = lambda a, b: F.array_join(F.slice("_chars", a + 1, b - a), "")
+    none = F.lit(None).cast("string")
+    made = lambda start, end, value, protected, kind: F.struct(
+        start.alias("start"), end.alias("end"), value.alias("value"), F.lit(protected).alias("protected"), kind.alias("kind"))
 
-    def cut(cs: Column) -> Column:
-        piece = lambda a, b: F.array_join(F.slice(cs, a + 1, b - a), "")
-        made = F.transform(
-            F.concat(spans, F.array(F.struct(F.size(cs).alias("start"), F.size(cs).alias("end"), F.lit(None).cast("string").alias("kind"), F.lit(False).alias("locked")))),
-            lambda s, k: tx.let(
-                F.coalesce(F.get(spans, k - 1)["end"], F.lit(0)),
-                lambda cursor: F.array(
-                    F.struct(cursor.alias("start"), s["start"].alias("end"), piece(cursor, s["start"]).alias("value"), F.lit(False).alias("protected"), F.lit(None).cast("string").alias("kind")),
-                    F.struct(s["start"].alias("start"), s["end"].alias("end"), piece(s["start"], s["end"]).alias("value"), F.lit(True).alias("protected"), s["kind"].alias("kind")),
-                ),
-            ),
+    def around(s: Column, k: Column) -> Column:
+        cursor = F.coalesce(F.get("spans", k - 1)["end"], F.lit(0))
+        return F.array(
+            made(cursor, s["start"], piece(cursor, s["start"]), False, none),
+            made(s["start"], s["end"], piece(s["start"], s["end"]), True, s["kind"]),
         )
-        return F.filter(F.flatten(made), lambda g: g["end"] > g["start"])
 
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end"), text.alias("value"), F.lit(False).alias("protected"), F.lit(None).cast("string").alias("kind")))
-    return F.when(F.size(spans) == 0, whole).otherwise(tx.let(tx.chars(text), cut))
+    n = F.length("text")
+    last = F.get("spans", F.size("spans") - 1)["end"]
+    tail = F.array(made(last, n, piece(last, n), False, none))
+    df = df.withColumn("_chars", F.when(F.size("spans") > 0, tx.chars(F.col("text"))))
+    cut = F.filter(F.concat(F.flatten(F.transform("spans", around)), tail), lambda g: g["end"] > g["start"])
+    whole = F.array(made(F.lit(0), n, F.col("text"), False, none))
+    return df.withColumn("segments", F.when(F.size("spans") > 0, cut).otherwise(whole)).drop("_chars")
 
 
 # ---------------------------------------------------------------------------------------------- T08, T09
@@ -376,28 +357,27 @@ def cover_array(segments: Column, value) -> Column:
     return F.flatten(F.transform(segments, lambda g: F.array_repeat(value(g), g["end"] - g["start"])))
 
 
-def token_array(text: Column, segments: Column) -> Column:
-    def record(cover: Column) -> Column:
-        return F.transform(
-            tx.hits(text, cc.WORD),
-            lambda h: tx.let(
-                tx.scripts_of(h["value"]),
-                lambda scripts: F.struct(
-                    h["start"].alias("start"), h["end"].alias("end"), h["value"].alias("token"),
-                    scripts.alias("scripts"), tx.skeleton(h["value"]).alias("skeleton"),
-                    (F.size(scripts) > 1).alias("mixed"),
-                    (F.get(cover, h["start"]) >= h["end"]).alias("protected"),
-                ),
-            ),
-        )
-
-    return tx.let(cover_array(segments, lambda g: F.when(g["protected"], g["end"]).otherwise(F.lit(0))), record)
+def with_tokens(df: DataFrame, name: str, when: Column | None = None) -> DataFrame:
+    """Adds the word tokens of each source (over ``segments``) as column ``name``."""
+    kind = "array<struct<start:int,end:int,token:string,scripts:array<string>,skeleton:string,mixed:boolean,protected:boolean>>"
+    gate = lambda c: c if when is None else F.when(when, c)
+    df = df.withColumns({
+        "_cover": gate(cover_array(F.col("segments"), lambda g: F.when(g["protected"], g["end"]).otherwise(F.lit(0)))),
+        "_hits": gate(tx.hits(F.col("text"), cc.WORD)),
+    })
+    df = df.withColumn("_scripts", F.transform("_hits", lambda h: tx.scripts_of(h["value"])))
+    token = lambda h, scripts: F.struct(
+        h["start"].alias("start"), h["end"].alias("end"), h["value"].alias("token"), scripts.alias("scripts"),
+        tx.skeleton(h["value"]).alias("skeleton"), (F.size(scripts) > 1).alias("mixed"),
+        (F.get("_cover", h["start"]) >= h["end"]).alias("protected"),
+    )
+    tokens = F.zip_with("_hits", "_scripts", token).cast(kind)
+    return df.withColumn(name, F.coalesce(tokens, F.array().cast(kind))).drop("_cover", "_hits", "_scripts")
 
 
 def token_security(sources: DataFrame) -> DataFrame:
     """Word tokens with scripts, look-alike skeleton, mixed-script and protected flags."""
-    staged = with_spans(sources).withColumn("_segments", segment_array(F.col("text"), F.col("spans")))
-    return _explode_records(staged, token_array(F.col("text"), F.col("_segments")))
+    return _explode_records(with_tokens(with_segments(with_spans(sources)), "_tokens"), F.col("_tokens"))
 
 
 def language_resolution(

@@ -82,7 +82,7 @@ def plain_punctuation(value: Column, profile: str, dashes: Column) -> Column:
 # ---------------------------------------------------------------------------------------- N01 - N08
 def segment(sources: DataFrame) -> DataFrame:
     """Free and protected segments, with the facts about neighbours that later steps need."""
-    staged = inv.with_spans(sources)
+    staged = inv.with_segments(inv.with_spans(sources))
 
     def facts(segs: Column) -> Column:
         return F.transform(
@@ -94,7 +94,7 @@ def segment(sources: DataFrame) -> DataFrame:
             ),
         )
 
-    return to_rows(staged, ["source_id"], tx.let(inv.segment_array(F.col("text"), F.col("spans")), facts))
+    return to_rows(staged, ["source_id"], facts(F.col("segments")))
 
 
 def _ends_content(value: Column) -> Column:
@@ -302,8 +302,8 @@ def canonical_stages(
             ),
         )
 
-    zipped = F.zip_with("v4", "segments", lambda v, g: F.struct(v.alias("v"), g["protected"].alias("p")))
-    staged = advance(staged, 5, "TXT-013", null, tx.let(zipped, spaced))
+    staged = staged.withColumn("_zipped", F.zip_with("v4", "segments", lambda v, g: F.struct(v.alias("v"), g["protected"].alias("p"))))
+    staged = advance(staged, 5, "TXT-013", null, spaced(F.col("_zipped"))).drop("_zipped")
     dash_gate = F.when(has("PUNCTUATION_SEMANTICS_REVIEW"), F.lit("PUNCTUATION_SEMANTICS_REVIEW"))
     staged = advance(staged, 6, "TXT-014", dash_gate,
                      free("v5", lambda v, g: plain_punctuation(v, punctuation, F.col("gate6").isNotNull())))
