@@ -260,11 +260,11 @@ def _(q):
 
 
 @query("v18_convergence_check", """
-SELECT doc_id AS family_id, TRUE AS converged, 1 AS distinct_texts, 3 AS variants, 0 AS residue_hits FROM documents WHERE NOT regexp_matches(text, '[ -⿿]')""")
+SELECT doc_id AS family_id, TRUE AS converged, 1 AS distinct_texts, 3 AS variants, 0 AS residue_hits FROM documents""")
 def _(q):
     from normlake.sources import texts
 
-    docs = q.documents.where("NOT text RLIKE '[ -⿿]'").select(F.col("doc_id").alias("id"), "text")
+    docs = q.documents.select(F.col("doc_id").alias("id"), "text")
     docs = spread(docs, "id")
     var = texts.generate_variants(docs, "newlines").select(F.col("id").alias("family_id"), "variant_id", F.col("value").alias("text"))
     residue = docs.select(F.col("id").alias("family_id"), F.lit("\r").alias("value"))
