@@ -110,3 +110,20 @@ def test_stream_windows_and_dedup(spark, tmp_path):
     q = streams.stream_seal_dedup(stream().select("session_id", "ts")).writeStream.format("memory").queryName("d").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.sql("SELECT count(*) AS n FROM d").collect()[0].n == 3
+
+
+def test_stream_ring_and_texts(spark, tmp_path):
+    from normlake.streaming import streams
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    src = spark.sql("SELECT 's' || (id % 2) AS session_id, id AS event_id, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, CAST(id AS INT)) AS ts, 's' || id AS source_id, repeat('a  b ', CAST(id AS INT)) AS text FROM range(20)")
+    src.write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))
+    q = streams.stream_trace_ring(stream(), 3).writeStream.outputMode("update").format("memory").queryName("ring").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert {r.event_id for r in spark.table("ring").collect()} == {19, 17, 15, 18, 16, 14}
+    out, rejects = str(tmp_path / "out"), str(tmp_path / "rejects")
+    q = streams.stream_canonicalize(stream().select("source_id", "text"), 50, out, rejects, str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    assert spark.read.parquet(out + "/texts").count() == 10
+    assert spark.read.parquet(rejects).count() == 10
