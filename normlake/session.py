@@ -32,9 +32,11 @@ def build_session(app: str = "normlake", master: str | None = None, **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a temporary one only where nothing is set (local tests)."""
+    """The shared folder that the session names. Only a local session without one gets a temporary folder."""
     folder = spark.conf.get(CHECKPOINT_KEY, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(CHECKPOINT_KEY, folder)
     if spark.sparkContext.getCheckpointDir() is None:
