@@ -7,8 +7,11 @@ stay apart, null ids form ordinary keys, and nothing depends on the order in whi
 
 from __future__ import annotations
 
+import pickle
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +60,16 @@ def crc_id(doc_id: str = "doc_id") -> Column:
 def per_copy(df: DataFrame, copies: str = "copies") -> DataFrame:
     """One row for each of the counted rows."""
     return df.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies).cast("long"))).alias("_copy")).drop("_copy", copies)
+
+
+def sent(spark: SparkSession, thing: object) -> Callable[[], object]:
+    """A function that gives ``thing`` inside tasks. A worker unpacks it once and keeps it, with what it remembers."""
+    shared = spark.sparkContext.broadcast({"packed": cloudpickle.dumps(thing)})
+
+    def get() -> object:
+        held = shared.value
+        if "thing" not in held:
+            held["thing"] = pickle.loads(held["packed"])
+        return held["thing"]
+
+    return get
