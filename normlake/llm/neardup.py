@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from normlake.llm.common import ascii_lower, per_copy, saved, scratch, space_words, text_of
@@ -31,13 +31,24 @@ _OFFSETS = (0, 13, 26, 39, 52)
 PAIRS_AT_ONCE = 1 << 20
 
 
-def fingerprints(docs: DataFrame, width: int = 4, lower: bool = True) -> DataFrame:
-    """(doc_id, digest, copies, fp) of every distinct (doc_id, text): the bitwise majority over its word shingles."""
+def fingerprints(docs: DataFrame, width: int = 4, check_width: int | None = None) -> DataFrame:
+    """(doc_id, digest, copies, fp) of every distinct (doc_id, text): the bitwise majority over its word shingles.
+
+    ``check_width`` adds ``fp2`` over longer shingles, from the same pass.
+    """
     text = docs.select("doc_id", text_of().alias("text"))
-    words = space_words(ascii_lower(F.col("text")) if lower else F.col("text"))
-    rows = shingles(text.select("doc_id", F.xxhash64("text").alias("digest"), words.alias("_words")), ["doc_id", "digest"], F.col("_words"), width)
-    sums = rows.groupBy("doc_id", "digest").agg(F.count_if(F.col("pos") == 0).alias("copies"), *votes())
-    return sums.select("doc_id", "digest", "copies", fingerprint().alias("fp"))
+    rows = text.select("doc_id", F.xxhash64("text").alias("digest"), space_words(ascii_lower(F.col("text"))).alias("_words"))
+    keys = ["doc_id", "digest"]
+    copies = F.count_if(F.col("pos") == 0).alias("copies")
+    if check_width is None:
+        sums = shingles(rows, keys, F.col("_words"), width).groupBy(*keys).agg(copies, *votes())
+        return sums.select(*keys, "copies", fingerprint().alias("fp"))
+    if check_width < width:
+        raise ValueError("check_width must not be below width")
+    df = shingles(rows, keys, F.col("_words"), width, check_width)
+    whole = F.col("whole").cast("long")
+    sums = df.groupBy(*keys).agg(copies, *votes(), *votes(whole, "hash2", "w", "n2"))
+    return sums.select(*keys, "copies", fingerprint().alias("fp"), fingerprint("w", "n2").alias("fp2"))
 
 
 def links(nodes: DataFrame, radius: int, check: int | None = None, key_rows: int = 1 << 16) -> DataFrame:
@@ -174,34 +185,38 @@ def star(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def near_groups(docs: DataFrame, width: int = 4, radius: int = 4, check_width: int | None = None, check: int | None = None) -> DataFrame:
-    """(doc_id, digest, copies, fp, component_id): groups of texts whose fingerprints are linked within ``radius`` bits.
+    """(doc_id, digest, copies, fp, root, component_id): groups of texts whose fingerprints link within ``radius`` bits.
 
-    component_id is the smallest doc_id reachable over links, null only where all ids of a group are null. With
-    ``check_width`` a second fingerprint over that shingle width has to be within ``check`` bits too. One row for each
-    distinct (doc_id, text), ``copies`` counts its rows; null and empty texts have fingerprint zero and link like any
-    other; columns besides doc_id and text are not looked at; an empty table gives an empty table.
+    component_id is the smallest doc_id reachable over links, null only where all ids of a group are null; root names
+    the group. With ``check_width`` a second fingerprint over that shingle width has to be within ``check`` bits too.
+    One row for each distinct (doc_id, text), ``copies`` counts its rows; null and empty texts have fingerprint zero and
+    link like any other; columns besides doc_id and text are not looked at; an empty table gives an empty table.
     """
     folder = scratch(docs.sparkSession)
-    prints = fingerprints(docs, width)
-    if check_width is None:
-        prints = prints.withColumn("node", F.col("fp"))
-        keep = ["node", "fp"]
-    else:
-        second = fingerprints(docs, check_width).select("doc_id", "digest", F.col("fp").alias("fp2"))
-        prints = prints.join(second, _same(prints, second)).drop(second["doc_id"], second["digest"]).withColumn("node", F.xxhash64("fp", "fp2"))
-        keep = ["node", "fp", "fp2"]
-    prints = saved(prints, f"{folder}/prints")
-    nodes = prints.select(*keep).distinct()
-    roots = components(links(nodes, radius, check if check_width is not None else None))
+    prints = fingerprints(docs, width, check_width)
+    both = check_width is not None
+    prints = saved(prints.withColumn("node", F.xxhash64("fp", "fp2") if both else F.col("fp")), f"{folder}/prints")
+    nodes = prints.select("node", "fp", *["fp2"] * both).distinct()
+    roots = components(links(nodes, radius, check if both else None))
     least = prints.groupBy("node").agg(F.min("doc_id").alias("least"))
     ids = saved(least.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), f"{folder}/nodes")
     group = ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = ids.join(group, "root").select("node", "component_id")
-    return prints.join(ids, "node").select("doc_id", "digest", "copies", "fp", "component_id")
+    ids = ids.join(group, "root").select("node", "root", "component_id")
+    return prints.join(ids, "node").select("doc_id", "digest", "copies", "fp", "root", "component_id")
+
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """Rows of ``docs`` with one row left of each near-duplicate group: the smallest id, of equal ids the smallest digest.
 
-def _same(a: DataFrame, b: DataFrame) -> Column:
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["digest"] == b["digest"])
+    Rows equal in id and text keep the first by their other columns.
+    """
+    first = near_groups(docs, **options).groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("r"))
+    first = first.select(F.xxhash64("r.doc_id", "r.digest").alias("_key"), F.col("r.doc_id").alias("_id"), F.col("r.digest").alias("_digest"))
+    rows = docs.withColumn("_own", F.xxhash64(text_of())).withColumn("_key", F.xxhash64("doc_id", "_own"))
+    rows = rows.join(first, "_key").where(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    turn = F.row_number().over(Window.partitionBy("_key", "doc_id", "_own").orderBy(*(others or ["_own"])))
+    return rows.withColumn("_turn", turn).where(F.col("_turn") == 1).select(*docs.columns)
 
 
 def simhash_near_dedup(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:

@@ -13,7 +13,7 @@ to costs in all languages, escapes included.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -113,20 +113,22 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> ContextTrees:
     return ContextTrees(counts.toPandas())
 
 
-def predict(docs: DataFrame, trees: ContextTrees) -> DataFrame:
-    """(doc_id, lang_pred, score, bits_per_byte) of every row.
+def predict(docs: DataFrame, trees: ContextTrees, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep``, lang_pred, score and bits_per_byte of every row.
 
     Score is the share of the predicted language if all are equally likely beforehand. Null texts, texts without a
     letter and all texts of a model without languages get ``und`` with score 0 and null bits. Equal code lengths go to
-    the first language by name. Repeated rows stay repeated; lang, source and doc_id play no part.
+    the first language by name. Repeated rows stay repeated; no column but the text plays a part; kept columns that
+    share a name with a result are replaced by it.
     """
     get = sent(docs.sparkSession, trees)
+    keep = [c for c in keep if c not in ("lang_pred", "score", "bits_per_byte")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = get()
         for batch in batches:
-            lettered = batch.column(2).to_numpy(zero_copy_only=False)
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") if ok else b"" for t, ok in zip(batch.column(1), lettered)]
+            lettered = batch.column(len(keep) + 1).to_numpy(zero_copy_only=False)
+            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") if ok else b"" for t, ok in zip(batch.column(len(keep)), lettered)]
             known = np.array([len(t) > 0 for t in texts]) if own.langs else np.zeros(len(texts), bool)
             names, score, rate = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.full(len(texts), np.nan)
             if known.any():
@@ -137,12 +139,12 @@ def predict(docs: DataFrame, trees: ContextTrees) -> DataFrame:
                 names[known] = np.array(own.langs, object)[best[known]]
                 score[known], rate[known] = share[known], (least / np.maximum([len(t) for t in texts], 1))[known]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(rate, mask=~known)],
-                names=["doc_id", "lang_pred", "score", "bits_per_byte"])
+                [*batch.columns[:len(keep)], pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(rate, mask=~known)],
+                names=[*keep, "lang_pred", "score", "bits_per_byte"])
 
-    lettered = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("lettered")
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
-    return docs.select("doc_id", "text", lettered).mapInArrow(run, schema)
+    lettered = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("_lettered")
+    made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
+    return docs.select(*keep, F.col("text").alias("_read"), lettered).mapInArrow(run, T.StructType([*[docs.schema[c] for c in keep], *made]))
 
 
 def held_out_language_id(docs: DataFrame) -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normlake.llm.common import table
+from normlake.llm.fingerprinting import fingerprint_edits
+from normlake.llm.licenses import oracle as license_oracle
+from normlake.llm.licenses import scan
+from normlake.llm.lm import score_documents
 from normlake.llm.mixing import mix
 from normlake.llm.neardup import simhash_near_dedup
 from normlake.llm.ogg import media_digest
@@ -51,11 +55,24 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
                        F.col("_budget").alias("leaf_budget"), F.col("_epochs").alias("epochs"))
 
 
+@query
+def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint_edits(table(spark, folder, "documents"))
+
+
 @query
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(table(spark, folder, "documents"))
 
 
+@query
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan(table(spark, folder, "documents"))
+
+
+ORACLES["op6_license_scan"] = license_oracle()
+
+
 @query
 def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_near_dedup(table(spark, folder, "documents"))
@@ -66,6 +83,11 @@ def op8_ogg_media(spark: SparkSession, folder: str) -> DataFrame:
     return media_digest(table(spark, folder, "documents"))
 
 
+@query
+def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return score_documents(table(spark, folder, "documents"))
+
+
 @query
 def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return token_digest(table(spark, folder, "documents"), piece_model())

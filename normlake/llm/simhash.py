@@ -17,36 +17,44 @@ _PAIR = 0x0000000100000001
 _LOW = 0xFFFFFFFF
 
 
-def shingles(df: DataFrame, keys: list[str], words: Column, width: int) -> DataFrame:
+def shingles(df: DataFrame, keys: list[str], words: Column, width: int, second: int | None = None) -> DataFrame:
     """Keys, ``pos`` and ``hash`` of every run of ``width`` words, repeats included.
 
-    Fewer words: the whole sequence is one shingle. No words: one row whose hash is 0, so that the row stays.
+    Fewer words: the whole sequence is one shingle. No words: one row whose hash is 0, so that the row stays. With
+    ``second``, ``hash2`` is the hash of the run of so many words from there; ``whole`` says whether there is one.
     """
     df = df.select(*keys, words.alias("_w"))
     last = F.greatest(F.size("_w") - width, F.lit(0))
     df = df.select(*keys, "_w", F.explode(F.sequence(F.lit(0), last)).alias("pos"))
-    run = F.concat_ws(" ", *[F.get("_w", F.col("pos") + i) for i in range(width)])
-    return df.select(*keys, "pos", F.when(F.size("_w") > 0, F.xxhash64(run)).otherwise(F.lit(0).cast("long")).alias("hash"))
 
+    def run(size: int) -> Column:
+        hashed = F.xxhash64(F.concat_ws(" ", *[F.get("_w", F.col("pos") + i) for i in range(size)]))
+        return F.when(F.size("_w") > 0, hashed).otherwise(F.lit(0).cast("long"))
 
-def votes(weight: Column | None = None) -> list[Column]:
-    """Sums to aggregate over a document's terms: ``n`` and the lanes ``v0`` .. ``v31``."""
+    if second is None:
+        return df.select(*keys, "pos", run(width).alias("hash"))
+    whole = (F.col("pos") == 0) | (F.col("pos") <= F.size("_w") - second)
+    return df.select(*keys, "pos", run(width).alias("hash"), whole.alias("whole"), F.when(whole, run(second)).otherwise(F.lit(0).cast("long")).alias("hash2"))
+
+
+def votes(weight: Column | None = None, hash_: str = "hash", lanes: str = "v", n: str = "n") -> list[Column]:
+    """Sums to aggregate over a document's terms: the total ``n`` and the lanes ``v0`` .. ``v31``."""
     def lane(k: int) -> Column:
-        picked = F.shiftrightunsigned("hash", k).bitwiseAND(F.lit(_PAIR))
+        picked = F.shiftrightunsigned(hash_, k).bitwiseAND(F.lit(_PAIR))
         return picked if weight is None else picked * weight
 
     total = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    return [total.alias("n"), *[F.sum(lane(k)).alias(f"v{k}") for k in range(32)]]
+    return [total.alias(n), *[F.sum(lane(k)).alias(f"{lanes}{k}") for k in range(32)]]
 
 
-def fingerprint() -> Column:
+def fingerprint(lanes: str = "v", n: str = "n") -> Column:
     """The 64 signs as one long, from the sums of :func:`votes`."""
     out = F.lit(0).cast("long")
     for k in range(32):
-        low = F.col(f"v{k}").bitwiseAND(F.lit(_LOW))
-        high = F.shiftrightunsigned(f"v{k}", 32)
+        low = F.col(f"{lanes}{k}").bitwiseAND(F.lit(_LOW))
+        high = F.shiftrightunsigned(f"{lanes}{k}", 32)
         for bit, count in ((k, low), (k + 32, high)):
-            out = out.bitwiseOR(F.when(count * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), bit)).otherwise(F.lit(0).cast("long")))
+            out = out.bitwiseOR(F.when(count * 2 > F.col(n), F.shiftleft(F.lit(1).cast("long"), bit)).otherwise(F.lit(0).cast("long")))
     return out
 
 

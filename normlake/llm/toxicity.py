@@ -7,7 +7,7 @@ regression over the scaled features is fitted on top. Buckets whose ratio says l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -137,18 +137,22 @@ def train(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS) -> T
     return ToxicModel(fitted.coefficients.toArray() * ratio, float(fitted.intercept))
 
 
-def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """(doc_id, score, predicted) of every row, empty and null texts included; other columns are not read."""
+def score(docs: DataFrame, model: ToxicModel, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep``, score and predicted of every row, empty and null texts included.
+
+    No column but the text plays a part; kept columns that share a name with a result are replaced by it.
+    """
     get = sent(docs.sparkSession, model)
+    keep = [c for c in keep if c not in ("score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = get()
         for batch in batches:
-            out = own.score(_texts(batch.column(1)), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            out = own.score(_texts(batch.column(len(keep))), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    made = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    return docs.select(*keep, F.col("text").alias("_read")).mapInArrow(run, T.StructType([*[docs.schema[c] for c in keep], *made]))
 
 
 def held_out_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
