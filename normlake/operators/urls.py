@@ -6,6 +6,8 @@ path and query arrays. The only shuffles are the joins with approvals and the fi
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -26,19 +28,10 @@ CANDIDATE = (
 )
 QUERY = "array<struct<name:string,value:string>>"
 _WS = cc.class_body(cc.WHITESPACE_RANGES) + r"\x{1C}-\x{1F}"
-_PLAIN = rf"[^{_WS}<>()]"
-
-
-def _balanced(plain: str, depth: int = 6) -> str:
-    """Text with matched parentheses, nested up to ``depth`` levels."""
-    body = plain
-    for _ in range(depth):
-        body = rf"(?:{plain}|\({body}*\))"
-    return body
-
-
-ABSOLUTE = rf"(?i)(?:https?://|mailto:)(?:{_balanced(_PLAIN)}|\()*"
-MARKDOWN = rf"\[[^\]]*\]\({_balanced('[^()]')}*\)"
+# Links without parentheses: a possessive run, which java.util.regex matches in a loop, however long it is.
+ABSOLUTE = rf"(?i)(?:https?://|mailto:)[^{_WS}<>()]*+"
+_PARENTHESES = rf"(?i)(?:https?://|mailto:)[^{_WS}<>()]*+[()]"
+_LONG_HOST = r"(?:[A-Za-z0-9-]{1,63}+\.){48}+"
 _HTTP = r"(?i)^https?://"
 
 
@@ -51,25 +44,88 @@ def _candidate(start, end, kind, original, display, target, implicit, wrapped, t
     )
 
 
+def _space_class() -> str:
+    return re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", _WS)
+
+
+def _linear(find: Callable[[str], Iterator[tuple[int, int]]]) -> Callable[[Column], Column]:
+    """Spans of one text by a single pass in an Arrow worker, for what a regular expression can't count."""
+
+    @F.pandas_udf(tx.HIT)
+    def spans(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [{"start": a, "end": b, "value": t[a:b]} for a, b in find(t)])
+
+    return spans
+
+
+def _links(text: str) -> Iterator[tuple[int, int]]:
+    """Links up to a blank, an angle bracket, or the first parenthesis that closes more than the link has opened."""
+    scheme, stop = re.compile(r"(?i)https?://|mailto:"), re.compile(f"[{_space_class()}<>()]")
+    at = 0
+    while found := scheme.search(text, at):
+        balance, end = 0, len(text)
+        for mark in stop.finditer(text, found.end()):
+            balance += {"(": 1, ")": -1}.get(mark[0], 0)
+            if balance < 0 or mark[0] not in "()":
+                end = mark.start()
+                break
+        yield found.start(), end
+        at = max(end, found.end())
+
+
+def _markdown_links(text: str) -> Iterator[tuple[int, int]]:
+    """``[label](target)`` with the parentheses of the target paired off over the whole text beforehand."""
+    closing: dict[int, int] = {}
+    opened: list[int] = []
+    for mark in re.finditer(r"[()]", text):
+        if mark[0] == "(":
+            opened.append(mark.start())
+        elif opened:
+            closing[opened.pop()] = mark.start()
+    at = 0
+    while (bracket := text.find("](", at)) >= 0:
+        label = text.find("[", max(at, text.rfind("]", at, bracket) + 1), bracket)
+        end = closing.get(bracket + 1)
+        if label >= 0 and end is not None:
+            yield label, end + 1
+        at = bracket + 2 if label < 0 or end is None else end + 1
+
+
+def _hosts(text: str) -> Iterator[tuple[int, int]]:
+    pattern = re.compile(cc.SCHEMELESS.replace(r"\s", _space_class()))
+    return (m.span() for m in pattern.finditer(text))
+
+
+def _spans_of(text: Column, pattern: str, needle: tuple[str, ...], odd: Column, find: Callable[[str], Iterator[tuple[int, int]]]) -> Column:
+    """Matches of ``pattern``; texts for which ``odd`` holds go through ``find`` instead."""
+    odd = F.coalesce(odd, F.lit(False))
+    counted = _linear(find)(F.when(odd, text))
+    plain = tx.hits(F.when(~odd, text).otherwise(F.lit("")), pattern, needle)
+    return F.when(odd, counted).otherwise(plain)
+
+
 def absolute_array(text: Column) -> Column:
     def one(h: Column) -> Column:
         target = F.regexp_replace(h["value"], cc.TRAILING_PROSE, "")
         kind = F.when(target.rlike("(?i)^mailto:"), F.lit("EMAIL_LIKE")).otherwise(F.lit("ABSOLUTE"))
         return _candidate(h["start"], h["start"] + F.length(target), kind, target, target, target, F.lit(False), F.lit(False), h["start"])
 
-    return F.transform(tx.hits(text, ABSOLUTE, (":",)), one)
+    odd = text.contains(":") & text.rlike(_PARENTHESES)
+    return F.transform(_spans_of(text, ABSOLUTE, (":",), odd, _links), one)
 
 
 def markdown_array(text: Column) -> Column:
     def one(h: Column) -> Column:
-        label = F.regexp_extract(h["value"], r"^\[([^\]]*)\]", 1)
-        inside = F.regexp_extract(h["value"], r"^\[[^\]]*\]\(([\s\S]*)\)$", 1)
-        lead = F.length(F.regexp_extract(inside, f"^[{_WS}]*", 0))
-        target = F.regexp_replace(inside, f"^[{_WS}]+|[{_WS}]+$", "")
+        label = F.regexp_extract(h["value"], r"^\[([^\]]*+)\]", 1)
+        inside = F.substr(h["value"], F.length(label) + 4, F.length(h["value"]) - F.length(label) - 4)
+        lead = F.length(F.regexp_extract(inside, f"^[{_WS}]*+", 0))
+        target = F.regexp_replace(inside, f"^[{_WS}]++|[{_WS}]++$", "")
         return _candidate(h["start"], h["end"], F.lit("MARKDOWN_TARGET"), target, label, target, ~target.rlike(_HTTP),
                           F.lit(False), h["start"] + F.length(label) + 3 + lead)
 
-    return F.filter(F.transform(tx.hits(text, MARKDOWN, ("](",)), one), lambda c: c["target"] != "")
+    odd = F.coalesce(text.contains("]("), F.lit(False))
+    found = F.when(odd, _linear(_markdown_links)(F.when(odd, text))).otherwise(F.array().cast(tx.HIT))
+    return F.filter(F.transform(found, one), lambda c: c["target"] != "")
 
 
 def schemeless_array(text: Column) -> Column:
@@ -78,7 +134,8 @@ def schemeless_array(text: Column) -> Column:
         return _candidate(h["start"], h["start"] + F.length(target), F.lit("SCHEMELESS"), target, target, target,
                           F.lit(True), F.lit(False), h["start"])
 
-    return F.filter(F.transform(tx.hits(text, cc.SCHEMELESS), one), lambda c: c["target"] != "")
+    found = _spans_of(text, cc.SCHEMELESS, (".",), text.rlike(_LONG_HOST), _hosts)
+    return F.filter(F.transform(found, one), lambda c: c["target"] != "")
 
 
 def email_array(text: Column) -> Column:

@@ -49,3 +49,24 @@ def test_serialized_form_is_stable(spark):
         "source_id string, token_id string, scheme string, userinfo string, host string, port int, path_segments array<string>, query array<struct<name:string,value:string>>, fragment string")
     got = u.serialize_url(comps).collect()[0]
     assert got.text == "https://example.com/space%20value/percent%25value?b=two%20words&a=1#part%20one" and got.stable
+
+
+def test_links_of_any_length_and_depth(spark):
+    deep = "https://h.example/" + "(" * 50 + "a" + ")" * 50 + "/tail"
+    texts = {
+        "long": "see https://h.example/" + "a" * 100_000 + " end",
+        "deep": f"x {deep}) y",
+        "two": "(https://a.example/x)(https://b.example/y)",
+        "dots": "a." * 50_000 + "com rest",
+        "plain": "visit example.com.x1 or docs.example.org/a.",
+        "marked": "[l](" + "(" * 50 + "t" + ")" * 50 + ") [[b](c) [d] (e) [f](open",
+        "open": "[a](" * 20_000,
+        "brackets": "[" * 100_000,
+    }
+    src = spark.createDataFrame([(k, v) for k, v in texts.items()], "source_id string, text string")
+    absolute = [(r.source_id, r.target) for r in u.extract_absolute(src).collect()]
+    assert sorted(absolute) == sorted([("long", "https://h.example/" + "a" * 100_000), ("deep", deep), ("two", "https://a.example/x"), ("two", "https://b.example/y")])
+    hosts = {(r.source_id, r.target) for r in u.extract_schemeless(src).collect()}
+    assert ("dots", "a." * 50_000 + "com") in hosts and ("plain", "example.com") in hosts and ("plain", "docs.example.org/a") in hosts
+    marked = sorted((r.source_id, r.target, r.display) for r in u.extract_markdown(src).collect())
+    assert marked == [("marked", "(" * 50 + "t" + ")" * 50, "l"), ("marked", "c", "[b")]
