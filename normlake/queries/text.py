@@ -355,20 +355,19 @@ def _(q):
     return tt.remove_ignorables(tt.segment(sources(q)).where("value <> ''")).drop("review_code")
 
 
+_MIXED = " + ".join("CAST(regexp_matches(w, '[" + "".join(chr(92) + "p{" + s + "}" for s in g) + "]') AS INT)" for _, g in cc.SCRIPTS)
+
+
 @query("n05_replace_confusables", f"""
-WITH {SPANS}, {MERGED}, {TOKENS},
-free AS (SELECT t.source_id, t.token FROM tokm t WHERE n_scripts > 1 AND NOT EXISTS (SELECT 1 FROM merged m WHERE m.source_id = t.source_id AND m.s <= t.s AND m.e >= t.e))
-SELECT source_id, token, translate(token, '{cc.CONFUSABLE_FROM}', '{cc.CONFUSABLE_TO}') AS replacement, count(*) AS n FROM free GROUP BY source_id, token""")
-def _(q):
-    # Replaced tokens are recovered by comparing token counts before and after the replacement.
-    src = sources(q)
-    toks = inv.token_security(src).where("mixed AND NOT protected").select("source_id", "token", "skeleton")
-    maps = toks.distinct().groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "skeleton"))).alias("replacements"))
-    done = tt.replace_confusables(tt.segment(src), maps).where("changed")
-    count = lambda col: done.select("source_id", F.explode(F.transform(tt.tx.hits(F.col(col), cc.WORD), lambda h: h["value"])).alias("token"))
-    lost = count("before").groupBy("source_id", "token").agg(F.count("*").alias("n")).join(
-        count("after").groupBy("source_id", "token").agg(F.count("*").alias("m")), ["source_id", "token"], "left").where("m IS NULL")
-    return lost.select("source_id", "token", tt.tx.skeleton(F.col("token")).alias("replacement"), "n")
+WITH {SEGMENTS},
+r AS (SELECT source_id, seg_idx, value AS before, array_to_string(list_transform(regexp_extract_all(value, '(?:{cc.WORD.replace(chr(39), chr(39) * 2)})|(?s:.)'),
+  lambda w: CASE WHEN {_MIXED} > 1 THEN translate(w, '{cc.CONFUSABLE_FROM}', '{cc.CONFUSABLE_TO}') ELSE w END), '') AS after FROM seg WHERE NOT protected)
+SELECT * FROM r WHERE before <> after""")
+def _(q):
+    segs = tt.segment(sources(q))
+    words = inv.token_security(segs.where("NOT protected").select("source_id", F.col("value").alias("text"))).where("mixed").select("source_id", "token", "skeleton")
+    maps = words.distinct().groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "skeleton"))).alias("replacements"))
+    return tt.replace_confusables(segs, maps).where("changed").select("source_id", "seg_idx", "before", "after")
 
 
 def spaces_sql(value: str, before: str, after: str) -> str:
