@@ -127,3 +127,35 @@ def mix(docs: DataFrame, weights: Sequence[Mapping[str, int]], budget_share: tup
     part = (order < F.col("until_order")) | ((order == F.col("until_order")) & (own <= F.col("until_id")))
     taken = F.col("whole") + F.coalesce(part, F.lit(False)).cast("long")
     return rows.select(*plain.columns, *levels, "_budget", F.coalesce(taken, F.lit(0)).cast("long").alias("_epochs"))
+
+
+def oracle(weights: Sequence[Mapping[str, int]], budget_share: tuple[int, int] = (3, 5), epochs: int = 2, seed: int = 7) -> str:
+    """The same plan and choice in DuckDB, with whole leaves sorted."""
+    def family(depth: int) -> str:
+        names = LEVELS[:depth + 1]
+        own, kin = names[-1], ", ".join(names[:-1])
+        weight = "CASE " + own + "".join(f" WHEN '{k}' THEN {v}" for k, v in weights[depth].items()) + " ELSE 1 END" if weights[depth] else "1"
+        source = f"leaf JOIN n{depth - 1} USING ({kin})" if kin else "leaf, root"
+        part = f"PARTITION BY {kin} " if kin else ""
+        return f"""
+    a{depth} AS (SELECT *, CASE WHEN w > 0 THEN cap::DOUBLE / w::DOUBLE ELSE 'inf'::DOUBLE END AS ratio FROM (SELECT {", ".join(names)}, sum(cap) AS cap, {weight} AS w, any_value(total) AS total FROM {source} GROUP BY {", ".join(names)})),
+    b{depth} AS (SELECT *, coalesce(sum(cap) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone, sum(w) OVER (q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_w, row_number() OVER q AS place FROM a{depth} WINDOW q AS ({part}ORDER BY ratio, {own})),
+    c{depth} AS (SELECT *, cap::HUGEINT * rest_w > w::HUGEINT * (total - gone) AS short FROM b{depth}),
+    d{depth} AS (SELECT *, min(place) FILTER (WHERE short) OVER q AS stop, arg_min(gone, place) FILTER (WHERE short) OVER q AS gone0, arg_min(rest_w, place) FILTER (WHERE short) OVER q AS w0 FROM c{depth} WINDOW q AS ({part})),
+    e{depth} AS (SELECT *, coalesce(place >= stop, FALSE) AS open, CASE WHEN NOT coalesce(place >= stop, FALSE) THEN cap WHEN w0 > 0 THEN least(cap, (w::HUGEINT * (total - gone0)) // w0) ELSE 0 END AS b FROM d{depth}),
+    f{depth} AS (SELECT *, total - sum(b) OVER ({part}) AS rest, row_number() OVER ({part}ORDER BY CAST(NOT open AS INT), CAST(w = 0 AS INT), {own}) AS turn FROM e{depth}),
+    n{depth} AS (SELECT {", ".join(names)}, b + CASE WHEN open AND w > 0 AND turn <= rest AND b < cap THEN 1 ELSE 0 END AS total FROM f{depth})"""
+
+    keys = ", ".join(LEVELS)
+    return f"""
+    WITH t AS (SELECT doc_id, coalesce(doc_id, -1) AS id, CASE WHEN coalesce(regexp_extract(source, '([0-9]{{1,9}})$', 1), '') = '' THEN 'other' ELSE 'd' || (CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS BIGINT) % 4) END AS domain,
+      coalesce(lang, '') AS lang, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x09-\\x0D\\x20]+')) AS tok FROM documents),
+    leaf AS (SELECT {keys}, sum(tok) AS tokens, sum(tok) * {epochs} AS cap FROM t GROUP BY {keys}),
+    root AS (SELECT least(sum(tokens) * {budget_share[0]} // {budget_share[1]}, sum(cap)) AS total FROM leaf),{",".join(family(d) for d in range(3))},
+    got AS (SELECT {keys}, tokens, total AS budget, CASE WHEN tokens > 0 THEN total // tokens ELSE 0 END AS whole FROM leaf JOIN n2 USING ({keys})),
+    placed AS (SELECT t.*, got.budget, got.whole, got.budget - got.whole * got.tokens AS rest, CAST('0x' || substr(md5('{seed}|' || CAST(got.whole AS VARCHAR) || '|' || CAST(t.id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM t JOIN got USING ({keys})),
+    grouped AS (SELECT {keys}, rest, h, id, sum(tok) AS s FROM placed GROUP BY ALL),
+    running AS (SELECT *, sum(s) OVER (PARTITION BY {keys} ORDER BY h, id) - s AS start FROM grouped),
+    until AS (SELECT {keys}, max(ROW(h, id)) AS last FROM running WHERE s > 0 AND start < rest GROUP BY {keys})
+    SELECT doc_id, domain, lang, source, CAST(budget AS BIGINT) AS leaf_budget, CAST(whole + CASE WHEN ROW(h, id) <= last THEN 1 ELSE 0 END AS BIGINT) AS epochs
+    FROM placed LEFT JOIN until USING ({keys})"""

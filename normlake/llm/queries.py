@@ -14,6 +14,7 @@ from normlake.llm.licenses import oracle as license_oracle
 from normlake.llm.licenses import scan
 from normlake.llm.lm import score_documents
 from normlake.llm.mixing import mix
+from normlake.llm.mixing import oracle as mixing_oracle
 from normlake.llm.neardup import simhash_near_dedup
 from normlake.llm.ogg import media_digest
 from normlake.llm.pieces import PieceModel, load, token_digest
@@ -55,6 +56,9 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
                        F.col("_budget").alias("leaf_budget"), F.col("_epochs").alias("epochs"))
 
 
+ORACLES["op3_mixing"] = mixing_oracle(TARGET)
+
+
 @query
 def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_edits(table(spark, folder, "documents"))
