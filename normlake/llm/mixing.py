@@ -14,6 +14,8 @@ Everything is DataFrame functions; documents are not shuffled.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,7 +83,9 @@ def plan(docs: DataFrame, weights: Sequence[Mapping[str, int]], budget_share: tu
     tokens = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^\\x09-\\x0D\\x20]+")).cast("long")
     rows = saved(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), *_levels(), tokens.alias("_tokens")), f"{folder}/tokens")
 
-    leaves = rows.groupBy(*levels).agg(F.sum("_tokens").alias("tokens")).withColumn("cap", F.col("tokens") * epochs)
+    leaves = rows.groupBy(*levels).agg(F.sum("_tokens").alias("tokens"))
+    barred = [F.col(name) == value for name, level in zip(levels, weights) for value, weight in level.items() if weight <= 0]
+    leaves = leaves.withColumn("cap", F.when(reduce(or_, barred, F.lit(False)), F.lit(0)).otherwise(F.col("tokens") * epochs).cast("long"))
     leaves = saved(leaves, f"{folder}/leaves")
     node, family = leaves.agg(F.expr(f"sum(tokens) * {budget_share[0]} div {budget_share[1]}").alias("asked"), F.sum("cap").alias("cap")), []
     node = node.select(F.least("asked", "cap").cast("long").alias("total"))
@@ -147,10 +151,11 @@ def oracle(weights: Sequence[Mapping[str, int]], budget_share: tuple[int, int] =
     n{depth} AS (SELECT {", ".join(names)}, b + CASE WHEN open AND w > 0 AND turn <= rest AND b < cap THEN 1 ELSE 0 END AS total FROM f{depth})"""
 
     keys = ", ".join(LEVELS)
+    barred = " OR ".join(f"{name} = '{value}'" for name, level in zip(LEVELS, weights) for value, weight in level.items() if weight <= 0) or "FALSE"
     return f"""
     WITH t AS (SELECT doc_id, coalesce(doc_id, -1) AS id, CASE WHEN coalesce(regexp_extract(source, '([0-9]{{1,9}})$', 1), '') = '' THEN 'other' ELSE 'd' || (CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS BIGINT) % 4) END AS domain,
       coalesce(lang, '') AS lang, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x09-\\x0D\\x20]+')) AS tok FROM documents),
-    leaf AS (SELECT {keys}, sum(tok) AS tokens, sum(tok) * {epochs} AS cap FROM t GROUP BY {keys}),
+    leaf AS (SELECT {keys}, sum(tok) AS tokens, CASE WHEN {barred} THEN 0 ELSE sum(tok) * {epochs} END AS cap FROM t GROUP BY {keys}),
     root AS (SELECT least(sum(tokens) * {budget_share[0]} // {budget_share[1]}, sum(cap)) AS total FROM leaf),{",".join(family(d) for d in range(3))},
     got AS (SELECT {keys}, tokens, total AS budget, CASE WHEN tokens > 0 THEN total // tokens ELSE 0 END AS whole FROM leaf JOIN n2 USING ({keys})),
     placed AS (SELECT t.*, got.budget, got.whole, got.budget - got.whole * got.tokens AS rest, CAST('0x' || substr(md5('{seed}|' || CAST(got.whole AS VARCHAR) || '|' || CAST(t.id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM t JOIN got USING ({keys})),

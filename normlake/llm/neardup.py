@@ -69,22 +69,23 @@ def links(nodes: DataFrame, radius: int, check: int | None = None, key_rows: int
     heads = nodes.select("node", "fp", "fp2", F.explode(F.array(*heads)).alias("h"))
     heads = heads.select("node", "fp", "fp2", (F.shiftleft(F.col("h.start").cast("long"), 26) + F.col("h.exact")).alias("high"), F.col("h.loose").alias("loose"), F.col("h.wide").alias("wide"))
 
-    # Keys far above the common size: at most 5 * 2^13 coarse keys exist, so what is sent to all tasks is bounded.
     coarse = F.col("high") if radius < STARTS else F.col("high") + F.col("loose")
-    heads = heads.withColumn("coarse", coarse)
-    sizes = heads.groupBy("coarse").agg(F.count("*").alias("rows"))
+    # Keys far above the common size: at most 5 * 2^13 coarse keys exist, so what is sent to all tasks is bounded.
+    sizes = heads.groupBy(coarse.alias("coarse")).agg(F.count("*").alias("rows"))
     common = sizes.agg((F.sum("rows") / (STARTS * (1 << 13))).alias("mean"))
     hot = sizes.join(F.broadcast(common)).select("coarse", (F.floor(F.greatest(F.col("rows") - 4 * F.col("mean"), F.lit(0)) / key_rows) + 1).alias("parts")).where(F.col("parts") > 1)
-    heads = heads.join(F.broadcast(hot), "coarse", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("node"), F.col("parts"))
 
     none = F.lit(None).cast("long")
     cleared = [F.when((F.col("loose").bitwiseAND(F.lit(1 << b))) != 0, F.col("loose") - (1 << b)).otherwise(none) for b in range(max(WIDTHS))]
-    visits = F.transform(F.array_compact(F.array(*cleared)), lambda v: F.struct(v.alias("loose"), own.alias("part"), F.lit(0).cast("byte").alias("role")))
-    homes = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1),
-                        lambda p: F.struct(F.col("loose").alias("loose"), p.alias("part"), F.when(p == own, 2).otherwise(1).cast("byte").alias("role")))
-    rows = heads.select("node", "fp", "fp2", "high", F.explode(F.concat(homes, visits)).alias("e"))
-    rows = rows.select((F.col("high") + F.col("e.loose")).alias("key"), F.col("e.part").alias("part"), F.col("e.role").alias("role"), "node", "fp", "fp2")
+    visits = F.transform(F.array_compact(F.array(*cleared)), lambda v: F.struct(v.alias("loose"), F.lit(False).alias("home")))
+    seats = F.concat(F.array(F.struct(F.col("loose"), F.lit(True).alias("home"))), visits)
+    rows = heads.select("node", "fp", "fp2", "high", F.explode(seats).alias("s")).select("node", "fp", "fp2", "high", F.col("s.loose").alias("loose"), F.col("s.home").alias("home"))
+    rows = rows.withColumn("coarse", coarse).join(F.broadcast(hot), "coarse", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    own = F.pmod(F.xxhash64("node"), F.col("parts"))
+    first, last = F.when(F.col("home"), F.lit(0).cast("long")).otherwise(own), F.when(F.col("home"), F.col("parts") - 1).otherwise(own)
+    rows = rows.select("node", "fp", "fp2", (F.col("high") + F.col("loose")).alias("key"), "home", own.alias("own"), F.explode(F.sequence(first, last)).alias("part"))
+    role = F.when(~F.col("home"), 0).when(F.col("part") == F.col("own"), 2).otherwise(1).cast("byte")
+    rows = rows.select("key", "part", role.alias("role"), "node", "fp", "fp2")
     rows = rows.repartition("key", "part").sortWithinPartitions("key", "part")
     if check is None:
         rows = rows.drop("fp2")

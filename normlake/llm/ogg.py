@@ -118,9 +118,10 @@ class Stream:
                 else:
                     self._waiting.append(whole)
         if granule >= 0:
-            for whole in reversed(self._waiting):
-                granule -= len(whole)
-                self.packets.append((granule, whole))
+            start = granule - sum(map(len, self._waiting))
+            for whole in self._waiting:
+                self.packets.append((start, whole))
+                start += len(whole)
             self._waiting = []
         self.ended |= bool(flags & LAST)
 
