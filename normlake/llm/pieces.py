@@ -16,6 +16,8 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 NOTHING = float("-inf")
 LONG = 64  # characters of a run from which merges go through a heap
-KEPT_RUNS = 400_000  # runs a worker remembers
+KEPT_RUNS = 300_000  # runs of a generation; a worker remembers the newest two
 FLUSH = 1 << 20  # pieces, or bytes of text, of an output batch
 
 
@@ -121,7 +123,9 @@ class PieceModel:
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("a piece holds a space mark after another character")
         self._surface = [self._bytes(i) for i in range(len(self.pieces))]
-        self._runs: dict[str, tuple[bytes, bytes]] = {}
+        self._widths = np.array([len(b) for b in self._surface], np.int32)
+        self._runs: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _add(self, piece: str, score: float, kind: int) -> None:
         self.ids[piece] = len(self.pieces)
@@ -176,35 +180,56 @@ class PieceModel:
         if not text:
             none = np.empty(0, np.int32)
             return none, none, none
-        if self.charmap or self.squeeze or not self.dummy_prefix:
+        if self.charmap or self.squeeze or not self.dummy_prefix or MARK in text or None in self.byte_ids:
             return self._encode_mapped(text)
-        # The map is empty: every character stands for itself, so runs can be cut from the text as it is.
-        runs = re.findall(f"[ {MARK}]+[^ {MARK}]*", " " + text)
-        known, ids, widths = self._runs, [], []
-        first = self._run(runs[0], True)
-        ids.append(first[0])
-        widths.append(first[1])
-        for run in runs[1:]:
-            pair = known.get(run)
-            if pair is None:
-                pair = self._run(run, False)
-                if len(run) <= LONG:
-                    if len(known) >= KEPT_RUNS:
-                        known.clear()
-                    known[run] = pair
-            ids.append(pair[0])
-            widths.append(pair[1])
-        ends = np.cumsum(np.frombuffer(b"".join(widths), np.int32), dtype=np.int32)
-        starts = np.empty_like(ends)
-        starts[0], starts[1:] = 0, ends[:-1]
-        return np.frombuffer(b"".join(ids), np.int32), starts, ends
-
-    def _run(self, run: str, dummy: bool) -> tuple[bytes, bytes]:
-        widths = [len(c.encode("utf-8", "surrogatepass")) for c in run]
-        if dummy:
-            widths[0] = 0
-        ids, sizes = self._pieces(list(run.replace(" ", MARK)), widths)
-        return array("i", ids).tobytes(), array("i", sizes).tobytes()
+        # The map is empty and no mark stands in the text: characters stand for themselves, so runs can be cut from the
+        # text as it is, and a piece is as wide as its own bytes but for the prefixed mark.
+        runs = re.findall(" +[^ ]*", " " + text)
+        parts = list(map(self._runs.get, runs))
+        if None in parts:
+            parts = [self._run(run) if part is None else part for run, part in zip(runs, parts)]
+        ids = np.frombuffer(b"".join(parts), np.int32)
+        widths = self._widths[ids]
+        widths[0] -= 1
+        ends = np.cumsum(widths, dtype=np.int32)
+        return ids, ends - widths, ends
+
+    def _run(self, run: str) -> bytes:
+        """Ids of a run of spaces and other characters, from memory if it is known."""
+        known = self._runs.get(run)
+        if known is not None:
+            return known
+        ids = self._older.get(run)
+        if ids is None:
+            symbols = list(run.replace(" ", MARK))
+            if len(symbols) > LONG:
+                return array("i", self._pieces(symbols, [1] * len(symbols))[0]).tobytes()
+            found = list(map(self.ids.get, self._joined(symbols)))
+            if None in found:
+                found = self._pieces(list(run.replace(" ", MARK)), [1] * len(run))[0]
+            ids = array("i", found).tobytes()
+        if len(self._runs) >= KEPT_RUNS:
+            self._older, self._runs = self._runs, {}
+        self._runs[run] = ids
+        return ids
+
+    def _joined(self, symbols: list[str]) -> list[str]:
+        """Merged symbols: always the best-scored neighbouring pair first, the leftmost of equals."""
+        score = self.score.get
+        pairs = list(map(score, map(add, symbols, symbols[1:]), repeat(NOTHING)))
+        while pairs:
+            best = max(pairs)
+            if best == NOTHING:
+                break
+            i = pairs.index(best)
+            whole = symbols[i] + symbols[i + 1]
+            symbols[i:i + 2] = (whole,)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = score(whole + symbols[i + 1], NOTHING)
+            if i:
+                pairs[i - 1] = score(symbols[i - 1] + whole, NOTHING)
+        return symbols
 
     def _encode_mapped(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         chars, starts, ends = self.normalise(text)
@@ -293,13 +318,19 @@ class PieceModel:
 
     def decode(self, ids: list[int]) -> str:
         """The text of the pieces; bytes that form no character become U+FFFD one by one."""
-        surface = self._surface
-        data = b"".join([surface[i] for i in ids])
+        surface, kinds = self._surface, self.kinds
+        parts = [surface[i] for i in ids]
+        if b"" in parts and BYTE in (kinds[i] for i in ids):
+            # Control pieces show nothing, but no character goes on behind them.
+            cuts = [at for at, i in enumerate(ids) if kinds[i] == CONTROL]
+            ends = [*cuts, len(ids)]
+            parts = [b"".join(parts[a:b]).decode("utf-8", "normlake-each").encode() for a, b in zip([0, *cuts], ends)]
+        data = b"".join(parts)
         if self.dummy_prefix or self.squeeze:
             # The first piece that is not a control piece gives up one leading space, unless it is a byte or unknown.
             for i in ids:
-                if self.kinds[i] != CONTROL:
-                    if self.kinds[i] == NORMAL and data.startswith(b" "):
+                if kinds[i] != CONTROL:
+                    if kinds[i] == NORMAL and data.startswith(b" "):
                         data = data[1:]
                     break
         return data.decode("utf-8", "normlake-each")
