@@ -12,7 +12,7 @@ class KeyIndex:
 
     def __init__(self, keys: np.ndarray):
         keys = keys.astype(np.uint64)
-        bits = max(4, int(4 * max(len(keys), 1)).bit_length())
+        bits = max(4, (2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
         self.slots = np.zeros(1 << bits, np.uint64)  # key + 1
         self.where = np.full(1 << bits, -1, np.int32)

@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,38 +26,39 @@ from normlake.llm.grams import KeyIndex, low_bytes, packed, portions
 
 ORDER = 4
 PAD = b"\n" * ORDER
-TRAIN_ROWS = 2500  # expected training texts of a language; a larger supply is thinned by a hash of the id
+LANG_SHIFT, SIZE_SHIFT = 47, 44
+TRAIN_ROWS = 1500  # expected training texts of a language; a larger supply is thinned by a hash of the id
 UNKNOWN = "und"
 
 
 class ContextTrees:
-    """Frozen statistics of all languages. ``counts``: columns lang, size, gram, n (n-grams of 1 .. ORDER + 1 bytes)."""
+    """Frozen statistics of all languages, from the packed (lang, size, gram) codes of :func:`train` and their counts."""
 
-    def __init__(self, counts: pd.DataFrame):
-        self.langs = sorted(counts["lang"].unique())
+    def __init__(self, langs: list[str], codes: np.ndarray, counts: np.ndarray):
+        self.langs = langs
         self.levels = []
+        lang_of, size_of, gram_of = codes >> LANG_SHIFT, codes >> SIZE_SHIFT & 7, (codes & ((1 << SIZE_SHIFT) - 1)).astype(np.uint64)
         below = None
         for size in range(1, ORDER + 2):
-            level = counts[counts["size"] == size]
-            grams = np.unique(level["gram"].to_numpy().astype(np.uint64))
+            grams = np.unique(gram_of[size_of == size])
             contexts = np.unique(grams >> np.uint64(8))
             gram_index, context_index = KeyIndex(grams), KeyIndex(contexts)
-            cost = np.full((len(grams), len(self.langs)), np.nan)
-            escape = np.zeros((len(contexts), len(self.langs)))
-            for k, lang in enumerate(self.langs):
-                own = level[level["lang"] == lang]
-                at, n = gram_index.find(own["gram"].to_numpy().astype(np.uint64)), own["n"].to_numpy().astype(float)
+            cost = np.full((len(grams), len(langs)), np.nan, np.float32)
+            escape = np.zeros((len(contexts), len(langs)), np.float32)
+            for k in range(len(langs)):
+                own = (size_of == size) & (lang_of == k)
+                at, n = gram_index.find(gram_of[own]), counts[own].astype(float)
                 context = context_index.find(grams[at] >> np.uint64(8))
                 total = np.bincount(context, n, len(contexts))
                 kinds = np.bincount(context, minlength=len(contexts)).astype(float)
                 cost[at, k] = -np.log2(n / (total + kinds)[context])
                 seen = total > 0
                 escape[seen, k] = -np.log2(kinds[seen] / (total[seen] + kinds[seen]))
-            shorter = np.full(cost.shape, 8.0) if below is None else below[0][below[1].find(low_bytes(grams, size - 1))]
+            shorter = np.full(cost.shape, 8.0, np.float32) if below is None else below[0][below[1].find(low_bytes(grams, size - 1))]
             missing = np.isnan(cost)
             cost[missing] = (escape[context_index.find(grams >> np.uint64(8))] + shorter)[missing]
             below = cost, gram_index
-            self.levels.append((gram_index, cost.astype(np.float32), context_index, escape.astype(np.float32)))
+            self.levels.append((gram_index, cost, context_index, escape))
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Exact code length of each text in each language."""
@@ -85,32 +85,34 @@ class ContextTrees:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (lang, size, gram, n) of the texts of each batch."""
+    """Distinct packed (lang, size, gram) codes and their counts in the texts of each batch."""
     for batch in batches:
-        langs = np.array(batch.column(0).to_pylist(), object)
-        texts = batch.column(1)
-        for lang in sorted(set(langs)):
+        langs, texts = batch.column(0).to_numpy(), batch.column(1)
+        for lang in np.unique(langs):
             own = (texts[int(i)].as_py().encode("utf-8", "surrogatepass") for i in np.flatnonzero(langs == lang))
             for data, places, _ in portions(own, ORDER, PAD, 4 << 20):
                 keys = packed(data, ORDER + 1)[places]
                 for size in range(1, ORDER + 2):
                     grams, n = np.unique(low_bytes(keys, size), return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(grams), pa.string()), pa.array(np.full(len(grams), size, np.int32)), pa.array(grams.astype(np.int64)), pa.array(n)],
-                        names=["lang", "size", "gram", "n"])
+                    code = grams.astype(np.int64) | size << SIZE_SHIFT | int(lang) << LANG_SHIFT
+                    yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
 
 
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> ContextTrees:
-    """Statistics from the rows with a text and a lang. About ``train_rows`` texts of a language are used, whole."""
+    """Statistics from the rows with a text and a lang. About ``train_rows`` texts of a language are used, whole.
+
+    Languages are a small closed set; the counts of the bounded sample are what the driver gets.
+    """
     rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
     supply = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for lang, n in sorted(supply.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, train_rows / n))).otherwise(share)
+    langs, share, number = sorted(supply), F.lit(0.0), F.lit(None).cast("long")
+    for k, lang in enumerate(langs):
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, train_rows / supply[lang]))).otherwise(share)
+        number = F.when(F.col("lang") == lang, F.lit(k).cast("long")).otherwise(number)
     draw = F.pmod(F.xxhash64(F.lit("ppm"), "doc_id"), F.lit(1_000_000)) / 1_000_000
-    drawn = rows.where(draw < share).select("lang", "text")
-    counts = drawn.mapInArrow(_count, "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    return ContextTrees(counts.toPandas())
+    drawn = rows.where(draw < share).select(number.alias("number"), "text")
+    counts = drawn.mapInArrow(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    return ContextTrees(langs, counts["code"].to_numpy(), counts["n"].to_numpy())
 
 
 def predict(docs: DataFrame, trees: ContextTrees, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
