@@ -16,8 +16,6 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
-from itertools import repeat
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +24,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from normlake.llm.common import sent
+from normlake.llm.grams import KeyIndex
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 NOTHING = float("-inf")
 LONG = 64  # characters of a run from which merges go through a heap
 KEPT_RUNS = 300_000  # runs of a generation; a worker remembers the newest two
-FLUSH = 1 << 20  # pieces, or bytes of text, of an output batch
+AT_ONCE = 50_000  # runs merged side by side
+NO_RANK = 1 << 40
+FLUSH = 1 << 20  # characters of a group of texts
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -124,6 +125,7 @@ class PieceModel:
             raise ValueError("a piece holds a space mark after another character")
         self._surface = [self._bytes(i) for i in range(len(self.pieces))]
         self._widths = np.array([len(b) for b in self._surface], np.int32)
+        self._merges: tuple | None = None
         self._runs: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
@@ -176,60 +178,122 @@ class PieceModel:
     # -- encoding -----------------------------------------------------------------------------------------------
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Piece ids and the source bytes [start, end) of each piece; nothing for an empty text."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Piece ids and the source bytes [start, end) of each piece, for each text; nothing for an empty text."""
+        cut, new = [], {}
+        for text in texts:
+            if self.charmap or self.squeeze or not self.dummy_prefix or MARK in text or None in self.byte_ids or not text:
+                cut.append(None)
+                continue
+            # The map is empty and no mark stands in the text: characters stand for themselves, so runs can be cut from
+            # the text as it is, and a piece is as wide as its own bytes but for the prefixed mark.
+            cut.append(re.findall(" +[^ ]*", " " + text))
+            new.update(dict.fromkeys(cut[-1]))
+        self._learn([run for run in new if run not in self._runs])
+        return [self._whole(text, runs) for text, runs in zip(texts, cut)]
+
+    def _whole(self, text: str, runs: list[str] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not text:
             none = np.empty(0, np.int32)
             return none, none, none
-        if self.charmap or self.squeeze or not self.dummy_prefix or MARK in text or None in self.byte_ids:
+        if runs is None:
             return self._encode_mapped(text)
-        # The map is empty and no mark stands in the text: characters stand for themselves, so runs can be cut from the
-        # text as it is, and a piece is as wide as its own bytes but for the prefixed mark.
-        runs = re.findall(" +[^ ]*", " " + text)
         parts = list(map(self._runs.get, runs))
         if None in parts:
-            parts = [self._run(run) if part is None else part for run, part in zip(runs, parts)]
+            parts = [self._single(run) if part is None else part for run, part in zip(runs, parts)]
         ids = np.frombuffer(b"".join(parts), np.int32)
         widths = self._widths[ids]
         widths[0] -= 1
         ends = np.cumsum(widths, dtype=np.int32)
         return ids, ends - widths, ends
 
-    def _run(self, run: str) -> bytes:
-        """Ids of a run of spaces and other characters, from memory if it is known."""
-        known = self._runs.get(run)
-        if known is not None:
-            return known
-        ids = self._older.get(run)
-        if ids is None:
-            symbols = list(run.replace(" ", MARK))
-            if len(symbols) > LONG:
-                return array("i", self._pieces(symbols, [1] * len(symbols))[0]).tobytes()
-            found = list(map(self.ids.get, self._joined(symbols)))
-            if None in found:
-                found = self._pieces(list(run.replace(" ", MARK)), [1] * len(run))[0]
-            ids = array("i", found).tobytes()
-        if len(self._runs) >= KEPT_RUNS:
-            self._older, self._runs = self._runs, {}
-        self._runs[run] = ids
-        return ids
+    def _single(self, run: str) -> bytes:
+        return array("i", self._pieces(list(run.replace(" ", MARK)), [1] * len(run))[0]).tobytes()
 
-    def _joined(self, symbols: list[str]) -> list[str]:
-        """Merged symbols: always the best-scored neighbouring pair first, the leftmost of equals."""
-        score = self.score.get
-        pairs = list(map(score, map(add, symbols, symbols[1:]), repeat(NOTHING)))
-        while pairs:
-            best = max(pairs)
-            if best == NOTHING:
-                break
-            i = pairs.index(best)
-            whole = symbols[i] + symbols[i + 1]
-            symbols[i:i + 2] = (whole,)
-            del pairs[i]
-            if i < len(pairs):
-                pairs[i] = score(whole + symbols[i + 1], NOTHING)
-            if i:
-                pairs[i - 1] = score(symbols[i - 1] + whole, NOTHING)
-        return symbols
+    def _learn(self, runs: list[str]) -> None:
+        """Remembers the ids of ``runs``; very long ones are left to :meth:`_single`."""
+        if len(self._runs) + len(runs) > KEPT_RUNS:
+            self._older, self._runs = self._runs, {}
+        new = []
+        for run in runs:
+            ids = self._older.get(run)
+            if ids is not None:
+                self._runs[run] = ids
+            elif len(run) <= LONG:
+                new.append(run)
+        for lo in range(0, len(new), AT_ONCE):
+            self._runs.update(zip(new[lo:lo + AT_ONCE], self._joined_all(new[lo:lo + AT_ONCE])))
+
+    def _pairs(self) -> tuple[KeyIndex, np.ndarray, np.ndarray, np.ndarray]:
+        """Index of (left, right) symbol pairs that merge, the rank and symbol of each merge, and symbols by character.
+
+        Symbols are piece ids; characters that are only parts of pieces get numbers behind them, others the last one.
+        """
+        if self._merges is None:
+            symbols = {p: self.ids[p] for p in self.score}
+            for char in sorted({c for p in self.score for c in p} - symbols.keys()):
+                symbols[char] = len(self.pieces) + len(symbols) - len(self.score)
+            ranks = {score: rank for rank, score in enumerate(sorted(set(self.score.values()), reverse=True))}
+            found = [(symbols[p[:i]] << 32 | symbols[p[i:]], ranks[score], symbols[p]) for p, score in self.score.items() for i in range(1, len(p)) if p[:i] in symbols and p[i:] in symbols]
+            keys, rank, whole = (np.array(column, np.int64) for column in zip(*found))
+            by_char = np.full(0x110000, (1 << 31) - 1, np.int64)
+            for symbol, number in symbols.items():
+                if len(symbol) == 1:
+                    by_char[ord(symbol)] = number
+            by_char[ord(" ")] = by_char[ord(MARK)]
+            # The place behind all merges stands for no merge.
+            self._merges = KeyIndex(keys), np.append(rank, NO_RANK), np.append(whole, -1), by_char
+        return self._merges
+
+    def _joined_all(self, runs: list[str]) -> list[bytes]:
+        """Ids of many runs: in each round every run merges its best-scored pair, the leftmost of equals."""
+        index, ranks, wholes, by_char = self._pairs()
+        if not runs:
+            return []
+        symbol = by_char[np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        owner = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+
+        def merges(at: np.ndarray) -> np.ndarray:
+            """Place in the merge table of the pairs at ``at`` and behind it; the last place where there is none."""
+            after = np.minimum(at + 1, len(symbol) - 1)
+            place = index.find((symbol[at] << 32 | symbol[after]).astype(np.uint64))
+            return np.where((owner[at] == owner[after]) & (at < after) & (place >= 0), place, len(ranks) - 1)
+
+        done_symbol, done_owner = [], []
+        place = merges(np.arange(len(symbol)))
+        while len(symbol):
+            rank = ranks[place]
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            size = np.diff(np.append(first, len(owner)))
+            best = np.repeat(np.minimum.reduceat(rank, first), size)
+            ended = best == NO_RANK
+            if ended.any():
+                done_symbol.append(symbol[ended])
+                done_owner.append(owner[ended])
+                left = ~ended
+                symbol, owner, place, rank, best = symbol[left], owner[left], place[left], rank[left], best[left]
+                if not len(symbol):
+                    break
+            hit = np.flatnonzero(rank == best)
+            hit = hit[np.diff(owner[hit], prepend=-1) != 0]
+            symbol[hit] = wholes[place[hit]]
+            left = np.ones(len(symbol), bool)
+            left[hit + 1] = False
+            symbol, owner, place = symbol[left], owner[left], place[left]
+            hit -= np.arange(len(hit))
+            touched = np.concatenate([hit, hit[hit > 0] - 1])
+            place[touched] = merges(touched)
+        symbol, owner = np.concatenate(done_symbol), np.concatenate(done_owner)
+        order = np.argsort(owner, kind="stable")
+        symbol, owner = symbol[order], owner[order]
+        data = symbol.astype(np.int32).tobytes()
+        ends = np.searchsorted(owner, np.arange(1, len(runs) + 1)).tolist()
+        out = [data[4 * a:4 * b] for a, b in zip([0, *ends], ends)]
+        for odd in np.unique(owner[symbol >= len(self.pieces)]).tolist():
+            out[odd] = self._single(runs[odd])
+        return out
 
     def _encode_mapped(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         chars, starts, ends = self.normalise(text)
@@ -357,15 +421,16 @@ def encode(docs: DataFrame, model: PieceModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = get()
         for batch in batches:
-            texts, lo, size, done = batch.column(1), 0, 0, []
+            texts, lo, size, group = batch.column(1), 0, 0, []
             for row in range(batch.num_rows):
-                done.append(own.encode(texts[row].as_py() or ""))
-                size += len(done[-1][0])
+                group.append(texts[row].as_py() or "")
+                size += len(group[-1])
                 if size >= FLUSH or row == batch.num_rows - 1:
+                    done = own.encode_all(group)
                     offsets = pa.array(np.concatenate([[0], np.cumsum([len(d[0]) for d in done])]), pa.int32())
                     lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([d[k] for d in done]), pa.int32())) for k in range(3)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(done)), *lists], names=["doc_id", "ids", "starts", "ends"])
-                    lo, size, done = row + 1, 0, []
+                    lo, size, group = row + 1, 0, []
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
