@@ -18,7 +18,7 @@ from normlake.llm.queries import TARGET, piece_model
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SHARE = 0.5  # a language has to be likelier than all others together
-RADIUS, CHECK = 8, 12  # bits in which the fingerprints of two- and of five-word shingles of near-copies may differ
+RADIUS, CHECK = 9, 13  # bits in which the fingerprints of two- and of five-word shingles of near-copies may differ
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One text of each group of copies and near-copies stays, the one with the smallest id.
 
     Near-copies at a similarity of about 0.8 of five-word shingles lie farther apart than a small radius in fingerprints
-    of those shingles. Candidates therefore come from fingerprints of two-word shingles within 8 bits and must also agree
-    in all but 12 bits of the fingerprints of five-word shingles.
+    of those shingles. Candidates therefore come from fingerprints of two-word shingles within 9 bits and must also agree
+    in all but 13 bits of the fingerprints of five-word shingles.
     """
     return keep_one(docs.select(*COLUMNS), width=2, radius=RADIUS, check_width=5, check=CHECK)
 
