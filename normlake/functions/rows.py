@@ -23,13 +23,3 @@ def keep_rows(df: DataFrame, condition: Column) -> DataFrame:
     """``where`` for conditions on expensive computed columns."""
     mark = F.when(F.coalesce(condition, F.lit(False)), F.array(F.lit(1)))
     return df.select("*", F.posexplode_outer(mark).alias("_pos", "_rec")).where(F.col("_pos").isNotNull()).drop("_pos", "_rec")
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows dealt out by ``key`` when the input has fewer splits than the cluster has cores.
-
-    Text rules cost far more per row than reading the row, so a small or unsplittable file would leave cores
-    idle. Inputs with enough splits are returned as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores * 2, key)

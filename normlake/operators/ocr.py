@@ -47,7 +47,7 @@ def touching_pairs(boxes: DataFrame, group: str, ident: str) -> DataFrame:
     return both.where(home & (_intersection("a_", "b_") > 0))
 
 
-def ocr_clusters(observations: DataFrame, min_iou: float, max_rounds: int = 1000) -> DataFrame:
+def ocr_clusters(observations: DataFrame, min_iou: float) -> DataFrame:
     """Greedy first-fit clusters in arrival order, computed as a fixpoint over distinct boxes.
 
     An observation joins the first cluster that already has a member close enough, so its label is the
@@ -70,7 +70,7 @@ def ocr_clusters(observations: DataFrame, min_iou: float, max_rounds: int = 1000
     state = founders.select("image_id", F.col("a").alias("_box"), F.col("_first").alias("label"), F.col("_first").alias("since")).checkpoint()
     arrivals = keyed.select("image_id", "_box", "seq")
     fresh = state
-    for _ in range(max_rounds):
+    while True:
         reach = near.join(fresh.withColumnRenamed("_box", "a"), ["image_id", "a"]).groupBy("image_id", F.col("b").alias("_box"), "label").agg(F.min("since").alias("_after"))
         step = arrivals.join(reach, ["image_id", "_box"]).where(F.col("seq") > F.col("_after")).groupBy("image_id", "_box", "label").agg(F.min("seq").alias("since"))
         known = state.select("image_id", "_box", F.col("label").alias("_l"), F.col("since").alias("_s"))
@@ -81,8 +81,6 @@ def ocr_clusters(observations: DataFrame, min_iou: float, max_rounds: int = 1000
         if fresh.isEmpty():
             break
         state = state.unionByName(fresh).groupBy("image_id", "_box", "label").agg(F.min("since").alias("since")).checkpoint()
-    else:
-        raise RuntimeError("cluster labels did not settle")
     labelled = keyed.select("image_id", "seq", "_box").join(state, ["image_id", "_box"]).where(F.col("since") <= F.col("seq")).groupBy(
         "image_id", "seq").agg(F.min("label").alias("cluster_id"))
     return observations.join(labelled, ["image_id", "seq"])

@@ -6,7 +6,7 @@ A pixel's neighbours are reached by emitting its contribution to their positions
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from normlake.operators.common import code_map
@@ -73,41 +73,45 @@ FAMILIES = (
 
 
 def schema_name(value: Column, fallback: Column) -> Column:
-    clean = F.substring(F.regexp_replace(F.regexp_replace(F.upper(F.coalesce(value, F.lit(""))), "[^A-Z0-9]+", "_"), "^_+|_+$", ""), 1, 80)
+    clean = F.regexp_replace(F.regexp_replace(F.upper(F.coalesce(value, F.lit(""))), "[^A-Z0-9]++", "_"), "^_++|_++$", "")
     return F.when(clean != "", clean).otherwise(fallback)
 
 
-def metadata_inventory(tags: DataFrame, max_directories: int = 1024, max_tags: int = 32768, retain_thumbnail: bool = False) -> DataFrame:
-    """Directories of each image by family with their tag counts, under directory and tag budgets.
+def metadata_inventory(tags: DataFrame, max_directories: int | None = None, max_tags: int | None = None, retain_thumbnail: bool = False) -> DataFrame:
+    """Directories of each image by family with their tag counts; everything unless a budget is passed.
 
     tags(image_id, directory_idx, directory_name, directory_class, tag_idx, tag_name, tag_type,
     directory_errors). Positions are given by the reader, so budgets compare sums over earlier directories
-    instead of numbering every tag: per image at most ``max_directories`` summary rows meet in the window.
+    instead of numbering every tag. ``directory_short`` is the name's first 80 characters.
     """
-    dirs = tags.groupBy("image_id", "directory_idx").agg(
+    kept = tags.groupBy("image_id", "directory_idx").agg(
         F.first("directory_name").alias("name"), F.first("directory_class").alias("cls"), F.count("tag_idx").alias("n_tags"), F.max("directory_errors").alias("errors"),
     )
-    from pyspark.sql import Window
-
-    kept = dirs.where(F.col("directory_idx") < max_directories)
-    over = dirs.where(F.col("directory_idx") >= max_directories).select("image_id", F.lit(True).alias("_over")).distinct()
-    order = Window.partitionBy("image_id").orderBy("directory_idx").rowsBetween(Window.unboundedPreceding, -1)
-    kept = kept.withColumn("_before", F.coalesce(F.sum("n_tags").over(order), F.lit(0)))
-    kept = kept.where((F.col("_before") <= max_tags)).withColumn("tags", F.least("n_tags", F.lit(max_tags) - F.col("_before")))
-    stopped = kept.where("tags < n_tags").groupBy("image_id").agg(F.min("directory_idx").alias("_stop"))
-    kept = kept.join(stopped, "image_id", "left").where("_stop IS NULL OR directory_idx <= _stop").join(over, "image_id", "left")
+    over = F.lit(False)
+    if max_directories is not None:
+        over = F.max(F.col("directory_idx")).over(Window.partitionBy("image_id")) >= max_directories
+    kept = kept.withColumn("_over", over).withColumn("tags", F.col("n_tags")).withColumn("_stop", F.lit(None).cast("int"))
+    if max_directories is not None:
+        kept = kept.where(F.col("directory_idx") < max_directories)
+    if max_tags is not None:
+        order = Window.partitionBy("image_id").orderBy("directory_idx").rowsBetween(Window.unboundedPreceding, -1)
+        kept = kept.withColumn("_before", F.coalesce(F.sum("n_tags").over(order), F.lit(0))).where(F.col("_before") <= max_tags)
+        kept = kept.withColumn("tags", F.least("n_tags", F.lit(max_tags) - F.col("_before")))
+        first_cut = F.min(F.when(F.col("tags") < F.col("n_tags"), F.col("directory_idx"))).over(Window.partitionBy("image_id"))
+        kept = kept.withColumn("_stop", first_cut).where("_stop IS NULL OR directory_idx <= _stop")
     cls = F.lower("cls")
     family = F.lit("UNKNOWN")
     for pattern, name in reversed(FAMILIES):
         family = F.when(cls.rlike(pattern), F.lit(name)).otherwise(family)
     kept = kept.withColumn("family", family)
     facts = kept.groupBy("image_id").agg(
-        F.max(F.col("_stop").isNull() & F.col("_over").isNull()).alias("complete"),
+        F.max(F.col("_stop").isNull() & ~F.col("_over")).alias("complete"),
         F.max(F.col("family") == "EMBEDDED_THUMBNAIL").alias("_thumb"),
         F.max((F.col("family") == "EMBEDDED_THUMBNAIL") & (F.col("errors") > 0)).alias("_bad"),
     )
     policy = F.when(F.lit(retain_thumbnail) & F.col("_thumb") & ~F.col("_bad") & F.col("complete"), F.lit("RETAIN_WITH_EXPLICIT_APPROVAL")).otherwise(F.lit("DISCARD"))
-    return kept.select("image_id", "directory_idx", schema_name(F.col("name"), F.lit("UNKNOWN")).alias("directory"), "family", "tags").join(
+    return kept.select("image_id", "directory_idx", schema_name(F.col("name"), F.lit("UNKNOWN")).alias("directory"),
+                       F.substring(schema_name(F.col("name"), F.lit("UNKNOWN")), 1, 80).alias("directory_short"), "family", "tags").join(
         facts.select("image_id", "complete", policy.alias("thumbnail_policy")), "image_id"
     )
 
@@ -180,14 +184,14 @@ def spatial_evidence(samples: DataFrame) -> DataFrame:
     return _long(df, ["mean_adjacent_delta", "delta_variance"])
 
 
-def frequency_evidence(pixels: DataFrame, sizes: DataFrame, max_pixels: int) -> DataFrame:
-    """Laplacian energy of interior pixels and repeated 8x8 block fingerprints, within the pixel budget.
+def frequency_evidence(pixels: DataFrame, sizes: DataFrame, max_pixels: int | None = None) -> DataFrame:
+    """Laplacian energy of interior pixels and repeated 8x8 block fingerprints, over all pixels.
 
-    Blocks are visited row by row every ``step`` pixels, step = max(8, stride); the budget ends inside the
-    block where the running pixel count reaches it, and counts follow from block geometry alone.
+    With a pixel budget, blocks are visited row by row every ``step`` pixels, step = max(8, stride); the budget ends
+    inside the block where the running pixel count reaches it, and counts follow from block geometry alone.
     """
     total = F.col("width").cast("bigint") * F.col("height")
-    stride = F.greatest(F.lit(1), F.floor((total + max_pixels - 1) / max_pixels))
+    stride = F.lit(1) if max_pixels is None else F.greatest(F.lit(1), F.floor((total + max_pixels - 1) / max_pixels))
     step = F.greatest(F.lit(8), stride).cast("int")
     df = pixels.join(sizes.select("image_id", "width", "height"), "image_id").withColumn("step", step).withColumn("v", luma(F.col("argb")))
     x, y, w, h, s = (F.col(c) for c in ("x", "y", "width", "height", "step"))
@@ -200,7 +204,7 @@ def frequency_evidence(pixels: DataFrame, sizes: DataFrame, max_pixels: int) ->
     block_h = F.least(F.lit(8), h - F.col("by") * s)
     block_w = F.least(F.lit(8), w - F.col("bx") * s)
     rank = row_width * 8 * F.col("by") + F.col("bx") * 8 * block_h + (y - F.col("by") * s) * block_w + (x - F.col("bx") * s)
-    df = df.withColumn("examined", inside & (rank < max_pixels))
+    df = df.withColumn("examined", inside if max_pixels is None else inside & (rank < max_pixels))
     interior = (x > 0) & (x + 1 < w) & (y > 0) & (y + 1 < h)
     part = lambda dx, dy, weight, mine: F.struct((x + dx).alias("px"), (y + dy).alias("py"), (F.col("v") * weight).alias("t"), mine.alias("mine"))
     spread = df.select("image_id", F.explode(F.array(
@@ -238,11 +242,25 @@ def detector_verdict(metrics: DataFrame, policies: DataFrame) -> DataFrame:
 RECIPES = ("ORIGINAL", "GRAYSCALE", "INVERTED_GRAYSCALE", "ROTATE_CLOCKWISE")
 
 
-def pixel_views(pixels: DataFrame, sizes: DataFrame, recipes: tuple[str, ...] = RECIPES, max_pixels_per_view: int = 12_960_000,
-                max_aggregate_pixels: int = 51_840_000) -> DataFrame:
-    """Pixels of each requested view; images over a view or aggregate budget give no rows."""
+def _view_reject(views: int, max_pixels_per_view: int | None, max_aggregate_pixels: int | None) -> Column:
     total = F.col("width").cast("bigint") * F.col("height")
-    ok = sizes.where((total <= max_pixels_per_view) & (total * len(recipes) <= max_aggregate_pixels))
+    out = F.lit(None).cast("string")
+    if max_aggregate_pixels is not None:
+        out = F.when(total * views > max_aggregate_pixels, F.lit("AGGREGATE_PIXEL_BUDGET")).otherwise(out)
+    if max_pixels_per_view is not None:
+        out = F.when(total > max_pixels_per_view, F.lit("VIEW_PIXEL_BUDGET")).otherwise(out)
+    return out
+
+
+def pixel_view_rejects(sizes: DataFrame, recipes: tuple[str, ...] = RECIPES, max_pixels_per_view: int | None = None, max_aggregate_pixels: int | None = None) -> DataFrame:
+    """(image_id, reason) of the images that :func:`pixel_views` leaves out under the same budgets."""
+    return sizes.select("image_id", _view_reject(len(recipes), max_pixels_per_view, max_aggregate_pixels).alias("reason")).where("reason IS NOT NULL")
+
+
+def pixel_views(pixels: DataFrame, sizes: DataFrame, recipes: tuple[str, ...] = RECIPES, max_pixels_per_view: int | None = None,
+                max_aggregate_pixels: int | None = None) -> DataFrame:
+    """Pixels of each requested view; under a budget, :func:`pixel_view_rejects` names the images without rows."""
+    ok = sizes.where(_view_reject(len(recipes), max_pixels_per_view, max_aggregate_pixels).isNull())
     df = pixels.join(ok.select("image_id", "width", "height"), "image_id")
     grey = luma(F.col("argb"))
     alpha = F.shiftleft(channel(F.col("argb"), 24), 24)

@@ -113,20 +113,28 @@ def finding_status(findings: DataFrame, ledger_links: DataFrame, approved_links:
 
 
 def review_queue(findings: DataFrame, sources: DataFrame) -> DataFrame:
-    """Findings a person must see, grouped, with the excerpt of their span.
+    """Findings a person must see, grouped, with the excerpt of their span; of repeated ids the first by position.
 
-    Findings are joined to the text once per source, so the text moves with its key and is cut there.
+    The spans of a source come to its text as one list and are cut there, so a text moves once however many findings
+    it has.
     """
-    wanted = findings.where(F.col("requires_decision") | (F.col("semantic_risk") != "NONE")).dropDuplicates(["source_id", "finding_id"])
-    df = wanted.join(sources.select("source_id", "text"), "source_id", "left")
+    wanted = findings.where(F.col("requires_decision") | (F.col("semantic_risk") != "NONE"))
+    spans = wanted.groupBy("source_id", "finding_id").agg(F.min(F.struct("scalar_start", "scalar_end", "category")).alias("s"))
+    lists = spans.groupBy("source_id").agg(F.collect_list(F.struct("finding_id", "s.*")).alias("_spans"))
+    df = lists.join(sources.select("source_id", "text"), "source_id", "left")
     n = F.length("text")
-    start, end = F.least("scalar_start", n), F.least("scalar_end", n)
-    excerpt = F.when(F.col("scalar_start").isNotNull() & F.col("scalar_end").isNotNull(), F.substring(F.col("text"), start + 1, end - start))
+
+    def cut(s: Column) -> Column:
+        start, end = F.least(s["scalar_start"], n), F.least(s["scalar_end"], n)
+        excerpt = F.when(s["scalar_start"].isNotNull() & s["scalar_end"].isNotNull(), F.substring(F.col("text"), start + 1, end - start))
+        return F.struct(s["finding_id"].alias("finding_id"), s["category"].alias("category"), excerpt.alias("excerpt"))
+
+    df = df.select("source_id", F.explode(F.transform("_spans", cut)).alias("_f")).select("source_id", "_f.*")
     group = F.coalesce(code_map({"URL": "LINK", "CONFUSABLE": "MEANING", "UNKNOWN": "UNKNOWN_DATA"})[F.col("category")], F.lit("HIDDEN_FORMATTING"))
-    first = F.ascii("_excerpt")
-    return df.withColumn("_excerpt", excerpt).select(
-        "source_id", "finding_id", group.alias("review_group"), F.col("_excerpt").alias("excerpt"),
-        F.when(F.col("_excerpt") != "", F.concat(F.lit("U+"), F.when(first < 65536, F.lpad(F.hex(first), 4, "0")).otherwise(F.hex(first)))).alias("code_point"),
+    first = F.ascii("excerpt")
+    return df.select(
+        "source_id", "finding_id", group.alias("review_group"), "excerpt",
+        F.when(F.col("excerpt") != "", F.concat(F.lit("U+"), F.when(first < 65536, F.lpad(F.hex(first), 4, "0")).otherwise(F.hex(first)))).alias("code_point"),
     )
 
 

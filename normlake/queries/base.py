@@ -67,6 +67,11 @@ def _closure(names: list[str]) -> list[str]:
     return done
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Texts of a table that comes as a few unsplit files, dealt out before costly work on each row."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def query(name: str, oracle: str | None = None):
     """Register a query; ``oracle`` may use any fixture name as a table."""
 

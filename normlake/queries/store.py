@@ -234,7 +234,7 @@ def _(q):
     return px.metadata_inventory(q.tags).select("image_id", "directory_idx", "directory", "family", F.col("tags").cast("long").alias("tags"), "complete")
 
 
-# Every order line is one pixel of a 25-wide image; its colour follows from its columns.
+# Every order is one pixel of a 5-wide image; its colour follows from its columns.
 fixture("sizes", "SELECT o_custkey AS image_id, CAST(5 AS INT) AS width, CAST(floor((count(*) + 4) / 5) AS INT) AS height, CAST(1 + o_custkey % 8 AS INT) AS orientation FROM {orders} GROUP BY o_custkey")
 fixture("pixels", """SELECT o_custkey AS image_id, CAST((n % 5) AS INT) AS x, CAST(floor(n / 5) AS INT) AS y, CAST(o_orderkey * 7919 % 16777216 - CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE 16777216 END AS INT) AS argb
  FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM {orders}) t""")
@@ -243,10 +243,19 @@ LUMA = f"(({_ch(16)} * 77 + {_ch(8)} * 150 + {_ch(0)} * 29) >> 8)"
 SAMPLES = "smp AS (SELECT p.*, y * width + x AS flat, greatest(1, CAST(floor((width * height + 5) / 6) AS BIGINT)) AS st FROM pixels p JOIN sizes USING (image_id)), sa AS (SELECT image_id, x, y, argb, CAST(flat / st AS BIGINT) AS sample_idx FROM smp WHERE flat % st = 0)"
 
 
+ALL_PIXELS = "sa AS (SELECT image_id, x, y, argb, CAST(y * width + x AS BIGINT) AS sample_idx FROM pixels JOIN sizes USING (image_id))"
+fixture("detector_policies", "SELECT CASE r_regionkey WHEN 0 THEN 'lsb' WHEN 1 THEN 'spatial' ELSE 'none' END AS detector, r_name AS calibration_id, CAST(0.5 + 54 * r_regionkey AS DOUBLE) AS threshold FROM {region}")
+
+
 def sampled(q):
     return px.sample_pixels(q.pixels, q.sizes, 6)
 
 
+def every_pixel(q):
+    """Samples with stride 1."""
+    return px.sample_pixels(q.pixels, q.sizes, 1 << 40)
+
+
 @query("i03_channel_inventory", f"SELECT image_id, {', '.join(f'min({_ch(s)}) AS min_{n}, max({_ch(s)}) AS max_{n}' for n, s in (('alpha', 24), ('red', 16), ('green', 8), ('blue', 0)))}, min({_ch(24)}) < 255 AS observed_transparency FROM pixels GROUP BY image_id")
 def _(q):
     return px.channel_inventory(q.pixels)
@@ -267,17 +276,17 @@ def _rounded(df):
     return df.withColumn("value", F.round("value", 6))
 
 
-@query("i06_lsb_evidence", f"""WITH {SAMPLES}, b AS (SELECT image_id, sample_idx * 3 + j AS o, (argb >> (j * 8)) & 1 AS bit FROM sa, (SELECT unnest([0, 1, 2]) AS j)), t AS (SELECT *, lag(bit) OVER (PARTITION BY image_id ORDER BY o) AS p FROM b),
+@query("i06_lsb_evidence", f"""WITH {ALL_PIXELS}, b AS (SELECT image_id, sample_idx * 3 + j AS o, (argb >> (j * 8)) & 1 AS bit FROM sa, (SELECT unnest([0, 1, 2]) AS j)), t AS (SELECT *, lag(bit) OVER (PARTITION BY image_id ORDER BY o) AS p FROM b),
 g AS (SELECT image_id, count(*) / 3.0 AS n, sum(bit) / count(*) AS r, count(*) FILTER (WHERE p IS NOT NULL AND p <> bit) / greatest(1, count(*) - 1) AS t FROM t GROUP BY 1)
 SELECT image_id, unnest(['sample_count', 'one_ratio', 'transition_ratio']) AS metric, round(unnest([CAST(n AS DOUBLE), CAST(r AS DOUBLE), CAST(t AS DOUBLE)]), 6) AS value FROM g""")
 def _(q):
-    return _rounded(px.lsb_evidence(sampled(q)))
+    return _rounded(px.lsb_evidence(every_pixel(q)))
 
 
-@query("i07_spatial_evidence", f"""WITH {SAMPLES}, d AS (SELECT image_id, abs({LUMA} - lag({LUMA}) OVER (PARTITION BY image_id ORDER BY sample_idx)) AS d FROM sa), g AS (SELECT image_id, coalesce(avg(d), 0) AS m, coalesce(avg(d * d), 0) AS q FROM d GROUP BY 1)
+@query("i07_spatial_evidence", f"""WITH {ALL_PIXELS}, d AS (SELECT image_id, abs({LUMA} - lag({LUMA}) OVER (PARTITION BY image_id ORDER BY sample_idx)) AS d FROM sa), g AS (SELECT image_id, coalesce(avg(d), 0) AS m, coalesce(avg(d * d), 0) AS q FROM d GROUP BY 1)
 SELECT image_id, unnest(['mean_adjacent_delta', 'delta_variance']) AS metric, round(unnest([m, greatest(0, q - m * m)]), 6) AS value FROM g""")
 def _(q):
-    return _rounded(px.spatial_evidence(sampled(q)))
+    return _rounded(px.spatial_evidence(every_pixel(q)))
 
 
 @query("i08_frequency_evidence", f"""WITH l AS (SELECT p.image_id, x, y, width, height, {LUMA} AS v FROM pixels p JOIN sizes USING (image_id)),
@@ -287,22 +296,24 @@ en AS (SELECT image_id, avg(lap * lap) AS e FROM lp GROUP BY 1), bl AS (SELECT i
 g AS (SELECT image_id, sum(n - 1) / sum(n) AS rep, sum(n) AS nb FROM fp GROUP BY 1)
 SELECT g.image_id, unnest(['laplacian_energy', 'repeated_block_ratio', 'block_count']) AS metric, round(unnest([coalesce(e, 0), CAST(rep AS DOUBLE), CAST(nb AS DOUBLE)]), 6) AS value FROM g LEFT JOIN en USING (image_id)""")
 def _(q):
-    return _rounded(px.frequency_evidence(q.pixels, q.sizes, 1000))
+    return _rounded(px.frequency_evidence(q.pixels, q.sizes))
 
 
-@query("i09_detector_verdict", f"""WITH {SAMPLES}, b AS (SELECT image_id, (argb & 1) + ((argb >> 8) & 1) + ((argb >> 16) & 1) AS o FROM sa) SELECT image_id, 'lsb' AS detector, CASE WHEN sum(o) / (count(*) * 3) >= 0.5 THEN 'CALIBRATED_THRESHOLD_EXCEEDED' ELSE 'EVIDENCE_RECORDED' END AS disposition, FALSE AS can_certify_absence FROM b GROUP BY 1""")
+@query("i09_detector_verdict", f"""WITH {ALL_PIXELS}, b AS (SELECT image_id, 'lsb' AS detector, sum((argb & 1) + ((argb >> 8) & 1) + ((argb >> 16) & 1)) / (count(*) * 3) AS v FROM sa GROUP BY 1),
+d AS (SELECT image_id, abs({LUMA} - lag({LUMA}) OVER (PARTITION BY image_id ORDER BY sample_idx)) AS d FROM sa), m AS (SELECT * FROM b UNION ALL SELECT image_id, 'spatial', coalesce(avg(d), 0) FROM d GROUP BY 1)
+SELECT image_id, detector, CASE WHEN v >= threshold THEN 'CALIBRATED_THRESHOLD_EXCEEDED' ELSE 'EVIDENCE_RECORDED' END AS disposition, FALSE AS can_certify_absence FROM m JOIN detector_policies USING (detector)""")
 def _(q):
-    metrics = px.lsb_evidence(sampled(q)).withColumn("detector", F.lit("lsb"))
-    policy = q.region.limit(1).select(F.lit("lsb").alias("detector"), F.lit("cal-1").alias("calibration_id"), F.lit(0.5).alias("threshold"))
-    return px.detector_verdict(metrics, policy)
+    metrics = px.lsb_evidence(every_pixel(q)).withColumn("detector", F.lit("lsb")).unionByName(px.spatial_evidence(every_pixel(q)).withColumn("detector", F.lit("spatial")))
+    return px.detector_verdict(metrics, q.detector_policies)
 
 
 _mono = lambda v: f"CAST(((argb >> 24) << 24) | ({v} << 16) | ({v} << 8) | {v} AS INT)"
 
 
-@query("i10_pixel_views", f"""SELECT image_id, 'GRAYSCALE' AS recipe, x, y, argb & -16777216 | ({LUMA} * 65793) AS argb FROM pixels UNION ALL SELECT image_id, 'ROTATE_CLOCKWISE', height - 1 - y, x, argb FROM pixels JOIN sizes USING (image_id)""")
+@query("i10_pixel_views", f"""SELECT image_id, 'ORIGINAL' AS recipe, x, y, argb FROM pixels UNION ALL SELECT image_id, 'GRAYSCALE', x, y, argb & -16777216 | ({LUMA} * 65793) FROM pixels
+UNION ALL SELECT image_id, 'INVERTED_GRAYSCALE', x, y, argb & -16777216 | ((255 - {LUMA}) * 65793) FROM pixels UNION ALL SELECT image_id, 'ROTATE_CLOCKWISE', height - 1 - y, x, argb FROM pixels JOIN sizes USING (image_id)""")
 def _(q):
-    return px.pixel_views(q.pixels, q.sizes).where("recipe IN ('GRAYSCALE', 'ROTATE_CLOCKWISE')").drop("view_id")
+    return px.pixel_views(q.pixels, q.sizes).drop("view_id")
 
 
 @query("i11_derivative_pixels", f"SELECT image_id, x, y, CAST(-16777216 | (({_ch(16)} & 240) << 16) | (({_ch(8)} & 240) << 8) | ({_ch(0)} & 240) AS INT) AS argb FROM pixels WHERE image_id % 5 <> 0 AND image_id % 7 <> 0")

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from normlake.dims import charclass as cc
-from normlake.functions.rows import spread
 from normlake.operators import text_findings as fnd
 from normlake.operators import text_inventory as inv
 from normlake.operators import text_transform as tt
-from normlake.queries.base import fixture, query
+from normlake.queries.base import dealt, fixture, query
 from normlake.sources import texts
 
 ZW, ZWJ, NBSP, LS, RLO, SOH = "\u200b", "\u200d", "\u00a0", "\u2028", "\u202e", "\u0001"
@@ -86,7 +85,7 @@ COVERED = "pc AS (SELECT ch.source_id, ch.i, m.isl, m.kind FROM ch JOIN merged m
 
 
 def sources(q):
-    return spread(q.perturbed, "source_id")
+    return dealt(q.perturbed, "source_id")
 
 
 # ------------------------------------------------------------------------------------------------ S01 - S04
@@ -406,7 +405,7 @@ def _(q):
 @query("n08_normalization_collisions")
 def _(q):
     # Every document gains a ligature spelling of one of its words, so distinct spellings meet under NFKC.
-    src = spread(q.documents.select(F.col("doc_id").alias("source_id"), F.concat("text", F.lit(" fin \ufb01n")).alias("text")), "source_id")
+    src = dealt(q.documents.select(F.col("doc_id").alias("source_id"), F.concat("text", F.lit(" fin \ufb01n")).alias("text")), "source_id")
     out = tt.normalization_collisions(src, "NFKC")
     return out.select("source_id", "normal_form", F.array_join("originals", "|").alias("originals"))
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from normlake.dims import charclass as cc
-from normlake.functions.rows import spread
 from normlake.dims import url_rules as ur
 from normlake.operators import urls as u
-from normlake.queries.base import fixture, query
+from normlake.queries.base import dealt, fixture, query
 from normlake.queries.text import sql_spans
 
 # Page URLs as they are, and the same pages with user information, ports, identifiers, short links, addresses.
@@ -115,22 +114,22 @@ _out = lambda t: f'WITH {EXTRACT} SELECT source_id, s AS "start", e AS "end", ta
 
 @query("u01_extract_absolute", _out("absolutes"))
 def _(q):
-    return u.extract_absolute(spread(q.linked, "source_id")).select("source_id", "start", "end", "target")
+    return u.extract_absolute(dealt(q.linked, "source_id")).select("source_id", "start", "end", "target")
 
 
 @query("u02_extract_markdown", f'WITH {EXTRACT} SELECT source_id, s AS "start", e AS "end", display, target FROM markdowns')
 def _(q):
-    return u.extract_markdown(spread(q.linked, "source_id")).select("source_id", "start", "end", "display", "target")
+    return u.extract_markdown(dealt(q.linked, "source_id")).select("source_id", "start", "end", "display", "target")
 
 
 @query("u03_extract_schemeless", _out("schemeless"))
 def _(q):
-    return u.extract_schemeless(spread(q.linked, "source_id")).select("source_id", "start", "end", "target")
+    return u.extract_schemeless(dealt(q.linked, "source_id")).select("source_id", "start", "end", "target")
 
 
 @query("u04_extract_emails", _out("mails"))
 def _(q):
-    return u.extract_emails(spread(q.linked, "source_id")).select("source_id", "start", "end", "target")
+    return u.extract_emails(dealt(q.linked, "source_id")).select("source_id", "start", "end", "target")
 
 
 @query("u05_whole_value_url", """
@@ -149,7 +148,7 @@ num AS (SELECT *, 'url-u-' || (row_number() OVER (PARTITION BY source_id ORDER B
 
 @query("u06_url_candidates", f'WITH {CANDIDATES} SELECT source_id, token_id, s AS "start", e AS "end", kind, target FROM num')
 def _(q):
-    return u.url_candidates(spread(q.linked, "source_id")).select("source_id", "token_id", "start", "end", "kind", "target")
+    return u.url_candidates(dealt(q.linked, "source_id")).select("source_id", "token_id", "start", "end", "kind", "target")
 
 
 # ------------------------------------------------------------------------------------------------ U07 - U16
@@ -265,7 +264,7 @@ def _(q):
 SELECT source_id, CASE WHEN source_kind = 'PLAIN_TEXT' THEN '<none>' ELSE replace(replace(text, '[the page (' || source_id || ')](https://m.example.com/a_(b)/' || source_id || '?q=1)', 'the page (' || source_id || ') (https://example.com/)'),
   '?utm_source=feed)', ')') END AS text FROM linked WHERE length(text) > 0""")
 def _(q):
-    src = spread(q.linked, "source_id")
+    src = dealt(q.linked, "source_id")
     cands = u.url_candidates(src)
     done = u.canonicalize_urls(u.analyze_urls(cands), approve(q, src))
     return u.rewrite_urls(src, cands, done.tokens()).select("source_id", F.coalesce("text", F.lit("<none>")).alias("text"))

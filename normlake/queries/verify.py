@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from normlake.dims import catalog as cat
 from normlake.operators import verification as v
-from normlake.queries.base import fixture, query, values_sql
+from normlake.queries.base import dealt, fixture, query, values_sql
 from normlake.queries.review import CATALOG_SQL, LINEAGE, S, audits, case
-from normlake.queries.text import sources, spread
+from normlake.queries.text import sources
 from normlake.operators import review as r
 
 
@@ -129,7 +129,7 @@ WITH t AS (SELECT doc_id AS run_id, CASE WHEN doc_id % 6 = 0 THEN text || '​'
 f AS (SELECT run_id, CASE WHEN run_id % 6 = 1 THEN 'FINAL_TEXT_NOT_APPROVED_TEXT,FINAL_UNICODE_SCALAR_FAILURE,UNAPPROVED_FINAL_UNICODE_FINDING' WHEN run_id % 6 = 0 THEN 'FINAL_TEXT_NOT_APPROVED_TEXT,UNAPPROVED_FINAL_UNICODE_FINDING' ELSE '' END AS failures FROM t)
 SELECT run_id, 'FINAL_UNICODE' AS type, CASE failures WHEN '' THEN 'PASS' ELSE 'FAIL' END AS status, TRUE AS required, CASE failures WHEN '' THEN 'FINAL_UNICODE_RESCAN_PASSED' ELSE 'FINAL_UNICODE_RESCAN_FAILED' END AS summary_code, failures FROM f""")
 def _(q):
-    d = spread(q.documents.select(F.col("doc_id").alias("run_id"), F.lit("TEXT").alias("output_mode"), F.col("text").alias("approved_text")), "run_id")
+    d = dealt(q.documents.select(F.col("doc_id").alias("run_id"), F.lit("TEXT").alias("output_mode"), F.col("text").alias("approved_text")), "run_id")
     k = F.col("run_id") % 6
     t = d.select("run_id", F.when(k == 0, F.concat("approved_text", F.lit("​"))).when(k == 1, F.concat("approved_text", F.lit("\u0001"))).otherwise(F.col("approved_text")).alias("text"))
     return shown(v.final_unicode_audit(d, t, ["CANONICAL_NORMALIZATION_DELTA", "COMPATIBILITY_NORMALIZATION_DELTA", "NON_CANONICAL_WHITESPACE"]))
@@ -152,7 +152,7 @@ def _(q):
 
 @query("v08_canary_search", "SELECT d.doc_id AS surface_id, item_id AS canary_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def _(q):
-    return v.canary_search(spread(q.documents.select(F.col("doc_id").alias("surface_id"), F.col("text").alias("payload")), "surface_id"), q.benchmark.select(F.col("item_id").alias("canary_id"), F.col("text").alias("secret")))
+    return v.canary_search(dealt(q.documents.select(F.col("doc_id").alias("surface_id"), F.col("text").alias("payload")), "surface_id"), q.benchmark.select(F.col("item_id").alias("canary_id"), F.col("text").alias("secret")))
 
 
 fixture("lineage_have", f"SELECT DISTINCT l_orderkey AS run_id, {case('l_linenumber % 3', ('RETAINED_SOURCE_PIXELS', 'OCR_DERIVED_TEXT', 'BUNDLED_ASSET'))} AS type, 'b' || CAST(l_linenumber AS {S}) AS block_id, 'g' || CAST(l_linenumber AS {S}) AS region_id, CAST(NULL AS {S}) AS decision_id FROM {{lineitem}}")
@@ -265,7 +265,7 @@ def _(q):
     from normlake.sources import texts
 
     docs = q.documents.select(F.col("doc_id").alias("id"), "text")
-    docs = spread(docs, "id")
+    docs = dealt(docs, "id")
     var = texts.generate_variants(docs, "newlines").select(F.col("id").alias("family_id"), "variant_id", F.col("value").alias("text"))
     residue = docs.select(F.col("id").alias("family_id"), F.lit("\r").alias("value"))
     out = v.convergence_check(var, residue, form="NFC")
