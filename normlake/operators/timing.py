@@ -84,7 +84,7 @@ def outcome_windows(events: DataFrame, width: str = "1 hour") -> DataFrame:
         F.col("w.start").alias("window_start"), "block_id", "outcome", "events")
 
 
-def session_windows(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """X07 on a table: bursts of events per block separated by a gap."""
-    return events.groupBy(F.session_window("ts", gap).alias("w"), "block_id").agg(F.count("*").alias("events")).select(
-        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "block_id", "events")
+def session_windows(events: DataFrame, gap: str = "30 minutes", keys: tuple[str, ...] = ("run_id", "block_id")) -> DataFrame:
+    """X07 on a table: bursts of events per run and block separated by a gap. Blocks alone are few, runs grow with the trace."""
+    return events.groupBy(F.session_window("ts", gap).alias("w"), *keys).agg(F.count("*").alias("events")).select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "events")

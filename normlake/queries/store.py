@@ -433,6 +433,9 @@ def _(q):
     return tm.outcome_windows(q.trace_events).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("x07_session_windows")
+@query("x07_session_windows", """WITH g AS (SELECT run_id, block_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM trace_events WINDOW w AS (PARTITION BY run_id, block_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY run_id, block_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS window_start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS window_end, run_id, block_id, count(*) AS events FROM s GROUP BY run_id, block_id, k""")
 def _(q):
-    return tm.session_windows(q.trace_events)
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return tm.session_windows(q.trace_events).withColumns({"window_start": stamp("window_start"), "window_end": stamp("window_end")})
