@@ -23,3 +23,13 @@ def keep_rows(df: DataFrame, condition: Column) -> DataFrame:
     """``where`` for conditions on expensive computed columns."""
     mark = F.when(F.coalesce(condition, F.lit(False)), F.array(F.lit(1)))
     return df.select("*", F.posexplode_outer(mark).alias("_pos", "_rec")).where(F.col("_pos").isNotNull()).drop("_pos", "_rec")
+
+
+def settled(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with ``columns`` computed once per row, whatever later columns make of them.
+
+    The optimizer copies the definition of a column into the columns that use it where it can; it does not look
+    through the one-element explode that these go through here.
+    """
+    others = [c for c in df.columns if c not in columns]
+    return df.select(*others, F.explode(F.array(F.struct(*columns))).alias("_settled")).select(*others, "_settled.*")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from normlake.dims import charclass as cc
 from normlake.functions import text as tx
-from normlake.functions.rows import keep_rows, to_rows
+from normlake.functions.rows import keep_rows, settled, to_rows
 from normlake.operators import text_findings as fnd
 from normlake.operators import text_inventory as inv
 
@@ -257,6 +257,7 @@ def canonical_stages(
 ) -> DataFrame:
     """One row per source with ``stages``: for each transform (block, gate, applied, proposed values)."""
     staged = prepare(sources, approvals, form, allowed_scripts)
+    staged = settled(staged, ["segments", "collisions", "gate_codes", "approved_gates", "blocked_input", "mixed_tokens", "wrap_offsets"])
     has = lambda c: F.array_contains("gate_codes", c)
     approved = lambda gate: gate.isNull() | F.array_contains("approved_gates", gate)
     staged = staged.withColumn("v0", F.transform("segments", lambda g: g["value"]))
