@@ -133,20 +133,25 @@ def sweep(q):
     return m.integrity_sweep(with_digest(q), q.stored_artifacts, q.stored_previews, payload_checks(q), q.stored_files, left, ready)
 
 
-@query("m10_integrity_sweep", f"""WITH {REVALIDATED}, {PREVIEWS}, a AS (
+SWEEP_ACTIONS = f"""{REVALIDATED}, {PREVIEWS}, a AS (
 SELECT CASE WHEN k % 3 = 0 THEN 'UNRESOLVED' ELSE 'DELETED' END AS action, CASE WHEN k % 3 = 0 THEN 'DELETION_RETRY_INCOMPLETE' ELSE 'DELETION_COMPLETED' END AS reason FROM stored WHERE lifecycle_state = 'DELETION_PENDING'
 UNION ALL SELECT 'QUARANTINED', 'INCOMPLETE_TRANSACTION_QUARANTINED' FROM stored WHERE lifecycle_state = 'COMMITTING'
 UNION ALL SELECT CASE WHEN migration_state <> 'CURRENT' AND k % 2 = 1 OR reason_code <> 'REVALIDATION_PASSED' THEN 'QUARANTINED' ELSE 'REVALIDATED' END, CASE WHEN migration_state <> 'CURRENT' AND k % 2 = 1 THEN 'MIGRATION_REVALIDATION_REQUIRED' ELSE reason_code END FROM rv WHERE lifecycle_state NOT IN ('DELETION_PENDING', 'COMMITTING')
 UNION ALL SELECT 'PREVIEW_REMOVED', 'INVALID_PREVIEW_REMOVED' FROM pv JOIN rv USING (saved_result_id) WHERE NOT valid AND reason_code = 'REVALIDATION_PASSED' AND NOT (migration_state <> 'CURRENT' AND k % 2 = 1)
 UNION ALL SELECT 'ORPHAN_REMOVED', 'ORPHAN_ARTIFACT_GROUP_REMOVED' FROM (SELECT DISTINCT group_id FROM stored_files WHERE area = 'RESULTS' AND group_id LIKE 'lost-%')
 UNION ALL SELECT 'ORPHAN_REMOVED', 'ORPHAN_STAGING_GROUP_REMOVED' FROM (SELECT DISTINCT group_id FROM stored_files WHERE area = 'STAGING')
-UNION ALL SELECT 'ORPHAN_REMOVED', 'UNREFERENCED_FILE_REMOVED' FROM stored_files WHERE path LIKE '%.tmp')
-SELECT action, reason, count(*) AS n FROM a GROUP BY ALL""")
+UNION ALL SELECT 'ORPHAN_REMOVED', 'UNREFERENCED_FILE_REMOVED' FROM stored_files WHERE path LIKE '%.tmp')"""
+
+
+@query("m10_integrity_sweep", f"WITH {SWEEP_ACTIONS} SELECT action, reason, count(*) AS n FROM a GROUP BY ALL")
 def _(q):
     return sweep(q).groupBy("action", "reason").agg(F.count("*").alias("n"))
 
 
-@query("m10_sweep_report")
+@query("m10_sweep_report", f"""WITH {SWEEP_ACTIONS} SELECT (SELECT count(*) FROM stored) AS inspected, count(*) FILTER (WHERE action = 'REVALIDATED') AS revalidated,
+ count(*) FILTER (WHERE action = 'QUARANTINED') AS quarantined, count(*) FILTER (WHERE action = 'DELETED') AS deleted, count(*) FILTER (WHERE action = 'PREVIEW_REMOVED') AS invalid_previews,
+ count(*) FILTER (WHERE action = 'ORPHAN_REMOVED') AS orphan_groups, count(*) FILTER (WHERE reason IN ('INCOMPLETE_TRANSACTION_QUARANTINED', 'ORPHAN_STAGING_GROUP_REMOVED')) AS incomplete,
+ count(*) FILTER (WHERE action = 'UNRESOLVED') AS unresolved FROM a""")
 def _(q):
     return m.sweep_report(q.stored, sweep(q))
 

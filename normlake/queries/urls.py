@@ -171,7 +171,14 @@ def _(q):
     return u.percent_encoding_check(candidates(q)).select("source_id", "malformed_percent")
 
 
-@query("u09_host_spoof_check")
+# The one swapped label and its published ASCII form.
+_SPOOFED, _SPOOFED_ASCII = "ex\u0430mple", "xn--exmple-4nf"
+
+
+@query("u09_host_spoof_check", f"""
+WITH h AS (SELECT page_id AS source_id, lower(regexp_extract(CASE WHEN page_id % 3 = 0 THEN replace(url, 'example', '{_SPOOFED}') ELSE url END, '^(?i:https?)://([^/?#:]+)', 1)) AS host FROM pages)
+SELECT source_id, replace(host, '{_SPOOFED}', '{_SPOOFED_ASCII}') AS host, host AS unicode_host, translate(host, '{cc.CONFUSABLE_FROM}', '{cc.CONFUSABLE_TO}') AS skeleton,
+  regexp_matches(host, '[^\\x00-\\x7F]') AND translate(host, '{cc.CONFUSABLE_FROM}', '{cc.CONFUSABLE_TO}') <> host AS suspicious FROM h""")
 def _(q):
     # Page hosts with one letter swapped for its Cyrillic look-alike on every third page.
     src = q.pages.select(F.col("page_id").alias("source_id"), F.when(F.col("page_id") % 3 == 0, F.expr("replace(url, 'example', 'exаmple')")).otherwise(F.col("url")).alias("text"), F.lit("PLAIN_TEXT_URL").alias("source_kind"))
