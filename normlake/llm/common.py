@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import pickle
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,3 +76,15 @@ def sent(spark: SparkSession, thing: object) -> Callable[[], object]:
         return held["thing"]
 
     return get
+
+
+def row_slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``limit`` bytes in a text column, so that a task's arrays don't grow with its batches."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        group = np.cumsum(size) // limit
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
+            yield batch.slice(int(lo), int(hi - lo))

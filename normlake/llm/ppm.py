@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from normlake.llm.common import crc_id, sent
+from normlake.llm.common import crc_id, row_slices, sent
 from normlake.llm.grams import KeyIndex, low_bytes, packed, portions
 
 ORDER = 4
@@ -86,7 +86,7 @@ class ContextTrees:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct packed (lang, size, gram) codes and their counts in the texts of each batch."""
-    for batch in batches:
+    for batch in row_slices(batches, 1, 4 << 20):
         langs, texts = batch.column(0).to_numpy(), batch.column(1)
         for lang in np.unique(langs):
             own = (texts[int(i)].as_py().encode("utf-8", "surrogatepass") for i in np.flatnonzero(langs == lang))
@@ -125,12 +125,13 @@ def predict(docs: DataFrame, trees: ContextTrees, keep: Sequence[str] = ("doc_id
     """
     get = sent(docs.sparkSession, trees)
     keep = [c for c in keep if c not in ("lang_pred", "score", "bits_per_byte")]
+    at = keep.index("text") if "text" in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = get()
-        for batch in batches:
-            lettered = batch.column(len(keep) + 1).to_numpy(zero_copy_only=False)
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") if ok else b"" for t, ok in zip(batch.column(len(keep)), lettered)]
+        for batch in row_slices(batches, at):
+            lettered = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") if ok else b"" for t, ok in zip(batch.column(at), lettered)]
             known = np.array([len(t) > 0 for t in texts]) if own.langs else np.zeros(len(texts), bool)
             names, score, rate = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.full(len(texts), np.nan)
             if known.any():
@@ -145,8 +146,9 @@ def predict(docs: DataFrame, trees: ContextTrees, keep: Sequence[str] = ("doc_id
                 names=[*keep, "lang_pred", "score", "bits_per_byte"])
 
     lettered = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("_lettered")
+    read = [] if "text" in keep else [F.col("text").alias("_read")]
     made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
-    return docs.select(*keep, F.col("text").alias("_read"), lettered).mapInArrow(run, T.StructType([*[docs.schema[c] for c in keep], *made]))
+    return docs.select(*keep, *read, lettered).mapInArrow(run, T.StructType([*[docs.schema[c] for c in keep], *made]))
 
 
 def held_out_language_id(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from normlake.llm.common import crc_id, saved, scratch, sent
+from normlake.llm.common import crc_id, row_slices, saved, scratch, sent
 
 SIZES = (3, 4, 5)
 BITS = 18
@@ -103,28 +103,30 @@ def train(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS) -> T
     rows = saved(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text")), f"{folder}/sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            toxic = batch.column(0).to_numpy().astype(bool)
+        total = np.zeros(2 << BITS, np.int64)
+        for batch in row_slices(batches, 1):
+            toxic = batch.column(0).to_numpy().astype(np.int64)
             keys = present(_texts(batch.column(1)))
-            hit = toxic[keys >> BITS]
-            bucket, n = np.unique((keys & ((1 << BITS) - 1)) << 1 | hit, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket >> 1), pa.array((bucket & 1).astype(np.int32)), pa.array(n)], names=["bucket", "toxic", "n"])
+            total += np.bincount(toxic[keys >> BITS] << BITS | keys & (1 << BITS) - 1, minlength=len(total))
+        code = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(code & (1 << BITS) - 1), pa.array((code >> BITS).astype(np.int32)), pa.array(total[code])], names=["bucket", "toxic", "n"])
 
     n_class = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n_class) < 2:
         return ToxicModel(np.zeros(1 << BITS), {(): -500.0, (0,): -500.0, (1,): 500.0}[tuple(n_class)])
-    counts = rows.mapInArrow(count, "bucket long, toxic int, n long").groupBy("bucket", "toxic").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.mapInArrow(count, "bucket long, toxic int, n long").groupBy("bucket", "toxic").agg(F.sum("n").alias("n")).toArrow()
+    bucket, toxic, n = (counts[c].to_numpy() for c in ("bucket", "toxic", "n"))
     share_of = np.empty((2, 1 << BITS))
     for label in (0, 1):
-        own = counts[counts["toxic"] == label]
-        share_of[label] = (np.bincount(own["bucket"], own["n"], 1 << BITS) + 1.0) / (n_class[label] + 2.0)
+        own = toxic == label
+        share_of[label] = (np.bincount(bucket[own], n[own], 1 << BITS) + 1.0) / (n_class[label] + 2.0)
     ratio = np.log(share_of[1] / share_of[0])
     ratio[np.abs(ratio) < MIN_RATIO] = 0.0
     shared = spark.sparkContext.broadcast(ratio)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale = shared.value
-        for batch in batches:
+        for batch in row_slices(batches, 1):
             keys = present(_texts(batch.column(1)), scale != 0)
             cuts = np.searchsorted(keys >> BITS, np.arange(batch.num_rows + 1))
             index = keys & ((1 << BITS) - 1)
@@ -144,15 +146,17 @@ def score(docs: DataFrame, model: ToxicModel, keep: Sequence[str] = ("doc_id",))
     """
     get = sent(docs.sparkSession, model)
     keep = [c for c in keep if c not in ("score", "predicted")]
+    at = keep.index("text") if "text" in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = get()
-        for batch in batches:
-            out = own.score(_texts(batch.column(len(keep))), batch.num_rows)
+        for batch in row_slices(batches, at):
+            out = own.score(_texts(batch.column(at)), batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
+    read = [] if "text" in keep else [F.col("text").alias("_read")]
     made = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    return docs.select(*keep, F.col("text").alias("_read")).mapInArrow(run, T.StructType([*[docs.schema[c] for c in keep], *made]))
+    return docs.select(*keep, *read).mapInArrow(run, T.StructType([*[docs.schema[c] for c in keep], *made]))
 
 
 def held_out_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
