@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,7 +10,9 @@ from normlake.dims import catalog as cat
 from normlake.operators import ocr, pixels as px, results as m, timing as tm
 from normlake.queries.base import fixture, query
 from normlake.queries.review import S, case
+from normlake.session import ensure_checkpoint_dir
 from normlake.sources import images, stores
+from normlake.streaming import streams
 
 fixture("stored", f"""
 SELECT 'result-' || CAST(o_orderkey AS {S}) AS saved_result_id, 'Label ' || o_orderpriority || ' ' || CAST(o_custkey AS {S}) AS display_label, {case('o_orderkey % 5', cat.MODES, "'BROKEN'")} AS output_mode, CAST(1 AS BIGINT) AS canonical_revision,
@@ -50,8 +52,7 @@ def _(q):
     raw = F.encode("body", "UTF-8")
     bad = F.regexp_extract("saved_result_id", "([0-9]+)$", 1).cast("bigint") % 9 == 0
     arts = q.stored_artifacts.select("saved_result_id", "artifact_kind", raw.alias("payload"), F.when(bad, F.lit("x")).otherwise(F.sha2(raw, 256)).alias("content_digest"), F.octet_length(raw).alias("byte_count"))
-    folder = q.spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
-    path = tempfile.mkdtemp(prefix="spark-", dir=folder) if folder.startswith("/") else f"{folder}/results"
+    path = f"{ensure_checkpoint_dir(q.spark)}/results-{uuid.uuid4().hex}"
     return stores.write_results(q.stored, arts, path, "0").select("saved_result_id", "lifecycle_state", "visibility_confirmed")
 
 
@@ -444,3 +445,26 @@ SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS window_start, strftime(max(ts)
 def _(q):
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     return tm.session_windows(q.trace_events).withColumns({"window_start": stamp("window_start"), "window_end": stamp("window_end")})
+
+
+def _arriving(q, name):
+    """A driver table as a stream of its files, and a new folder for what the stream writes."""
+    table = q.table(name)
+    return q.spark.readStream.schema(table.schema).parquet(f"{q.folder}/{name}.parque[t]"), f"{ensure_checkpoint_dir(q.spark)}/stream-{uuid.uuid4().hex}"
+
+
+@query("x06_stream_canonicalize", "SELECT doc_id AS source_id, CASE WHEN strlen(text) > 8000 THEN 'REJECTED' ELSE 'ACCEPTED' END AS state FROM documents")
+def _(q):
+    docs, folder = _arriving(q, "documents")
+    texts = docs.select(F.col("doc_id").alias("source_id"), "text", F.lit("PLAIN_TEXT").alias("source_kind"))
+    streams.stream_canonicalize(texts, 8000, f"{folder}/out", f"{folder}/rejects", f"{folder}/progress", form="NFC").trigger(availableNow=True).start().awaitTermination()
+    state = lambda path, name: q.spark.read.parquet(path).select("source_id", F.lit(name).alias("state"))
+    return state(f"{folder}/out/texts", "ACCEPTED").unionByName(state(f"{folder}/rejects", "REJECTED"))
+
+
+@query("x08_stream_seal_dedup", "SELECT DISTINCT user_id AS session_id FROM events")
+def _(q):
+    events, folder = _arriving(q, "events")
+    once = streams.stream_seal_dedup(events.select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"))).select("session_id")
+    once.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return q.spark.read.schema(once.schema).parquet(f"{folder}/out")

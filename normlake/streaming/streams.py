@@ -93,9 +93,11 @@ def stream_canonicalize(sources: DataFrame, max_bytes: int, out_path: str, rejec
 
     def write(batch: DataFrame, batch_id: int) -> None:
         accepted, rejected = resource_guard(batch, max_bytes)
+        texts = f"{out_path}/texts/batch={batch_id}"
         done = tt.canonicalize_text(accepted, **policy).canonical()
-        done.write.mode("overwrite").parquet(f"{out_path}/texts/batch={batch_id}")
-        plain = done.withColumn("source_kind", F.lit("PLAIN_TEXT"))
+        done.write.mode("overwrite").parquet(texts)
+        # The texts just written, not computed once more.
+        plain = batch.sparkSession.read.schema(done.schema).parquet(texts).withColumn("source_kind", F.lit("PLAIN_TEXT"))
         tokens = urls.canonicalize_urls(urls.analyze_urls(urls.url_candidates(plain))).tokens()
         tokens.write.mode("overwrite").parquet(f"{out_path}/tokens/batch={batch_id}")
         rejected.write.mode("overwrite").parquet(f"{reject_path}/batch={batch_id}")
