@@ -127,3 +127,40 @@ def test_stream_ring_and_texts(spark, tmp_path):
     q.awaitTermination(90)
     assert spark.read.parquet(out + "/texts").count() == 10
     assert spark.read.parquet(rejects).count() == 10
+
+
+def test_stream_share_expiry(spark, tmp_path):
+    import time
+
+    from normlake.streaming import streams
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    arriving, progress, out = (str(tmp_path / n) for n in ("in", "progress", "out"))
+    seen = []
+    for batch in (["a", "b"], ["c"]):
+        spark.createDataFrame([(t, f"r-{t}") for t in batch], "token string, result_id string").coalesce(1).write.mode("append").parquet(arriving)
+        stream = spark.readStream.schema("token string, result_id string").parquet(arriving)
+        query = streams.stream_share_expiry(stream, 1).writeStream.outputMode("update").option("checkpointLocation", progress).foreachBatch(
+            lambda df, i: df.write.mode("append").parquet(out)).trigger(availableNow=True).start()
+        query.awaitTermination(90)
+        seen.append({(r.token, r.event) for r in spark.read.parquet(out).collect()})
+        time.sleep(0.1)
+    assert {("a", "PREPARED"), ("b", "PREPARED")} <= seen[0]
+    assert {("c", "PREPARED"), ("a", "EXPIRED"), ("b", "EXPIRED")} <= seen[1]
+
+
+def test_budgets_name_what_they_leave_out(spark):
+    from normlake.operators import pixels as px
+
+    sizes = spark.createDataFrame([(1, 2, 2), (2, 40, 40)], "image_id int, width int, height int")
+    pixels = spark.createDataFrame([(1, 0, 0, 5), (2, 0, 0, 5)], "image_id int, x int, y int, argb int")
+    assert {r.image_id for r in px.pixel_views(pixels, sizes).collect()} == {1, 2}
+    assert {r.image_id for r in px.pixel_views(pixels, sizes, max_pixels_per_view=100).collect()} == {1}
+    assert [tuple(r) for r in px.pixel_view_rejects(sizes, max_pixels_per_view=100).collect()] == [(2, "VIEW_PIXEL_BUDGET")]
+    assert [tuple(r) for r in px.pixel_view_rejects(sizes, max_aggregate_pixels=100).collect()] == [(2, "AGGREGATE_PIXEL_BUDGET")]
+    tags = spark.createDataFrame([(1, d, f"Name {d} " + "x" * 100, "c", d * 10 + t, "n", 1, 0) for d in range(3) for t in range(2)],
+                                 "image_id int, directory_idx int, directory_name string, directory_class string, tag_idx int, tag_name string, tag_type int, directory_errors int")
+    whole = px.metadata_inventory(tags).collect()
+    assert len(whole) == 3 and all(r.complete and len(r.directory) > 80 and len(r.directory_short) == 80 for r in whole)
+    assert [(r.directory_idx, r.tags, r.complete) for r in px.metadata_inventory(tags, max_tags=3).orderBy("directory_idx").collect()] == [(0, 2, False), (1, 1, False)]
+    assert [(r.directory_idx, r.complete) for r in px.metadata_inventory(tags, max_directories=2).orderBy("directory_idx").collect()] == [(0, False), (1, False)]
