@@ -9,7 +9,7 @@ FUNCTIONAL_NAMES = ("page", "q", "query", "lang", "locale")
 IDENTIFIER_NAMES = ("session", "sessionid", "token", "invite", "user", "account")
 SHORTENER_HOSTS = ("bit.ly", "t.co", "tinyurl.com", "goo.gl", "ow.ly", "t.example")
 
-# Review code -> (decision action, block).
+# --- fixed values: review code -> (decision action, block) ---------------------------------------------
 URL_REVIEWS = {
     "DECEPTIVE_HOST_REVIEW": ("ACCEPT_PROPOSED_CHANGE", "URL-008"),
     "ENCODED_PATH_COMPONENT_REVIEW": ("KEEP_ORIGIN_ONLY", "URL-006"),
