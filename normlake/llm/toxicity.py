@@ -121,22 +121,30 @@ def train(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS) -> T
         own = toxic == label
         share_of[label] = (np.bincount(bucket[own], n[own], 1 << BITS) + 1.0) / (n_class[label] + 2.0)
     ratio = np.log(share_of[1] / share_of[0])
-    ratio[np.abs(ratio) < MIN_RATIO] = 0.0
-    shared = spark.sparkContext.broadcast(ratio)
+    picked = np.flatnonzero(np.abs(ratio) >= MIN_RATIO)
+    if not len(picked):
+        return ToxicModel(np.zeros(1 << BITS), float(np.log(n_class[1] / n_class[0])))
+    # The regression sees the picked buckets only, numbered anew.
+    place = np.full(1 << BITS, -1, np.int32)
+    place[picked] = np.arange(len(picked))
+    shared = spark.sparkContext.broadcast((place, ratio[picked]))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scale = shared.value
+        places, scale = shared.value
         for batch in row_slices(batches, 1):
-            keys = present(_texts(batch.column(1)), scale != 0)
+            keys = present(_texts(batch.column(1)), places >= 0)
             cuts = np.searchsorted(keys >> BITS, np.arange(batch.num_rows + 1))
-            index = keys & ((1 << BITS) - 1)
-            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(v)) for v in (index.astype(np.int32), scale[index])]
+            order = places[keys & ((1 << BITS) - 1)]
+            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(v)) for v in (order, scale[order])]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.float64()), *lists], names=["label", "at", "value"])
 
-    vector = F.udf(lambda at, value: Vectors.sparse(1 << BITS, at, value), VectorUDT())
+    width = len(picked)
+    vector = F.udf(lambda at, value: Vectors.sparse(width, at, value), VectorUDT())
     made = saved(rows.mapInArrow(features, "label double, at array<int>, value array<double>"), f"{folder}/features")
     fitted = LogisticRegression(maxIter=40, regParam=0.01, standardization=False).fit(made.select("label", vector("at", "value").alias("features")))
-    return ToxicModel(fitted.coefficients.toArray() * ratio, float(fitted.intercept))
+    weights = np.zeros(1 << BITS)
+    weights[picked] = fitted.coefficients.toArray() * ratio[picked]
+    return ToxicModel(weights, float(fitted.intercept))
 
 
 def score(docs: DataFrame, model: ToxicModel, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
