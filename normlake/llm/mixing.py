@@ -87,12 +87,12 @@ def plan(docs: DataFrame, weights: Sequence[Mapping[str, int]], budget_share: tu
     barred = [F.col(name) == value for name, level in zip(levels, weights) for value, weight in level.items() if weight <= 0]
     leaves = leaves.withColumn("cap", F.when(reduce(or_, barred, F.lit(False)), F.lit(0)).otherwise(F.col("tokens") * epochs).cast("long"))
     leaves = saved(leaves, f"{folder}/leaves")
-    node, family = leaves.agg(F.expr(f"sum(tokens) * {budget_share[0]} div {budget_share[1]}").alias("asked"), F.sum("cap").alias("cap")), []
-    node = node.select(F.least("asked", "cap").cast("long").alias("total"))
+    root = leaves.agg(F.expr(f"sum(tokens) * {budget_share[0]} div {budget_share[1]}").alias("asked"), F.sum("cap").alias("cap")).first()
+    total = min(int(root["asked"] or 0), int(root["cap"] or 0))
+    node, family = None, []
     for depth, name in enumerate(levels):
         children = leaves.groupBy(*levels[:depth + 1]).agg(F.sum("cap").alias("cap")).withColumn("weight", _weight(weights[depth], name))
-        # The root's budget is a single row.
-        children = children.join(node, family) if family else children.join(F.broadcast(node))
+        children = children.join(node, family) if family else children.withColumn("total", F.lit(total).cast("long"))
         node = _shared(children, family, name)
         family = levels[:depth + 1]
         node = node.select(*family, F.col("budget").alias("total"))

@@ -72,8 +72,8 @@ def links(nodes: DataFrame, radius: int, check: int | None = None, key_rows: int
     coarse = F.col("high") if radius < STARTS else F.col("high") + F.col("loose")
     # Keys far above the common size: at most 5 * 2^13 coarse keys exist, so what is sent to all tasks is bounded.
     sizes = heads.groupBy(coarse.alias("coarse")).agg(F.count("*").alias("rows"))
-    common = sizes.agg((F.sum("rows") / (STARTS * (1 << 13))).alias("mean"))
-    hot = sizes.join(F.broadcast(common)).select("coarse", (F.floor(F.greatest(F.col("rows") - 4 * F.col("mean"), F.lit(0)) / key_rows) + 1).alias("parts")).where(F.col("parts") > 1)
+    above = F.greatest(F.col("rows") - 4.0 * nodes.count() / (1 << 13), F.lit(0.0))
+    hot = sizes.select("coarse", (F.floor(above / key_rows) + 1).alias("parts")).where(F.col("parts") > 1)
 
     none = F.lit(None).cast("long")
     cleared = [F.when((F.col("loose").bitwiseAND(F.lit(1 << b))) != 0, F.col("loose") - (1 << b)).otherwise(none) for b in range(max(WIDTHS))]
