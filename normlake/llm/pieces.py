@@ -31,7 +31,7 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 NOTHING = float("-inf")
 LONG = 64  # characters of a run from which merges go through a heap
 KEPT_RUNS = 300_000  # runs of a generation; a worker remembers the newest two
-AT_ONCE = 50_000  # runs merged side by side
+AT_ONCE = 10_000  # runs merged side by side
 NO_RANK = 1 << 40
 FLUSH = 1 << 20  # characters of a group of texts
 
@@ -238,7 +238,7 @@ class PieceModel:
             ranks = {score: rank for rank, score in enumerate(sorted(set(self.score.values()), reverse=True))}
             found = [(symbols[p[:i]] << 32 | symbols[p[i:]], ranks[score], symbols[p]) for p, score in self.score.items() for i in range(1, len(p)) if p[:i] in symbols and p[i:] in symbols]
             keys, rank, whole = (np.array(column, np.int64) for column in zip(*found))
-            by_char = np.full(0x110000, (1 << 31) - 1, np.int64)
+            by_char = np.full(0x110000, (1 << 31) - 1, np.int32)
             for symbol, number in symbols.items():
                 if len(symbol) == 1:
                     by_char[ord(symbol)] = number
@@ -252,7 +252,7 @@ class PieceModel:
         index, ranks, wholes, by_char = self._pairs()
         if not runs:
             return []
-        symbol = by_char[np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        symbol = by_char[np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
         owner = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
 
         def merges(at: np.ndarray) -> np.ndarray:
@@ -409,16 +409,19 @@ def load(path: str) -> PieceModel:
         return PieceModel(file.read())
 
 
-def encode(docs: DataFrame, model: PieceModel) -> DataFrame:
+def encode(docs: DataFrame, model: PieceModel, decoded: bool = False) -> DataFrame:
     """(doc_id, ids, starts, ends) of every row: piece ids without begin or end marks and their source bytes.
 
+    With ``decoded`` also the text that the ids decode to, from the same worker.
+
     Null and empty texts have no pieces. Repeated rows stay repeated; columns besides doc_id and text are not read.
     """
     get = sent(docs.sparkSession, model)
     ints = T.ArrayType(T.IntegerType())
-    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, ints) for n in ("ids", "starts", "ends")]])
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, ints) for n in ("ids", "starts", "ends")], *[T.StructField("decoded", T.StringType())] * decoded])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codecs.register_error("normlake-each", _each)
         own = get()
         for batch in batches:
             texts, lo, size, group = batch.column(1), 0, 0, []
@@ -429,7 +432,8 @@ def encode(docs: DataFrame, model: PieceModel) -> DataFrame:
                     done = own.encode_all(group)
                     offsets = pa.array(np.concatenate([[0], np.cumsum([len(d[0]) for d in done])]), pa.int32())
                     lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([d[k] for d in done]), pa.int32())) for k in range(3)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(done)), *lists], names=["doc_id", "ids", "starts", "ends"])
+                    lists += [pa.array([own.decode(d[0].tolist()) for d in done], pa.string())] * decoded
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(done)), *lists], names=schema.names)
                     lo, size, group = row + 1, 0, []
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -463,8 +467,6 @@ def token_digest(docs: DataFrame, model: PieceModel) -> DataFrame:
 
     covered_bytes is where the last piece ends in the source.
     """
-    coded = encode(docs, model)
-    digest = coded.select(
+    return encode(docs, model, decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.coalesce(F.get("ends", F.size("ends") - 1), F.lit(0)).cast("long").alias("covered_bytes"), "ids")
-    return decode(digest, model).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "covered_bytes")
+        F.sha2("decoded", 256).alias("decoded_sha256"), F.coalesce(F.get("ends", F.size("ends") - 1), F.lit(0)).cast("long").alias("covered_bytes"))
