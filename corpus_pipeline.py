@@ -18,7 +18,8 @@ from normlake.llm.queries import TARGET, piece_model
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SHARE = 0.5  # a language has to be likelier than all others together
-RADIUS, CHECK = 9, 13  # bits in which the fingerprints of two- and of five-word shingles of near-copies may differ
+RADIUS, CHECK = 9, 20  # bits in which the fingerprints of two- and of five-word shingles of proposed pairs may differ
+SIMILAR = 0.8  # Jaccard similarity of the five-word shingles of near-copies
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +39,10 @@ def detoxify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One text of each group of copies and near-copies stays, the one with the smallest id.
 
-    Near-copies at a similarity of about 0.8 of five-word shingles lie farther apart than a small radius in fingerprints
-    of those shingles. Candidates therefore come from fingerprints of two-word shingles within 9 bits and must also agree
-    in all but 13 bits of the fingerprints of five-word shingles.
+    Texts link when the sets of their five-word shingles have a similarity of 0.8 or more. Fingerprints of two-word shingles
+    within 9 bits and rare shingles in common propose pairs; every link is verified on the sets.
     """
-    return keep_one(docs.select(*COLUMNS), width=2, radius=RADIUS, check_width=5, check=CHECK)
+    return keep_one(docs.select(*COLUMNS), width=2, radius=RADIUS, check_width=5, check=CHECK, similar=SIMILAR)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 
@@ -81,3 +82,31 @@ def portions(texts: Iterator[bytes], context: int, pad: bytes, limit: int = 1 <<
                 parts, places, owners, size = [], [], [], 0
     if parts:
         yield np.frombuffer(b"".join(parts), np.uint8), np.concatenate(places), np.concatenate(owners)
+
+
+class _Words(dict):
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return out
+
+
+def word_hashes(limit: int = 1 << 18) -> Callable[[list[bytes]], np.ndarray]:
+    """A function from words to their 64-bit hashes that remembers up to about ``limit`` words."""
+    known = _Words()
+
+    def get(words: list[bytes]) -> np.ndarray:
+        if len(known) > limit:
+            known.clear()
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+    return get
+
+
+def mixed(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words, from the hashes of the words; runs of different sizes differ too."""
+    n = len(words) - size + 1
+    out = np.full(max(n, 0), size, np.uint64)
+    for at in range(size if n > 0 else 0):
+        out = (out ^ words[at:at + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)

@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from normlake.llm.common import ascii_lower, per_copy, saved, scratch, space_words, text_of
 from normlake.llm.components import components
+from normlake.llm.grams import mixed, word_hashes
 from normlake.llm.simhash import fingerprint, hex64, shingles, votes
 
 STARTS = 5
@@ -31,14 +32,19 @@ _OFFSETS = (0, 13, 26, 39, 52)
 PAIRS_AT_ONCE = 1 << 20
 
 
-def fingerprints(docs: DataFrame, width: int = 4, check_width: int | None = None) -> DataFrame:
+def _wording() -> Column:
+    """A key of the words of ``text``: texts of one key have the same shingles of any width."""
+    return F.xxhash64(F.concat_ws(" ", space_words(ascii_lower(F.col("text")))))
+
+
+def fingerprints(docs: DataFrame, width: int = 4, check_width: int | None = None, worded: bool = False) -> DataFrame:
     """(doc_id, digest, copies, fp) of every distinct (doc_id, text): the bitwise majority over its word shingles.
 
-    ``check_width`` adds ``fp2`` over longer shingles, from the same pass.
+    ``check_width`` adds ``fp2`` over longer shingles, from the same pass; ``worded`` adds ``node``, a key of the words.
     """
     text = docs.select("doc_id", text_of().alias("text"))
-    rows = text.select("doc_id", F.xxhash64("text").alias("digest"), space_words(ascii_lower(F.col("text"))).alias("_words"))
-    keys = ["doc_id", "digest"]
+    keys = ["doc_id", "digest", *["node"] * worded]
+    rows = text.select("doc_id", F.xxhash64("text").alias("digest"), *[_wording().alias("node")] * worded, space_words(ascii_lower(F.col("text"))).alias("_words"))
     copies = F.count_if(F.col("pos") == 0).alias("copies")
     if check_width is None:
         sums = shingles(rows, keys, F.col("_words"), width).groupBy(*keys).agg(copies, *votes())
@@ -185,20 +191,101 @@ def star(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([nodes[moved], nodes[label[moved]]])
 
 
-def near_groups(docs: DataFrame, width: int = 4, radius: int = 4, check_width: int | None = None, check: int | None = None) -> DataFrame:
+def shared_shingles(docs: DataFrame, width: int) -> DataFrame:
+    """(hash, node, size, many): the shingles that two or more wordings hold, the wordings, the number of distinct
+    shingles of each and the number of wordings that hold this one. A shingle of one wording is in no intersection."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = word_hashes()
+        for batch in batches:
+            texts = batch.column(1)
+            for lo in range(0, batch.num_rows, 256):
+                sets = []
+                for row in range(lo, min(lo + 256, batch.num_rows)):
+                    h = get(texts[row].as_py().encode("utf-8", "surrogatepass").lower().split())
+                    sets.append(np.unique(mixed(h, min(width, len(h))) if len(h) else np.zeros(1, np.int64)))
+                size = np.array([len(x) for x in sets])
+                node = batch.column(0).slice(lo, len(sets)).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(np.repeat(node, size)), pa.array(np.repeat(size, size).astype(np.int32))], names=["hash", "node", "size"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out(cols: list[np.ndarray]) -> pa.RecordBatch:
+            h, node, size = cols
+            own = np.concatenate([[True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])])
+            h, node, size = h[own], node[own], size[own]
+            run = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
+            many = np.bincount(run)[run]
+            keep = many > 1
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, node, size, many)], names=["hash", "node", "size", "many"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy() for c in batch.columns]
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            if last:
+                yield out([np.concatenate([k, c[:last]]) for k, c in zip(held, cols)] if held else [c[:last] for c in cols])
+                held = [c[last:].copy() for c in cols]
+            elif held and held[0][0] != cols[0][0]:
+                yield out(held)
+                held = [c.copy() for c in cols]
+            else:
+                held = [np.concatenate([k, c]) for k, c in zip(held, cols)] if held else [c.copy() for c in cols]
+        if held:
+            yield out(held)
+
+    rows = docs.select(text_of().alias("text")).select(_wording().alias("node"), "text").mapInArrow(cut, "hash long, node long, size int")
+    return rows.repartition("hash").sortWithinPartitions("hash", "node").mapInArrow(meet, "hash long, node long, size int, many long")
+
+
+def verified(links: DataFrame, shared: DataFrame, similar: float) -> DataFrame:
+    """The links (a, b) whose shingle sets have a Jaccard similarity of ``similar`` or more; ``shared``: see above."""
+    left = shared.select(F.col("node").alias("a"), "hash", F.col("size").alias("_a"))
+    right = shared.select(F.col("node").alias("b"), "hash", F.col("size").alias("_b"))
+    both = links.join(left, "a").join(right, ["b", "hash"]).groupBy("a", "b").agg(F.count("*").alias("n"), F.first("_a").alias("_a"), F.first("_b").alias("_b"))
+    return both.where(F.col("n") >= similar * (F.col("_a") + F.col("_b") - F.col("n")) - 1e-9).select("a", "b")
+
+
+def similar_links(docs: DataFrame, candidates: DataFrame, width: int, similar: float, folder: str) -> DataFrame:
+    """Links that connect the same wordings as all pairs at a Jaccard similarity of ``similar`` or more would.
+
+    Two sets that similar share one of the first ``size - ceil(similar * size) + 1`` shingles of each, whatever the
+    common order. In order of how many wordings hold a shingle those of one wording come first, so a wording with too
+    many of its own has no partner. First ``candidates`` and one star per shingle are verified; then only pairs that
+    these leave apart are, so that a large group of near-copies is not compared pair by pair.
+    """
+    shared = saved(shared_shingles(docs, width), f"{folder}/shared")
+    own = Window.partitionBy("node")
+    first = F.col("size") - F.ceil(similar * F.col("size") - 1e-9) + 1 - (F.col("size") - F.count("*").over(own))
+    heads = shared.withColumn("_first", first).where(F.col("_first") > 0).withColumn("_turn", F.row_number().over(own.orderBy("many", "hash")))
+    heads = saved(heads.where(F.col("_turn") <= F.col("_first")).select("hash", "node", "size"), f"{folder}/heads")
+    stars = heads.join(heads.groupBy("hash").agg(F.min("node").alias("b")), "hash").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b")
+    stars = saved(verified(candidates.select("a", "b").unionByName(stars).distinct(), shared, similar), f"{folder}/stars")
+    heads = heads.join(components(stars), "node", "left").select("hash", "node", "size", F.coalesce("root", "node").alias("root"))
+    a, b = heads.alias("a"), heads.alias("b")
+    apart = (F.col("a.hash") == F.col("b.hash")) & (F.col("a.root") < F.col("b.root"))
+    near = F.least("a.size", "b.size") >= similar * F.greatest("a.size", "b.size") - 1e-9
+    pairs = a.join(b, apart & near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    return stars.unionByName(verified(pairs, shared, similar))
+
+
+def near_groups(docs: DataFrame, width: int = 4, radius: int = 4, check_width: int | None = None, check: int | None = None, similar: float | None = None) -> DataFrame:
     """(doc_id, digest, copies, fp, root, component_id): groups of texts whose fingerprints link within ``radius`` bits.
 
     component_id is the smallest doc_id reachable over links, null only where all ids of a group are null; root names
-    the group. With ``check_width`` a second fingerprint over that shingle width has to be within ``check`` bits too.
+    the group. With ``check_width`` a second fingerprint over that shingle width has to be within ``check`` bits too. With
+    ``similar`` fingerprints only propose: texts link at that Jaccard similarity of their shingles of ``check_width`` words.
     One row for each distinct (doc_id, text), ``copies`` counts its rows; null and empty texts have fingerprint zero and
     link like any other; columns besides doc_id and text are not looked at; an empty table gives an empty table.
     """
     folder = scratch(docs.sparkSession)
-    prints = fingerprints(docs, width, check_width)
-    both = check_width is not None
-    prints = saved(prints.withColumn("node", F.xxhash64("fp", "fp2") if both else F.col("fp")), f"{folder}/prints")
+    both, worded = check_width is not None, similar is not None
+    prints = fingerprints(docs, width, check_width, worded)
+    prints = saved(prints if worded else prints.withColumn("node", F.xxhash64("fp", "fp2") if both else F.col("fp")), f"{folder}/prints")
     nodes = prints.select("node", "fp", *["fp2"] * both).distinct()
-    roots = components(links(nodes, radius, check if both else None))
+    found = links(nodes, radius, check if both else None)
+    roots = components(similar_links(docs, found, check_width, similar, folder) if worded else found)
     least = prints.groupBy("node").agg(F.min("doc_id").alias("least"))
     ids = saved(least.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), f"{folder}/nodes")
     group = ids.groupBy("root").agg(F.min("least").alias("component_id"))

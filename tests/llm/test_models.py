@@ -207,3 +207,45 @@ def test_sql_twins_agree(spark, name):
     got = QUERIES[name](spark, DATA)
     assert sorted(got.columns) == sorted(columns)
     assert rows(got.select(*columns)) == sorted(cursor.fetchall(), key=str)
+
+
+def jaccard_keeps(texts, similar=0.8):
+    """Ids that stay when all pairs are compared."""
+    def cut(text):
+        w = text.lower().split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, root = {i: cut(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in texts:
+        for b in texts:
+            if a < b and len(sets[a] & sets[b]) >= similar * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return sorted(i for i in texts if top(i) == i)
+
+
+def test_near_dedup_links_at_the_stated_similarity(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{k}" for k in range(1500)]
+    words = lambda n: [vocabulary[int(k * k * 1500)] for k in rng.random(n)]
+    texts = {}
+    for i in range(30):
+        w = words(int(rng.integers(90, 260)))
+        n = len(w)
+        block, far, wide = list(w), list(w), list(w)
+        block[n // 3:n // 3 + n // 11] = words(n // 11)
+        far[:n // 7] = words(n // 7)  # about 0.75
+        for k in rng.choice(n, n // 45, replace=False):
+            wide[k] = "other"
+        for k, v in enumerate((w, block, w + words(n // 5), far, wide, [x.upper() for x in w])):
+            texts[k * 100 + i] = " ".join(v)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], SCHEMA)
+    want = jaccard_keeps(texts)
+    assert 30 < len(want) < 100
+    assert sorted(r.doc_id for r in corpus_pipeline.deduplicate(spark, docs, str(tmp_path)).collect()) == want
