@@ -87,13 +87,14 @@ class ToxicModel:
 def train(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS) -> ToxicModel:
     """A model from the labelled texts (doc_id in both tables, toxic 0 or 1).
 
-    About ``class_rows`` ids of each class are drawn, so the joined sample is bounded. An id with several labels counts
-    as toxic if one says so; null ids and labels are left out. Without both classes every score is the share of toxic
+    About ``class_rows`` ids of each class are drawn, so the joined sample is bounded; each weighs as many as it stands
+    for, so the shares of the classes are those of all labels. An id with several labels counts as toxic if one says so; null ids and labels are left out. Without both classes every score is the share of toxic
     labels, or 0 without any label.
     """
     spark, folder = docs.sparkSession, scratch(docs.sparkSession)
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     supply = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    stands = {label: max(1.0, n / class_rows) for label, n in supply.items()}
     share = F.lit(0.0)
     for label, n in supply.items():
         share = F.when(F.col("toxic") == label, F.lit(min(1.0, class_rows / n))).otherwise(share)
@@ -123,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS) -> T
     ratio = np.log(share_of[1] / share_of[0])
     picked = np.flatnonzero(np.abs(ratio) >= MIN_RATIO)
     if not len(picked):
-        return ToxicModel(np.zeros(1 << BITS), float(np.log(n_class[1] / n_class[0])))
+        return ToxicModel(np.zeros(1 << BITS), float(np.log(n_class[1] * stands[1] / (n_class[0] * stands[0]))))
     # The regression sees the picked buckets only, numbered anew.
     place = np.full(1 << BITS, -1, np.int32)
     place[picked] = np.arange(len(picked))
@@ -141,7 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS) -> T
     width = len(picked)
     vector = F.udf(lambda at, value: Vectors.sparse(width, at, value), VectorUDT())
     made = saved(rows.mapInArrow(features, "label double, at array<int>, value array<double>"), f"{folder}/features")
-    fitted = LogisticRegression(maxIter=40, regParam=0.01, standardization=False).fit(made.select("label", vector("at", "value").alias("features")))
+    weight = F.when(F.col("label") == 1, stands[1]).otherwise(stands[0]).alias("weight")
+    fitted = LogisticRegression(maxIter=40, regParam=0.01, standardization=False, weightCol="weight").fit(made.select("label", weight, vector("at", "value").alias("features")))
     weights = np.zeros(1 << BITS)
     weights[picked] = fitted.coefficients.toArray() * ratio[picked]
     return ToxicModel(weights, float(fitted.intercept))

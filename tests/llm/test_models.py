@@ -151,6 +151,20 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.held_out_toxicity(nothing(spark), labels).count() == 0
 
 
+def test_toxicity_does_not_depend_on_the_number_of_labels(spark):
+    rng = np.random.default_rng(2)
+    words = {0: ["calm", "flow", "river", "stone", "green"], 1: ["vile", "scum", "filth", "stone", "green"]}
+    small = [(i, int(i % 9 == 0), " ".join(rng.choice(words[int(i % 9 == 0)] if rng.random() < 0.6 else words[int(rng.random() < 0.2)], 5))) for i in range(1800)]
+    probe = spark.createDataFrame([(i, t) for i, _, t in small], "doc_id long, text string")
+    mean = []
+    for times in (1, 10):
+        table = spark.createDataFrame([(k * 10_000 + i, label, t) for k in range(times) for i, label, t in small], "doc_id long, toxic int, text string")
+        model = toxicity.train(table.select("doc_id", "text"), table.select("doc_id", "toxic"), class_rows=1600)
+        mean.append(np.array([r.score for r in toxicity.score(probe, model).orderBy("doc_id").collect()]))
+    assert abs(mean[0].mean() - mean[1].mean()) < 0.02
+    assert np.abs(mean[0] - mean[1]).mean() < 0.03
+
+
 # -- the pipeline ---------------------------------------------------------------------------------------------------
 def labelled(tmp_path, spark):
     spark.createDataFrame([(1, 1, 0), (2, 1, 0), (8, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
