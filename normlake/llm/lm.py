@@ -9,6 +9,17 @@ of the count tables on the n-gram:
 
 and a single byte scores its share of the corpus. Documents are exploded to distinct n-grams with counts, joined to the
 scores and summed. N-grams are packed into a long, exact without collisions.
+
+The word model (``score_words``, what the query runs) has n-grams of up to ``WORDS`` words, keyed by 64-bit hashes, and
+scores a word after the up to two words before it in its text; a lone word scores its share of all words. Its count
+tables grow with the input, so they are always met by shuffle. Only the most frequent n-grams, at most one in
+``FREQUENT`` occurrences each and so of bounded number, are sent to the tasks, which keeps them out of the shuffle. For
+the sum over a text, the score of a word is split into what each n-gram that ends there adds:
+
+    of one word             log(count / words), and log(BACKOFF) for each longer n-gram that the text has there
+    of more, if it is seen  its own log share, less what its shorter n-gram scores with one BACKOFF
+
+so that a text's score is one sum over its distinct n-grams of all orders, and n-grams that are not seen add nothing.
 """
 
 from __future__ import annotations
@@ -21,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from normlake.llm.common import per_copy, saved, scratch, text_of
-from normlake.llm.grams import packed, portions
+from normlake.llm.common import per_copy, saved, scratch, sent, text_of
+from normlake.llm.grams import mixed, packed, portions, word_hashes
 
 ORDER = 5
 PAD = b"\n" * (ORDER - 1)
@@ -30,6 +41,8 @@ BACKOFF = 0.4
 MIN_COUNT = 2
 SENT_ROWS = 2_000_000  # a score table up to this size (about 32 MB) is sent to all tasks; a larger one is joined by shuffle
 HELD = 1 << 21
+WORDS = 3
+FREQUENT = 1 << 14
 
 
 def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -110,3 +123,121 @@ def score_documents(docs: DataFrame, corpus: DataFrame | None = None) -> DataFra
     sums = sums.withColumns({"n_bytes": F.expr("n_bytes div copies"), "log_score": F.col("log_score") / F.col("copies")})
     mean = F.when(F.col("n_bytes") > 0, F.col("log_score") / F.col("n_bytes"))
     return per_copy(sums.select("doc_id", "n_bytes", "log_score", mean.alias("mean_log_score"), "copies"))
+
+
+def _split(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def count_words(docs: DataFrame, order: int = WORDS) -> DataFrame:
+    """(gram, size, context, low, n): how often every run of 1 to ``order`` words occurs, summed in tasks first.
+
+    ``context`` and ``low`` are the n-grams without the last and without the first word, 0 of single words.
+    """
+    names = ["gram", "size", "context", "low", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = word_hashes()
+        parts: list[list[np.ndarray]] = []
+        held = 0
+
+        def merged() -> list[np.ndarray]:
+            gram, size, context, low, n = (np.concatenate(c) for c in zip(*parts))
+            key, first, at = np.unique(gram, return_index=True, return_inverse=True)
+            return [key, size[first], context[first], low[first], np.bincount(at, n, len(key)).astype(np.int64)]
+
+        for batch in batches:
+            for t in batch.column(0):
+                h = get(_split(t.as_py()))
+                below = None
+                for size in range(1, min(order, len(h)) + 1):
+                    gram = mixed(h, size)
+                    none = np.zeros(len(gram), np.int64)
+                    parts.append([gram, np.full(len(gram), size, np.int32), none if below is None else below[:-1], none if below is None else below[1:], np.ones(len(gram), np.int64)])
+                    held += len(gram)
+                    below = gram
+                if held > HELD:
+                    parts = [merged()]
+                    held = len(parts[0][0])
+                    if held > HELD // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in parts[0]], names=names)
+                        parts, held = [], 0
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged()], names=names)
+
+    rows = docs.select(text_of().alias("text")).mapInArrow(run, "gram long, size int, context long, low long, n long")
+    rows = rows.repartition("gram").groupBy("gram")  # summed in tasks already
+    return rows.agg(F.min("size").alias("size"), F.min("context").alias("context"), F.min("low").alias("low"), F.sum("n").alias("n"))
+
+
+def score_parts(counts: DataFrame, total: int, order: int = WORDS, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
+    """(gram, n, part): what every seen n-gram adds to the score of a word that it ends in."""
+    level = counts.where("size = 1").select("gram", "n", F.log(F.col("n") / F.lit(float(total))).alias("score"))
+    out = level.select("gram", "n", F.col("score").alias("part"))
+    for size in range(2, order + 1):
+        seen = counts.where((F.col("size") == size) & (F.col("n") >= min_count)).select("gram", "context", "low", "n")
+        context = level.select(F.col("gram").alias("context"), F.col("n").alias("_n"))
+        low = level.select(F.col("gram").alias("low"), F.col("score").alias("_low"))
+        level = seen.join(context, "context").join(low, "low").select("gram", "n", F.log(F.col("n") / F.col("_n")).alias("score"), "_low")
+        out = out.unionByName(level.select("gram", "n", (F.col("score") - F.col("_low") - F.lit(float(np.log(backoff)))).alias("part")))
+    return out
+
+
+def score_words(docs: DataFrame, corpus: DataFrame | None = None, order: int = WORDS) -> DataFrame:
+    """(doc_id, n_words, log_score, mean_log_score) of every row, scored by the word n-grams of ``corpus`` (default: ``docs``).
+
+    Words are what lies between blanks, A-Z lower-cased. A word that the corpus lacks counts as one in all its words and
+    one more. Null texts and texts without words have sum 0 and a null mean. Rows are told apart as in :func:`score_documents`.
+    """
+    spark, folder = docs.sparkSession, scratch(docs.sparkSession)
+    counts = count_words(docs if corpus is None else corpus, order)
+    counts = saved(counts.where((F.col("size") == 1) | (F.col("n") >= MIN_COUNT)), f"{folder}/counts")
+    total = counts.where("size = 1").agg(F.sum("n")).first()[0] or 0
+    parts = saved(score_parts(counts, total, order), f"{folder}/parts")
+    top = parts.where(F.col("n") > total / FREQUENT).toArrow().sort_by("gram")  # fewer than FREQUENT of each order
+    top_of = sent(spark, (top["gram"].to_numpy(), top["part"].to_numpy()))
+    unknown = -float(np.log(total + 1))
+    step = float(np.log(BACKOFF))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, (known, part) = word_hashes(), top_of()
+        for batch in batches:
+            texts = batch.column(2)
+            for lo in range(0, batch.num_rows, 64):
+                owner, gram, size, n, sums = [], [], [], [], []
+                for row in range(lo, min(lo + 64, batch.num_rows)):
+                    h = get(_split(texts[row].as_py()))
+                    done = step * sum(max(len(h) - k, 0) for k in range(1, order))
+                    own = [(np.zeros(1, np.int64), np.array([len(h)]), 0)]
+                    for k in range(1, min(order, len(h)) + 1):
+                        g, m = np.unique(mixed(h, k), return_counts=True)
+                        if len(known):
+                            at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+                            hit = known[at] == g
+                            done += float(part[at[hit]] @ m[hit])
+                            g, m = g[~hit], m[~hit]
+                        own.append((g, m, k))
+                    # The text's own row: a key of its own, its words and what is scored already.
+                    own[0][0][0] = batch.column(1)[row].as_py()
+                    for g, m, k in own:
+                        owner.append(np.full(len(g), row))
+                        gram.append(g)
+                        n.append(m)
+                        size.append(np.full(len(g), k, np.int8))
+                        sums.append(np.full(len(g), done if k == 0 else 0.0))
+                at = pa.array(np.concatenate(owner))
+                cols = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.concatenate(c)) for c in (gram, size, n, sums))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "gram", "size", "n", "done"])
+
+    text = docs.select("doc_id", text_of().alias("text")).select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    made = [T.StructField(c, t) for c, t in (("digest", T.LongType()), ("gram", T.LongType()), ("size", T.ByteType()), ("n", T.LongType()), ("done", T.DoubleType()))]
+    rows = text.mapInArrow(run, T.StructType([docs.schema["doc_id"], *made]))
+    rows = rows.join(parts.select("gram", "part").hint("shuffle_hash"), "gram", "left")
+    own = F.col("size") == 0
+    missing = F.when(F.col("size") == 1, F.lit(unknown)).otherwise(F.lit(0.0))
+    sums = rows.groupBy("doc_id", "digest").agg(
+        F.count_if(own).alias("copies"), F.sum(F.when(own, F.col("n")).otherwise(F.lit(0))).alias("n_words"),
+        F.sum(F.when(own, F.col("done")).otherwise(F.col("n") * F.coalesce("part", missing))).alias("log_score"))
+    sums = sums.withColumns({"n_words": F.expr("n_words div copies"), "log_score": F.col("log_score") / F.col("copies")})
+    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
+    return per_copy(sums.select("doc_id", "n_words", "log_score", mean.alias("mean_log_score"), "copies"))

@@ -12,7 +12,7 @@ from normlake.llm.common import table
 from normlake.llm.fingerprinting import fingerprint_edits
 from normlake.llm.licenses import oracle as license_oracle
 from normlake.llm.licenses import scan
-from normlake.llm.lm import score_documents
+from normlake.llm.lm import score_words
 from normlake.llm.mixing import mix
 from normlake.llm.mixing import oracle as mixing_oracle
 from normlake.llm.neardup import simhash_near_dedup
@@ -89,7 +89,7 @@ def op8_ogg_media(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
-    return score_documents(table(spark, folder, "documents"))
+    return score_words(table(spark, folder, "documents"))
 
 
 @query

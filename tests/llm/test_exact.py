@@ -408,6 +408,45 @@ def test_backoff_scores_match_brute_force(spark, monkeypatch):
     assert lm.score_documents(nothing(spark)).count() == 0
 
 
+def word_scores(table, scored):
+    counts = Counter()
+    for _, text in table:
+        w = words_of(lowered(text or ""))
+        counts.update(tuple(w[i:i + k]) for k in range(1, lm.WORDS + 1) for i in range(len(w) - k + 1))
+    total = sum(n for g, n in counts.items() if len(g) == 1)
+
+    def score(g):
+        if len(g) == 1:
+            return np.log(counts[g] / total) if counts[g] else -np.log(total + 1)
+        return np.log(counts[g] / counts[g[:-1]]) if counts[g] >= lm.MIN_COUNT else np.log(lm.BACKOFF) + score(g[1:])
+
+    out = []
+    for i, text in scored:
+        w = words_of(lowered(text or ""))
+        out.append((i, len(w), sum(score(tuple(w[max(0, k - lm.WORDS + 1):k + 1])) for k in range(len(w)))))
+    return out
+
+
+@pytest.mark.parametrize("frequent", [1 << 14, 1])
+def test_word_scores_match_brute_force(spark, monkeypatch, frequent):
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    rng = random.Random(3)
+    table = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 40)))) for i in range(40)] + [(r[0], r[1]) for r in ROWS]
+    other = [(1, "a b c a b zebra c d"), (1, "a b c a b zebra c d"), (2, None), (3, "zebra"), (4, "A b")]
+    frame = lambda t: spark.createDataFrame(t, "doc_id long, text string")
+    for scored, got in ((table, lm.score_words(frame(table))), (other, lm.score_words(frame(other), frame(table)))):
+        want = sorted(word_scores(table, scored), key=lambda r: (str(r[0]), r[1], r[2]))
+        found = sorted(((r.doc_id, r.n_words, r.log_score, r.mean_log_score) for r in got.collect()), key=lambda r: (str(r[0]), r[1], r[2]))
+        assert [r[:2] for r in found] == [r[:2] for r in want]
+        assert np.allclose([r[2] for r in found], [r[2] for r in want])
+        assert all((r[3] is None) == (r[1] == 0) for r in found)
+
+
+def test_the_query_scores_words(spark):
+    from normlake.llm.queries import QUERIES
+    assert "n_words" in QUERIES["op9_lm_scoring"](spark, "/root/testdata/sf0.001").columns
+
+
 # -- mixing ---------------------------------------------------------------------------------------------------------
 def filled(total, children):
     """{name: amount} by weight under caps, with exact fractions."""
