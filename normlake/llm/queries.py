@@ -8,6 +8,8 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from normlake.llm.alignment import Vocabularies, align_documents
+from normlake.llm.ann import nearest
 from normlake.llm.common import table
 from normlake.llm.fingerprinting import fingerprint_edits
 from normlake.llm.licenses import oracle as license_oracle
@@ -17,6 +19,8 @@ from normlake.llm.mixing import mix
 from normlake.llm.mixing import oracle as mixing_oracle
 from normlake.llm.neardup import simhash_near_dedup
 from normlake.llm.ogg import media_digest
+from normlake.llm.phrases import collocations
+from normlake.llm.phrases import oracle as phrase_oracle
 from normlake.llm.pieces import PieceModel, load, token_digest
 from normlake.llm.ppm import held_out_language_id
 from normlake.llm.sharding import shard_documents
@@ -25,6 +29,7 @@ from normlake.llm.toxicity import held_out_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_LEVEL = "byte_bpe_50k.json"
 #: Weights of domains, languages and sources; names that are absent weigh 1.
 TARGET = ({"d0": 4, "d1": 3, "d2": 2, "d3": 1}, {"en": 4, "de": 2, "fr": 2, "es": 1}, {})
 
@@ -95,3 +100,21 @@ def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return token_digest(table(spark, folder, "documents"), piece_model())
+
+
+@query
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align_documents(table(spark, folder, "documents"), Vocabularies(path(BYTE_LEVEL), path(PIECE_MODEL)))
+
+
+@query
+def op12_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
+ORACLES["op13_collocations"] = phrase_oracle()
