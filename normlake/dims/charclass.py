@@ -72,9 +72,14 @@ SCRIPTS = (
 )
 SHAPING_SCRIPTS = ("ARABIC", "DEVANAGARI")
 
-# --- fixed values: look-alike letters (Cyrillic, Greek -> Latin) -----------------------------------
-CONFUSABLE_FROM = "аеорсухіјѕһԁԛԝАВЕКМНОРСТХІЈЅοαρυνιΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
-CONFUSABLE_TO = "aeopcyxijshdqwABEKMHOPCTXIJSoapuviABEZHIKMNOPTYX"
+# --- fixed values: look-alike letters (Cyrillic, Greek, Armenian, Cherokee -> Latin) ----------------
+CONFUSABLE_FROM = "аеорсухіјѕһԁԛԝАВЕКМНОРСТХІЈЅοαρυνιΑΒΕΖΗΙΚΜΝΟΡΤΥΧօոսհզցՏՕԼᎠᎡᎢᎪᎫᎬᎳᎷᎻᏃᏙᏢᏦᏞᏟ"
+CONFUSABLE_TO = "aeopcyxijshdqwABEKMHOPCTXIJSoapuviABEZHIKMNOPTYXonuhqgSOLDRTAJEWMHZVPKLC"
+# Full-width letters and digits look like the ASCII ones they stand 0xFEE0 behind.
+_FULL_WIDTH = [c for c in range(0xFF10, 0xFF5B) if chr(c - 0xFEE0).isalnum()]
+CONFUSABLE_FROM += "".join(map(chr, _FULL_WIDTH))
+CONFUSABLE_TO += "".join(chr(c - 0xFEE0) for c in _FULL_WIDTH)
+assert len(CONFUSABLE_FROM) == len(CONFUSABLE_TO)
 
 
 def char_class(ranges: str, negate: bool = False) -> str:

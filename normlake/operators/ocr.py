@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from normlake.functions import text as tx
 from normlake.operators.ordering import ranked
-from normlake.session import ensure_checkpoint_dir
+from normlake.session import discard, stored
 
 _BOX = ("left", "top", "right", "bottom")
-_GRID = 16
 
 
 def _side(a: str, b: str, low: str, high: str) -> Column:
@@ -27,23 +26,38 @@ def _iou(a: str, b: str) -> Column:
     return F.when(union <= 0, F.lit(0.0)).otherwise(_intersection(a, b) / union)
 
 
-def _cell(value: Column) -> Column:
-    return F.least(F.floor(value * _GRID), F.lit(_GRID - 1)).cast("int")
+_LEVELS = 6
+
+
+def _level(side: Column) -> Column:
+    """The finest grid, of 4^level cells along a side, whose cells are as wide as ``side``."""
+    return sum((F.when(side <= 4.0 ** -k, 1).otherwise(0) for k in range(1, _LEVELS + 1)), F.lit(0))
+
+
+def _cell(value: Column, level: Column) -> Column:
+    """Cell of a coordinate; those outside the image count with its edge cells."""
+    cells = F.pow(F.lit(4.0), level)
+    return F.greatest(F.least(F.floor(value * cells), cells - 1), F.lit(0.0)).cast("int")
 
 
 def touching_pairs(boxes: DataFrame, group: str, ident: str) -> DataFrame:
-    """Ordered pairs of boxes of a group that share area, found through grid cells.
+    """Ordered pairs of boxes of a group that share area.
 
-    A pair meets in the cell of its common corner only, so it is produced once.
+    Columns and rows each have a grid per size of box, so small boxes meet in small cells however many lie close together,
+    and long lines of text in flat ones. A box is in at most two cells along a side of its own grid and of each coarser one
+    in use. A pair meets in the coarser grid of its two on either side, in the cell of its common corner only.
     """
-    cells = boxes.select(
-        group, F.col(ident).alias("_id"), *_BOX,
-        F.explode(F.sequence(_cell(F.col("left")), _cell(F.col("right")))).alias("_cx"),
-    ).withColumn("_cy", F.explode(F.sequence(_cell(F.col("top")), _cell(F.col("bottom")))))
-    a = cells.select(group, "_cx", "_cy", F.col("_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in _BOX])
-    b = cells.select(group, "_cx", "_cy", F.col("_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in _BOX])
-    both = a.join(b, [group, "_cx", "_cy"])
-    home = (_cell(F.greatest("a_left", "b_left")) == F.col("_cx")) & (_cell(F.greatest("a_top", "b_top")) == F.col("_cy"))
+    own = boxes.select(group, F.col(ident).alias("_id"), *_BOX, _level(F.col("right") - F.col("left")).alias("_lx"), _level(F.col("bottom") - F.col("top")).alias("_ly"))
+    used = own.select("_lx", "_ly").distinct()  # at most 49 rows
+    at_x, at_y = used.select(F.col("_lx").alias("_x")).distinct(), used.select(F.col("_ly").alias("_y")).distinct()
+    cells = own.join(F.broadcast(at_x), F.col("_x") <= F.col("_lx")).join(F.broadcast(at_y), F.col("_y") <= F.col("_ly"))
+    cells = cells.withColumn("_cx", F.explode(F.sequence(_cell(F.col("left"), F.col("_x")), _cell(F.col("right"), F.col("_x")))))
+    cells = cells.withColumn("_cy", F.explode(F.sequence(_cell(F.col("top"), F.col("_y")), _cell(F.col("bottom"), F.col("_y")))))
+    key = [group, "_x", "_y", "_cx", "_cy"]
+    side = lambda p: cells.select(*key, F.col("_id").alias(p[:-1]), *[F.col(c).alias(f"{p}{c}") for c in (*_BOX, "_lx", "_ly")])
+    both = side("a_").join(side("b_"), key)
+    home = (F.least("a__lx", "b__lx") == F.col("_x")) & (F.least("a__ly", "b__ly") == F.col("_y"))
+    home &= (_cell(F.greatest("a_left", "b_left"), F.col("_x")) == F.col("_cx")) & (_cell(F.greatest("a_top", "b_top"), F.col("_y")) == F.col("_cy"))
     return both.where(home & (_intersection("a_", "b_") > 0))
 
 
@@ -59,15 +73,15 @@ def ocr_clusters(observations: DataFrame, min_iou: float) -> DataFrame:
     if min_iou <= 0:
         first = observations.groupBy("image_id").agg(F.min("seq").alias("cluster_id"))
         return observations.join(first, "image_id")
-    ensure_checkpoint_dir(observations.sparkSession)
     keyed = observations.withColumn("_box", F.xxhash64(*_BOX))
     boxes = keyed.groupBy("image_id", "_box").agg(F.min("seq").alias("_first"), *[F.first(c).alias(c) for c in _BOX])
-    near = touching_pairs(boxes, "image_id", "_box").where(_iou("a_", "b_") >= min_iou).select("image_id", "a", "b").checkpoint()
+    near = touching_pairs(boxes, "image_id", "_box").where(_iou("a_", "b_") >= min_iou).select("image_id", "a", "b")
+    near = stored(near, "near")
     firsts = boxes.select("image_id", F.col("_box").alias("b"), F.col("_first").alias("_bf"))
     opened = near.join(firsts, ["image_id", "b"]).groupBy("image_id", "a").agg(F.min("_bf").alias("_earliest"))
     founders = boxes.select("image_id", F.col("_box").alias("a"), "_first").join(opened, ["image_id", "a"], "left").where(
         F.col("_earliest").isNull() | (F.col("_earliest") == F.col("_first")))
-    state = founders.select("image_id", F.col("a").alias("_box"), F.col("_first").alias("label"), F.col("_first").alias("since")).checkpoint()
+    state = stored(founders.select("image_id", F.col("a").alias("_box"), F.col("_first").alias("label"), F.col("_first").alias("since")), "labels")
     arrivals = keyed.select("image_id", "_box", "seq")
     fresh = state
     while True:
@@ -77,10 +91,13 @@ def ocr_clusters(observations: DataFrame, min_iou: float) -> DataFrame:
         better = step.join(known, ["image_id", "_box"], "left").groupBy("image_id", "_box", "label", "since").agg(
             F.max(F.coalesce((F.col("_l") <= F.col("label")) & (F.col("_s") <= F.col("since")), F.lit(False))).alias("_old")
         ).where(~F.col("_old")).drop("_old")
-        fresh = better.checkpoint()
+        last, fresh = fresh, stored(better, "fresh")
+        if last is not state:
+            discard(last)
         if fresh.isEmpty():
             break
-        state = state.unionByName(fresh).groupBy("image_id", "_box", "label").agg(F.min("since").alias("since")).checkpoint()
+        last, state = state, stored(state.unionByName(fresh).groupBy("image_id", "_box", "label").agg(F.min("since").alias("since")), "labels")
+        discard(last)
     labelled = keyed.select("image_id", "seq", "_box").join(state, ["image_id", "_box"]).where(F.col("since") <= F.col("seq")).groupBy(
         "image_id", "seq").agg(F.min("label").alias("cluster_id"))
     return observations.join(labelled, ["image_id", "seq"])
@@ -139,7 +156,7 @@ def reading_order(regions: DataFrame, direction: str, tolerance: float) -> DataF
         "RIGHT_TO_LEFT": (line("top"), -F.col("right")),
         "VERTICAL": (-line("right"), F.col("top")),
     }[direction]
-    return ranked(regions, "image_id", [first, F.floor(second * 64)], [second.asc(), F.col("cluster_id").asc()], "reading_order_index")
+    return ranked(regions, "image_id", [first.asc(), second.asc(), F.col("cluster_id").asc()], "reading_order_index")
 
 
 # ------------------------------------------------------------------------------------------ O05, O06

@@ -18,9 +18,10 @@ from pyspark.sql.types import StringType
 from normlake.dims import charclass as cc
 from normlake.dims import url_rules as ur
 from normlake.functions import text as tx
-from normlake.functions.rows import keep_rows, to_rows
+from normlake.functions.rows import keep_rows, settled, to_rows
 from normlake.operators.text_inventory import cover_array, with_source_defaults
 from normlake.operators.text_findings import FINDING, _finding
+from normlake.operators import lookalikes
 
 CANDIDATE = (
     "array<struct<start:int,end:int,kind:string,original:string,display:string,target:string,"
@@ -400,15 +401,27 @@ def percent_encoding_check(candidates: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------------ U09 - U15
-def host_spoof_check(parsed: DataFrame) -> DataFrame:
-    """Decoded host, its look-alike skeleton and whether it needs review."""
+def host_spoof_check(parsed: DataFrame, prototypes: DataFrame | None = None) -> DataFrame:
+    """Decoded host, its look-alike skeleton and whether it needs review.
+
+    Skeletons come from ``prototypes`` where given (see :mod:`lookalikes`), each distinct host drawn once; else from the
+    short built-in table, where the row lies.
+    """
     decoded = F.coalesce(_idna_unicode(F.when(F.col("host").contains("xn--"), F.col("host"))), F.col("host"))
-    df = parsed.withColumn("unicode_host", decoded).withColumn("skeleton", tx.skeleton(F.col("unicode_host")))
+    df = parsed.withColumn("unicode_host", decoded)
+    if prototypes is None:
+        df = df.withColumn("skeleton", tx.skeleton(F.col("unicode_host")))
+    else:
+        df = settled(df, df.columns)  # the join's two sides use columns that take long expressions to make
+        df = df.join(lookalikes.skeletons(df, prototypes, "unicode_host"), "unicode_host", "left").select(*df.columns, "skeleton")
     foreign = F.col("unicode_host").rlike(r"[^\x00-\x7F]")
     odd = (F.size(tx.scripts_of(F.col("unicode_host"))) > 1) | (F.lower("skeleton") != F.lower("unicode_host"))
     return df.withColumn("suspicious", F.coalesce(foreign & odd, F.lit(False)))
 
 
+_ADDRESS = r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$|^\["
+
+
 def domain_of(host: Column, suffixes: tuple[str, ...]) -> Column:
     """Registrable domain: longest known suffix plus one label; NULL for addresses and bare suffixes."""
 
@@ -422,13 +435,47 @@ def domain_of(host: Column, suffixes: tuple[str, ...]) -> Column:
             match = F.when((n >= k) & tail(k).isin(*known), F.lit(k)).otherwise(match)
         return F.when(n > match, F.array_join(F.slice(labels, n - match, match + 1), "."))
 
-    address = host.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$|^\[")
+    address = host.rlike(_ADDRESS)
     return F.when(~address, tx.let(F.split(host, r"\."), pick))
 
 
-def registrable_domain(parsed: DataFrame, suffixes: tuple[str, ...] = ur.PUBLIC_SUFFIXES) -> DataFrame:
-    """Boundary of the host by the suffix list; hosts deeper than two labels without one need review."""
-    df = parsed.withColumn("registrable_domain", domain_of(F.col("host"), suffixes))
+def suffix_rules(rules: DataFrame) -> DataFrame:
+    """(tail, plain, wild, exception) for each name of a suffix list given as rows ``rule``: ``co.il``, ``*.ck``, ``!www.ck``."""
+    rule = F.lower(F.trim("rule"))
+    wild, exception = rule.startswith("*."), rule.startswith("!")
+    name = F.when(wild, F.substr(rule, F.lit(3))).when(exception, F.substr(rule, F.lit(2))).otherwise(rule)
+    rows = rules.where("trim(rule) <> ''").select(name.alias("tail"), wild.alias("wild"), exception.alias("exception"))
+    return rows.groupBy("tail").agg(F.bool_or(~F.col("wild") & ~F.col("exception")).alias("plain"), F.bool_or("wild").alias("wild"), F.bool_or("exception").alias("exception"))
+
+
+def domains_by_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, registrable_domain) for distinct hosts, by the longest rule that a host ends with.
+
+    A host's tails meet the rules in one equi-join. A wildcard covers one label more than its name, an exception ends the
+    suffix one label before its own name and wins over all, and a host under no rule has its last label as suffix.
+    """
+    labels = F.split("host", r"\.")
+    tails = hosts.where(~F.col("host").rlike(_ADDRESS)).select("host", labels.alias("_labels")).select(
+        "host", F.size("_labels").alias("n"), F.posexplode(F.transform("_labels", lambda x, i: F.array_join(F.slice("_labels", i + 1, F.size("_labels")), "."))).alias("skipped", "tail"))
+    deep = F.col("n") - F.col("skipped")
+    known = tails.join(suffix_rules(rules), "tail", "left").groupBy("host", "n").agg(
+        F.max(F.when(F.col("exception"), deep - 1)).alias("_exception"),
+        F.max(F.greatest(F.when(F.col("plain"), deep), F.when(F.col("wild") & (F.col("skipped") > 0), deep + 1))).alias("_longest"))
+    size = F.coalesce("_exception", "_longest", F.lit(1))
+    return known.select("host", F.when(F.col("n") > size, F.array_join(F.slice(labels, F.col("n") - size, size + 1), ".")).alias("registrable_domain"))
+
+
+def registrable_domain(parsed: DataFrame, suffixes: tuple[str, ...] | DataFrame = ur.PUBLIC_SUFFIXES) -> DataFrame:
+    """Boundary of the host by the suffix list; hosts deeper than two labels without one need review.
+
+    A list given as rows (column ``rule``) may have any size and hold wildcards and exceptions: each distinct host is
+    resolved once, and the rows join their host's answer. The short default list is tested where the row lies.
+    """
+    if isinstance(suffixes, DataFrame):
+        hosts = parsed.where("host IS NOT NULL").select("host").distinct()
+        df = parsed.join(domains_by_rules(hosts, suffixes), "host", "left").select(*parsed.columns, "registrable_domain")
+    else:
+        df = parsed.withColumn("registrable_domain", domain_of(F.col("host"), suffixes))
     domain = F.col("registrable_domain")
     sub = F.when(F.col("host") != domain, F.expr("left(host, length(host) - length(registrable_domain) - 1)"))
     unavailable = F.coalesce(domain.isNull() & (F.size(F.split("host", r"\.")) > 2), F.lit(False))
@@ -511,7 +558,7 @@ def shortener_flag(analysed: DataFrame) -> DataFrame:
     return analysed.select("source_id", "token_id", "host", "unresolved_redirect")
 
 
-def analyze_urls(candidates: DataFrame, suffixes: tuple[str, ...] = ur.PUBLIC_SUFFIXES) -> DataFrame:
+def analyze_urls(candidates: DataFrame, suffixes: tuple[str, ...] | DataFrame = ur.PUBLIC_SUFFIXES) -> DataFrame:
     """U07-U16 columns for every candidate: components, risks, findings array and review codes."""
     df = with_risks(registrable_domain(host_spoof_check(parse_url_components(candidates)), suffixes))
     df = df.withColumn("findings", _url_findings())
@@ -630,7 +677,7 @@ def serialize_url(components: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------- U17, U18, U20
-def url_policy(analysed: DataFrame, approvals: DataFrame | None = None, suffixes: tuple[str, ...] = ur.PUBLIC_SUFFIXES) -> DataFrame:
+def url_policy(analysed: DataFrame, approvals: DataFrame | None = None, suffixes: tuple[str, ...] | DataFrame = ur.PUBLIC_SUFFIXES) -> DataFrame:
     """Proposed components, policy, text, required reviews and warning of every parsed candidate.
 
     ``approvals(source_id, approved_codes, host_by_token)`` is keyed by source.

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normlake.dims import catalog as cat
+from normlake.operators import needles
 from normlake.operators import text_findings as fnd
 from normlake.operators import text_transform as tt
 from normlake.operators import urls
@@ -256,40 +257,10 @@ def final_url_audit(runs: DataFrame, final_texts: DataFrame, tokens: DataFrame)
     return verdict(staged, failures, "FINAL_URL", "FINAL_URL_RESCAN_PASSED", "FINAL_URL_RESCAN_FAILED", ~_mode("DERIVATIVE_IMAGE"), skip)
 
 
-_GRAM = 8
-
-
 def canary_search(surfaces: DataFrame, canaries: DataFrame) -> DataFrame:
-    """(surface_id, canary_id) for every canary that occurs in a surface, at any byte position.
-
-    Surfaces and canaries never meet as all pairs. Every canary is keyed by its first eight characters and
-    its length class; the windows of a surface are matched to those keys by hash, and only candidates that
-    share a key are compared in full. Canaries shorter than eight characters use their whole text as key.
-    """
-    keyed = canaries.where("secret <> ''").select(
-        "canary_id", "secret", F.least(F.length("secret"), F.lit(_GRAM)).alias("_n"), F.substring("secret", 1, _GRAM).alias("_key")
-    )
-    sizes = keyed.select("_n").distinct()
-    keys = keyed.select("_n", "_key").distinct()
-    # At most eight key lengths exist, so this side is tiny whatever the number of canaries.
-    windows = surfaces.select(
-        "surface_id", "payload", F.explode(F.array(*[F.lit(n) for n in range(1, _GRAM + 1)])).alias("_n")
-    ).join(F.broadcast(sizes), "_n", "left_semi")
-    grams = windows.select("surface_id", "_n", F.explode(F.array_distinct(_grams(F.col("payload"), F.col("_n")))).alias("_key"))
-    hit = grams.join(keys, ["_n", "_key"], "left_semi").join(keyed, ["_n", "_key"]).select("surface_id", "canary_id", "secret").distinct()
-    return hit.join(surfaces.select("surface_id", "payload"), "surface_id").where(F.col("payload").contains(F.col("secret"))).select("surface_id", "canary_id")
-
-
-def _grams(text: Column, n: Column) -> Column:
-    from normlake.functions.text import chars, let
-
-    return let(
-        chars(text),
-        lambda cs: F.transform(
-            F.when(F.size(cs) >= n, F.sequence(F.lit(1), F.size(cs) - n + 1)).otherwise(F.array().cast("array<int>")),
-            lambda i: F.array_join(F.slice(cs, i, n), ""),
-        ),
-    )
+    """(surface_id, canary_id) for every canary that occurs in a surface, at any position; see :mod:`needles`."""
+    found = needles.find(surfaces, canaries.select(F.col("canary_id").alias("needle"), "secret"))
+    return found.select("surface_id", F.col("needle").alias("canary_id"))
 
 
 def source_reference_audit(runs: DataFrame, surfaces: DataFrame, canaries: DataFrame, facts: DataFrame) -> DataFrame:

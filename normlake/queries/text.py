@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from normlake.dims import charclass as cc
 from normlake.operators import text_findings as fnd
+from normlake.operators import lookalikes
 from normlake.operators import text_inventory as inv
 from normlake.operators import text_transform as tt
-from normlake.queries.base import dealt, fixture, query
+from normlake.queries.base import dealt, fixture, query, values_sql
 from normlake.sources import texts
 
 ZW, ZWJ, NBSP, LS, RLO, SOH = "\u200b", "\u200d", "\u00a0", "\u2028", "\u202e", "\u0001"
@@ -238,18 +239,40 @@ tokv AS (SELECT t.source_id, t.s, t.e, array_to_string(list_slice(c.cs, t.s + 1,
 tokm AS (SELECT *, {' + '.join("CAST(regexp_matches(token, '[" + ''.join(chr(92) + 'p{' + s + '}' for s in g) + "]') AS INT)" for _, g in cc.SCRIPTS)} AS n_scripts FROM tokv)"""
 
 
+def _scripts_sql(expr: str) -> str:
+    parts = [f"CASE WHEN regexp_matches({expr}, '[{''.join(chr(92) + 'p{' + s + '}' for s in g)}]') THEN '{n}' END" for n, g in cc.SCRIPTS]
+    return "concat_ws('|', " + ", ".join(parts) + ")"
+
+
 @query("t08_token_security", f"""
 WITH {SPANS}, {MERGED}, {TOKENS}
 SELECT t.source_id, t.s AS "start", t.e AS "end", t.token, translate(t.token, '{cc.CONFUSABLE_FROM}', '{cc.CONFUSABLE_TO}') AS skeleton,
+  {_scripts_sql('t.token')} AS scripts,
   t.n_scripts > 1 AS mixed, coalesce(bool_or(m.s <= t.s AND m.e >= t.e), FALSE) AS protected
 FROM tokm t LEFT JOIN merged m ON m.source_id = t.source_id AND m.s <= t.s AND m.e >= t.e GROUP BY ALL""")
 def _(q):
-    return inv.token_security(sources(q)).drop("scripts")
+    return inv.token_security(sources(q)).withColumn("scripts", F.array_join("scripts", "|"))
 
 
-def _scripts_sql(expr: str) -> str:
-    parts = [f"CASE WHEN regexp_matches({expr}, '[{''.join(chr(92) + 'p{' + s + '}' for s in g)}]') THEN '{n}' END" for n, g in cc.SCRIPTS]
-    return "concat_ws('|', " + ", ".join(parts) + ")"
+# Prototypes of more scripts and of more than one character, and documents with words drawn in them.
+fixture("prototypes", values_sql(["char", "prototype"], [
+    ("о", "o"), ("е", "e"), ("օ", "o"), ("ո", "n"), ("Ꭺ", "A"), ("Ꭼ", "E"), ("ａ", "a"), ("ｅ", "e"), ("ﬁ", "fi"), ("œ", "oe"), ("m", "rn"), ("1", "l"), ("0", "o")]))
+fixture("drawn", """
+SELECT doc_id AS source_id, CASE doc_id % 6 WHEN 0 THEN replace(text, 'o', 'օ') WHEN 1 THEN replace(text, 'fi', 'ﬁ') WHEN 2 THEN replace(text, 'e', 'ｅ')
+  WHEN 3 THEN replace(replace(text, 'A', 'Ꭺ'), 'E', 'Ꭼ') WHEN 4 THEN replace(text, 'rn', 'm') ELSE text END AS text FROM {documents} WHERE text IS NOT NULL""")
+
+
+@query("t08_look_alike_index", f"""
+WITH tk AS (SELECT DISTINCT source_id, unnest(regexp_extract_all(text, '{cc.WORD.replace(chr(39), chr(39) * 2)}')) AS token FROM drawn),
+held AS (SELECT token, count(*) AS sources FROM tk GROUP BY 1),
+ch AS (SELECT token, unnest(regexp_extract_all(token, '(?s).')) AS char, generate_subscripts(regexp_extract_all(token, '(?s).'), 1) AS pos FROM held),
+sk AS (SELECT token, string_agg(coalesce(prototype, ch.char), '' ORDER BY pos) AS skeleton FROM ch LEFT JOIN prototypes p ON p.char = ch.char GROUP BY 1),
+g AS (SELECT *, count(*) OVER (PARTITION BY skeleton) AS tokens,
+  first_value(token) OVER (PARTITION BY skeleton ORDER BY length(regexp_replace(token, '[\x00-\x7F]', '', 'g')), token) AS twin FROM sk JOIN held USING (token))
+SELECT token, skeleton, twin, sources, tokens FROM g WHERE tokens > 1""")
+def _(q):
+    drawn = q.drawn.select("source_id", "text", F.lit("PLAIN_TEXT").alias("source_kind"))
+    return lookalikes.look_alike_index(inv.token_security(dealt(drawn, "source_id")), q.prototypes)
 
 
 @query("t09_language_resolution", f"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from normlake.dims import charclass as cc
 from normlake.dims import url_rules as ur
 from normlake.operators import urls as u
-from normlake.queries.base import dealt, fixture, query
+from normlake.queries.base import dealt, fixture, query, values_sql
 from normlake.queries.text import sql_spans
 
 # Page URLs as they are, and the same pages with user information, ports, identifiers, short links, addresses.
@@ -185,11 +185,47 @@ def _(q):
     return u.host_spoof_check(u.parse_url_components(u.url_candidates(src))).select("source_id", "host", "unicode_host", "skeleton", "suspicious")
 
 
+_DRAWN = {1: "examрle", 2: "eхample", 3: "examp1e", 4: "еxаmрlе"}  # Cyrillic letters, or a digit
+fixture("host_prototypes", values_sql(["char", "prototype"], [("р", "p"), ("х", "x"), ("е", "e"), ("а", "a"), ("m", "rn"), ("1", "l")]))
+fixture("drawn_hosts", "SELECT page_id AS source_id, CASE page_id % 6 " + " ".join(f"WHEN {k} THEN replace(url, 'example', '{x}')" for k, x in _DRAWN.items()) + " ELSE url END AS text FROM {pages}")
+
+
+@query("u09_prototype_hosts", """
+WITH h AS (SELECT source_id, lower(regexp_extract(text, '^(?i:https?)://([^/?#:]+)', 1)) AS unicode_host FROM drawn_hosts),
+d AS (SELECT DISTINCT unicode_host FROM h), ch AS (SELECT unicode_host, unnest(string_split(unicode_host, '')) AS char, generate_subscripts(string_split(unicode_host, ''), 1) AS pos FROM d),
+sk AS (SELECT unicode_host, string_agg(coalesce(prototype, ch.char), '' ORDER BY pos) AS skeleton FROM ch LEFT JOIN host_prototypes p ON p.char = ch.char GROUP BY 1)
+SELECT source_id, unicode_host, skeleton, regexp_matches(unicode_host, '[^\\x00-\\x7F]') AS suspicious FROM h JOIN sk USING (unicode_host)""")
+def _(q):
+    src = q.drawn_hosts.withColumn("source_kind", F.lit("PLAIN_TEXT_URL"))
+    return u.host_spoof_check(u.parse_url_components(u.url_candidates(src)), q.host_prototypes).select("source_id", "unicode_host", "skeleton", "suspicious")
+
+
 @query("u10_registrable_domain", f"WITH {PARSED} SELECT source_id, coalesce(domain, '-') AS registrable_domain, coalesce(subdomain, '-') AS subdomain, unavailable AS boundary_unavailable FROM sub WHERE NOT failed")
 def _(q):
     return analysed(q).where("failure IS NULL").select("source_id", F.coalesce("registrable_domain", F.lit("-")).alias("registrable_domain"), F.coalesce("subdomain", F.lit("-")).alias("subdomain"), "boundary_unavailable")
 
 
+# A suffix list as rows, with wildcards and exceptions, and hosts that end in its names, bare ones included.
+fixture("suffix_list", values_sql(["rule"], [(x,) for x in ("com", "org", "il", "co.il", "*.ck", "!www.ck", "jp", "*.kobe.jp", "!city.kobe.jp", "blogspot.com", "*.compute.example.com", "uk")]))
+_TAILS = ("shop.co.il", "shop.foo.ck", "www.ck", "foo.ck", "city.kobe.jp", "a.kobe.jp", "b.a.kobe.jp", "example.zz", "me.blogspot.com", "x.y.compute.example.com", "co.il", "ck", "uk", "example.org")
+fixture("suffix_hosts", "SELECT page_id AS source_id, CASE WHEN page_id % 5 = 0 THEN '' ELSE 'h' || CAST(page_id % 40 AS VARCHAR(20)) || '.' END || CASE page_id % "
+        + str(len(_TAILS)) + " " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TAILS)) + " END AS host FROM {pages}")
+
+
+@query("u10_suffix_rules", r"""
+WITH h AS (SELECT source_id, host, string_split(host, '.') AS ls FROM suffix_hosts),
+m AS (SELECT source_id, rule LIKE '!%' AS ex, len(string_split(rule, '.')) - CASE WHEN rule LIKE '!%' THEN 1 ELSE 0 END AS size
+  FROM h JOIN suffix_list ON regexp_matches(host, '(^|\.)' || replace(replace(ltrim(rule, '!'), '.', '\.'), '*', '[^.]+') || '$')),
+best AS (SELECT source_id, coalesce(max(CASE WHEN ex THEN size END), max(size)) AS size FROM m GROUP BY source_id),
+dom AS (SELECT h.source_id, host, CASE WHEN len(ls) > coalesce(size, 1) THEN array_to_string(ls[-(coalesce(size, 1) + 1):], '.') END AS domain, len(ls) AS n FROM h LEFT JOIN best USING (source_id))
+SELECT source_id, host, coalesce(domain, '-') AS registrable_domain, coalesce(CASE WHEN host <> domain THEN left(host, length(host) - length(domain) - 1) END, '-') AS subdomain,
+  domain IS NULL AND n > 2 AS boundary_unavailable FROM dom""".replace("\\\\", "\\"))
+def _(q):
+    src = q.suffix_hosts.select("source_id", F.concat(F.lit("https://"), "host", F.lit("/p")).alias("text"), F.lit("PLAIN_TEXT_URL").alias("source_kind"))
+    out = u.registrable_domain(u.parse_url_components(u.url_candidates(src)), q.suffix_list)
+    return out.select("source_id", "host", F.coalesce("registrable_domain", F.lit("-")).alias("registrable_domain"), F.coalesce("subdomain", F.lit("-")).alias("subdomain"), "boundary_unavailable")
+
+
 @query("u11_query_inventory", f"WITH {PARSED} SELECT source_id, CAST(idx AS INT) AS idx, name, coalesce(value, '<none>') AS value, risk FROM q2")
 def _(q):
     return u.query_inventory(analysed(q)).select("source_id", "idx", "name", F.coalesce("value", F.lit("<none>")).alias("value"), "risk")

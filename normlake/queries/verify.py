@@ -155,6 +155,28 @@ def _(q):
     return v.canary_search(dealt(q.documents.select(F.col("doc_id").alias("surface_id"), F.col("text").alias("payload")), "surface_id"), q.benchmark.select(F.col("item_id").alias("canary_id"), F.col("text").alias("secret")))
 
 
+# Benchmark passages as canaries in whole documents, a document a run; some runs without evidence or with bad facts.
+fixture("reference_runs", "SELECT doc_id AS run_id FROM {documents}")
+fixture("reference_facts", f"""
+SELECT doc_id AS run_id, CASE doc_id % 13 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'NOT_RUN' ELSE 'COMPLETED' END AS outcome, doc_id % 5 <> 0 AS private_root, doc_id % 3 <> 0 AS mime_matches,
+  length(text) % 2 = 0 AS digest_matches, lang <> 'de' AS uri_scoped, doc_id % 11 <> 4 AS least_privilege FROM {{documents}} WHERE doc_id % 7 <> 0""")
+
+
+@query("v08_source_reference_audit", "WITH " + verdict_sql("SOURCE_REFERENCE", "SOURCE_REFERENCE_AUDIT_PASSED", "SOURCE_REFERENCE_AUDIT_FAILED", """
+SELECT d.doc_id AS run_id, 'REFERENCE_CANARY_DETECTED' AS code FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))
+UNION ALL SELECT run_id, 'ARTIFACT_ROOT_NOT_PRIVATE' FROM reference_facts WHERE outcome = 'COMPLETED' AND NOT private_root
+UNION ALL SELECT run_id, 'OUTGOING_MIME_MISMATCH' FROM reference_facts WHERE outcome = 'COMPLETED' AND NOT mime_matches
+UNION ALL SELECT run_id, 'OUTGOING_DIGEST_MISMATCH' FROM reference_facts WHERE outcome = 'COMPLETED' AND NOT digest_matches
+UNION ALL SELECT run_id, 'OUTGOING_URI_SCOPE_INVALID' FROM reference_facts WHERE outcome = 'COMPLETED' AND NOT uri_scoped
+UNION ALL SELECT run_id, 'TEMPORARY_PERMISSION_SCOPE_INVALID' FROM reference_facts WHERE outcome = 'COMPLETED' AND NOT least_privilege""",
+    runs="(SELECT r0.run_id, f0.outcome FROM reference_runs r0 LEFT JOIN reference_facts f0 ON f0.run_id = r0.run_id)",
+    skip=[("outcome IS NULL", "NOT_RUN", "APPLICABLE_PROVIDER_EVIDENCE_MISSING"), ("outcome = 'ERROR'", "ERROR", "PROVIDER_EXECUTION_ERROR"), ("outcome = 'NOT_RUN'", "NOT_RUN", "PROVIDER_NOT_CONFIGURED")]))
+def _(q):
+    surfaces = dealt(q.documents.select(F.col("doc_id").alias("run_id"), F.col("doc_id").alias("surface_id"), F.col("text").alias("payload")), "surface_id")
+    canaries = q.benchmark.select(F.col("item_id").alias("canary_id"), F.col("text").alias("secret"))
+    return shown(v.source_reference_audit(q.reference_runs, surfaces, canaries, q.reference_facts))
+
+
 fixture("lineage_have", f"SELECT DISTINCT l_orderkey AS run_id, {case('l_linenumber % 3', ('RETAINED_SOURCE_PIXELS', 'OCR_DERIVED_TEXT', 'BUNDLED_ASSET'))} AS type, 'b' || CAST(l_linenumber AS {S}) AS block_id, 'g' || CAST(l_linenumber AS {S}) AS region_id, CAST(NULL AS {S}) AS decision_id FROM {{lineitem}}")
 
 
@@ -273,10 +295,10 @@ def _(q):
 
 
 @query("v19_report_consistency_audit", """
-SELECT DISTINCT run_id, 'HUMAN_READABLE_REPORT' AS type, CASE WHEN run_id % 6 = 0 THEN 'FAIL' ELSE 'PASS' END AS status, TRUE AS required, CASE WHEN run_id % 6 = 0 THEN 'HUMAN_REPORT_INCONSISTENT' ELSE 'HUMAN_REPORT_CONSISTENT' END AS summary_code,
- concat_ws(',', CASE WHEN run_id % 6 = 0 AND run_id % 12 = 0 THEN 'REPORT_CANARY_DETECTED' END, CASE WHEN run_id % 6 = 0 AND run_id % 12 <> 0 THEN 'REPORT_MACHINE_STATUS_MISMATCH' END) AS failures FROM results""")
+WITH x AS (SELECT DISTINCT run_id, run_id % 12 = 6 AS cut, run_id % 12 = 0 AND EXISTS (SELECT 1 FROM supplier WHERE s_name = 'Supplier#' || lpad(CAST(run_id % 2048 AS VARCHAR), 9, '0')) AS leaks FROM results)
+SELECT run_id, 'HUMAN_READABLE_REPORT' AS type, CASE WHEN cut OR leaks THEN 'FAIL' ELSE 'PASS' END AS status, TRUE AS required, CASE WHEN cut OR leaks THEN 'HUMAN_REPORT_INCONSISTENT' ELSE 'HUMAN_REPORT_CONSISTENT' END AS summary_code,
+ concat_ws(',', CASE WHEN leaks THEN 'REPORT_CANARY_DETECTED' END, CASE WHEN cut THEN 'REPORT_MACHINE_STATUS_MISMATCH' END) AS failures FROM x""")
 def _(q):
     k = F.col("run_id") % 12
-    rep = reports(q).select("run_id", F.when(k == 6, F.regexp_replace("lines", "^[^\n]*\n", "")).when(k == 0, F.concat("lines", F.lit("\nsecret-canary-value"))).otherwise(F.col("lines")).alias("lines"))
-    can = q.region.limit(1).select(F.lit("c1").alias("canary_id"), F.lit("secret-canary-value").alias("secret"))
-    return shown(v.report_consistency_audit(rep, q.results, can))
+    rep = reports(q).select("run_id", F.when(k == 6, F.regexp_replace("lines", "^[^\n]*\n", "")).when(k == 0, F.concat("lines", F.lit("\nsent to "), F.format_string("Supplier#%09d", F.col("run_id") % 2048))).otherwise(F.col("lines")).alias("lines"))
+    return shown(v.report_consistency_audit(rep, q.results, q.supplier.select(F.col("s_suppkey").alias("canary_id"), F.col("s_name").alias("secret"))))
