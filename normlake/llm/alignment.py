@@ -18,12 +18,9 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import sentencepiece
-import tiktoken
 from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from normlake.llm.common import saved, scratch, sent
 from normlake.llm.pieces import PieceModel
@@ -75,6 +72,7 @@ class Vocabularies:
         if max(len(self.a_bytes), len(self.b_bytes)) > 0xFFFF:
             raise ValueError("ids have to fit into two bytes")
         self.pairs = self._linkable()
+        self.aligner: Aligner | None = None
 
     def _linkable(self) -> np.ndarray:
         """Sorted a * 65536 + b of all ids where the bytes of one end with the bytes of the other."""
@@ -92,11 +90,15 @@ class Aligner:
     """Tokenizes and aligns texts inside one worker."""
 
     def __init__(self, words: Vocabularies):
+        import sentencepiece
+        import tiktoken
+
         self.words = words
         self.a = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=words.ranks, special_tokens={})
-        self.slow: Tokenizer | None = None  # the same vocabulary in a slower library, for what the quick one can't take
+        self.slow = None  # the same vocabulary in a slower library, for what the quick one can't take
         self.b = sentencepiece.SentencePieceProcessor(model_proto=words.model)
         self.widths = [np.array([len(t) for t in side], np.int64) for side in (words.a_bytes, words.b_bytes)]
+        self.names = list(map(str, range(1 << 16)))
         self.wide = [side.tolist() for side in self.widths]
         self.places = {pair: at for at, pair in enumerate(words.pairs.tolist())}
         self.spaced = [np.array([t.startswith(b" ") for t in side]) for side in (words.a_bytes, words.b_bytes)]
@@ -125,6 +127,8 @@ class Aligner:
     def _byte_level(self, part: str) -> list[int]:
         if len(part) > 2 * CUT or (len(part) >= 1 << 16 and GAP.search(part)):
             if self.slow is None:
+                from tokenizers import Tokenizer
+
                 self.slow = Tokenizer.from_str(self.words.byte_level)
                 self.slow.encode_special_tokens = True
             return self.slow.encode(" " + part, add_special_tokens=False).ids
@@ -171,7 +175,13 @@ class Aligner:
         ids = array("H", key)
         split = ids.index(0xFFFF)
         wide_a, wide_b = self.wide
+        name = self.names
         groups, links = [], []
+        if split == 1 or len(ids) == split + 2:
+            # One token on a side: only the ends of the window are shared.
+            groups.append(",".join([name[x] for x in ids[:split]]) + "|" + ",".join([name[x] for x in ids[split + 1:]]))
+            links.append(self.places[ids[split - 1] << 16 | ids[-1]])
+            split = 0
         last, lo, j, k, a_end, b_end = 0, split + 1, 0, split + 1, 0, 0
         while j < split:
             a_end += wide_a[ids[j]]
@@ -180,7 +190,7 @@ class Aligner:
                 b_end += wide_b[ids[k]]
                 k += 1
             if a_end == b_end:
-                groups.append(f"{','.join(map(str, ids[last:j]))}|{','.join(map(str, ids[lo:k]))}")
+                groups.append(",".join([name[x] for x in ids[last:j]]) + "|" + ",".join([name[x] for x in ids[lo:k]]))
                 links.append(self.places[ids[j - 1] << 16 | ids[k - 1]])
                 last, lo = j, k
         self.known[key] = len(self.shown)
@@ -206,7 +216,8 @@ def align(docs: DataFrame, words: Vocabularies) -> DataFrame:
     docs = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Aligner(get())
+        words = get()
+        own = words.aligner = words.aligner or Aligner(words)  # a worker keeps it, with the windows it knows, for its next tasks
         for batch in batches:
             texts, lo, size, group = batch.column(1), 0, 0, []
             for row in range(batch.num_rows):
@@ -271,4 +282,5 @@ def align_documents(docs: DataFrame, words: Vocabularies) -> DataFrame:
                                              names=[*kept, "n_links", "n_best", "count_sum"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*kept).schema) + ", n_links long, n_best long, count_sum long"
-    return rows.select(*kept, "pairs", "times").mapInArrow(run, schema)
+    found = rows.select(*kept, "pairs", "times").mapInArrow(run, schema)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
