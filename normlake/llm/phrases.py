@@ -21,43 +21,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from normlake.llm.common import row_slices, saved, scratch, sent, text_of
-from normlake.llm.grams import mixed, word_hashes
+from normlake.llm.grams import mixed
 
 SHARDS = 4
 SET_BITS = 27  # bits of the sets sent to tasks, as a power of two
-TEXT = 1 << 23  # bytes of text taken apart at a time
+TEXT = 1 << 21  # bytes of text taken apart at a time; their arrays take about thirty times as much
 FLUSH = 1 << 22  # occurrences gathered before they are counted
 MANY_LANGS = 10_000  # rows up to which the table of languages is sent to tasks
 PLAIN = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")  # ends of pieces as line feeds, tabs as spaces
-END = np.uint64(1)  # stands for the end of a piece among hashes of words
+BASE = np.uint64(0x9E6C63D0876A9A47)  # of the hash of a word's bytes
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    """Words in order, ends of pieces as line feeds, and empty strings, from text lower-cased in A-Z only."""
-    return text.lower().translate(PLAIN).replace(b"\n", b" \n ").split(b" ")
+_powers = np.ones(1, np.uint64)
+
+
+def powers(size: int) -> np.ndarray:
+    global _powers
+    while len(_powers) < size:
+        _powers = np.concatenate([_powers, _powers * _powers[-1] * BASE])
+    return _powers
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values in order and how often each stands, by sorting."""
+    values = np.sort(values)
+    start = np.flatnonzero(np.append(True, values[1:] != values[:-1])[:len(values)])
+    return values[start], np.diff(np.append(start, len(values)))
 
 
 class Words:
-    """Word hashes of a run of texts of one shard, with the words left in their piece at each place and a salt by language."""
-
-    def __init__(self, texts: list[bytes], langs: list[str], hashes: Callable[[list[bytes]], np.ndarray]):
-        self.tokens, owners, sizes = [], [], []
-        for text in texts:
-            own = tokens_of(text)
-            own.append(b"\n")
-            self.tokens += own
-            sizes.append(len(own))
-        found = np.maximum(hashes(self.tokens), np.uint64(2))
+    """Hashes of the words of some texts, how many words are left in the piece at each, and a salt by language."""
+
+    def __init__(self, texts: list[bytes], langs: list[str]):
+        self.data = b"\n".join(texts).lower().translate(PLAIN)
+        byte = np.frombuffer(self.data, np.uint8)
+        inside = (byte != 32) & (byte != 10)
+        edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        self.start, self.end = edge[::2], edge[1::2]
+        size = self.end - self.start
+        first = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(first, size)
+        terms = (byte[inside].astype(np.uint64) + np.uint64(1)) * powers(int(size.max(initial=1)))[place]
+        found = np.add.reduceat(terms, first) if len(first) else np.empty(0, np.uint64)
+        found = (found ^ (found >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        self.hashes = found ^ (found >> np.uint64(32))
         names = np.array([xxhash.xxh64_intdigest(x.encode(), 7) for x in langs], np.uint64)
-        self.owner = np.repeat(np.arange(len(texts)), sizes)
-        blank, end = hashes([b""])[0], hashes([b"\n"])[0]
-        kept = np.flatnonzero(found != blank)
-        found = found[kept]
-        found[found == end] = END
-        self.at, self.hashes, self.owner = kept, found, self.owner[kept]
+        self.owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), self.start, side="right")
         self.salt = names[self.owner]
-        ends = np.flatnonzero(found == END)
-        self.left = ends[np.searchsorted(ends, np.arange(len(found)))] - np.arange(len(found)) if len(ends) else np.zeros(0, int)
+        piece = np.cumsum(byte == 10)[self.start]
+        last = np.flatnonzero(np.append(piece[1:] != piece[:-1], True)[:len(piece)]) + 1
+        self.left = np.repeat(last, np.diff(last, prepend=0)) - np.arange(len(piece))
 
     def grams(self, size: int) -> np.ndarray:
         """Hash of the run of ``size`` words that starts at each place, by language; only those inside a piece mean anything."""
@@ -69,7 +82,7 @@ class Words:
         return self.left[:max(len(self.left) - size + 1, 0)] >= size
 
     def phrase(self, place: int, size: int) -> str:
-        return b" ".join(self.tokens[i] for i in self.at[place:place + size]).decode()
+        return b" ".join(self.data[self.start[place]:self.end[place + size - 1]].split()).decode()
 
 
 class BitSet:
@@ -94,10 +107,10 @@ def bit_set(rows: DataFrame, parts: int, bits: int = SET_BITS) -> BitSet:
     return BitSet(words, 1 << (parts - 1).bit_length())
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[str]]]:
+def _runs(batches: Iterator[pa.RecordBatch], by_shard: bool = True) -> Iterator[tuple[int, list[bytes], list[str]]]:
     """(shard, texts, languages) of runs of rows of bounded size; columns are text, lang and shard."""
     for batch in row_slices(batches, 0, TEXT):
-        shard = batch.column(2).to_numpy()
+        shard = batch.column(2).to_numpy() * by_shard
         texts, langs = batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()
         for s in np.unique(shard).tolist():
             mine = np.flatnonzero(shard == s).tolist()
@@ -111,20 +124,19 @@ def local_counts(rows: DataFrame, sizes: tuple[int, ...], frequent: list[tuple[i
     for the number of words of the shard.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sets = word_hashes(), [(size, get()) for size, get in frequent]
+        sets = [(size, get()) for size, get in frequent]
         held: dict[int, list[np.ndarray]] = {}
         words: dict[int, int] = {}
         waiting = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for part, arrays in held.items():
-                grams, n = np.unique(np.concatenate(arrays), return_counts=True)
-                yield _counted(part, grams, n)
+                yield _counted(part, *distinct(np.concatenate(arrays)))
             held.clear()
 
         for shard, texts, langs in _runs(batches):
-            own = Words(texts, langs, hashes)
-            words[shard] = words.get(shard, 0) + int((own.left > 0).sum())
+            own = Words(texts, langs)
+            words[shard] = words.get(shard, 0) + len(own.left)
             known = [(size, each.holds(own.grams(size), shard)) for size, each in sets]
             for size in sizes:
                 fine = own.whole(size)
@@ -151,20 +163,21 @@ def _counted(part: int, grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 def exact_counts(rows: DataFrame, candidates: Callable[[], BitSet], longest: int) -> DataFrame:
     """(lang, k, phrase, n): all occurrences of every candidate of 1 to ``longest`` words, and of the words (k 0), partly summed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, wanted = word_hashes(), candidates()
-        for _, texts, langs in _runs(batches):
-            own = Words(texts, langs, hashes)
-            lang = np.array(langs, object)[own.owner]
-            out: list[tuple[str, int, str, int]] = []
-            for name in set(langs):
-                out.append((name, 0, "", int(((own.left > 0) & (lang == name)).sum())))
+        wanted = candidates()
+        for _, texts, langs in _runs(batches, by_shard=False):
+            own, names = Words(texts, langs), sorted(set(langs))
+            code = np.array([names.index(x) for x in langs])[own.owner]
+            lang, k, phrase, n = list(names), [0] * len(names), [""] * len(names), np.bincount(code, minlength=len(names)).tolist()
             for size in range(1, longest + 1):
                 grams = own.grams(size)
                 place = np.flatnonzero(own.whole(size) & wanted.holds(grams))
-                _, first, n = np.unique(grams[place], return_index=True, return_counts=True)
-                out += [(lang[p], size, own.phrase(p, size), c) for p, c in zip(place[first].tolist(), n.tolist())]
-            columns = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64())],
+                place = place[np.argsort(grams[place])]
+                start = np.flatnonzero(np.append(True, np.diff(grams[place]) != 0)[:len(place)])
+                lang += [names[c] for c in code[place[start]].tolist()]
+                k += [size] * len(start)
+                phrase += [own.phrase(p, size) for p in place[start].tolist()]
+                n += np.diff(np.append(start, len(place))).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(k, pa.int32()), pa.array(phrase, pa.string()), pa.array(n, pa.int64())],
                                              names=["lang", "k", "phrase", "n"])
 
     return rows.select("text", "lang", "shard").mapInArrow(run, "lang string, k int, phrase string, n long")
