@@ -30,6 +30,7 @@ STARTS = 5
 WIDTHS = (13, 13, 13, 13, 12)
 _OFFSETS = (0, 13, 26, 39, 52)
 PAIRS_AT_ONCE = 1 << 20
+SKETCH = 8  # numbers of 64 places that sketch a wording's set of shingles
 
 
 def _wording() -> Column:
@@ -257,16 +258,26 @@ def similar_links(docs: DataFrame, candidates: DataFrame, width: int, similar: f
     """
     shared = saved(shared_shingles(docs, width), f"{folder}/shared")
     own = Window.partitionBy("node")
-    first = F.col("size") - F.ceil(similar * F.col("size") - 1e-9) + 1 - (F.col("size") - F.count("*").over(own))
-    heads = shared.withColumn("_first", first).where(F.col("_first") > 0).withColumn("_turn", F.row_number().over(own.orderBy("many", "hash")))
-    heads = saved(heads.where(F.col("_turn") <= F.col("_first")).select("hash", "node", "size"), f"{folder}/heads")
+    held = F.count("*").over(own)
+    first = F.col("size") - F.ceil(similar * F.col("size") - 1e-9) + 1 - (F.col("size") - held)
+    # Whether an even or odd number of the wording's shared shingles fall on each of 512 places.
+    place = F.col("hash").bitwiseAND(511)
+    sketch = [F.bit_xor(F.when(F.shiftright(place, 6) == k, F.expr("shiftleft(1L, cast(hash & 63 as int))")).otherwise(F.lit(0).cast("long"))).over(own).alias(f"_p{k}") for k in range(SKETCH)]
+    heads = shared.select("hash", "node", "size", "many", first.alias("_first"), (F.col("size") - held).alias("_alone"), *sketch).where(F.col("_first") > 0)
+    heads = heads.withColumn("_turn", F.row_number().over(own.orderBy("many", "hash"))).where(F.col("_turn") <= F.col("_first"))
+    heads = saved(heads.select("hash", "node", "size", "_alone", *[f"_p{k}" for k in range(SKETCH)]), f"{folder}/heads")
     stars = heads.join(heads.groupBy("hash").agg(F.min("node").alias("b")), "hash").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b")
     stars = saved(verified(candidates.select("a", "b").unionByName(stars).distinct(), shared, similar), f"{folder}/stars")
-    heads = heads.join(components(stars), "node", "left").select("hash", "node", "size", F.coalesce("root", "node").alias("root"))
+    rooted = heads.join(components(stars), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    heads = saved(rooted, f"{folder}/rooted")
     a, b = heads.alias("a"), heads.alias("b")
     apart = (F.col("a.hash") == F.col("b.hash")) & (F.col("a.root") < F.col("b.root"))
     near = F.least("a.size", "b.size") >= similar * F.greatest("a.size", "b.size") - 1e-9
-    pairs = a.join(b, apart & near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    # Places that differ are shingles that only one of the two holds, as are those that no other wording holds. Sets of
+    # this similarity have few of them, so the bound loses no pair; it keeps texts apart that share a common passage only.
+    differ = sum((F.bit_count(F.col(f"a._p{k}").bitwiseXOR(F.col(f"b._p{k}"))) for k in range(SKETCH)), F.col("a._alone") + F.col("b._alone"))
+    total = F.col("a.size") + F.col("b.size")
+    pairs = a.join(b, apart & near & (differ <= total * (1 - similar) / (1 + similar) + 1e-9)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     return stars.unionByName(verified(pairs, shared, similar))
 
 
