@@ -18,6 +18,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from normlake.session import stored
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 
 WIDTH = 8  # bytes of a key; shorter needles are keyed by all their bytes
@@ -83,7 +85,7 @@ def find(surfaces: DataFrame, needles: DataFrame) -> DataFrame:
     surfaces(surface_id, payload), needles(needle, secret). Null payloads and null or empty secrets find nothing.
     """
     spark = surfaces.sparkSession
-    keys = keyed(needles)
+    keys = stored(keyed(needles), "needles")
     words, widths, longest = key_set(keys)
     shared = spark.sparkContext.broadcast((words, widths))
 
