@@ -367,6 +367,31 @@ def test_license_scan_bases(spark):
     assert got[0].labels == "" and got[0].score < 1
 
 
+def test_license_spans_are_verified(spark):
+    bsd = dict(licenses.TEMPLATES)["bsd"].split()
+    cut = " foo bar ".join(" ".join(pair) for pair in zip(bsd, bsd[1:]))
+    texts = [
+        cut, "released under foo bar under the foo bar the mit foo bar mit license", " ".join(bsd[7:] + bsd[:7]), "license mit the under released " * 40,
+        " ".join(bsd), " ".join([*bsd[:4], "or", *bsd[4:9], "any", *bsd[9:]]), " ".join([*bsd[:5], *bsd[6:]]), "x " * 3000 + " ".join(bsd),
+    ]
+    texts = [t + " z" * 50 * i for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(7, t) for t in texts], "doc_id long, text string")  # one id, many texts
+    got = {r.n_words: r for r in licenses.scan(docs).collect()}
+    got = [got[len(t.split())] for t in texts]
+    assert [r.labels for r in got] == ["", "", "", "", "bsd", "bsd", "bsd", "bsd"]
+    assert got[0].score < 0.5 and got[1].score <= 0.5 and got[4].score == got[7].score == 1.0
+
+
+def test_license_templates_of_any_length_from_a_table(spark):
+    words = [f"w{i % 90}x{i % 7}" for i in range(500)]
+    table = spark.createDataFrame([("long", " ".join(words)), ("twice", "a b a b"), ("one", "a")], "label string, text string")
+    edited = [*words[:100], *["new"] * 20, *words[100:300], *words[330:]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(words[250:] + words[:250])), (4, "a b"), (5, None), (6, "a b a b")], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs, templates=table).collect()}
+    assert {i: r.labels for i, r in got.items()} == {1: "long", 2: "long", 3: "", 4: "", 5: "", 6: "twice"}
+    assert got[1].score == 1.0 and got[2].score == pytest.approx((499 - 32) / 499) and got[6].score == 1.0
+
+
 def test_license_scan_of_odd_rows(spark):
     plain = rows(licenses.scan(documents(spark)))
     assert len(plain) == len(ROWS) and plain == rows(licenses.scan(crowded(spark)))
