@@ -468,3 +468,68 @@ def _(q):
     once = streams.stream_seal_dedup(events.select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"))).select("session_id")
     once.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
     return q.spark.read.schema(once.schema).parquet(f"{folder}/out")
+
+
+# Rows arrive in four batches of about a week; every tenth comes one batch late.
+fixture("arrivals", """
+SELECT event_id, session_id, run_id, block_id, ts, CAST(CASE WHEN week + late > 3 THEN 3 ELSE week + late END AS INT) AS batch
+FROM (SELECT *, FLOOR((day(ts) - 1) / 8) AS week, CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS late FROM trace_events) t""")
+LATENESS_DAYS = 2
+# The watermark that a batch meets, and the one that the stream ends with.
+WATERMARKS = f"""marks AS (SELECT b.batch, (SELECT max(ts) FROM arrivals a WHERE a.batch < b.batch) - INTERVAL {LATENESS_DAYS} DAY AS mark FROM (SELECT DISTINCT batch FROM arrivals) b),
+met AS (SELECT a.*, m.mark FROM arrivals a JOIN marks m USING (batch)),
+last AS (SELECT max(ts) - INTERVAL {LATENESS_DAYS} DAY AS final_mark FROM arrivals)"""
+
+
+def _in_batches(q, build, mode):
+    """The arrivals, batch by batch, through a stream that is stopped and taken up again after each of them."""
+    spark, folder = q.spark, f"{ensure_checkpoint_dir(q.spark)}/stream-{uuid.uuid4().hex}"
+    rows = q.arrivals.withColumn("ts", F.col("ts").cast("timestamp"))
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for batch in range(4):
+            rows.where(F.col("batch") == batch).write.mode("append").parquet(f"{folder}/in")
+            out = build(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+            # A replayed batch overwrites itself.
+            out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").foreachBatch(
+                lambda part, k: part.write.mode("overwrite").parquet(f"{folder}/out/batch={k}")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.schema(out.schema).parquet(f"{folder}/out/*")
+
+
+@query("x05_stream_share_expiry", f"""WITH {WATERMARKS},
+taken AS (SELECT event_id, ts FROM met WHERE mark IS NULL OR ts >= mark)
+SELECT 'share-' || event_id AS token, 'PREPARED' AS event FROM taken
+UNION ALL SELECT 'share-' || event_id, 'EXPIRED' FROM taken, last WHERE ts + INTERVAL 36 HOUR < final_mark""")
+def _(q):
+    def shares(arriving):
+        entries = arriving.select(F.concat(F.lit("share-"), F.col("event_id").cast("string")).alias("token"), F.col("run_id").cast("string").alias("result_id"), "ts")
+        return streams.stream_share_expiry(entries, 36 * 3600 * 1000, f"{LATENESS_DAYS} days")
+
+    return _in_batches(q, shares, "update")
+
+
+@query("x07_stream_sessions", f"""WITH {WATERMARKS},
+taken AS (SELECT * FROM met WHERE mark IS NULL OR ts + INTERVAL 6 HOUR > mark),
+sided AS (SELECT *, lag(ts) OVER w AS prev_ts, lag(batch) OVER w AS prev_batch FROM taken WINDOW w AS (PARTITION BY run_id, block_id ORDER BY ts)),
+-- A late row opens a burst of its own if the one before it has been emitted.
+g AS (SELECT run_id, block_id, ts, CASE WHEN ts - prev_ts > INTERVAL 6 HOUR OR prev_ts IS NULL THEN 1
+  WHEN prev_batch < batch AND prev_ts + INTERVAL 6 HOUR <= mark AND NOT EXISTS (
+    SELECT 1 FROM taken z WHERE z.run_id = sided.run_id AND z.block_id = sided.block_id AND z.batch < sided.batch AND z.ts > sided.ts AND z.ts <= sided.prev_ts + INTERVAL 6 HOUR) THEN 1
+  ELSE 0 END AS new FROM sided),
+s AS (SELECT *, sum(new) OVER (PARTITION BY run_id, block_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS window_start, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, run_id, block_id, count(*) AS events
+FROM s, last GROUP BY run_id, block_id, k, final_mark HAVING max(ts) + INTERVAL 6 HOUR <= final_mark""")
+def _(q):
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    done = _in_batches(q, lambda arriving: streams.stream_sessions(arriving, "6 hours", f"{LATENESS_DAYS} days"), "append")
+    return done.withColumns({"window_start": stamp("window_start"), "window_end": stamp("window_end")})
+
+
+@query("x08_stream_seal_batches", "SELECT DISTINCT session_id FROM arrivals")
+def _(q):
+    # Seals outlive the stream, so a session is taken once over all batches.
+    return _in_batches(q, lambda arriving: streams.stream_seal_dedup(arriving.select("session_id", "ts"), "3650 days").select("session_id"), "append")

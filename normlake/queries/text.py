@@ -130,17 +130,29 @@ UNION ALL SELECT id, 'crlf', replace(text, '{LF}', '{CR}{LF}') FROM d
 UNION ALL SELECT id, 'cr', replace(text, '{LF}', '{CR}') FROM d
 UNION ALL SELECT id, unnest(['ascii', 'typographic', 'mixed']), unnest(['"Don''t - wait..."', '\u201cDon\u2019t \u2014 wait\u2026\u201d', '\u201cDon''t \u2013 wait..."']) FROM d
 UNION ALL SELECT page_id, unnest(['utm-source', 'utm-campaign', 'combined']),
-  url || CASE WHEN regexp_matches(url, '^[^#]*\\?') THEN '&' ELSE '?' END || unnest(['utm_source=mail', 'utm_campaign=summer', 'utm_source=mail&utm_campaign=summer']) FROM pages)
-SELECT id, variant_id, sha256(value) AS value_digest FROM v""")
+  url || CASE WHEN regexp_matches(url, '^[^#]*\\?') THEN '&' ELSE '?' END || unnest(['utm_source=mail', 'utm_campaign=summer', 'utm_source=mail&utm_campaign=summer']) FROM pages),
+p AS (SELECT page_id AS id, url, url || CASE WHEN page_id % 2 = 0 THEN ' caf\u00e9 \u00c5ngstr\u00f6m' ELSE ' cafe' END AS accented, 'é/' || substr(url, 9, 12) AS ident FROM pages),
+more AS (SELECT id, variant_id, value, '' AS attributes FROM v
+UNION ALL SELECT id, unnest(['ascii-space', 'no-break-space', 'thin-space', 'narrow-no-break-space', 'em-space']), url || unnest([' ', chr(160), chr(8201), chr(8239), chr(8195)]) || ident, '' FROM p
+UNION ALL SELECT id, 'nfc', accented, '' FROM p
+UNION ALL SELECT id, 'nfd', replace(replace(replace(accented, '\u00e9', 'e' || chr(769)), '\u00c5', 'A' || chr(778)), '\u00f6', 'o' || chr(776)), '' FROM p WHERE id % 2 = 0
+UNION ALL SELECT id, 'plain-path-identifier', url || '/' || ident, '' FROM p
+UNION ALL SELECT id, unnest(['percent-encoded-path-identifier', 'percent-encoded-query-identifier']), url || unnest(['/', '/?id=']) || regexp_replace(hex(encode(ident)), '(..)', '%\\1', 'g'), '' FROM p
+UNION ALL SELECT id, unnest(['filename-a', 'filename-b', 'provider-uri']), url, unnest(['metadataId=meta-A-7F2,sourceFilename=sender-A-7F2.png', 'metadataId=meta-B-9C4,sourceFilename=sender-B-9C4.png', 'sourceUri=content://fixture/provider/item-3D8']) FROM p)
+SELECT id, variant_id, sha256(value) AS value_digest, attributes FROM more""")
 def _(q):
     docs = q.documents.select(F.col("doc_id").alias("id"), "text")
-    pages = q.pages.select(F.col("page_id").alias("id"), F.col("url").alias("text"))
+    pages = q.pages.select(F.col("page_id").alias("id"), F.col("url").alias("text"), F.concat(F.lit("é/"), F.substring("url", 9, 12)).alias("ident"))
+    accented = pages.withColumn("text", F.concat("text", F.when(F.col("id") % 2 == 0, F.lit(" caf\u00e9 \u00c5ngstr\u00f6m")).otherwise(F.lit(" cafe"))))
     parts = [texts.generate_variants(docs, "zero_width", index=3), texts.generate_variants(docs, "newlines"),
-             texts.generate_variants(docs, "punctuation"), texts.generate_variants(pages, "tracking")]
+             texts.generate_variants(docs, "punctuation"), texts.generate_variants(pages, "tracking"),
+             texts.generate_variants(pages, "unicode_spaces", right="ident"), texts.generate_variants(accented, "normal_forms"),
+             texts.generate_variants(pages, "percent_encoding", identifier="ident"), texts.generate_variants(pages, "metadata")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("id", "variant_id", F.sha2("value", 256).alias("value_digest"))
+    pairs = F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return out.select("id", "variant_id", F.sha2("value", 256).alias("value_digest"), F.concat_ws(",", pairs).alias("attributes"))
 
 
 # ------------------------------------------------------------------------------------------------ T01 - T13

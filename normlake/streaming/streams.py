@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from normlake.operators import text_transform as tt
 from normlake.operators import urls
+from normlake.operators.timing import session_windows
 from normlake.sources.texts import resource_guard
 
 RING_SCHEMA = "session_id string, event_id long, ts timestamp"
@@ -50,20 +51,26 @@ def stream_trace_ring(events: DataFrame, capacity: int = 2048) -> DataFrame:
 
 
 class ExpiryProcessor(StatefulProcessor):
-    """One live entry per token; a processing-time timer emits it as expired."""
+    """One live entry per token; a timer emits it as expired. ``column`` names the time of an entry, or none for processing time."""
 
-    def __init__(self, lifetime_ms: int):
-        self.lifetime_ms = lifetime_ms
+    def __init__(self, lifetime_ms: int, column: str | None = None):
+        self.lifetime_ms, self.column = lifetime_ms, column
 
     def init(self, handle) -> None:
         self.handle = handle
         self.entry = handle.getValueState("entry", "result_id string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for batch in rows:
             if len(batch) and not self.entry.exists():
                 self.entry.update((str(batch["result_id"].iloc[0]),))
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.lifetime_ms)
+                first = timerValues.getCurrentProcessingTimeInMs()
+            if first is not None and self.column and len(batch):
+                seen = int(batch[self.column].min())
+                first = min(first, seen)
+        if first is not None:
+            self.handle.registerTimer(first + self.lifetime_ms)
         yield pd.DataFrame({"token": [key[0]], "event": ["PREPARED"]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -75,13 +82,19 @@ class ExpiryProcessor(StatefulProcessor):
         pass
 
 
-def stream_share_expiry(entries: DataFrame, lifetime_ms: int) -> DataFrame:
+def stream_share_expiry(entries: DataFrame, lifetime_ms: int, lateness: str | None = None) -> DataFrame:
     """Shares (token, result_id) expire ``lifetime_ms`` after they are first seen.
 
-    The rule speaks of a monotonic clock; a stream has processing time, which is what the timers use.
+    The rule speaks of a monotonic clock; a stream has processing time, which is what the timers use. With ``lateness``
+    the clock is the watermark over the entries' own ``ts``: it never runs back, and a replay gives the same events.
+    Entries later than the watermark are dropped.
     """
-    return entries.select("token", "result_id").groupBy("token").transformWithStateInPandas(
-        ExpiryProcessor(lifetime_ms), "token string, event string", outputMode="Update", timeMode="ProcessingTime")
+    shape, mode = "token string, event string", "Update"
+    if lateness is None:
+        return entries.select("token", "result_id").groupBy("token").transformWithStateInPandas(
+            ExpiryProcessor(lifetime_ms), shape, outputMode=mode, timeMode="ProcessingTime")
+    timed = entries.withWatermark("ts", lateness).select("token", "result_id", "ts", F.unix_millis("ts").alias("at_ms"))
+    return timed.groupBy("token").transformWithStateInPandas(ExpiryProcessor(lifetime_ms, "at_ms"), shape, outputMode=mode, timeMode="EventTime")
 
 
 def stream_canonicalize(sources: DataFrame, max_bytes: int, out_path: str, reject_path: str, checkpoint: str, **policy):
@@ -112,6 +125,14 @@ def stream_outcomes(events: DataFrame, width: str = "1 hour", lateness: str = "1
     ).select(F.col("w.start").alias("window_start"), "block_id", "outcome", "events")
 
 
+def stream_sessions(events: DataFrame, gap: str = "30 minutes", lateness: str = "10 minutes", keys: tuple[str, ...] = ("run_id", "block_id")) -> DataFrame:
+    """Bursts of events per run and block, merged across batches and emitted once the watermark has passed their end.
+
+    Rows whose burst would have ended before the watermark are dropped, so state holds open bursts only.
+    """
+    return session_windows(events.withWatermark("ts", lateness), gap, keys)
+
+
 def stream_seal_dedup(sources: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """One accepted source per session (session_id, ts); repeats within the watermark are dropped."""
     return sources.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["session_id"])
