@@ -31,6 +31,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def inside(points: Column, spans: Column) -> Column:
+    """For each point whether one of the disjoint, ascending spans (start, end) holds it: one sort instead of a search per point.
+
+    In the sorted order, the starts before a point are the elements before it that are no points.
+    """
+    point = lambda p, i: F.struct(p.cast("bigint").alias("p"), i.cast("int").alias("at"))
+    tagged = F.concat(F.transform(spans, lambda s: point(s["start"], F.lit(-1))), F.transform(points, point))
+
+    def look_up(r: Column) -> Column:
+        placed = F.array_compact(F.transform(r["all"], lambda x, i: F.when(x["at"] >= 0, F.struct(x["at"].alias("at"), x["p"].alias("p"), i.alias("i")))))
+        held = F.transform(placed, lambda h, k: F.struct(h["at"].alias("at"), F.coalesce(h["p"] < F.get(r["spans"], h["i"] - k - 1)["end"], F.lit(False)).alias("on")))
+        return F.transform(F.array_sort(held), lambda h: h["on"])
+
+    return let(F.struct(F.array_sort(tagged).alias("all"), spans.alias("spans")), look_up)
+
+
+def among(points: Column, chosen: Column) -> Column:
+    """For each point whether it is one of ``chosen`` (null: none)."""
+    none = F.array().cast("array<int>")
+    spans = F.transform(F.array_sort(F.array_distinct(F.coalesce(chosen, none))), lambda c: F.struct(c.alias("start"), (c + 1).alias("end")))
+    return inside(points, spans)
+
+
 def chars(text: Column) -> Column:
     """Code points of a string as single-character strings."""
     return F.filter(F.split(text, ""), lambda c: c != "")

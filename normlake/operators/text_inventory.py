@@ -232,7 +232,8 @@ def line_structure(sources: DataFrame) -> DataFrame:
     breaks = tx.hits(F.col("text"), r"\r\n|[\n\r\x{85}\x{2028}\x{2029}]")
     contents = F.split(F.col("text"), r"\r\n|[\n\r\x{85}\x{2028}\x{2029}]", -1)
 
-    def lines(found: Column) -> Column:
+    def lines(pair: Column) -> Column:
+        found = pair["found"]
         return F.transform(
             contents,
             lambda content, k: F.struct(
@@ -240,11 +241,13 @@ def line_structure(sources: DataFrame) -> DataFrame:
                 F.coalesce(F.get(found, k - 1)["end"], F.lit(0)).alias("start"),
                 F.coalesce(F.get(found, k)["start"], F.length("text")).alias("end"),
                 content.alias("content"),
-                F.coalesce(F.array_contains("wrap_offsets", F.get(found, k)["end"] - 1), F.lit(False)).alias("wrap"),
+                F.coalesce(F.get(pair["wraps"], k), F.lit(False)).alias("wrap"),
             ),
         )
 
-    rows = to_rows(sources, ["source_id"], tx.let(breaks, lines))
+    wraps = lambda found: tx.among(F.transform(found, lambda b: b["end"] - 1), F.col("wrap_offsets"))
+    both = tx.let(breaks, lambda found: F.struct(found.alias("found"), wraps(found).alias("wraps")))
+    rows = to_rows(sources, ["source_id"], tx.let(both, lines))
     indent = F.length(F.regexp_extract("content", "^" + cc.WHITESPACE + "*", 0))
     marker = F.regexp_extract("content", cc.LIST_MARKER, 0)
     return rows.select(

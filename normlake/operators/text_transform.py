@@ -26,17 +26,22 @@ _GAP = "\ufdd0"
 def drop_wraps(value: Column, start: Column, approved: Column) -> Column:
     """Drop approved line feeds; a space replaces one unless a neighbour is missing or joins URLs."""
 
-    def rebuild(cs: Column) -> Column:
-        def one(c: Column, i: Column) -> Column:
-            before, after = F.get(cs, i - 1), F.get(cs, i + 1)
-            spaced = F.coalesce(~before.isin(*_URL_JOIN) & ~after.isin(*_URL_JOIN), F.lit(False))
-            return F.when(
-                (c == "\n") & F.array_contains(approved, start + i), F.when(spaced, F.lit(" ")).otherwise(F.lit(""))
-            ).otherwise(c)
+    def rebuild(r: Column) -> Column:
+        lines, last = r["lines"], F.size(r["lines"]) - 1
 
-        return F.array_join(F.transform(cs, one), "")
+        def one(line: Column, k: Column) -> Column:
+            above = F.get(lines, k - 1)
+            # The neighbour of a line feed is a character of its line or another line feed; the text's ends have none.
+            missing = ((k == 1) & (above == "")) | ((k == last) & (line == ""))
+            spaced = ~missing & ~F.right(above, F.lit(1)).isin(*_URL_JOIN) & ~F.left(line, F.lit(1)).isin(*_URL_JOIN)
+            mark = F.when(~F.get(r["wraps"], k - 1), F.lit("\n")).when(spaced, F.lit(" ")).otherwise(F.lit(""))
+            return F.when(k == 0, line).otherwise(F.concat(mark, line))
 
-    return F.when(value.contains("\n"), tx.let(tx.chars(value), rebuild)).otherwise(value)
+        return F.array_join(F.transform(lines, one), "")
+
+    feeds = F.array_compact(F.transform(tx.chars(value), lambda c, i: F.when(c == "\n", start + i)))
+    parts = F.struct(F.split(value, "\n", -1).alias("lines"), tx.among(feeds, approved).alias("wraps"))
+    return F.when(value.contains("\n"), tx.let(parts, rebuild)).otherwise(value)
 
 
 def drop_ignorables(value: Column, keep_emoji_joiners: bool = True) -> Column:
@@ -159,19 +164,15 @@ def with_collisions(sources: DataFrame, form: str) -> DataFrame:
     plain = F.filter("_words", lambda w: ~can_change(w))
 
     def groups(pairs: Column) -> Column:
-        repeated = F.array_distinct(
-            F.filter(
-                F.transform(pairs, lambda p, i: F.when(p["n"] == F.get(pairs, i - 1)["n"], p["n"])),
-                lambda n: n.isNotNull(),
-            )
-        )
-        return F.transform(
-            repeated,
-            lambda n: F.struct(
-                n.alias("normal_form"),
-                F.transform(F.filter(pairs, lambda p: p["n"] == n), lambda p: p["w"]).alias("originals"),
-            ),
-        )
+        # Equal forms stand together, so a group is a slice between two heads.
+        heads = F.array_compact(F.transform(pairs, lambda p, i: F.when((i == 0) | (p["n"] != F.get(pairs, i - 1)["n"]), i)))
+
+        def group(at: Column, k: Column, all_heads: Column) -> Column:
+            members = F.slice(pairs, at + 1, F.coalesce(F.get(all_heads, k + 1), F.size(pairs)) - at)
+            return F.struct(F.get(pairs, at)["n"].alias("normal_form"), F.transform(members, lambda p: p["w"]).alias("originals"))
+
+        made = tx.let(heads, lambda all_heads: F.transform(all_heads, lambda at, k: group(at, k, all_heads)))
+        return F.filter(made, lambda g: F.size(g["originals"]) > 1)
 
     changed = F.zip_with("_norms", "_odd", lambda n, w: F.struct(n.alias("n"), w.alias("w")))
     pairs = F.array_sort(F.concat(changed, F.transform(plain, lambda w: F.struct(w.alias("n"), w.alias("w")))))
@@ -213,9 +214,10 @@ def gate_ok(code: str, approvals_all: bool = False) -> Column:
         return F.lit(False)
     if code == "MIXED_SCRIPT_CONFUSABLE_REVIEW":
         keys = F.map_keys("replacements")
-        return base & F.forall("mixed_tokens", lambda t: t["protected"] | F.array_contains(keys, t["token"]))
+        free = F.transform(F.filter("mixed_tokens", lambda t: ~t["protected"]), lambda t: t["token"])
+        return base & (F.size(F.array_except(free, keys)) == 0)
     if code == "VIEWPORT_WRAP_REVIEW":
-        return base & F.forall("wrap_offsets", lambda w: F.array_contains("approved_wraps", w))
+        return base & (F.size(F.array_except("wrap_offsets", "approved_wraps")) == 0)
     if code == "NORMALIZATION_COLLISION_REVIEW":
         other = "COMPATIBILITY_NORMALIZATION_REVIEW"
         return base & (~has(other) | F.array_contains("approved_codes", other))

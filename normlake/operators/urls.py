@@ -153,14 +153,14 @@ def whole_array(text: Column, kind: Column, wraps: Column) -> Column:
     original = F.regexp_replace(text, f"^[{_WS}]+|[{_WS}]+$", "")
 
     def unwrap(pair: Column) -> Column:
-        cs, begin = pair["cs"], pair["begin"]
+        cs, on = pair["cs"], pair["on"]
         kept = F.filter(
             F.transform(
                 cs,
                 lambda c, i: F.when(
                     ~(
-                        ((c == "\n") & F.array_contains(wraps, begin + i))
-                        | F.coalesce((c == "\r") & (F.get(cs, i + 1) == "\n") & F.array_contains(wraps, begin + i + 1), F.lit(False))
+                        ((c == "\n") & F.get(on, i))
+                        | F.coalesce((c == "\r") & (F.get(cs, i + 1) == "\n") & F.get(on, i + 1), F.lit(False))
                     ),
                     c,
                 ),
@@ -169,8 +169,9 @@ def whole_array(text: Column, kind: Column, wraps: Column) -> Column:
         )
         return F.array_join(kept, "")
 
+    marked = lambda cs: F.struct(cs.alias("cs"), tx.among(F.transform(cs, lambda c, i: start + i), wraps).alias("on"))
     joined = F.when(
-        F.size(wraps) > 0, tx.let(F.struct(tx.chars(original).alias("cs"), start.alias("begin")), unwrap)
+        F.size(wraps) > 0, tx.let(tx.let(tx.chars(original), marked), unwrap)
     ).otherwise(original)
 
     def build(r: Column) -> Column:
@@ -189,21 +190,14 @@ def whole_array(text: Column, kind: Column, wraps: Column) -> Column:
 
 
 def _without_overlaps(text: Column, lexical: Column, absolute: Column) -> Column:
-    """Lexical candidates that touch no absolute one (absolute spans are disjoint, so two lookups suffice)."""
+    """Lexical candidates that touch no absolute one (absolute spans are disjoint and ascending, so their ends suffice)."""
 
     def keep(pair: Column) -> Column:
         found, lex = pair["abs"], pair["lex"]
-        pieces = F.flatten(
-            F.transform(
-                F.concat(found, F.array(F.struct(F.length(text).alias("start"), F.length(text).alias("end")))),
-                lambda a, k: F.array(
-                    F.struct((a["start"] - F.coalesce(F.get(found, k - 1)["end"], F.lit(0))).alias("n"), F.lit(False).alias("on")),
-                    F.struct((a["end"] - a["start"]).alias("n"), F.lit(True).alias("on")),
-                ),
-            )
-        )
-        cover = F.flatten(F.transform(pieces, lambda p: F.array_repeat(p["on"], p["n"])))
-        return tx.let(cover, lambda on: F.filter(lex, lambda c: ~F.get(on, c["start"]) & ~F.get(on, c["end"] - 1)))
+        first = tx.inside(F.transform(lex, lambda c: c["start"]), found)
+        last = tx.inside(F.transform(lex, lambda c: c["end"] - 1), found)
+        touched = F.struct(first.alias("first"), last.alias("last"))
+        return tx.let(touched, lambda t: F.filter(lex, lambda c, i: ~F.get(t["first"], i) & ~F.get(t["last"], i)))
 
     spans = F.transform(absolute, lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end")))
     both = F.struct(spans.alias("abs"), lexical.alias("lex"))

@@ -437,7 +437,10 @@ def _(q):
     return tt.canonicalize_punctuation(tt.segment(sources(q)), dashes_approved=True)
 
 
-@query("n08_normalization_collisions")
+@query("n08_normalization_collisions", """
+WITH w AS (SELECT doc_id AS source_id, unnest(list_distinct(regexp_extract_all(text || ' fin \ufb01n', '[\\p{L}\\p{N}_-]+'))) AS word FROM documents),
+n AS (SELECT source_id, word, nfc_normalize(replace(word, '\ufb01', 'fi')) AS normal_form FROM w)
+SELECT source_id, normal_form, string_agg(word, '|' ORDER BY word) AS originals FROM n GROUP BY source_id, normal_form HAVING count(*) > 1""")
 def _(q):
     # Every document gains a ligature spelling of one of its words, so distinct spellings meet under NFKC.
     src = dealt(q.documents.select(F.col("doc_id").alias("source_id"), F.concat("text", F.lit(" fin \ufb01n")).alias("text")), "source_id")

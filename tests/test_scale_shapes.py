@@ -1,11 +1,13 @@
 """Joins and orderings whose work has to follow their input, against plain Python."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from normlake.operators import lookalikes, needles, ocr, urls
+from normlake.functions import text as tx
+from normlake.operators import lookalikes, needles, ocr, text_inventory, text_transform, urls
 from normlake.operators.ordering import ranked, running_max
 
 BOX = "image_id int, cluster_id int, left double, top double, right double, bottom double"
@@ -125,3 +127,53 @@ def test_look_alikes_share_a_skeleton(spark):
     got = {r.token: (r.skeleton, r.twin, r.sources, r.tokens) for r in lookalikes.look_alike_index(tokens, shapes).collect()}
     assert got == {"ﬁne": ("fine", "fine", 1, 2), "fine": ("fine", "fine", 2, 2), "modern": ("rnodern", "modem", 1, 2), "modem": ("rnodern", "modem", 1, 2),
                    "Ꭺ": ("A", "Ꭺ", 1, 2), "Ａ": ("A", "Ꭺ", 1, 2)}
+
+
+def test_points_meet_spans_by_one_sort(spark):
+    rng = random.Random(5)
+    data = []
+    for i in range(200):
+        edges = sorted(rng.sample(range(60), 2 * rng.randrange(0, 8)))
+        spans = [(edges[k], edges[k + 1]) for k in range(0, len(edges), 2)]
+        data.append((i, [rng.randrange(-2, 62) for _ in range(rng.randrange(0, 20))], spans, None if i % 9 == 0 else [rng.randrange(60) for _ in range(10)]))
+    df = spark.createDataFrame(data, "id int, points array<int>, spans array<struct<start:int,end:int>>, chosen array<int>")
+    got = df.select("id", tx.inside(F.col("points"), F.col("spans")).alias("held"), tx.among(F.col("points"), F.col("chosen")).alias("among")).collect()
+    for r in got:
+        _, points, spans, chosen = data[r.id]
+        assert r.held == [any(s <= p < e for s, e in spans) for p in points]
+        assert r.among == [p in (chosen or []) for p in points]
+
+
+def plain_unwrapped(text, wraps, joins="/?&=#-_."):
+    out = []
+    for i, c in enumerate(text):
+        if c == "\n" and i in wraps:
+            inner = 0 < i < len(text) - 1
+            out.append(" " if inner and text[i - 1] not in joins and text[i + 1] not in joins else "")
+        else:
+            out.append(c)
+    return "".join(out)
+
+
+def test_wraps_are_dropped_as_declared(spark):
+    rng = random.Random(6)
+    data = [(i, "".join(rng.choice("ab/- \n\n\U0001F468") for _ in range(rng.randrange(0, 30)))) for i in range(300)]
+    data = [(i, t, [k for k, c in enumerate(t) if c == "\n" and rng.random() < 0.6] + [99]) for i, t in data] + [(300, "\n", [0]), (301, "", []), (302, "a\nb", None)]
+    df = spark.createDataFrame(data, "id int, text string, wraps array<int>")
+    got = df.select("id", text_transform.drop_wraps(F.col("text"), F.lit(0), F.col("wraps")).alias("out")).collect()
+    assert {r.id: r.out for r in got} == {i: plain_unwrapped(t, set(w or [])) for i, t, w in data}
+
+
+def test_many_lines_take_time_in_proportion(spark):
+    def took(lines):
+        text = "line\n" * lines
+        df = spark.createDataFrame([(1, text, list(range(4, len(text), 10)))], "source_id int, text string, wrap_offsets array<int>")
+        start = time.time()
+        wrapped = text_inventory.line_structure(df).where("wrap").count()
+        length = df.select(F.length(text_transform.drop_wraps(F.col("text"), F.lit(0), F.col("wrap_offsets")))).first()[0]
+        assert (wrapped, length) == (lines // 2, len(text))
+        return time.time() - start
+
+    took(1_000)
+    short, long = took(50_000), took(200_000)
+    assert long < 8 * short + 2
