@@ -237,7 +237,47 @@ SELECT r.run_id, CAST(CASE WHEN r.run_id % 17 = 3 AND p.seq = 5 THEN 6 WHEN r.ru
 FROM log_runs r JOIN preset_rows p ON p.preset_id = r.preset_id WHERE NOT (r.run_id % 13 = 2 AND p.seq = 8)""")
 
 
-@query("p03_sequence_audit")
+GIVES_SQL = values_sql(["block_id", "cap"], [(b, c) for b in cat.BLOCKS for c in cat.attribute(cat.GIVES, b)])
+NEEDS_SQL = values_sql(["block_id", "cap"], [(b, c) for b in cat.BLOCKS for c in cat.attribute(cat.NEEDS, b)])
+TYPES_SQL = values_sql(["block_id", "input_kind", "output_mode"], [(b[0], k, m) for b in cat.block_rows() for k in b[2] for m in b[3]])
+TRAITS_SQL = values_sql(["block_id", "block_version", "transforming", "serializes", "verifies", "is_source", "exports"], [(b[0], b[1], *b[7:12]) for b in cat.block_rows()])
+RULES_SQL = values_sql(["violation_code", "later", "earlier", "reason_code", "input_kind"], [rule[:4] + (rule[4] or "ANY",) for rule in rl.ORDER_RULES])
+
+
+@query("p03_sequence_audit", f"""
+WITH traits AS ({TRAITS_SQL}), gives AS ({GIVES_SQL}), needs AS ({NEEDS_SQL}), types AS ({TYPES_SQL}), rules AS ({RULES_SQL}),
+k AS (SELECT m.run_id, m.seq, t.* FROM manifest m JOIN traits t ON t.block_id = m.block_id AND t.block_version = m.block_version),
+f AS (SELECT run_id, block_id, min(seq) AS first FROM k GROUP BY 1, 2),
+held AS (SELECT DISTINCT f.run_id, f.block_id, g.cap FROM f JOIN f p ON p.run_id = f.run_id AND p.first < f.first JOIN gives g ON g.block_id = p.block_id),
+got AS (SELECT f.run_id, f.block_id, coalesce(list(h.cap) FILTER (WHERE h.cap IS NOT NULL), []) AS caps FROM f LEFT JOIN held h ON h.run_id = f.run_id AND h.block_id = f.block_id GROUP BY 1, 2),
+x AS (SELECT r.*, e.* EXCLUDE (rid), d.blocks FROM log_runs r
+  LEFT JOIN (SELECT run_id AS rid, count(*) FILTER (WHERE is_source) AS sources, count(*) FILTER (WHERE exports) AS exporters, min(seq) FILTER (WHERE is_source) AS src, min(seq) FILTER (WHERE verifies) AS ver,
+    max(seq) FILTER (WHERE serializes) AS ser, min(seq) FILTER (WHERE block_id LIKE 'REN-%') AS ren, max(seq) FILTER (WHERE transforming) AS changed,
+    bool_or(block_id LIKE 'DER-%') AS derives FROM k GROUP BY 1) e ON e.rid = r.run_id
+  LEFT JOIN (SELECT run_id AS rid, map_from_entries(list((block_id, first))) AS blocks FROM f GROUP BY 1) d ON d.rid = r.run_id),
+y AS (SELECT *, blocks['IN-005'] AS typed, blocks['URL-014'] AS url_ser, greatest({', '.join(f"blocks['{b}']" for b in rl.URL_POLICY_BLOCKS)}) AS url_policy, blocks['REV-008'] AS approved, blocks['TXT-017'] AS locked,
+  blocks['REN-007'] AS pixels FROM x)
+SELECT m.run_id, 'PV-018' AS violation_code, m.block_id, 'UNKNOWN_BLOCK_ID' AS reason_code FROM manifest m WHERE m.block_id NOT IN (SELECT block_id FROM traits)
+UNION SELECT m.run_id, 'PV-018', m.block_id, 'UNKNOWN_BLOCK_VERSION' FROM manifest m JOIN traits t ON t.block_id = m.block_id AND t.block_version <> m.block_version
+UNION SELECT run_id, 'PV-001', '-', 'SOURCE_BLOCK_COUNT_INVALID' FROM y WHERE sources IS DISTINCT FROM 1
+UNION SELECT run_id, 'PV-002', '-', 'EXPORT_PREPARATION_COUNT_INVALID' FROM y WHERE exporters IS DISTINCT FROM 1
+UNION SELECT run_id, 'PV-003', block_id, 'DUPLICATE_BLOCK_LOOP_REPRESENTATION' FROM manifest GROUP BY run_id, block_id HAVING count(*) > 1
+UNION SELECT r.run_id, 'PV-005', p.block_id, 'MANDATORY_BLOCK_MISSING' FROM log_runs r JOIN preset_rows p ON p.preset_id = r.preset_id WHERE NOT EXISTS (SELECT 1 FROM manifest m WHERE m.run_id = r.run_id AND m.block_id = p.block_id)
+UNION SELECT f.run_id, 'PV-017', f.block_id, 'BLOCK_TYPE_INCOMPATIBLE' FROM f JOIN log_runs r ON r.run_id = f.run_id WHERE NOT EXISTS (SELECT 1 FROM types t WHERE t.block_id = f.block_id AND t.input_kind = r.input_kind AND t.output_mode = r.output_mode)
+UNION SELECT g.run_id, 'PV-004', g.block_id, 'INPUT_PREDICATE_UNSATISFIED' FROM got g JOIN needs n ON n.block_id = g.block_id WHERE NOT list_contains(caps, n.cap)
+  AND NOT (g.block_id = 'OUT-IMG-001' AND n.cap = 'IMAGE_ARTIFACT' AND list_contains(caps, 'DERIVATIVE_ARTIFACT')) AND NOT (g.block_id = 'CAN-001' AND n.cap = 'TEXT_INSPECTED' AND list_contains(caps, 'IMAGE_INSPECTED'))
+UNION SELECT g.run_id, 'PV-004', g.block_id, 'INPUT_PREDICATE_UNSATISFIED' FROM got g JOIN log_runs r ON r.run_id = g.run_id WHERE g.block_id = 'OUT-BND-001' AND NOT CASE r.output_mode WHEN 'TEXT' THEN list_contains(caps, 'TEXT_ARTIFACT')
+  WHEN 'REBUILT_IMAGE' THEN list_contains(caps, 'IMAGE_ARTIFACT') WHEN 'BOTH' THEN list_has_all(caps, ['TEXT_ARTIFACT', 'IMAGE_ARTIFACT']) ELSE list_has_any(caps, ['DERIVATIVE_ARTIFACT', 'IMAGE_ARTIFACT']) END
+UNION SELECT a.run_id, u.violation_code, u.later, u.reason_code FROM f a JOIN rules u ON u.later = a.block_id JOIN log_runs r ON r.run_id = a.run_id AND u.input_kind IN ('ANY', r.input_kind)
+  WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.run_id = a.run_id AND b.block_id = u.earlier AND b.first < a.first)
+UNION SELECT run_id, 'PV-004', 'IN-005', 'SOURCE_TYPE_BEFORE_SOURCE' FROM y WHERE typed <= coalesce(src, typed)
+UNION SELECT run_id, 'PV-010', 'URL-014', 'URL_SERIALIZER_BEFORE_POLICY' FROM y WHERE url_ser <= coalesce(url_policy, url_ser)
+UNION SELECT run_id, 'PV-012', '-', 'RENDER_BEFORE_CANONICAL_APPROVAL' FROM y WHERE ren IS NOT NULL AND (ren <= coalesce(approved, ren) OR locked IS NULL)
+UNION SELECT run_id, 'PV-006', '-', 'VERIFICATION_BEFORE_FINAL_SERIALIZATION' FROM y WHERE ver <= coalesce(ser, ver)
+UNION SELECT run_id, 'PV-007', '-', 'CONTENT_TRANSFORM_AFTER_VERIFICATION' FROM y WHERE changed > ver
+UNION SELECT run_id, 'PV-015', '-', 'DECLARED_ASSURANCE_EXCEEDS_CEILING' FROM y WHERE ceiling > CASE WHEN output_mode = 'DERIVATIVE_IMAGE' OR coalesce(derives, FALSE) THEN 1 WHEN output_mode = 'TEXT' THEN 2 WHEN pixels IS NOT NULL THEN 3 ELSE 4 END
+UNION SELECT run_id, 'PV-008', '-', 'DERIVATIVE_CEILING_VIOLATION' FROM y WHERE derives AND (output_mode <> 'DERIVATIVE_IMAGE' OR ceiling > 1)
+UNION SELECT run_id, 'PV-009', 'REN-007', 'SOURCE_PIXEL_CEILING_VIOLATION' FROM y WHERE pixels IS NOT NULL AND ceiling > 3""")
 def _(q):
     s = q.spark
     out = rl.sequence_audit(q.manifest, q.log_runs, cat.block_catalog(s), cat.preset_blocks(s))
