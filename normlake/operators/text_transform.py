@@ -330,7 +330,8 @@ class Canonicalization:
     def canonical(self) -> DataFrame:
         return self.staged.select("source_id", F.col("canonical").alias("text"), "locked")
 
-    def proposals(self) -> DataFrame:
+    def _changes(self) -> Column:
+        """All proposals of a source as one array, in the order of steps and segments."""
         hidden = F.col("hidden_alt") | (F.col("source_kind") == "HTML_CLIPBOARD")
         strip = F.when(
             ~F.col("blocked_input") & (hidden | F.col("rich") | (F.col("source_kind") == "STYLED_TEXT")),
@@ -357,19 +358,20 @@ class Canonicalization:
 
         steps = [step(k, block) for k, block in enumerate(_STEPS, start=1)]
         kind = "array<struct<block_id:string,seg_idx:int,step:int,before:string,after:string,review_code:string,applied:boolean>>"
-        every = F.concat(F.coalesce(strip.cast(kind), F.array().cast(kind)), *[s.cast(kind) for s in steps])
-        return to_rows(self.staged, ["source_id"], every)
+        return F.concat(F.coalesce(strip.cast(kind), F.array().cast(kind)), *[s.cast(kind) for s in steps])
+
+    def proposals(self) -> DataFrame:
+        return to_rows(self.staged, ["source_id"], self._changes())
 
     def ledger(self) -> DataFrame:
-        """Applied changes with their ids; the id counts the source's applied changes in order."""
-        hidden = F.col("hidden_alt") | (F.col("source_kind") == "HTML_CLIPBOARD")
-        rows = self.proposals().where("applied")
+        """Applied changes with their ids; the id counts the source's applied changes from 0, in order of steps and segments."""
+        made = F.filter(self._changes(), lambda p: p["applied"])
+        numbered = F.transform(made, lambda p, i: p.withField("change_id", F.concat(F.lit("text-c-"), i.cast("string"))))
+        rows = to_rows(self.staged, ["source_id"], numbered)
         impact = F.when(F.col("review_code").isNull(), F.lit("NONE")).otherwise(F.lit("POSSIBLE"))
         category = F.create_map(*[F.lit(x) for kv in _CATEGORY.items() for x in kv])
         return rows.select(
-            "source_id",
-            F.concat_ws("-", F.lit("text-c"), F.col("step"), F.col("seg_idx")).alias("change_id"),
-            "block_id", F.lit(1).alias("block_version"), category[F.col("block_id")].alias("category"),
+            "source_id", "change_id", "block_id", F.lit(1).alias("block_version"), category[F.col("block_id")].alias("category"),
             "before", "after", impact.alias("semantic_impact"), "review_code",
         )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from normlake.dims import charclass as cc
@@ -181,7 +183,31 @@ def _(q):
         F.count("*").alias("clusters"), F.max("scalar_end").cast("long").alias("scalar_end"), F.max("utf16_end").cast("long").alias("utf16_end"))
 
 
-@query("t03_normalization_deltas")
+# What each code point decomposes into and its combining class, from the character database; Hangul follows by rule in no query.
+_POINTS = [chr(i) for i in range(0x80, 0x30000) if not 0xAC00 <= i <= 0xD7A3 and not 0xD800 <= i <= 0xDFFF]
+DECOMPOSED = "kc AS (" + values_sql(["kc_c", "nfd", "nfkd"], [
+    (c, unicodedata.normalize("NFD", c), unicodedata.normalize("NFKD", c)) for c in _POINTS if unicodedata.normalize("NFKD", c) != c]) + ")"
+CLASSES = "cc AS (" + values_sql(["cc_c", "ccc"], [(c, unicodedata.combining(c)) for c in _POINTS if unicodedata.combining(c)]) + ")"
+
+
+def _decomposed(form: str) -> str:
+    """Clusters taken apart into one form, marks in canonical order: a stable sort by class behind each starter."""
+    return f"""{form}_p AS (SELECT source_id, s, i, unnest(regexp_extract_all(coalesce({form}, c), '(?s).')) AS d, generate_subscripts(regexp_extract_all(coalesce({form}, c), '(?s).'), 1) AS j FROM wide LEFT JOIN kc ON kc_c = c),
+{form}_k AS (SELECT *, coalesce(ccc, 0) AS k FROM {form}_p LEFT JOIN cc ON cc_c = d),
+{form}_g AS (SELECT *, count(*) FILTER (WHERE k = 0) OVER (PARTITION BY source_id, s ORDER BY i, j) AS g FROM {form}_k),
+{form}_v AS (SELECT source_id, s, string_agg(d, '' ORDER BY g, k, i, j) AS {form}_text FROM {form}_g GROUP BY source_id, s)"""
+
+
+DELTAS = f"""{CHARS}, {DECOMPOSED}, {CLASSES},
+cl AS (SELECT source_id, c, i, max(CASE WHEN regexp_matches(c, '[^\\p{{M}}\\x{{200C}}\\x{{200D}}]') OR i = 0 THEN i END) OVER (PARTITION BY source_id ORDER BY i) AS s FROM ch),
+cluster AS (SELECT source_id, s, max(i) + 1 AS e, string_agg(c, '' ORDER BY i) AS before FROM cl GROUP BY source_id, s HAVING bool_or(unicode(c) > 127)),
+wide AS (SELECT cl.* FROM cl JOIN cluster USING (source_id, s)), {_decomposed("nfd")}, {_decomposed("nfkd")},
+forms AS (SELECT source_id, s, e, before, nfd_text AS nfd, nfkd_text AS nfkd, nfc_normalize(before) AS nfc, nfc_normalize(nfkd_text) AS nfkc
+  FROM cluster JOIN nfd_v USING (source_id, s) JOIN nfkd_v USING (source_id, s)),
+delta AS (SELECT source_id, CAST(s AS INT) AS scalar_start, CAST(e AS INT) AS scalar_end, before, unnest(['NFC', 'NFD', 'NFKC', 'NFKD']) AS form, unnest([nfc, nfd, nfkc, nfkd]) AS after, unnest([NULL, NULL, nfc, nfd]) AS base FROM forms)"""
+
+
+@query("t03_normalization_deltas", f"WITH {DELTAS} SELECT source_id, scalar_start, scalar_end, before, form, after FROM delta WHERE after <> before")
 def _(q):
     return inv.normalization_deltas(sources(q))
 
@@ -327,7 +353,12 @@ def _(q):
     return rows.groupBy("source_id", "block_id", "severity", F.coalesce("review_code", F.lit("none")).alias("review_code")).agg(F.count("*").alias("n"))
 
 
-@query("t12_normalization_findings")
+COMPAT = f"""{DELTAS}, found AS (SELECT source_id, coalesce(base = before, FALSE) AS compat, coalesce(base = before, FALSE) AND regexp_matches(before, '[\\p{{L}}\\p{{Nd}}]') AS gated FROM delta WHERE after <> before)"""
+
+
+@query("t12_normalization_findings", f"""
+WITH {COMPAT} SELECT source_id, CASE WHEN gated THEN 'MEDIUM' ELSE 'LOW' END AS severity, CASE WHEN compat THEN 'COMPATIBILITY_NORMALIZATION_DELTA' ELSE 'CANONICAL_NORMALIZATION_DELTA' END AS title,
+  CASE WHEN gated THEN 'COMPATIBILITY_NORMALIZATION_REVIEW' ELSE 'none' END AS review_code, count(*) AS n FROM found GROUP BY ALL""")
 def _(q):
     rows = fnd.text_findings(sources(q)).where("block_id = 'TXT-002'")
     return rows.groupBy("source_id", "severity", "title", F.coalesce("review_code", F.lit("none")).alias("review_code")).agg(F.count("*").alias("n"))
@@ -459,9 +490,10 @@ def approve_all(df):
     return df.withColumn("approved_codes", F.array(*[F.lit(c) for c in fnd.REVIEW_BLOCK]))
 
 
-CANONICAL = f"""{SEGMENTS},
+def canonical_sql(normalized: str, before: str = "") -> str:
+    return f"""{SEGMENTS},{before}
 bad AS (SELECT DISTINCT source_id FROM ch WHERE regexp_matches(c, '{cc.char_class(cc.UNSUPPORTED_CONTROL_RANGES)}')),
-s1 AS (SELECT source_id, seg_idx, protected, CASE WHEN protected THEN value ELSE nfc_normalize(value) END AS value FROM seg),
+s1 AS (SELECT source_id, seg_idx, protected, CASE WHEN protected THEN value ELSE {normalized} END AS value FROM seg),
 u AS (SELECT source_id, seg_idx, protected, unnest(regexp_extract_all(value, '(?s).')) AS c, generate_subscripts(regexp_extract_all(value, '(?s).'), 1) AS j FROM s1),
 m AS (SELECT *, lag(c) OVER w AS p, lead(c) OVER w AS nx FROM u WINDOW w AS (PARTITION BY source_id, seg_idx ORDER BY j)),
 s2 AS (SELECT source_id, seg_idx, protected, string_agg(CASE WHEN protected OR NOT {DROPPED} THEN c ELSE '' END, '' ORDER BY j) AS value FROM m GROUP BY source_id, seg_idx, protected),
@@ -473,6 +505,13 @@ whole AS (SELECT source_id, string_agg(value, '' ORDER BY seg_idx) AS text FROM
 canonical AS (SELECT p.source_id, CASE WHEN b.source_id IS NOT NULL THEN p.text ELSE coalesce(w.text, '') END AS text, p.source_kind FROM perturbed p LEFT JOIN whole w ON w.source_id = p.source_id LEFT JOIN bad b ON b.source_id = p.source_id)"""
 
 
+CANONICAL = canonical_sql("nfc_normalize(value)")
+# Compatibility forms by way of the decompositions of single code points; spaces other than ASCII wait for their own step.
+CANONICAL_NFKC = canonical_sql("nfc_normalize(coalesce((SELECT plain FROM kx WHERE kx.source_id = seg.source_id AND kx.seg_idx = seg.seg_idx), value))", f"""
+{DECOMPOSED}, sx AS (SELECT source_id, seg_idx, unnest(regexp_extract_all(value, '(?s).')) AS c, generate_subscripts(regexp_extract_all(value, '(?s).'), 1) AS j FROM seg),
+kx AS (SELECT source_id, seg_idx, string_agg(CASE WHEN regexp_matches(c, '{WS}') THEN c ELSE coalesce(nfkd, c) END, '' ORDER BY j) AS plain FROM sx LEFT JOIN kc ON kc_c = c GROUP BY 1, 2),""")
+
+
 @query("n10_canonicalize_text", f"""
 WITH {CANONICAL}, {TOKENS},
 free AS (SELECT DISTINCT t.source_id FROM tokm t WHERE n_scripts > 1 AND NOT EXISTS (SELECT 1 FROM merged m WHERE m.source_id = t.source_id AND m.s <= t.s AND m.e >= t.e))
@@ -486,7 +525,20 @@ def _(q):
     return tt.canonicalize_text(sources(q)).gates()
 
 
-@query("n10_canonical_ledger")
+@query("n10_canonical_ledger", f"""
+WITH {CANONICAL_NFKC},
+steps AS (SELECT source_id, seg_idx, unnest([2, 3, 5, 6]) AS step, unnest(['TXT-010', 'TXT-011', 'TXT-013', 'TXT-014']) AS block_id, unnest([seg.value, s1.value, s2.value, s3.value]) AS before, unnest([s1.value, s2.value, s3.value, s4.value]) AS after
+  FROM seg JOIN s1 USING (source_id, seg_idx) JOIN s2 USING (source_id, seg_idx) JOIN s3 USING (source_id, seg_idx) JOIN s4 USING (source_id, seg_idx)),
+bidi AS (SELECT DISTINCT source_id FROM ch WHERE regexp_matches(c, '{_BIDI}')),
+near AS (SELECT source_id, c, lag(c) OVER w AS p, lead(c) OVER w AS nx FROM ch WINDOW w AS (PARTITION BY source_id ORDER BY i)),
+shaped AS (SELECT DISTINCT source_id FROM near WHERE unicode(c) IN (8204, 8205) AND NOT (coalesce(regexp_matches(p, '{cc.EMOJI}'), FALSE) OR coalesce(regexp_matches(nx, '{cc.EMOJI}'), FALSE))),
+moved AS (SELECT t.source_id, step, seg_idx, block_id, before, after, CASE block_id WHEN 'TXT-011' THEN CASE WHEN b.source_id IS NOT NULL THEN 'BIDI_DISPLAY_REVIEW' WHEN l.source_id IS NOT NULL THEN 'LANGUAGE_SENSITIVE_CONTROL_REVIEW' END
+  WHEN 'TXT-014' THEN CASE WHEN d.source_id IS NOT NULL THEN 'PUNCTUATION_SEMANTICS_REVIEW' END END AS review_code
+  FROM steps t LEFT JOIN bidi b ON b.source_id = t.source_id LEFT JOIN shaped l ON l.source_id = t.source_id LEFT JOIN dashed d ON d.source_id = t.source_id WHERE before <> after
+  UNION ALL SELECT source_id, 0, -1, 'TXT-016', NULL, NULL, CASE source_kind WHEN 'HTML_CLIPBOARD' THEN 'VISIBLE_TEXT_LINK_TARGET_REVIEW' END FROM perturbed WHERE source_kind IN ('HTML_CLIPBOARD', 'STYLED_TEXT'))
+SELECT source_id, 'text-c-' || (row_number() OVER (PARTITION BY source_id ORDER BY step, seg_idx) - 1) AS change_id, block_id, 1 AS block_version,
+  CASE block_id WHEN 'TXT-014' THEN 'PUNCTUATION' WHEN 'TXT-016' THEN 'SEMANTIC' ELSE 'UNICODE' END AS category, before, after, CASE WHEN review_code IS NULL THEN 'NONE' ELSE 'POSSIBLE' END AS semantic_impact, review_code
+FROM moved WHERE source_id NOT IN (SELECT source_id FROM bad)""")
 def _(q):
     return tt.canonicalize_text(approve_all(sources(q))).ledger()
 
