@@ -331,8 +331,7 @@ def _(q):
     return inv.merge_spans(sources(q))
 
 
-@query("t12_text_findings", f"""
-WITH {SPANS}, {MERGED}, {INVISIBLE_ROWS}, {WHITESPACE_ROWS}, {COVERED}, {TOKENS},
+FINDING_ROWS = f"""{SPANS}, {MERGED}, {INVISIBLE_ROWS}, {WHITESPACE_ROWS}, {COVERED}, {TOKENS},
 sc AS (SELECT source_id, {_scripts_sql('text')} AS scripts FROM perturbed),
 mixed AS (SELECT t.*, p.source_kind FROM tokm t JOIN perturbed p USING (source_id) WHERE n_scripts > 1),
 f AS (
@@ -346,8 +345,10 @@ f AS (
  UNION ALL SELECT sc.source_id, 'TXT-008', 'MEDIUM', 'LANGUAGE_POLICY_REVIEW' FROM sc WHERE scripts LIKE '%LATIN%' AND regexp_matches(scripts, 'GREEK|CYRILLIC') AND source_id NOT IN (SELECT source_id FROM mixed)
  UNION ALL SELECT source_id, 'TXT-009', 'MEDIUM', 'CODE_REGION_REVIEW' FROM perturbed WHERE source_kind = 'CODE_BLOCK'
  UNION ALL SELECT source_id, 'TXT-016', CASE source_kind WHEN 'HTML_CLIPBOARD' THEN 'HIGH' ELSE 'LOW' END, CASE source_kind WHEN 'HTML_CLIPBOARD' THEN 'VISIBLE_TEXT_LINK_TARGET_REVIEW' ELSE 'none' END
-   FROM perturbed WHERE source_kind IN ('HTML_CLIPBOARD', 'STYLED_TEXT'))
-SELECT source_id, block_id, severity, review_code, count(*) AS n FROM f GROUP BY ALL""")
+   FROM perturbed WHERE source_kind IN ('HTML_CLIPBOARD', 'STYLED_TEXT'))"""
+
+
+@query("t12_text_findings", f"WITH {FINDING_ROWS} SELECT source_id, block_id, severity, review_code, count(*) AS n FROM f GROUP BY ALL")
 def _(q):
     rows = fnd.text_findings(sources(q)).where("block_id <> 'TXT-002'")
     return rows.groupBy("source_id", "block_id", "severity", F.coalesce("review_code", F.lit("none")).alias("review_code")).agg(F.count("*").alias("n"))
@@ -520,7 +521,17 @@ def _(q):
     return tt.canonicalize_text(approve_all(sources(q)), form="NFC").canonical()
 
 
-@query("n10_canonical_gates")
+_FOUND = COMPAT.removeprefix(CHARS + ", ")
+
+
+@query("n10_canonical_gates", f"""
+WITH {FINDING_ROWS}, {_FOUND},
+words AS (SELECT source_id, unnest(list_distinct(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_-]+'))) AS word FROM perturbed),
+letters AS (SELECT source_id, word, unnest(regexp_extract_all(word, '(?s).')) AS c, generate_subscripts(regexp_extract_all(word, '(?s).'), 1) AS j FROM words),
+spelled AS (SELECT source_id, word, nfc_normalize(string_agg(coalesce(nfkd, c), '' ORDER BY j)) AS plain FROM letters LEFT JOIN kc ON kc_c = c GROUP BY source_id, word),
+codes AS (SELECT source_id, review_code FROM f WHERE review_code <> 'none' UNION SELECT source_id, 'COMPATIBILITY_NORMALIZATION_REVIEW' FROM found WHERE gated
+  UNION SELECT source_id, 'NORMALIZATION_COLLISION_REVIEW' FROM spelled GROUP BY source_id, plain HAVING count(*) > 1)
+SELECT source_id, review_code, TRUE AS blocking, 'PENDING' AS status FROM codes""")
 def _(q):
     return tt.canonicalize_text(sources(q)).gates()
 
