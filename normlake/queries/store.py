@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from normlake.dims import catalog as cat
 from normlake.operators import ocr, pixels as px, results as m, timing as tm
+from normlake.queries.text import UNAPPROVED
 from normlake.queries.base import fixture, query
 from normlake.queries.review import S, case
 from normlake.session import ensure_checkpoint_dir
@@ -453,13 +454,15 @@ def _arriving(q, name):
     return q.spark.readStream.schema(table.schema).parquet(f"{q.folder}/{name}.parque[t]"), f"{ensure_checkpoint_dir(q.spark)}/stream-{uuid.uuid4().hex}"
 
 
-@query("x06_stream_canonicalize", "SELECT doc_id AS source_id, CASE WHEN strlen(text) > 8000 THEN 'REJECTED' ELSE 'ACCEPTED' END AS state FROM documents")
+@query("x06_stream_canonicalize", f"""
+WITH {UNAPPROVED} SELECT s.source_id, CASE WHEN strlen(s.text) > 8000 THEN 'REJECTED' ELSE 'ACCEPTED' END AS state, CASE WHEN strlen(s.text) > 8000 THEN '-' ELSE sha256(c.text) END AS digest
+FROM as_stored s JOIN canonical c USING (source_id)""")
 def _(q):
     docs, folder = _arriving(q, "documents")
     texts = docs.select(F.col("doc_id").alias("source_id"), "text", F.lit("PLAIN_TEXT").alias("source_kind"))
     streams.stream_canonicalize(texts, 8000, f"{folder}/out", f"{folder}/rejects", f"{folder}/progress", form="NFC").trigger(availableNow=True).start().awaitTermination()
-    state = lambda path, name: q.spark.read.parquet(path).select("source_id", F.lit(name).alias("state"))
-    return state(f"{folder}/out/texts", "ACCEPTED").unionByName(state(f"{folder}/rejects", "REJECTED"))
+    state = lambda path, name, digest: q.spark.read.parquet(path).select("source_id", F.lit(name).alias("state"), digest.alias("digest"))
+    return state(f"{folder}/out/texts", "ACCEPTED", F.sha2("text", 256)).unionByName(state(f"{folder}/rejects", "REJECTED", F.lit("-")))
 
 
 @query("x08_stream_seal_dedup", "SELECT DISTINCT user_id AS session_id FROM events")
