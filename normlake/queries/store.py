@@ -329,11 +329,37 @@ def _(q):
     return px.derivative_pixels(q.pixels, rq)
 
 
-@query("s06_image_files", """SELECT l_orderkey * 10 + l_linenumber AS path, 'GIF' AS format, CAST(l_partkey AS BIGINT) AS width, CAST(l_suppkey AS BIGINT) AS height, CASE WHEN l_partkey = 0 OR l_suppkey = 0 THEN 'INCONSISTENT_HEADER' WHEN l_linenumber % 2 = 1 THEN 'MIME_SIGNATURE_CONFLICT' ELSE 'none' END AS rejection FROM lineitem""")
-def _(q):
-    le = lambda c: F.concat(F.lpad(F.hex(F.col(c) % 256), 2, "0"), F.lpad(F.hex(F.floor(F.col(c) / 256)), 2, "0"))
-    img = q.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("path"), F.unhex(F.concat(F.lit("474946383961"), le("l_partkey"), le("l_suppkey"), F.lit("0000"))).alias("content"), F.when(F.col("l_linenumber") % 2 == 1, F.lit("image/png")).otherwise(F.lit("image/gif")).alias("claimed_mime"))
-    return images.image_headers(img).select("path", "format", "width", "height", F.coalesce("rejection", F.lit("none")).alias("rejection"))
+# Files of three formats with the sides of a line item; some PNG depths do not go with their colour, some BMP heads are of the old kind.
+IMAGE_FILES = f"""
+SELECT l_orderkey * 10 + l_linenumber AS path, {case('l_orderkey % 3', ('GIF', 'PNG', 'BMP'))} AS format, CAST(l_partkey AS BIGINT) AS w, CAST(l_suppkey AS BIGINT) AS h,
+  CAST(CASE l_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 8 WHEN 2 THEN 16 ELSE 32 END AS INT) AS depth, CAST(CASE l_suppkey % 6 WHEN 5 THEN 7 WHEN 1 THEN 3 WHEN 3 THEN 6 ELSE l_suppkey % 6 END AS INT) AS colour,
+  l_partkey % 2 = 0 AND l_partkey < 65536 AND l_suppkey < 65536 AS core, l_linenumber % 2 = 1 AS mistaken FROM {{lineitem}}"""
+fixture("image_files", IMAGE_FILES)
+
+
+@query("s06_image_files", """
+WITH x AS (SELECT *, CASE format WHEN 'GIF' THEN 8 ELSE depth END AS bit_depth,
+  CASE format WHEN 'GIF' THEN 3 WHEN 'BMP' THEN CASE WHEN depth = 32 THEN 4 ELSE 3 END ELSE CASE colour WHEN 0 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 2 WHEN 2 THEN 3 WHEN 6 THEN 4 END END AS channels FROM image_files)
+SELECT path, format, CASE WHEN format = 'GIF' THEN w % 65536 ELSE w END AS width, CASE WHEN format = 'GIF' THEN h % 65536 ELSE h END AS height, bit_depth, coalesce(channels, 0) AS channels,
+  CASE WHEN format = 'PNG' AND NOT CASE colour WHEN 0 THEN depth IN (1, 2, 4, 8, 16) WHEN 3 THEN depth IN (1, 2, 4, 8) WHEN 2 THEN depth IN (8, 16) WHEN 4 THEN depth IN (8, 16) WHEN 6 THEN depth IN (8, 16) ELSE FALSE END THEN 'INCONSISTENT_HEADER'
+    WHEN w = 0 OR h = 0 OR (format = 'GIF' AND (w % 65536 = 0 OR h % 65536 = 0)) THEN 'INCONSISTENT_HEADER' WHEN mistaken THEN 'MIME_SIGNATURE_CONFLICT' ELSE 'none' END AS rejection FROM x""")
+def _(q):
+    def number(column, size, little=False):
+        digits = F.lpad(F.hex(F.col(column) % (256 ** size)), 2 * size, "0")
+        return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))]) if little else digits
+
+    pad = lambda n: F.lit("00" * n)
+    gif = F.concat(F.lit("474946383961"), number("w", 2, True), number("h", 2, True), pad(2))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), number("w", 4), number("h", 4), number("depth", 1), number("colour", 1), pad(3))
+    old = F.concat(F.lit("424D"), pad(12), F.lit("0C000000"), number("w", 2, True), number("h", 2, True), F.lit("0100"), number("depth", 2, True))
+    # A negative height says that the rows run from the top.
+    new = F.concat(F.lit("424D"), pad(12), F.lit("28000000"), number("w", 4, True), number("down", 4, True), F.lit("0100"), number("depth", 2, True), pad(4))
+    files = q.image_files.withColumn("down", F.when(F.col("mistaken"), F.lit(4294967296) - F.col("h")).otherwise(F.col("h")))
+    made = F.when(F.col("format") == "GIF", gif).when(F.col("format") == "PNG", png).when(F.col("core"), old).otherwise(new)
+    mime = F.concat(F.lit("image/"), F.lower("format"))
+    img = files.select("path", F.unhex(made).alias("content"), F.when(F.col("mistaken"), F.lit("image/webp")).otherwise(mime).alias("claimed_mime"))
+    out = images.image_headers(img)
+    return out.select("path", "format", "width", "height", F.col("bit_depth").cast("int").alias("bit_depth"), F.coalesce("channels", F.lit(0)).alias("channels"), F.coalesce("rejection", F.lit("none")).alias("rejection"))
 
 
 # ------------------------------------------------------------------------------------------------ observations

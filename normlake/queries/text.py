@@ -162,17 +162,24 @@ CATEGORIES = ("Lu", "Ll", "Lt", "Lm", "Lo", "Mn", "Mc", "Me", "Nd", "Nl", "No",
               "Zs", "Zl", "Zp", "Cc", "Cf", "Co")
 
 
+# What each code point decomposes into and its combining class, from the character database; Hangul follows by rule in no query.
+_POINTS = [chr(i) for i in range(0x80, 0x30000) if not 0xAC00 <= i <= 0xD7A3 and not 0xD800 <= i <= 0xDFFF]
+DECOMPOSED = "kc AS (" + values_sql(["kc_c", "nfd", "nfkd"], [
+    (c, unicodedata.normalize("NFD", c), unicodedata.normalize("NFKD", c)) for c in _POINTS if unicodedata.normalize("NFKD", c) != c]) + ")"
+CLASSES = "cc AS (" + values_sql(["cc_c", "ccc"], [(c, unicodedata.combining(c)) for c in _POINTS if unicodedata.combining(c)]) + ")"
+
+
 @query("t01_scalar_inventory", f"""
-WITH {CHARS},
+WITH {CHARS}, {CLASSES},
 w AS (SELECT source_id, i, unicode(c) AS cp, c, sum(CASE WHEN unicode(c) > 65535 THEN 2 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY i) AS u_end FROM ch),
-g AS (SELECT cp, c, count(*) AS n, sum(i) AS idx_sum, sum(u_end - CASE WHEN cp > 65535 THEN 2 ELSE 1 END) AS utf16_sum FROM w GROUP BY cp, c)
-SELECT cp, n, CAST(idx_sum AS BIGINT) AS idx_sum, CAST(utf16_sum AS BIGINT) AS utf16_sum,
+g AS (SELECT cp, c, count(*) AS n, sum(i) AS idx_sum, sum(u_end - CASE WHEN cp > 65535 THEN 2 ELSE 1 END) AS utf16_sum, sum(u_end) AS utf16_end_sum FROM w GROUP BY cp, c)
+SELECT cp, n, CAST(coalesce(ccc, 0) AS INT) AS ccc, CAST(utf16_end_sum AS BIGINT) AS utf16_end_sum, CAST(idx_sum AS BIGINT) AS idx_sum, CAST(utf16_sum AS BIGINT) AS utf16_sum,
   CASE {' '.join(f"WHEN regexp_matches(c, chr(92) || 'p{{{k}}}') THEN '{k}'" for k in CATEGORIES)} ELSE 'Cn' END AS category, {sql_script('c')} AS script
-FROM g""")
+FROM g LEFT JOIN cc ON cc_c = c""")
 def _(q):
     rows = inv.scalar_inventory(sources(q))
-    return rows.groupBy("cp", "category", "script").agg(
-        F.count("*").alias("n"), F.sum("scalar_idx").alias("idx_sum"), F.sum("utf16_start").alias("utf16_sum"))
+    return rows.groupBy("cp", "category", "script", F.col("ccc").cast("int").alias("ccc")).agg(
+        F.count("*").alias("n"), F.sum("scalar_idx").alias("idx_sum"), F.sum("utf16_start").alias("utf16_sum"), F.sum("utf16_end").alias("utf16_end_sum"))
 
 
 @query("t02_grapheme_inventory", """
@@ -183,13 +190,6 @@ def _(q):
         F.count("*").alias("clusters"), F.max("scalar_end").cast("long").alias("scalar_end"), F.max("utf16_end").cast("long").alias("utf16_end"))
 
 
-# What each code point decomposes into and its combining class, from the character database; Hangul follows by rule in no query.
-_POINTS = [chr(i) for i in range(0x80, 0x30000) if not 0xAC00 <= i <= 0xD7A3 and not 0xD800 <= i <= 0xDFFF]
-DECOMPOSED = "kc AS (" + values_sql(["kc_c", "nfd", "nfkd"], [
-    (c, unicodedata.normalize("NFD", c), unicodedata.normalize("NFKD", c)) for c in _POINTS if unicodedata.normalize("NFKD", c) != c]) + ")"
-CLASSES = "cc AS (" + values_sql(["cc_c", "ccc"], [(c, unicodedata.combining(c)) for c in _POINTS if unicodedata.combining(c)]) + ")"
-
-
 def _decomposed(form: str) -> str:
     """Clusters taken apart into one form, marks in canonical order: a stable sort by class behind each starter."""
     return f"""{form}_p AS (SELECT source_id, s, i, unnest(regexp_extract_all(coalesce({form}, c), '(?s).')) AS d, generate_subscripts(regexp_extract_all(coalesce({form}, c), '(?s).'), 1) AS j FROM wide LEFT JOIN kc ON kc_c = c),
@@ -544,16 +544,19 @@ def _(q):
     return tt.canonicalize_text(sources(q)).gates()
 
 
+STEPS = """step_texts AS (SELECT source_id, seg_idx, unnest([2, 3, 5, 6]) AS step, unnest(['TXT-010', 'TXT-011', 'TXT-013', 'TXT-014']) AS block_id, unnest([seg.value, s1.value, s2.value, s3.value]) AS before, unnest([s1.value, s2.value, s3.value, s4.value]) AS after
+  FROM seg JOIN s1 USING (source_id, seg_idx) JOIN s2 USING (source_id, seg_idx) JOIN s3 USING (source_id, seg_idx) JOIN s4 USING (source_id, seg_idx))"""
+
+
 @query("n10_canonical_ledger", f"""
 WITH {CANONICAL_NFKC},
-steps AS (SELECT source_id, seg_idx, unnest([2, 3, 5, 6]) AS step, unnest(['TXT-010', 'TXT-011', 'TXT-013', 'TXT-014']) AS block_id, unnest([seg.value, s1.value, s2.value, s3.value]) AS before, unnest([s1.value, s2.value, s3.value, s4.value]) AS after
-  FROM seg JOIN s1 USING (source_id, seg_idx) JOIN s2 USING (source_id, seg_idx) JOIN s3 USING (source_id, seg_idx) JOIN s4 USING (source_id, seg_idx)),
+{STEPS},
 bidi AS (SELECT DISTINCT source_id FROM ch WHERE regexp_matches(c, '{_BIDI}')),
 near AS (SELECT source_id, c, lag(c) OVER w AS p, lead(c) OVER w AS nx FROM ch WINDOW w AS (PARTITION BY source_id ORDER BY i)),
 shaped AS (SELECT DISTINCT source_id FROM near WHERE unicode(c) IN (8204, 8205) AND NOT (coalesce(regexp_matches(p, '{cc.EMOJI}'), FALSE) OR coalesce(regexp_matches(nx, '{cc.EMOJI}'), FALSE))),
 moved AS (SELECT t.source_id, step, seg_idx, block_id, before, after, CASE block_id WHEN 'TXT-011' THEN CASE WHEN b.source_id IS NOT NULL THEN 'BIDI_DISPLAY_REVIEW' WHEN l.source_id IS NOT NULL THEN 'LANGUAGE_SENSITIVE_CONTROL_REVIEW' END
   WHEN 'TXT-014' THEN CASE WHEN d.source_id IS NOT NULL THEN 'PUNCTUATION_SEMANTICS_REVIEW' END END AS review_code
-  FROM steps t LEFT JOIN bidi b ON b.source_id = t.source_id LEFT JOIN shaped l ON l.source_id = t.source_id LEFT JOIN dashed d ON d.source_id = t.source_id WHERE before <> after
+  FROM step_texts t LEFT JOIN bidi b ON b.source_id = t.source_id LEFT JOIN shaped l ON l.source_id = t.source_id LEFT JOIN dashed d ON d.source_id = t.source_id WHERE before <> after
   UNION ALL SELECT source_id, 0, -1, 'TXT-016', NULL, NULL, CASE source_kind WHEN 'HTML_CLIPBOARD' THEN 'VISIBLE_TEXT_LINK_TARGET_REVIEW' END FROM perturbed WHERE source_kind IN ('HTML_CLIPBOARD', 'STYLED_TEXT'))
 SELECT source_id, 'text-c-' || (row_number() OVER (PARTITION BY source_id ORDER BY step, seg_idx) - 1) AS change_id, block_id, 1 AS block_version,
   CASE block_id WHEN 'TXT-014' THEN 'PUNCTUATION' WHEN 'TXT-016' THEN 'SEMANTIC' ELSE 'UNICODE' END AS category, before, after, CASE WHEN review_code IS NULL THEN 'NONE' ELSE 'POSSIBLE' END AS semantic_impact, review_code

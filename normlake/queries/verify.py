@@ -8,7 +8,7 @@ from normlake.dims import catalog as cat
 from normlake.operators import verification as v
 from normlake.queries.base import dealt, fixture, query, values_sql
 from normlake.queries.review import CATALOG_SQL, LINEAGE, S, audits, case
-from normlake.queries.text import sources
+from normlake.queries.text import CANONICAL_NFKC, STEPS, sources
 from normlake.operators import review as r
 
 
@@ -209,7 +209,14 @@ def _(q):
     return shown(v.region_coverage_audit(q.runs, reg(q.orders_seen), reg(q.orders_want), q.inspections))
 
 
-@query("v12_idempotence_audit")
+AGAIN = CANONICAL_NFKC.replace("perturbed", "once")
+
+
+@query("v12_idempotence_audit", f"""
+WITH once AS (WITH {CANONICAL_NFKC} SELECT source_id, text, source_kind FROM canonical), {AGAIN}, {STEPS},
+moved AS (SELECT source_id, count(*) AS n FROM step_texts WHERE before <> after AND source_id NOT IN (SELECT source_id FROM bad) GROUP BY 1)
+SELECT o.source_id, c.text = o.text AS text_same, CAST(coalesce(n, 0) AS INT) AS change_count, CASE WHEN c.text = o.text AND n IS NULL THEN 'PASS' ELSE 'FAIL' END AS status
+FROM once o JOIN canonical c USING (source_id) LEFT JOIN moved USING (source_id)""")
 def _(q):
     return v.idempotence_audit(sources(q))
 

@@ -101,3 +101,17 @@ def test_newline_round_trip(spark):
 def test_second_pass_changes_nothing(spark):
     src = spark.createDataFrame([("a", "  “Café” —  x y… "), ("b", "plain")], "source_id string, text string").withColumn("source_kind", F.lit("PLAIN_TEXT"))
     assert {r.status for r in v.idempotence_audit(src).collect()} == {"PASS"}
+
+
+def test_applied_changes_are_numbered_per_source(spark):
+    rows = [("a", "x  y \u00a0 `code`  z\u2026"), ("b", "plain"), ("c", "e\u0301  and `k` \u2026")]
+    src = spark.createDataFrame(rows, "source_id string, text string").withColumn("source_kind", F.lit("PLAIN_TEXT"))
+    ids = {}
+    for r in tt.canonicalize_text(src, form="NFC").ledger().collect():
+        ids.setdefault(r.source_id, []).append((int(r.change_id.removeprefix("text-c-")), r.block_id))
+    assert set(ids) == {"a", "c"}
+    order = ["TXT-016", "TXT-015", "TXT-010", "TXT-011", "TXT-012", "TXT-013", "TXT-014"]
+    for made in ids.values():
+        made.sort()
+        assert [n for n, _ in made] == list(range(len(made)))
+        assert [order.index(b) for _, b in made] == sorted(order.index(b) for _, b in made)
