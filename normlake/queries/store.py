@@ -421,49 +421,19 @@ def _(q):
     return out.select("image_id", "cluster_id", "region_type", "decoded", F.coalesce("value", F.lit("-")).alias("value"), "policy")
 
 
-@query("o06_barcode_route", f"WITH {BARCODES} SELECT image_id || '|' || cluster_id AS source_id, lo AS value, TRUE AS locked, 'QR_PAYLOAD' AS kind, 'PARSE_FAILED' AS failure FROM bc WHERE decoded")
-def _(q):
-    return ocr.barcode_route(ocr.barcode_consensus(clustered(q), 2)).select("source_id", "value", "locked", "kind", "failure")
-
-
-# ------------------------------------------------------------------------------------------------ time
-fixture("anchors", f"""SELECT c_custkey AS result_id, CAST(1000000 + c_custkey * 10 AS BIGINT) AS wall_ms, CASE WHEN c_custkey % 5 = 0 THEN CAST(NULL AS BIGINT) ELSE CAST(5000000000 AS BIGINT) END AS mono_ns, CASE WHEN c_custkey % 7 = 0 THEN CAST(NULL AS {S}) ELSE 'boot1' END AS boot_id,
- CASE WHEN c_custkey % 11 = 0 THEN 'UNKNOWN_LEGACY_IMPORT_TIME' ELSE 'MONOTONIC_ACTIVE' END AS clock_confidence FROM {{customer}}""")
-fixture("clock_samples", f"""SELECT o_custkey AS result_id, o_orderkey AS seq, CAST(1000000 + o_custkey * 10 + o_orderkey * 100 - CASE WHEN o_orderkey % 6 = 0 THEN 90000000 ELSE 0 END AS BIGINT) AS wall_ms, CASE WHEN o_orderkey % 13 = 0 THEN CAST(NULL AS BIGINT) ELSE CAST(5000000000 + o_orderkey * 100000000 - CASE WHEN o_orderkey % 17 = 0 THEN 999999999999 ELSE 0 END AS BIGINT) END AS mono_ns,
- CASE WHEN o_orderkey % 4 = 0 THEN 'boot2' ELSE 'boot1' END AS boot_id FROM {{orders}}""")
-ELAPSED = """j AS (SELECT s.*, a.wall_ms AS aw, a.mono_ns AS am, a.boot_id AS ab, a.clock_confidence AS ac FROM clock_samples s JOIN anchors a USING (result_id)),
-e AS (SELECT *, coalesce(boot_id = ab, FALSE) AS sb, wall_ms < aw AS rolled, greatest(0, wall_ms - aw) AS we, greatest(0, mono_ns - am) // 1000000 AS me FROM j), f AS (SELECT *, sb AND coalesce(mono_ns < am, FALSE) AS back, sb AND mono_ns IS NOT NULL AND am IS NOT NULL AND mono_ns >= am AS us FROM e),
-g AS (SELECT *, CASE WHEN us THEN me ELSE we END AS raw, CASE WHEN us THEN CASE WHEN rolled THEN 'WALL_CLOCK_ROLLBACK' WHEN abs(me - we) > 2000 THEN 'CLOCK_DIVERGENCE' ELSE 'NONE' END WHEN rolled THEN 'WALL_CLOCK_ROLLBACK' WHEN back THEN 'MONOTONIC_ROLLBACK' WHEN ac = 'UNKNOWN_LEGACY_IMPORT_TIME' THEN 'UNKNOWN_LEGACY_TIME' WHEN coalesce(boot_id <> ab, FALSE) THEN 'BOOT_CHANGED' ELSE 'MONOTONIC_UNAVAILABLE' END AS an,
- CASE WHEN us THEN CASE WHEN rolled OR abs(me - we) > 2000 THEN 'CLOCK_CHANGE_DETECTED' ELSE 'MONOTONIC_ACTIVE' END WHEN rolled OR back THEN 'CLOCK_CHANGE_DETECTED' WHEN ac = 'UNKNOWN_LEGACY_IMPORT_TIME' THEN ac ELSE 'WALL_CLOCK_RESTORED' END AS cf FROM f),
-h AS (SELECT *, max(raw) OVER (PARTITION BY result_id ORDER BY seq) AS elapsed_ms FROM g)"""
-
-
-@query("x01_elapsed_since_import", f"WITH {ELAPSED} SELECT result_id, seq, elapsed_ms, CASE WHEN raw < elapsed_ms THEN 'CLOCK_CHANGE_DETECTED' ELSE cf END AS confidence, CASE WHEN raw < elapsed_ms THEN 'WALL_CLOCK_ROLLBACK' ELSE an END AS anomaly FROM h")
-def _(q):
-    return tm.elapsed_since_import(q.anchors, q.clock_samples)
-
-
-@query("x02_format_elapsed", "SELECT o_orderkey AS k, CASE WHEN o_orderkey * 97 // 3600 < 100 THEN printf('%02d', o_orderkey * 97 // 3600) ELSE CAST(o_orderkey * 97 // 3600 AS VARCHAR) END || ':' || printf('%02d', o_orderkey * 97 // 60 % 60) || ':' || printf('%02d', o_orderkey * 97 % 60) AS label FROM orders")
-def _(q):
-    return q.orders.select(F.col("o_orderkey").alias("k"), tm.format_elapsed(F.col("o_orderkey") * 97000).alias("label"))
-
-
-fixture("sessions", f"SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'other-' ELSE 'session-' END || CAST(o_orderkey AS {S}) AS name, CAST(o_orderkey * 1000 - 5000 AS BIGINT) AS modified_ms FROM {{orders}}")
-
-
-@query("x03_stale_sessions", "SELECT name FROM sessions WHERE name LIKE 'session-%' AND modified_ms > 0 AND 5000000 >= modified_ms AND 5000000 - modified_ms >= 100000")
-def _(q):
-    return tm.stale_sessions(q.sessions, 5000000, 100000).select("name")
-
-
-@query("x04_trace_ring", "SELECT session_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS r FROM trace_events) WHERE r <= 20")
-def _(q):
-    return tm.trace_ring(q.trace_events, 20).select("session_id", "event_id")
+# Payloads of a third of the images are plain codes, of a third links, and of a third links with a tracking parameter.
+PAYLOAD = "CASE CAST(image_id % 3 AS INT) WHEN 0 THEN {0} WHEN 1 THEN 'https://example.com/p/' || right({0}, 1) ELSE 'https://example.com/p?utm_source=mail&id=' || right({0}, 1) END"
 
 
-@query("x07_outcome_windows", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, block_id, outcome, count(*) AS events FROM trace_events GROUP BY ALL")
+@query("o06_barcode_route", f"""
+WITH {BARCODES}, paid AS (SELECT *, {PAYLOAD.format('lo')} AS payload FROM bc WHERE decoded)
+SELECT image_id || '|' || cluster_id AS source_id, payload AS value, TRUE AS locked, 'QR_PAYLOAD' AS kind, CASE WHEN starts_with(payload, 'https://') THEN '-' ELSE 'PARSE_FAILED' END AS failure,
+  CASE WHEN NOT starts_with(payload, 'https://') THEN '-' WHEN contains(payload, '?') THEN 'REMOVE_QUERY_AND_FRAGMENT' ELSE 'KEEP_FULL' END AS policy, CASE WHEN starts_with(payload, 'https://') THEN split_part(payload, '?', 1) ELSE '-' END AS proposed_text,
+  CASE WHEN starts_with(payload, 'https://') THEN 'QR_PAYLOAD_REVIEW' ELSE 'PARSE_FAILURE_REVIEW,QR_PAYLOAD_REVIEW,SCHEMELESS_URL_REVIEW' END AS required_reviews FROM paid""")
 def _(q):
-    return tm.outcome_windows(q.trace_events).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+    seen = observed(q).withColumn("decoded_value", F.expr(PAYLOAD.format("decoded_value")))
+    out = ocr.barcode_route(ocr.barcode_consensus(ocr.ocr_clusters(seen, 0.5), 2))
+    return out.select("source_id", "value", "locked", "kind", F.coalesce("failure", F.lit("-")).alias("failure"), F.coalesce("policy", F.lit("-")).alias("policy"), F.coalesce("proposed_text", F.lit("-")).alias("proposed_text"), F.coalesce("required_reviews", F.lit("-")).alias("required_reviews"))
 
 
 @query("x07_session_windows", """WITH g AS (SELECT run_id, block_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM trace_events WINDOW w AS (PARTITION BY run_id, block_id ORDER BY ts)),
