@@ -1,5 +1,7 @@
 """URL rules on small literal inputs."""
 
+import pytest
+
 from normlake.dims.url_rules import URL_REVIEWS
 from normlake.operators import urls as u
 
@@ -70,3 +72,20 @@ def test_links_of_any_length_and_depth(spark):
     assert ("dots", "a." * 50_000 + "com") in hosts and ("plain", "example.com") in hosts and ("plain", "docs.example.org/a") in hosts
     marked = sorted((r.source_id, r.target, r.display) for r in u.extract_markdown(src).collect())
     assert marked == [("marked", "(" * 50 + "t" + ")" * 50, "l"), ("marked", "c", "[b")]
+
+
+@pytest.mark.parametrize("name", ["u04_extract_emails"])
+def test_mail_sql_ends_where_the_query_does(spark, tmp_path, name):
+    import duckdb
+
+    from normlake.queries import ORACLES, QUERIES
+
+    texts = ["a@b.com. x@y.org z@w.net", "a@b@c.com,d@e.fr\nq@r.de-", "é.q@x.example.com-x #a@b.com#c@d.com", "a.b@c.dd'e@f.gg a@b.c"]
+    # Odd ids: plain texts, in which mails are candidates.
+    spark.createDataFrame([(2 * i + 1, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = QUERIES[name](spark, str(tmp_path))
+    want = con.execute(ORACLES[name])
+    order = [c[0] for c in want.description]
+    assert sorted(tuple(r) for r in got.select(*order).collect()) == sorted(want.fetchall())
