@@ -74,7 +74,7 @@ def test_links_of_any_length_and_depth(spark):
     assert marked == [("marked", "(" * 50 + "t" + ")" * 50, "l"), ("marked", "c", "[b")]
 
 
-@pytest.mark.parametrize("name", ["u04_extract_emails"])
+@pytest.mark.parametrize("name", ["u04_extract_emails", "u06_url_candidates"])
 def test_mail_sql_ends_where_the_query_does(spark, tmp_path, name):
     import duckdb
 
