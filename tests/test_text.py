@@ -115,3 +115,14 @@ def test_applied_changes_are_numbered_per_source(spark):
         made.sort()
         assert [n for n, _ in made] == list(range(len(made)))
         assert [order.index(b) for _, b in made] == sorted(order.index(b) for _, b in made)
+
+
+def test_positions_are_counted_without_the_texts_characters_as_rows_or_arrays(spark):
+    src = spark.createDataFrame([("a", " x  y — z \n"), ("b", "A\U0001F600é\r\n"), ("c", ""), ("d", None)], "source_id string, text string")
+    spaces = [tuple(r) for r in inv.whitespace_inventory(src).orderBy("source_id", "scalar_idx").select("source_id", "scalar_idx", "leading", "trailing", "repeated").collect()]
+    assert spaces == [("a", 0, True, False, False), ("a", 2, False, False, False), ("a", 3, False, False, True), ("a", 5, False, False, False),
+                      ("a", 7, False, False, False), ("a", 9, False, True, False), ("a", 10, False, True, False), ("b", 4, False, True, False), ("b", 5, True, True, False)]
+    graphemes = inv.grapheme_inventory(src)
+    assert [tuple(r)[1:] for r in graphemes.where("source_id = 'b'").orderBy("cluster_idx").collect()] == [(0, 0, 1, 0, 1), (1, 1, 2, 1, 3), (2, 2, 4, 3, 5), (3, 4, 6, 5, 7)]
+    for made in (graphemes, inv.whitespace_inventory(src)):
+        assert "split(" not in made._jdf.queryExecution().optimizedPlan().toString()
