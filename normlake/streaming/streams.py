@@ -8,9 +8,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState
 
 from normlake.operators import text_transform as tt
 from normlake.operators import urls
@@ -50,51 +52,57 @@ def stream_trace_ring(events: DataFrame, capacity: int = 2048) -> DataFrame:
         RingProcessor(capacity), RING_SCHEMA, outputMode="Update", timeMode="None")
 
 
-class ExpiryProcessor(StatefulProcessor):
-    """One live entry per token; a timer emits it as expired. ``column`` names the time of an entry, or none for processing time."""
-
-    def __init__(self, lifetime_ms: int, column: str | None = None):
-        self.lifetime_ms, self.column = lifetime_ms, column
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.entry = handle.getValueState("entry", "result_id string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for batch in rows:
-            if len(batch) and not self.entry.exists():
-                self.entry.update((str(batch["result_id"].iloc[0]),))
-                first = timerValues.getCurrentProcessingTimeInMs()
-            if first is not None and self.column and len(batch):
-                seen = int(batch[self.column].min())
-                first = min(first, seen)
-        if first is not None:
-            self.handle.registerTimer(first + self.lifetime_ms)
-        yield pd.DataFrame({"token": [key[0]], "event": ["PREPARED"]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.entry.exists():
-            self.entry.clear()
-        yield pd.DataFrame({"token": [key[0]], "event": ["EXPIRED"]})
-
-    def close(self) -> None:
-        pass
+def _expiring(lifetime_ms: int, column: str | None):
+    """Live tokens of one bucket with the time each is due; what is due leaves as expired. ``column`` names the time of an entry, or none for processing time.
 
+    A call handles all of a bucket's tokens in a batch as columns: a call for each token costs milliseconds.
+    """
 
-def stream_share_expiry(entries: DataFrame, lifetime_ms: int, lateness: str | None = None) -> DataFrame:
+    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs() if column else state.getCurrentProcessingTimeMs()
+        live = pd.Series([], index=pd.Index([], dtype=object), dtype="int64")
+        if state.exists:
+            held = pa.ipc.open_stream(bytes(state.get[0])).read_pandas()
+            live = pd.Series(held["due"].to_numpy(), index=pd.Index(held["token"], dtype=object))
+        seen = pd.Index([], dtype=object)
+        if not state.hasTimedOut:
+            rows = pd.concat(list(parts))
+            first = rows.groupby("token", sort=False, dropna=False)[column].min() if column else pd.Series(now, index=rows["token"].unique())
+            seen = pd.Index(first.index.astype(object).where(first.index.notna(), None), dtype=object)
+            first.index = seen
+            live = pd.concat([live, first[~seen.isin(live.index)].astype("int64") + lifetime_ms])
+        over = live.to_numpy() < now
+        gone, live = live.index[over], live[~over]
+        if len(live):
+            table, sink = pa.table({"token": pa.array(live.index, pa.string()), "due": live.to_numpy()}), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as writer:
+                writer.write_table(table)
+            state.update((sink.getvalue().to_pybytes(),))
+            if column:
+                state.setTimeoutTimestamp(max(int(live.min()), now + 1))
+            else:
+                state.setTimeoutDuration(max(1, int(live.min()) - now))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"token": [*seen, *gone], "event": ["PREPARED"] * len(seen) + ["EXPIRED"] * len(gone)}, dtype=object)
+
+    return step
+
+
+def stream_share_expiry(entries: DataFrame, lifetime_ms: int, lateness: str | None = None, buckets: int = 1024) -> DataFrame:
     """Shares (token, result_id) expire ``lifetime_ms`` after they are first seen.
 
     The rule speaks of a monotonic clock; a stream has processing time, which is what the timers use. With ``lateness``
     the clock is the watermark over the entries' own ``ts``: it never runs back, and a replay gives the same events.
-    Entries later than the watermark are dropped.
+    Entries later than the watermark are dropped. State is keyed by one of ``buckets`` hashes of the token and holds its live tokens.
     """
     shape, mode = "token string, event string", "Update"
+    held, bucket = "live binary", F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("bucket")
     if lateness is None:
-        return entries.select("token", "result_id").groupBy("token").transformWithStateInPandas(
-            ExpiryProcessor(lifetime_ms), shape, outputMode=mode, timeMode="ProcessingTime")
-    timed = entries.withWatermark("ts", lateness).select("token", "result_id", "ts", F.unix_millis("ts").alias("at_ms"))
-    return timed.groupBy("token").transformWithStateInPandas(ExpiryProcessor(lifetime_ms, "at_ms"), shape, outputMode=mode, timeMode="EventTime")
+        return entries.select("token", bucket).groupBy("bucket").applyInPandasWithState(
+            _expiring(lifetime_ms, None), shape, held, mode, "ProcessingTimeTimeout")
+    timed = entries.withWatermark("ts", lateness).select("token", bucket, "ts", F.unix_millis("ts").alias("at_ms"))
+    return timed.groupBy("bucket").applyInPandasWithState(_expiring(lifetime_ms, "at_ms"), shape, held, mode, "EventTimeTimeout")
 
 
 def stream_canonicalize(sources: DataFrame, max_bytes: int, out_path: str, reject_path: str, checkpoint: str, **policy):

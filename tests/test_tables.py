@@ -165,6 +165,27 @@ def test_stream_share_expiry(spark, tmp_path):
         query.stop()
 
 
+def test_share_expiry_holds_many_tokens_in_a_call(spark, tmp_path):
+    from datetime import datetime, timedelta, timezone
+
+    from normlake.streaming import streams
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    arriving, progress, out = (str(tmp_path / n) for n in ("in", "progress", "out"))
+    shape, start = "token string, result_id string, ts timestamp", datetime(2024, 1, 1, tzinfo=timezone.utc)
+    many = [f"t{i}" for i in range(3000)] + [None]
+    # The second batch touches one live token and brings the watermark past all of the first; the third starts one of them again.
+    for batch in ([(t, "r", 0) for t in many], [("t7", "r", 2), ("late", "r", 500)], [("t7", "r", 501)]):
+        rows = [(t, r, start + timedelta(minutes=m)) for t, r, m in batch]
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(arriving)
+        stream = streams.stream_share_expiry(spark.readStream.schema(shape).parquet(arriving), 60_000, "10 minutes", buckets=2)
+        stream.writeStream.outputMode("update").option("checkpointLocation", progress).foreachBatch(
+            lambda df, i: df.write.mode("append").parquet(out)).trigger(availableNow=True).start().awaitTermination()
+    got = {(r.token, r.event): r["count"] for r in spark.read.parquet(out).groupBy("token", "event").count().collect()}
+    want = {(t, e): 1 for t in many for e in ("PREPARED", "EXPIRED")}
+    assert got == want | {("t7", "PREPARED"): 3, ("late", "PREPARED"): 1}
+
+
 def test_budgets_name_what_they_leave_out(spark):
     from normlake.operators import pixels as px
 
