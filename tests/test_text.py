@@ -126,3 +126,18 @@ def test_positions_are_counted_without_the_texts_characters_as_rows_or_arrays(sp
     assert [tuple(r)[1:] for r in graphemes.where("source_id = 'b'").orderBy("cluster_idx").collect()] == [(0, 0, 1, 0, 1), (1, 1, 2, 1, 3), (2, 2, 4, 3, 5), (3, 4, 6, 5, 7)]
     for made in (graphemes, inv.whitespace_inventory(src)):
         assert "split(" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_classes_are_searched_and_hold_the_same_characters(spark):
+    import re
+
+    from normlake.dims import charclass as cc
+    from normlake.functions import text as tx
+
+    made = [cc.EMOJI_SEARCHED, *(tx._risky_class(form) for form in ("NFC", "NFD", "NFKC", "NFKD")), tx.compatibility_class()]
+    # No set of brackets tries more than four ranges one after the other.
+    assert all(len(part) <= 4 for c in made for part in (re.findall(r"\\x\{\w+\}-\\x\{\w+\}", inner) for inner in re.findall(r"\[([^\[\]&]*)\]", c)))
+    points = spark.range(0x20000).where("id NOT BETWEEN 55296 AND 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    assert points.where(F.col("c").rlike(cc.EMOJI) != F.col("c").rlike(cc.EMOJI_SEARCHED)).count() == 0
+    kept = spark.createDataFrame([("a\u200db",), ("\U0001f468\u200db",), ("b\u200d\U0001f468",), ("\u200d",), ("x\u00ad\u200d7",)], "t string")
+    assert [r[0] for r in kept.select(tt.drop_ignorables(F.col("t"))).collect()] == ["ab", "\U0001f468\u200db", "b\u200d\U0001f468", "", "x\u200d7"]
