@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normlake.dims import catalog as cat
+from normlake.functions.rows import settled
 from normlake.operators.common import union_all
 
 # --- fixed values: ordering rules (code, later block, earlier block, reason, input kind or None) -------
@@ -33,74 +34,88 @@ def sequence_audit(
     """Ordering and capability violations of every run's block sequence.
 
     manifest(run_id, seq, block_id, block_version); runs(run_id, preset_id, input_kind, output_mode, ceiling,
-    high_assurance). A run is first reduced to one row per distinct block with its first and last position, so
-    a run with any number of entries meets the rules as at most one row per catalog block.
+    high_assurance). A run is first reduced to one row per distinct block with its first and last position, then its
+    catalog blocks to one array; all rules are read off that row, so the manifest is shuffled once. Ids that the catalog
+    does not hold, of which a run may have any number, stay rows of their own.
     """
     versions = catalog.select("block_id", F.col("block_version").alias("_known_version"))
     entries = manifest.join(F.broadcast(versions), "block_id", "left")
-    entries = entries.withColumn("known", F.coalesce(F.col("_known_version") == F.col("block_version"), F.lit(False)))
-    blocks = entries.groupBy("run_id", "block_id").agg(
-        F.min("seq").alias("any_first"), F.min(F.when(F.col("known"), F.col("seq"))).alias("first"),
-        F.max(F.when(F.col("known"), F.col("seq"))).alias("last"), F.count("*").alias("n"), F.count_if("known").alias("n_known"),
-        F.count_if(F.col("_known_version").isNull()).alias("n_unknown_id"),
-        F.count_if(F.col("_known_version").isNotNull() & ~F.col("known")).alias("n_unknown_version"),
+    strange = entries.where("_known_version IS NULL").groupBy("run_id", "block_id").agg(F.count("*").alias("n"))
+    strange = strange.join(runs.select("run_id"), "run_id", "left_semi")
+    listed = entries.where("_known_version IS NOT NULL").withColumn("known", F.coalesce(F.col("_known_version") == F.col("block_version"), F.lit(False)))
+    blocks = listed.groupBy("run_id", "block_id").agg(
+        F.min(F.when(F.col("known"), F.col("seq"))).alias("first"), F.max(F.when(F.col("known"), F.col("seq"))).alias("last"),
+        F.count("*").alias("n"), F.count_if("known").alias("n_known"),
     )
     info = catalog.drop("block_version")
-    blocks = blocks.join(runs, "run_id").join(F.broadcast(info), "block_id", "left")
 
     def found(rows: DataFrame, code: str, block: Column, reason: Column | str) -> DataFrame:
         why = F.lit(reason) if isinstance(reason, str) else reason
         return rows.select("run_id", F.lit(code).alias("violation_code"), block.cast("string").alias("block_id"), why.alias("reason_code"))
 
-    # A known block that needs each listed capability fails if no provider stands before it.
-    known = blocks.where("n_known > 0")
-    firsts = F.map_from_entries(F.collect_list(F.struct("block_id", "first")))
-    per_run = known.groupBy("run_id").agg(
-        F.sum(F.when(F.col("source"), F.col("n_known")).otherwise(0)).alias("n_source"),
-        F.sum(F.when(F.col("export_preparation"), F.col("n_known")).otherwise(0)).alias("n_export"),
-        F.min(F.when(F.col("verification"), F.col("first"))).alias("first_ver"),
-        F.max(F.when(F.col("final_serialization"), F.col("last"))).alias("last_ser"),
-        F.min(F.when(F.col("block_id").startswith("REN-"), F.col("first"))).alias("first_ren"),
-        F.min(F.when(F.col("source"), F.struct("first", "block_id"))).alias("first_src"),
-        F.max(F.col("block_id").startswith("DER-")).alias("has_der"),
-        firsts.alias("at"),
-        *[F.min(F.when(F.array_contains("gives", c), F.col("first"))).alias(f"cap_{c}") for c in _capabilities()],
+    def single(when: Column, code: str, block: Column, reason: str) -> Column:
+        return F.when(
+            F.coalesce(when, F.lit(False)),
+            F.struct(F.lit(code).alias("violation_code"), block.cast("string").alias("block_id"), F.lit(reason).alias("reason_code")))
+
+    traits = info.select("block_id", "source", "export_preparation", "verification", "final_serialization", "transforming", "gives")
+    one = blocks.join(F.broadcast(traits), "block_id")
+    held = lambda when, value: F.when(F.col("n_known") > 0, F.when(when, value))
+    per_run = one.groupBy("run_id").agg(
+        F.sum(held(F.col("source"), F.col("n_known"))).alias("n_source"),
+        F.sum(held(F.col("export_preparation"), F.col("n_known"))).alias("n_export"),
+        F.min(held(F.col("verification"), F.col("first"))).alias("first_ver"),
+        F.max(held(F.col("final_serialization"), F.col("last"))).alias("last_ser"),
+        F.max(held(F.col("transforming"), F.col("last"))).alias("last_change"),
+        F.min(held(F.col("block_id").startswith("REN-"), F.col("first"))).alias("first_ren"),
+        F.min(held(F.col("source"), F.struct("first", "block_id"))).alias("first_src"),
+        F.max(F.col("block_id").startswith("DER-") & (F.col("n_known") > 0)).alias("has_der"),
+        F.collect_list(F.struct("block_id", "first", "last", "n", "n_known")).alias("blocks"),
+        *[F.min(held(F.array_contains("gives", c), F.col("first"))).alias(f"cap_{c}") for c in _capabilities()],
     )
-    r = runs.join(per_run, "run_id", "left")
+    wanted = preset_blocks.select("preset_id", "block_id").distinct()
+    outside = runs.select("run_id", "preset_id").join(F.broadcast(wanted.join(versions, "block_id", "left_anti")), "preset_id")
+    outside = outside.select("run_id", "block_id").join(strange, ["run_id", "block_id"], "left_anti")
+    required = wanted.join(versions, "block_id", "left_semi").groupBy("preset_id").agg(F.collect_set("block_id").alias("required"))
+    r = runs.join(per_run, "run_id", "left").join(F.broadcast(required), "preset_id", "left")
+    firsts = F.map_from_entries(F.transform(F.filter("blocks", lambda b: b["n_known"] > 0), lambda b: F.struct(b["block_id"], b["first"])))
+    r = settled(r.withColumn("at", firsts), ["at"])
     at = lambda block: F.element_at("at", F.lit(block))
     none = F.lit(None)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    false = lambda c: F.coalesce(c, F.lit(False))
     parts = [
-        found(blocks.where("n_unknown_id > 0"), "PV-018", F.col("block_id"), "UNKNOWN_BLOCK_ID"),
-        found(blocks.where("n_unknown_version > 0"), "PV-018", F.col("block_id"), "UNKNOWN_BLOCK_VERSION"),
-        found(r.where(zero("n_source") != 1), "PV-001", none, "SOURCE_BLOCK_COUNT_INVALID"),
-        found(r.where(zero("n_export") != 1), "PV-002", none, "EXPORT_PREPARATION_COUNT_INVALID"),
-        found(blocks.where("n > 1"), "PV-003", F.col("block_id"), "DUPLICATE_BLOCK_LOOP_REPRESENTATION"),
-        found(known.where(~(F.array_contains("input_kinds", F.col("input_kind")) & F.array_contains("output_modes", F.col("output_mode")))),
-              "PV-017", F.col("block_id"), "BLOCK_TYPE_INCOMPATIBLE"),
-        found(known.where(~F.col("built_in") & F.col("high_assurance")), "PV-019", F.col("block_id"), "EXTERNAL_BLOCK_IN_HIGH_ASSURANCE_PROFILE"),
-        found(known.where("logs"), "PV-020", F.col("block_id"), "PERSISTENT_BLOCK_LOGGING_FORBIDDEN"),
+        found(strange, "PV-018", F.col("block_id"), "UNKNOWN_BLOCK_ID"),
+        found(outside, "PV-005", F.col("block_id"), "MANDATORY_BLOCK_MISSING"),
+        found(strange.where("n > 1"), "PV-003", F.col("block_id"), "DUPLICATE_BLOCK_LOOP_REPRESENTATION"),
     ]
-    required = runs.select("run_id", "preset_id").join(F.broadcast(preset_blocks.select("preset_id", "block_id").distinct()), "preset_id")
-    missing = required.join(blocks.select("run_id", "block_id"), ["run_id", "block_id"], "left_anti")
-    parts.append(found(missing, "PV-005", F.col("block_id"), "MANDATORY_BLOCK_MISSING"))
+    present = F.coalesce(F.transform("blocks", lambda b: b["block_id"]), F.array().cast("array<string>"))
+    missing = F.transform(F.array_except("required", present), lambda b: F.struct(
+        F.lit("PV-005").alias("violation_code"), b.alias("block_id"), F.lit("MANDATORY_BLOCK_MISSING").alias("reason_code")))
 
     # Capabilities: compare each needing block's first position with the first position of any provider.
     caps = F.create_map(*[x for c in _capabilities() for x in (F.lit(c), F.col(f"cap_{c}"))])
-    needy = known.join(per_run.select("run_id", caps.alias("caps")), "run_id")
     cap = lambda c: F.coalesce(F.element_at("caps", c if isinstance(c, Column) else F.lit(c)) < F.col("first"), F.lit(False))
     excused = lambda c: (
         ((F.col("block_id") == "OUT-IMG-001") & (c == "IMAGE_ARTIFACT") & cap("DERIVATIVE_ARTIFACT"))
         | ((F.col("block_id") == "CAN-001") & (c == "TEXT_INSPECTED") & cap("IMAGE_INSPECTED"))
     )
+    # A known block that needs each listed capability fails if no provider stands before it.
     lacking = F.exists("needs", lambda c: ~cap(c) & ~excused(c))
     mode = F.col("output_mode")
     ready = (
         F.when(mode == "TEXT", cap("TEXT_ARTIFACT")).when(mode == "REBUILT_IMAGE", cap("IMAGE_ARTIFACT"))
         .when(mode == "BOTH", cap("TEXT_ARTIFACT") & cap("IMAGE_ARTIFACT")).otherwise(cap("DERIVATIVE_ARTIFACT") | cap("IMAGE_ARTIFACT"))
     )
-    parts.append(found(needy.where(lacking | ((F.col("block_id") == "OUT-BND-001") & ~ready)), "PV-004", F.col("block_id"), "INPUT_PREDICATE_UNSATISFIED"))
+    known, block = F.col("n_known") > 0, F.col("block_id")
+    fits = F.array_contains("input_kinds", F.col("input_kind")) & F.array_contains("output_modes", F.col("output_mode"))
+    by_block = F.array(
+        single(F.col("n") > F.col("n_known"), "PV-018", block, "UNKNOWN_BLOCK_VERSION"),
+        single(F.col("n") > 1, "PV-003", block, "DUPLICATE_BLOCK_LOOP_REPRESENTATION"),
+        single(known & ~fits, "PV-017", block, "BLOCK_TYPE_INCOMPATIBLE"),
+        single(known & ~F.col("built_in") & F.col("high_assurance"), "PV-019", block, "EXTERNAL_BLOCK_IN_HIGH_ASSURANCE_PROFILE"),
+        single(known & F.col("logs"), "PV-020", block, "PERSISTENT_BLOCK_LOGGING_FORBIDDEN"),
+        single(known & (lacking | ((block == "OUT-BND-001") & ~ready)), "PV-004", block, "INPUT_PREDICATE_UNSATISFIED"),
+    )
 
     # Ordering pairs over the run's first positions (a map of at most one entry per catalog block).
     kind = F.col("input_kind")
@@ -109,9 +124,6 @@ def sequence_audit(
         F.struct(F.lit(code).alias("violation_code"), F.lit(later).alias("block_id"), F.lit(reason).alias("reason_code")),
     )
     ordered = [rule(c, late, early, why, F.lit(True) if only is None else kind == only) for c, late, early, why, only in ORDER_RULES]
-    single = lambda when, code, block, reason: F.when(
-        false(when), F.struct(F.lit(code).alias("violation_code"), block.cast("string").alias("block_id"), F.lit(reason).alias("reason_code"))
-    )
     policies = F.greatest(*[at(b) for b in URL_POLICY_BLOCKS])
     ceiling = F.col("ceiling")
     has_der = F.coalesce("has_der", F.lit(False))
@@ -129,9 +141,20 @@ def sequence_audit(
         single(has_der & ((mode != "DERIVATIVE_IMAGE") | (ceiling > 1)), "PV-008", none, "DERIVATIVE_CEILING_VIOLATION"),
         single(at("REN-007").isNotNull() & (ceiling > 3), "PV-009", F.lit("REN-007"), "SOURCE_PIXEL_CEILING_VIOLATION"),
     ]
-    parts.append(r.select("run_id", F.inline(F.array_compact(F.array(*ordered)))))
-    late = known.join(per_run.select("run_id", "first_ver"), "run_id").where(F.col("transforming") & (F.col("last") > F.col("first_ver")))
-    parts.append(found(late.groupBy("run_id").agg(F.min("block_id").alias("block_id")), "PV-007", none, "CONTENT_TRANSFORM_AFTER_VERIFICATION"))
+    ordered += [
+        single(zero("n_source") != 1, "PV-001", none, "SOURCE_BLOCK_COUNT_INVALID"),
+        single(zero("n_export") != 1, "PV-002", none, "EXPORT_PREPARATION_COUNT_INVALID"),
+        single(F.col("last_change") > first_ver, "PV-007", none, "CONTENT_TRANSFORM_AFTER_VERIFICATION"),
+    ]
+    kind_of = "array<struct<violation_code:string,block_id:string,reason_code:string>>"
+    of_run = F.concat(F.array_compact(F.array(*ordered)).cast(kind_of), F.coalesce(missing.cast(kind_of), F.array().cast(kind_of)))
+    # One pass: a run's own violations leave with its first block, or alone if it has none.
+    needed = ["run_id", "input_kind", "output_mode", "high_assurance"]
+    rows = r.select(*needed, of_run.alias("_run"), caps.alias("caps"), F.posexplode_outer("blocks").alias("_at", "_block"))
+    rows = rows.select(*needed, "caps", "_block.*", F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("_run")).alias("_run"))
+    rows = rows.join(F.broadcast(info.select("block_id", "input_kinds", "output_modes", "built_in", "logs", "needs")), "block_id", "left")
+    every = F.concat(F.coalesce("_run", F.array().cast(kind_of)), F.array_compact(by_block).cast(kind_of))
+    parts.append(rows.select("run_id", F.explode(every).alias("_v")).select("run_id", "_v.*"))
     return union_all(parts).distinct()
 
 

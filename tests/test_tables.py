@@ -38,6 +38,26 @@ def test_mutated_sequence_is_reported(spark):
     assert {"PV-003", "PV-005", "PV-011", "PV-004"} <= codes
 
 
+def test_sequence_rules_pass_over_the_manifest_once(spark):
+    p = cat.PRESETS[0]
+    shape = "run_id int, preset_id string, input_kind string, output_mode string, ceiling int, high_assurance boolean"
+    runs = spark.createDataFrame([(run, p[0], p[1], p[2], p[3], p[4]) for run in (1, 2)], shape)
+    rows = [(1, s, b, 1) for s, b in enumerate(p[5])] + [(1, 900, "XXX-1", 1), (1, 901, "XXX-1", 1), (1, 902, p[5][0], 7), (3, 0, "XXX-2", 1)]
+    manifest = spark.createDataFrame(rows, "run_id int, seq int, block_id string, block_version int")
+    wanted = cat.preset_blocks(spark).select("preset_id", "block_id", "seq").unionByName(
+        spark.createDataFrame([(p[0], "XXX-1", 99), (p[0], "XXX-3", 100)], "preset_id string, block_id string, seq int"))
+    out = runlog.sequence_audit(manifest, runs, cat.block_catalog(spark), wanted)
+    got = {tuple(r) for r in out.collect()}
+    assert {r for r in got if r[0] != 2} == {
+        (1, "PV-018", "XXX-1", "UNKNOWN_BLOCK_ID"), (1, "PV-003", "XXX-1", "DUPLICATE_BLOCK_LOOP_REPRESENTATION"),
+        (1, "PV-018", p[5][0], "UNKNOWN_BLOCK_VERSION"), (1, "PV-003", p[5][0], "DUPLICATE_BLOCK_LOOP_REPRESENTATION"),
+        (1, "PV-005", "XXX-3", "MANDATORY_BLOCK_MISSING")}
+    assert {(2, "PV-005", b, "MANDATORY_BLOCK_MISSING") for b in (*p[5], "XXX-1", "XXX-3")} <= got
+    # One pass over all entries and three over those with ids outside the catalog, however many rules there are.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("LogicalRDD [run_id#" in line and "seq#" in line for line in plan.splitlines()) == 4
+
+
 def test_greedy_clusters_match_sequential_first_fit(spark):
     rng = random.Random(7)
     data = []
