@@ -24,6 +24,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 
 WIDTH = 8  # bytes of a key; shorter needles are keyed by all their bytes
 SET_BITS = 26  # of the bit set, as a power of two: 8 MB, whatever the number of needles
+STRETCH = 4 << 20  # bytes of text that are tested at a time
+HITS = 10_000  # rows of hits in a batch
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,6 +42,17 @@ def _slots(keys: np.ndarray, width: int) -> np.ndarray:
     return ((keys ^ np.uint64(width)) * _MIX) >> np.uint64(64 - SET_BITS)
 
 
+def _hits(flat: np.ndarray, bounds: np.ndarray, low: int, high: int, width: int, bits: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, width, key, at) of the windows from ``low`` to before ``high`` that are in the set and end in the text they begin in."""
+    key = windows(flat[low:min(high + width - 1, int(bounds[-1]))], width)
+    slot = _slots(key, width)
+    at = np.flatnonzero(bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1))
+    key, at = key[at].view(np.int64), at + low
+    row = np.searchsorted(bounds, at, side="right") - 1
+    inside = at + width <= bounds[row + 1]
+    return row[inside], np.full(int(inside.sum()), width, np.int32), key[inside], at[inside]
+
+
 def _bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.large_binary()).to_pylist()
 
@@ -92,25 +105,24 @@ def find(surfaces: DataFrame, needles: DataFrame) -> DataFrame:
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, sizes = shared.value
         for batch in batches:
-            column = batch.column(1).cast(pa.large_binary())
-            size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.cumsum(size)
-            begins = ends - size
-            data = b"".join(x for x in column.to_pylist() if x is not None)
-            flat, out = np.frombuffer(data, np.uint8), []
-            for width in sizes:
-                key = windows(flat, width)
-                slot = _slots(key, width)
-                at = np.flatnonzero(bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1))
-                row = np.searchsorted(ends, at, side="right")
-                inside = at + width <= ends[row]
-                out.append((row[inside], np.full(int(inside.sum()), width, np.int32), key[at[inside]].view(np.int64), at[inside]))
-            row, width, key, at = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 4
-            low, high = np.maximum(begins[row], at - longest), np.minimum(ends[row], at + longest)
-            around = [data[a:b] for a, b in zip(low.tolist(), high.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(width.astype(np.int32)), pa.array(key.astype(np.int64)), pa.array((at - low).astype(np.int32)), pa.array(around, pa.binary())],
-                names=["surface_id", "width", "key", "at", "around"])
+            ids = batch.column(0)
+            payloads = pc.fill_null(batch.column(1).cast(pa.large_binary()), b"")
+            _, places, content = payloads.buffers()
+            bounds = np.frombuffer(places, np.int64)[payloads.offset:payloads.offset + len(payloads) + 1]
+            flat = np.frombuffer(content or b"", np.uint8)
+            if not len(payloads):
+                continue
+            # Numbers of eight bytes stand for each byte, so they are made for a stretch of the texts at a time.
+            for low in range(int(bounds[0]), int(bounds[-1]), STRETCH):
+                found = [_hits(flat, bounds, low, min(low + STRETCH, int(bounds[-1])), width, bits) for width in sizes]
+                row, width, key, at = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 4
+                for part in range(0, len(row), HITS):
+                    of = slice(part, part + HITS)
+                    begin, end = np.maximum(bounds[row[of]], at[of] - longest), np.minimum(bounds[row[of] + 1], at[of] + longest)
+                    around = [flat[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(row[of])), pa.array(width[of]), pa.array(key[of]), pa.array((at[of] - begin).astype(np.int32)), pa.array(around, pa.binary())],
+                        names=["surface_id", "width", "key", "at", "around"])
 
     kind = surfaces.schema["surface_id"].dataType.simpleString()
     found = surfaces.select("surface_id", "payload").mapInArrow(hits, f"surface_id {kind}, width int, key long, at int, around binary")

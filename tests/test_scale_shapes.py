@@ -111,6 +111,16 @@ def test_needles_of_all_lengths(spark):
 RULES = ("com", "uk", "co.uk", "*.ck", "!www.ck", "*.kobe.jp", "!city.kobe.jp", "jp", "")
 
 
+def test_needles_across_stretches_of_text(spark, monkeypatch):
+    monkeypatch.setattr(needles, "STRETCH", 5)
+    monkeypatch.setattr(needles, "HITS", 2)
+    texts = ["", None, "xx needle-one yy", "needle-tw", "o needle-two", "é needle-one needle-one", "ab", "b"]
+    surfaces = spark.createDataFrame(list(enumerate(texts)), "surface_id int, payload string").coalesce(1)
+    secrets = spark.createDataFrame([(1, "needle-one"), (2, "needle-two"), (3, "b")], "needle int, secret string")
+    got = {tuple(r) for r in needles.find(surfaces, secrets).collect()}
+    assert got == {(i, n) for i, t in enumerate(texts) for n, x in ((1, "needle-one"), (2, "needle-two"), (3, "b")) if t and x in t}
+
+
 @pytest.mark.parametrize("host, domain", [
     ("a.b.co.uk", "b.co.uk"), ("co.uk", None), ("x.ck", None), ("y.x.ck", "y.x.ck"), ("www.ck", "www.ck"), ("a.www.ck", "www.ck"), ("ck", None),
     ("city.kobe.jp", "city.kobe.jp"), ("a.b.kobe.jp", "a.b.kobe.jp"), ("kobe.jp", "kobe.jp"), ("q.zz", "q.zz"), ("zz", None), ("10.0.0.1", None)])
