@@ -22,3 +22,18 @@ def test_normal_form_findings_need_the_forms_only(spark):
     assert sorted(map(str, own.collect())) == sorted(map(str, whole.collect()))
     assert {r.source_id for r in own.collect()} == {1, 5, 6}
     assert plan(own).count("ArrowEvalPython") == 1
+
+
+def test_look_alikes_are_drawn_from_each_word_once(spark):
+    texts = [(1, "rnodern modern modern"), (1, "modern paypal"), (2, "pаypal it's a.b"), (3, None), (4, ""), (None, "\U00010400x m")]
+    src = spark.createDataFrame(texts, "source_id int, text string").withColumn("source_kind", F.lit("PLAIN_TEXT"))
+    shapes = spark.createDataFrame([("m", "rn"), ("а", "a"), ("\U00010400", "O"), ("xy", "z"), (None, "q"), ("a", None)], "char string, prototype string")
+    held = text_inventory.word_holders(src)
+    assert "EvalPython" not in plan(held)
+    tokens = text_inventory.token_security(src)
+    want = tokens.select("source_id", "token").distinct().groupBy("token").agg(F.count("*").alias("sources"))
+    assert sorted(map(tuple, held.collect())) == sorted(map(tuple, want.collect()))
+    got = {r.token: tuple(r)[1:] for r in lookalikes.look_alikes(held, shapes).collect()}
+    assert got == {"modern": ("rnodern", "modern", 1, 2), "rnodern": ("rnodern", "modern", 1, 2), "paypal": ("paypal", "paypal", 1, 2), "pаypal": ("paypal", "paypal", 1, 2)}
+    drawn = {r.token: r.skeleton for r in lookalikes.skeletons(held, shapes).collect()}
+    assert drawn["\U00010400x"] == "Ox" and drawn["it's"] == "it's"
