@@ -37,3 +37,21 @@ def test_look_alikes_are_drawn_from_each_word_once(spark):
     assert got == {"modern": ("rnodern", "modern", 1, 2), "rnodern": ("rnodern", "modern", 1, 2), "paypal": ("paypal", "paypal", 1, 2), "pаypal": ("paypal", "paypal", 1, 2)}
     drawn = {r.token: r.skeleton for r in lookalikes.skeletons(held, shapes).collect()}
     assert drawn["\U00010400x"] == "Ox" and drawn["it's"] == "it's"
+
+
+def test_hosts_are_searched_with_the_same_matches():
+    rng = random.Random(5)
+    parts = ["a", "ab-", "-", ".", "..", "com", "x1", "@", " ", "/p(", ":80", "a" * 63, "b" * 64, "é", "9."]
+    as_python = lambda p: re.compile(p.replace(r"{0,62}+", r"{0,62}"))  # no difference inside a look-ahead to a dot
+    searched = as_python(urls._SCHEMELESS)
+    assert searched.pattern != cc.SCHEMELESS
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        assert [m.span() for m in searched.finditer(text)] == [m.span() for m in re.finditer(cc.SCHEMELESS, text)]
+
+
+def test_hosts_of_many_labels_are_still_counted(spark):
+    texts = [(1, "see " + "a." * 4000 + "com/x."), (2, "x." * 48 + "org"), (3, "x." * 47 + "org and docs.example.net/help/1!")]
+    src = spark.createDataFrame(texts, "source_id int, text string")
+    got = {(r.source_id, r.target) for r in urls.extract_schemeless(src).collect()}
+    assert got == {(1, "a." * 4000 + "com/x"), (2, "x." * 48 + "org"), (3, "x." * 47 + "org"), (3, "docs.example.net/help/1")}
