@@ -55,3 +55,18 @@ def test_hosts_of_many_labels_are_still_counted(spark):
     src = spark.createDataFrame(texts, "source_id int, text string")
     got = {(r.source_id, r.target) for r in urls.extract_schemeless(src).collect()}
     assert got == {(1, "a." * 4000 + "com/x"), (2, "x." * 48 + "org"), (3, "x." * 47 + "org"), (3, "docs.example.net/help/1")}
+
+
+def test_rewriting_looks_parts_up_without_sorting_texts(spark):
+    src = spark.createDataFrame([(1, "\U0001f600 see A and B."), (2, "none"), (3, "A"), (4, "AB")], "source_id int, text string")
+    at = [(1, "t0", 6, 7), (1, "t1", 12, 13), (3, "t0", 0, 1), (4, "t0", 0, 2), (4, "t1", 1, 2)]
+    cands = spark.createDataFrame([(*a, "ABSOLUTE", "x") for a in at], "source_id int, token_id string, start int, end int, kind string, display string")
+    tokens = spark.createDataFrame([(1, "t0", "first"), (1, "t1", "second"), (4, "t0", "x"), (4, "t1", "y")], "source_id int, token_id string, final_text string")
+    out = urls.rewrite_urls(src, cands, tokens)
+    assert {r.source_id: (r.text, r.error) for r in out.collect()} == {
+        1: ("\U0001f600 see first and second.", None), 2: ("none", None), 3: (None, None), 4: (None, "OVERLAPPING_URL_CANDIDATES")}
+    # Bytes that are no text are spliced in the JVM as before.
+    odd = src.where("source_id = 1").withColumn("text", F.expr("cast(concat(cast(text as binary), X'ff') as string)"))
+    assert urls.rewrite_urls(odd, cands, tokens).select(F.hex("text").alias("h")).first().h == ("\U0001f600 see first and second.".encode() + b"\xff").hex().upper()
+    last = plan(out)[: plan(out).find("Exchange")]
+    assert "ShuffledHashJoin" in last and "SortMergeJoin" not in last
