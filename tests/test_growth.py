@@ -3,11 +3,10 @@
 import random
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from normlake.dims import charclass as cc
-from normlake.operators import lookalikes, text_findings, text_inventory, urls
+from normlake.operators import lookalikes, text_findings, text_inventory, urls, verification
 
 
 def plan(df):
@@ -70,3 +69,18 @@ def test_rewriting_looks_parts_up_without_sorting_texts(spark):
     assert urls.rewrite_urls(odd, cands, tokens).select(F.hex("text").alias("h")).first().h == ("\U0001f600 see first and second.".encode() + b"\xff").hex().upper()
     last = plan(out)[: plan(out).find("Exchange")]
     assert "ShuffledHashJoin" in last and "SortMergeJoin" not in last
+
+
+def test_manifest_neighbours_meet_across_stretches(spark):
+    rng = random.Random(7)
+    rows = [(1, i, i) for i in range(2100)] + [(2, i, i) for i in range(1024)] + [(2, 1024, 5)] + [(3, i, 1) for i in (0, 0, 2)] + [(4, None, 1), (4, None, 0)]
+    rows += [(5, -1, 9), (5, 0, 9), (6, 0, None), (6, 1, 0), (7, 0, 3), (7, 1, None), (7, 1, 4)]
+    rows += [(run, rng.randrange(1020, 1030), rng.randrange(40)) for run in range(10, 40) for _ in range(rng.randrange(1, 6))]
+    got = {r.run_id: (r.n, r.low, r.high, r.top, r.twice, bool(r.falling))
+           for r in verification._manifest_shape(spark.createDataFrame(rows, "run_id int, seq int, execution_revision long").repartition(5)).collect()}
+    for run in {r[0] for r in rows}:
+        own = [r[1:] for r in rows if r[0] == run]
+        seqs, revs = [s for s, _ in own if s is not None], [v for _, v in own if v is not None]
+        falling = any(a[0] is not None and b[0] == a[0] + 1 and None not in (a[1], b[1]) and a[1] >= b[1] for a in own for b in own) if len(own) < 1500 else False
+        want = (len(own), min(seqs, default=None), max(seqs, default=None), max(revs), len({s for s, _ in own}) < len(own), falling)
+        assert got[run] == want, run
