@@ -305,22 +305,28 @@ def document_integrity(blocks: DataFrame, reading_order: DataFrame, url_tokens:
     """
     key = "doc_id"
 
-    def repeated(df: DataFrame, column: str, code: str) -> DataFrame:
-        return coded(df.groupBy(key, column).count().where("count > 1"), code, key=key)
-
-    def dangling(df: DataFrame, column: str, target: DataFrame, target_column: str, code: str) -> DataFrame:
-        wanted = df.where(F.col(column).isNotNull()).select(key, F.col(column).alias("_id"))
-        return coded(wanted.join(target.select(key, F.col(target_column).alias("_id")), [key, "_id"], "left_anti"), code, key=key)
+    def compared(left: DataFrame, left_id: str, right: DataFrame, right_id: str) -> DataFrame:
+        """(doc_id, _id, left, right): how often each id stands on either side, from one aggregation."""
+        one, none = F.lit(1), F.lit(0)
+        sides = left.select(key, F.col(left_id).alias("_id"), one.alias("left"), none.alias("right")).unionByName(
+            right.select(key, F.col(right_id).alias("_id"), none.alias("left"), one.alias("right")))
+        return sides.groupBy(key, "_id").agg(F.sum("left").alias("left"), F.sum("right").alias("right"))
+
+    def referred(df: DataFrame, column: str, target: DataFrame, target_column: str, missing: str, twice: str | None = None) -> DataFrame:
+        rules = [(missing, F.col("_id").isNotNull() & (F.col("left") > 0) & ((F.col("right") == 0) | F.col(key).isNull()))]
+        if twice:
+            rules.append((twice, F.col("right") > 1))
+        return codes_of(compared(df, column, target, target_column), rules, key=key)
 
     parts = [
-        repeated(blocks, "block_id", "DUPLICATE_BLOCK_ID"),
-        repeated(url_tokens, "token_id", "DUPLICATE_URL_TOKEN"),
-        repeated(regions, "region_id", "DUPLICATE_REGION_ID"),
-        repeated(reading_order, "block_id", "DUPLICATE_READING_ORDER_ENTRY"),
-        coded(unmatched(blocks, reading_order, [key, "block_id"]), "READING_ORDER_BLOCK_SET_MISMATCH", key=key),
-        dangling(blocks, "url_token_id", url_tokens, "token_id", "URL_TOKEN_REFERENCE_MISSING"),
-        dangling(blocks, "region_id", regions, "region_id", "REGION_REFERENCE_MISSING"),
-        dangling(regions, "decision_id", decisions, "decision_id", "DECISION_REFERENCE_MISSING"),
+        codes_of(compared(blocks, "block_id", reading_order, "block_id"), [
+            ("DUPLICATE_BLOCK_ID", F.col("left") > 1),
+            ("DUPLICATE_READING_ORDER_ENTRY", F.col("right") > 1),
+            ("READING_ORDER_BLOCK_SET_MISMATCH", (F.col("left") > 0) != (F.col("right") > 0)),
+        ], key=key),
+        referred(blocks, "url_token_id", url_tokens, "token_id", "URL_TOKEN_REFERENCE_MISSING", "DUPLICATE_URL_TOKEN"),
+        referred(blocks, "region_id", regions, "region_id", "REGION_REFERENCE_MISSING", "DUPLICATE_REGION_ID"),
+        referred(regions, "decision_id", decisions, "decision_id", "DECISION_REFERENCE_MISSING"),
     ]
     return union_all(parts).distinct().withColumnRenamed("code", "failure_code")
 

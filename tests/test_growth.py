@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from normlake.dims import charclass as cc
-from normlake.operators import lookalikes, text_findings, text_inventory, urls, verification
+from normlake.operators import lookalikes, review, text_findings, text_inventory, urls, verification
 
 
 def plan(df):
@@ -84,3 +84,17 @@ def test_manifest_neighbours_meet_across_stretches(spark):
         falling = any(a[0] is not None and b[0] == a[0] + 1 and None not in (a[1], b[1]) and a[1] >= b[1] for a in own for b in own) if len(own) < 1500 else False
         want = (len(own), min(seqs, default=None), max(seqs, default=None), max(revs), len({s for s, _ in own}) < len(own), falling)
         assert got[run] == want, run
+
+
+def test_document_references_are_counted_and_not_joined(spark):
+    make = lambda rows, kind: spark.createDataFrame(rows, kind)
+    blocks = make([(1, "a", "u", "r"), (1, "a", None, None), (2, "b", "u", None), (None, "c", "u", None), (3, "d", None, "r")], "doc_id int, block_id string, url_token_id string, region_id string")
+    order = make([(1, 0, "a"), (2, 0, "b"), (2, 1, "b"), (3, 0, "x")], "doc_id int, ordinal int, block_id string")
+    tokens = make([(1, "u"), (None, "u"), (4, None), (4, None)], "doc_id int, token_id string")
+    regions = make([(1, "r", "k"), (1, "r", None), (3, "s", "k")], "doc_id int, region_id string, decision_id string")
+    out = review.document_integrity(blocks, order, tokens, regions, make([(3, "k"), (3, "k")], "doc_id int, decision_id string"))
+    assert {tuple(r) for r in out.collect()} == {
+        (1, "DUPLICATE_BLOCK_ID"), (2, "DUPLICATE_READING_ORDER_ENTRY"), (3, "READING_ORDER_BLOCK_SET_MISMATCH"), (None, "READING_ORDER_BLOCK_SET_MISMATCH"),
+        (2, "URL_TOKEN_REFERENCE_MISSING"), (None, "URL_TOKEN_REFERENCE_MISSING"), (4, "DUPLICATE_URL_TOKEN"),
+        (1, "DUPLICATE_REGION_ID"), (3, "REGION_REFERENCE_MISSING"), (1, "DECISION_REFERENCE_MISSING")}
+    assert "Join" not in plan(out)
