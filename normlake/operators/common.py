@@ -23,6 +23,33 @@ def unmatched(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     )
 
 
+def linked_codes(links: list[tuple[str, str, DataFrame, DataFrame, bool]], key: str = "run_id") -> DataFrame:
+    """(key, code) of elements of a left list that a right one lacks, or, where both ways count, the reverse too.
+
+    links: (code, id column, left, right, both ways). All lists meet in one shuffle by (key, link, element).
+    """
+    sides = [rows.select(key, F.lit(i).alias("_link"), F.col(column).cast("string").alias("_id"), F.lit(side).alias("_side"))
+             for i, (_, column, left, right, _) in enumerate(links) for side, rows in ((1, left), (2, right))]
+    seen = union_all(sides).groupBy(key, "_link", "_id").agg(F.bit_or("_side").alias("_side"))
+    alone = F.lit(None).cast("string")
+    for i, (code, _, _, _, both) in enumerate(links):
+        lacking = F.col("_side") != 3 if both else (F.col("_side") == 1) | ((F.col("_side") == 3) & (F.col(key).isNull() | F.col("_id").isNull()))
+        alone = F.when((F.col("_link") == i) & lacking, F.lit(code)).otherwise(alone)
+    return seen.select(key, alone.alias("code")).where("code IS NOT NULL")
+
+
+def ranges(parts: list[tuple[DataFrame, dict[str, str]]], key: str = "run_id") -> DataFrame:
+    """(key, name_low, name_high for each name): smallest and largest values in the parts, {name: column}, from one shuffle."""
+    kinds = {name: rows.schema[column].dataType for rows, own in parts for name, column in own.items()}
+    rows = [rows.select(key, *[(F.col(own[name]) if name in own else F.lit(None).cast(kind)).alias(name) for name, kind in kinds.items()]) for rows, own in parts]
+    return union_all(rows).groupBy(key).agg(*[f(name).alias(f"{name}_{end}") for name in kinds for f, end in ((F.min, "low"), (F.max, "high"))])
+
+
+def apart(name: str, other: str) -> Column:
+    """Whether some value of one name differs from some value of the other, in a row of :func:`ranges`."""
+    return (F.col(f"{name}_low") != F.col(f"{other}_high")) | (F.col(f"{name}_high") != F.col(f"{other}_low"))
+
+
 def coded(rows: DataFrame, code: str | Column, when: Column | None = None, key: str = "run_id") -> DataFrame:
     """(key, code) rows for the rows that satisfy ``when``."""
     kept = rows if when is None else rows.where(F.coalesce(when, F.lit(False)))

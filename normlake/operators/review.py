@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normlake.operators.common import code_map, coded, codes_of, union_all, unmatched
+from normlake.operators.common import apart, code_map, coded, codes_of, ranges, union_all, unmatched
 from normlake.operators.text_findings import RETAIN_MEANING
 
 
@@ -196,17 +196,30 @@ def lineage_integrity(runs: DataFrame, ledger: DataFrame, transformations: DataF
         ("CHANGE_LEDGER_REVISION_MISMATCH", F.col("ledger_revision") != F.col("document_revision")),
         ("CHANGE_LEDGER_REFERENCE_MISMATCH", ~F.col("ledger_id").eqNullSafe(F.col("document_ledger_id"))),
     ])
-    t = transformations.join(runs.select("run_id", "document_revision"), "run_id")
-    late = coded(t, "TRANSFORMATION_REVISION_MISMATCH", F.col("canonical_revision") != F.col("document_revision"))
-    blocks = transformations.select("run_id", "block_id", "block_version").distinct()
-    seen = manifest.select("run_id", "block_id", "block_version").distinct()
-    unlinked = coded(blocks.join(seen, ["run_id", "block_id", "block_version"], "left_anti"), "TRANSFORMATION_MANIFEST_LINK_MISMATCH")
-    entry = ledger.select("run_id", "change_id", F.col("block_id").alias("_b"), F.col("block_version").alias("_v"))
-    linked = transformations.where("change_id IS NOT NULL").join(entry, ["run_id", "change_id"], "left")
-    missing = coded(linked, "CHANGE_LEDGER_ENTRY_MISSING", F.col("_b").isNull())
-    crossed = coded(linked, "CHANGE_LEDGER_BLOCK_LINK_MISMATCH", (F.col("_b") != F.col("block_id")) | (F.col("_v") != F.col("block_version")))
-    scope = coded(unmatched(ledger, transformations.where("change_id IS NOT NULL"), ["run_id", "change_id"]), "CHANGE_LEDGER_SCOPE_MISMATCH")
-    return union_all([run_codes, late, unlinked, missing, crossed, scope]).distinct().withColumnRenamed("code", "failure_code")
+    met = ranges([(runs, {"_doc": "document_revision"}), (transformations, {"_applied": "canonical_revision"})])
+    late = coded(met, "TRANSFORMATION_REVISION_MISMATCH", apart("_applied", "_doc"))
+    key = ["run_id", "block_id", "block_version"]
+    blocks = union_all([df.select(*key, F.lit(side).alias("_side")) for side, df in ((1, transformations), (2, manifest))]).groupBy(*key).agg(F.bit_or("_side").alias("_side"))
+    nameless = F.col("run_id").isNull() | F.col("block_id").isNull() | F.col("block_version").isNull()
+    unlinked = coded(blocks, "TRANSFORMATION_MANIFEST_LINK_MISMATCH", (F.col("_side") == 1) | ((F.col("_side") == 3) & nameless))
+    # Both sides of a change meet block by block, then all its blocks: aggregations only, no join.
+    change, of = ["run_id", "change_id"], F.col("_side")
+    both = union_all([df.select(*change, "block_id", "block_version", F.lit(side).alias("_side")) for side, df in ((1, transformations.where("change_id IS NOT NULL")), (2, ledger))])
+    versions = [f(F.when(of == side, F.col("block_version"))).alias(f"_{name}_{end}") for side, name in ((1, "done"), (2, "entered")) for f, end in ((F.min, "low"), (F.max, "high"))]
+    by_block = both.groupBy(*change, "block_id").agg(F.bit_or("_side").alias("_side"), *versions)
+    named = F.col("block_id").isNotNull()
+    changes = by_block.groupBy(*change).agg(
+        F.bit_or("_side").alias("_side"), F.count_if((of != 1) & ~named).alias("_blank"), F.count_if(named).alias("_blocks"),
+        F.count_if(named & (of != 2)).alias("_done"), F.count_if(named & (of != 1)).alias("_entered"),
+        *[f(f"_{name}_{end}").alias(f"_{name}_{end}") for name in ("done", "entered") for f, end in ((F.min, "low"), (F.max, "high"))])
+    keyed = F.col("run_id").isNotNull()
+    other_block = (F.col("_done") > 0) & (F.col("_entered") > 0) & (F.col("_blocks") > 1)
+    linked = codes_of(changes, [
+        ("CHANGE_LEDGER_ENTRY_MISSING", (of == 1) | ((of == 3) & (~keyed | (F.col("_blank") > 0)))),
+        ("CHANGE_LEDGER_BLOCK_LINK_MISMATCH", keyed & (of == 3) & (other_block | F.coalesce(apart("_done", "_entered"), F.lit(False)))),
+        ("CHANGE_LEDGER_SCOPE_MISMATCH", of != 3),
+    ])
+    return union_all([run_codes, late, unlinked, linked]).distinct().withColumnRenamed("code", "failure_code")
 
 
 def applied_transformations(ledger: DataFrame) -> DataFrame:

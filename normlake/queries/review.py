@@ -141,6 +141,7 @@ UNION SELECT run_id, 'CHANGE_LEDGER_SCOPE_MISMATCH' FROM (SELECT DISTINCT l.run_
 
 @query("r08_lineage_integrity", f"WITH {LINEAGE} SELECT * FROM lin")
 def _(q):
+    q.hold("ledger")
     return r.lineage_integrity(q.runs, q.ledger, q.transformations, q.executed)
 
 

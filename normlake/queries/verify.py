@@ -69,6 +69,7 @@ UNION ALL SELECT run_id, failure_code FROM lin""")
 SELECT run_id, type, CASE WHEN status = 'PASS' AND run_id IN (SELECT run_id FROM pend) THEN 'REVIEW_REQUIRED' ELSE status END AS status, required,
  CASE WHEN status = 'PASS' AND run_id IN (SELECT run_id FROM pend) THEN 'REQUIRED_REVIEW_INCOMPLETE' ELSE summary_code END AS summary_code, failures FROM base""")
 def _(q):
+    q.hold("ledger")
     arts = q.artifacts
     lin = r.lineage_integrity(q.runs, q.ledger, q.transformations, q.executed)
     pend = q.runs.where("NOT semantic_approved OR NOT assurance_acknowledged").select("run_id", F.lit("REVIEW_REQUIRED").alias("status"))
