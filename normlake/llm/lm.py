@@ -11,28 +11,25 @@ and a single byte scores its share of the corpus. Documents are exploded to dist
 scores and summed. N-grams are packed into a long, exact without collisions.
 
 The word model (``score_words``, what the query runs) has n-grams of up to ``WORDS`` words, keyed by 64-bit hashes, and
-scores a word after the up to two words before it in its text; a lone word scores its share of all words. Its count
-tables grow with the input, so they are always met by shuffle. Only the most frequent n-grams, at most one in
-``FREQUENT`` occurrences each and so of bounded number, are sent to the tasks, which keeps them out of the shuffle. For
-the sum over a text, the score of a word is split into what each n-gram that ends there adds:
-
-    of one word             log(count / words), and log(BACKOFF) for each longer n-gram that the text has there
-    of more, if it is seen  its own log share, less what its shorter n-gram scores with one BACKOFF
-
-so that a text's score is one sum over its distinct n-grams of all orders, and n-grams that are not seen add nothing.
+scores a word after the up to two words before it in its text; a lone word scores its share of all words. Its counts
+grow with the input, so no task has them all. A task takes its texts in chunks of a bounded number of words. The
+distinct n-grams of a chunk go, sorted and as packed gaps, to the tasks that sum them over all chunks, each a few
+parts of the hash space at a time. Those answer with the sums in the order of the question, without the n-grams. Then
+the texts are read again and scored by chunks from the answers: the context of an n-gram stands in the same text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from normlake.llm.common import per_copy, saved, scratch, sent, text_of
+from normlake.llm.common import per_copy, same_twice, saved, saved_once, scratch, task_count, text_of
 from normlake.llm.grams import mixed, packed, portions, word_hashes
 
 ORDER = 5
@@ -42,7 +39,12 @@ MIN_COUNT = 2
 SENT_ROWS = 2_000_000  # a score table up to this size (about 32 MB) is sent to all tasks; a larger one is joined by shuffle
 HELD = 1 << 21
 WORDS = 3
-FREQUENT = 1 << 14
+FREQUENT = 1 << 14  # without effect since no count is sent to all tasks; a test still names it
+CHUNK, CHUNK_TEXTS = 8 << 20, 1 << 16  # bytes and texts of a chunk
+ROWS = 1024  # of a batch
+PARTS = 1 << 12  # of the n-gram space, by the highest bits of the hash
+PART_SHIFT = np.uint64(64 - 12)
+TEXTS, KEYS, TOTAL = 0, 1, 2
 
 
 def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -125,119 +127,218 @@ def score_documents(docs: DataFrame, corpus: DataFrame | None = None) -> DataFra
     return per_copy(sums.select("doc_id", "n_bytes", "log_score", mean.alias("mean_log_score"), "copies"))
 
 
-def _split(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def _runs_of(h: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, places of their last words) of the runs of each length up to ``order`` inside texts of ``sizes`` words laid one after another."""
+    place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = []
+    for size in range(1, order + 1):
+        last = np.flatnonzero(place >= size - 1)
+        out.append((mixed(h, size)[last - (size - 1)].view(np.uint64), last))
+    return out
+
+
+def _planes(values: np.ndarray) -> np.ndarray:
+    """The bytes of numbers by significance, lowest first: those that hardly vary stand together and pack well."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
 
 
-def count_words(docs: DataFrame, order: int = WORDS) -> DataFrame:
-    """(gram, size, context, low, n): how often every run of 1 to ``order`` words occurs, summed in tasks first.
+def _pack(planes: np.ndarray) -> bytes:
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
-    ``context`` and ``low`` are the n-grams without the last and without the first word, 0 of single words.
-    """
-    names = ["gram", "size", "context", "low", "n"]
 
+def _unpack(data: bytes, n: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = pa.decompress(data, n * width, codec="zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(kind).ravel()
+
+
+def _pack_keys(planes: np.ndarray) -> bytes:
+    """Gaps between sorted hashes: the low five bytes are as good as random and stay as they are."""
+    return planes[:5].tobytes() + _pack(planes[5:])
+
+
+def _unpack_keys(data: bytes, n: int, part: int) -> np.ndarray:
+    raw = data[:5 * n] + pa.decompress(data[5 * n:], 3 * n, codec="zstd", asbytes=True)
+    gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(np.uint64).ravel()
+    return np.cumsum(gaps, dtype=np.uint64) + (np.uint64(part) << PART_SHIFT)
+
+
+def _in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], pa.Array]]:
+    """(number, texts, ids) of each run of a task's rows of about ``CHUNK`` bytes; the same rows give the same runs."""
+    task, made, held = TaskContext.get().partitionId(), 0, 0
+    texts: list[bytes] = []
+    ids: list[pa.Array] = []
+    for batch in batches:
+        start = 0
+        for row, text in enumerate(batch.column(1)):
+            texts.append(text.as_py().encode("utf-8", "surrogatepass"))
+            held += len(texts[-1])
+            if held >= CHUNK or len(texts) >= CHUNK_TEXTS:
+                ids.append(batch.column(0).slice(start, row + 1 - start))
+                yield (task << 32) + made, texts, pa.concat_arrays(ids)
+                texts, ids, held, start, made = [], [], 0, row + 1, made + 1
+        if start < batch.num_rows:
+            ids.append(batch.column(0).slice(start))
+    if texts:
+        yield (task << 32) + made, texts, pa.concat_arrays(ids)
+
+
+def _hashed(texts: list[bytes], get: Callable[[list[bytes]], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, one text after another, and the number of words of each text."""
+    words = [get(t.lower().split()) for t in texts]
+    return np.concatenate(words), np.array([len(w) for w in words], np.int64)
+
+
+def _asked(docs: DataFrame, order: int, counted: bool, asks: bool) -> DataFrame:
+    """(part, chunk, kind, n, keys, counts): the distinct n-grams of each chunk of texts, in rows for the parts of their space.
+
+    A row of kind KEYS has a chunk's n-grams of one part, sorted, with their numbers in the chunk where they are
+    ``counted``; then one row of kind TOTAL says how many words the chunk has. Chunks that do not ask for counts are -1.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = word_hashes()
-        parts: list[list[np.ndarray]] = []
-        held = 0
+        for chunk, texts, _ in _in_chunks(batches):
+            h, sizes = _hashed(texts, get)
+            rows: list[tuple] = [(0, TOTAL, len(h), None, None)] if counted else []
+            keys = np.concatenate([g for g, _ in _runs_of(h, sizes, order)])
+            keys.sort()
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+            n = np.diff(np.append(first, len(keys))).astype(np.uint32)
+            keys = keys[first]
+            part = (keys >> PART_SHIFT).astype(np.int64)
+            begin = np.flatnonzero(np.diff(part, prepend=-1))
+            gaps = np.diff(keys, prepend=np.uint64(0))
+            gaps[begin] = keys[begin] & np.uint64((1 << int(PART_SHIFT)) - 1)
+            gaps, n = _planes(gaps), _planes(n)
+            for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(keys)]):
+                rows.append((int(part[lo]), KEYS, hi - lo, _pack_keys(gaps[:, lo:hi]), _pack(n[:, lo:hi]) if counted else None))
+            for lo in range(0, len(rows), ROWS):
+                to, kind, many, a, b = zip(*rows[lo:lo + ROWS])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(to, pa.int32()), pa.array([chunk if asks else -1] * len(to), pa.int64()), pa.array(kind, pa.int8()), pa.array(many, pa.int64()),
+                     pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["part", "chunk", "kind", "n", "keys", "counts"])
+
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "part int, chunk long, kind byte, n long, keys binary, counts binary")
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """(part, chunk, kind, n, sums): n-grams are summed over all counted chunks; every chunk gets the sums of its own, in its order.
+
+    Rows of kind TOTAL pass. The rows come by part, and a task holds those of one part at a time.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(part: int, kind: int, rows: list[tuple]) -> pa.RecordBatch:
+            chunk, n, data = zip(*rows)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part] * len(rows), pa.int32()), pa.array(chunk, pa.int64()), pa.array([kind] * len(rows), pa.int8()), pa.array(n, pa.int64()),
+                 pa.array(data, pa.binary())], names=["part", "chunk", "kind", "n", "sums"])
+
+        def answer(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            keys = np.concatenate([_unpack_keys(data, n, part) for _, n, data, _ in rows])
+            n = np.concatenate([np.zeros(n, np.uint32) if data is None else _unpack(data, n, np.uint32) for _, n, _, data in rows])
+            _, at = np.unique(keys, return_inverse=True)
+            sums, ends = np.bincount(at, n).astype(np.uint64)[at], np.cumsum([n for _, n, _, _ in rows])
+            out = [(chunk, many, _pack(_planes(sums[end - many:end]))) for (chunk, many, _, _), end in zip(rows, ends) if chunk >= 0]
+            for lo in range(0, len(out), ROWS):
+                yield made(part, KEYS, out[lo:lo + ROWS])
+
+        held, part = [], -1
+        for batch in batches:
+            parts, chunks, kinds, many = (batch.column(c).to_pylist() for c in range(4))
+            for row in range(batch.num_rows):
+                if kinds[row] == TOTAL:
+                    yield made(parts[row], TOTAL, [(chunks[row], many[row], None)])
+                    continue
+                if parts[row] != part:
+                    if held:
+                        yield from answer(part, held)
+                    held, part = [], parts[row]
+                held.append((chunks[row], many[row], batch.column(4)[row].as_py(), batch.column(5)[row].as_py()))
+        if held:
+            yield from answer(part, held)
+
+    return asked.mapInArrow(run, "part int, chunk long, kind byte, n long, sums binary")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(part, chunk, kind, n, sums, sizes, ids): the texts of each chunk, packed, as rows like those that answer it."""
+    schema = T.StructType([T.StructField(c, t) for c, t in (
+        ("part", T.IntegerType()), ("chunk", T.LongType()), ("kind", T.ByteType()), ("n", T.LongType()), ("sums", T.BinaryType()),
+        ("sizes", T.ArrayType(T.LongType())), ("ids", T.ArrayType(docs.schema["doc_id"].dataType)))])
 
-        def merged() -> list[np.ndarray]:
-            gram, size, context, low, n = (np.concatenate(c) for c in zip(*parts))
-            key, first, at = np.unique(gram, return_index=True, return_inverse=True)
-            return [key, size[first], context[first], low[first], np.bincount(at, n, len(key)).astype(np.int64)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, texts, ids in _in_chunks(batches):
+            whole = b"".join(texts)
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([0], pa.int32()), pa.array([chunk], pa.int64()), pa.array([TEXTS], pa.int8()), pa.array([len(whole)], pa.int64()),
+                 pa.array([pa.compress(whole, codec="zstd", asbytes=True)], pa.binary()), one(pa.array([len(t) for t in texts], pa.int64())), one(ids)], names=schema.names)
 
-        for batch in batches:
-            for t in batch.column(0):
-                h = get(_split(t.as_py()))
-                below = None
-                for size in range(1, min(order, len(h)) + 1):
-                    gram = mixed(h, size)
-                    none = np.zeros(len(gram), np.int64)
-                    parts.append([gram, np.full(len(gram), size, np.int32), none if below is None else below[:-1], none if below is None else below[1:], np.ones(len(gram), np.int64)])
-                    held += len(gram)
-                    below = gram
-                if held > HELD:
-                    parts = [merged()]
-                    held = len(parts[0][0])
-                    if held > HELD // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in parts[0]], names=names)
-                        parts, held = [], 0
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged()], names=names)
-
-    rows = docs.select(text_of().alias("text")).mapInArrow(run, "gram long, size int, context long, low long, n long")
-    rows = rows.repartition("gram").groupBy("gram")  # summed in tasks already
-    return rows.agg(F.min("size").alias("size"), F.min("context").alias("context"), F.min("low").alias("low"), F.sum("n").alias("n"))
-
-
-def score_parts(counts: DataFrame, total: int, order: int = WORDS, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
-    """(gram, n, part): what every seen n-gram adds to the score of a word that it ends in."""
-    level = counts.where("size = 1").select("gram", "n", F.log(F.col("n") / F.lit(float(total))).alias("score"))
-    out = level.select("gram", "n", F.col("score").alias("part"))
-    for size in range(2, order + 1):
-        seen = counts.where((F.col("size") == size) & (F.col("n") >= min_count)).select("gram", "context", "low", "n")
-        context = level.select(F.col("gram").alias("context"), F.col("n").alias("_n"))
-        low = level.select(F.col("gram").alias("low"), F.col("score").alias("_low"))
-        level = seen.join(context, "context").join(low, "low").select("gram", "n", F.log(F.col("n") / F.col("_n")).alias("score"), "_low")
-        out = out.unionByName(level.select("gram", "n", (F.col("score") - F.col("_low") - F.lit(float(np.log(backoff)))).alias("part")))
-    return out
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, schema)
 
 
-def score_words(docs: DataFrame, corpus: DataFrame | None = None, order: int = WORDS) -> DataFrame:
+def score_words(docs: DataFrame, corpus: DataFrame | None = None, order: int = WORDS, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) of every row, scored by the word n-grams of ``corpus`` (default: ``docs``).
 
     Words are what lies between blanks, A-Z lower-cased. A word that the corpus lacks counts as one in all its words and
-    one more. Null texts and texts without words have sum 0 and a null mean. Rows are told apart as in :func:`score_documents`.
+    one more. Null texts and texts without words have sum 0 and a null mean. Every row is scored by itself, whatever rows share its id.
     """
-    spark, folder = docs.sparkSession, scratch(docs.sparkSession)
-    counts = count_words(docs if corpus is None else corpus, order)
-    counts = saved(counts.where((F.col("size") == 1) | (F.col("n") >= MIN_COUNT)), f"{folder}/counts")
-    total = counts.where("size = 1").agg(F.sum("n")).first()[0] or 0
-    parts = saved(score_parts(counts, total, order), f"{folder}/parts")
-    top = parts.where(F.col("n") > total / FREQUENT).toArrow().sort_by("gram")  # fewer than FREQUENT of each order
-    top_of = sent(spark, (top["gram"].to_numpy(), top["part"].to_numpy()))
-    unknown = -float(np.log(total + 1))
-    step = float(np.log(BACKOFF))
+    folder = scratch(docs.sparkSession)
+    if not same_twice(docs):
+        docs = saved_once(docs.select("doc_id", "text"), f"{folder}/docs")
+    asked = _asked(docs, order, corpus is None, True)
+    if corpus is not None:
+        asked = asked.unionByName(_asked(corpus.select(F.lit(0).alias("doc_id"), "text"), order, True, False))
+    width = max(task_count(rows) for rows in (docs, corpus) if rows is not None)
+    answers = saved_once(_answered(asked.repartition(width, "part").sortWithinPartitions("part")), f"{folder}/answers")
+    total = answers.where(F.col("kind") == TOTAL).agg(F.sum("n")).first()[0] or 0
+    unknown, step = -float(np.log(total + 1)), float(np.log(backoff))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, (known, part) = word_hashes(), top_of()
+        get = word_hashes()
+
+        def score(texts: tuple, answered: list[tuple]) -> pa.RecordBatch:
+            size, data, lengths, ids = texts
+            whole = pa.decompress(data, size, codec="zstd", asbytes=True) if size else b""
+            ends = np.cumsum(lengths).tolist()
+            h, sizes = _hashed([whole[a:b] for a, b in zip([0, *ends], ends)], get)
+            found = _runs_of(h, sizes, order)
+            keys, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+            asked_of = np.bincount((keys >> PART_SHIFT).astype(np.int64), minlength=PARTS)
+            if asked_of[asked_of > 0].tolist() != [many for many, _ in answered]:
+                raise RuntimeError("a chunk's texts differ from those that were counted: the rows changed between two readings")
+            counts = np.concatenate([np.empty(0), *(_unpack(sums, many, np.uint64).astype(np.float64) for many, sums in answered)])
+            n = len(h)
+            own = counts[at[:n]]
+            value = np.full(n, unknown)
+            value[own > 0] = np.log(own[own > 0] / total) if total else unknown
+            low, context = n, own
+            for g, last in found[1:]:
+                own = np.zeros(n)
+                own[last] = counts[at[low:low + len(g)]]
+                low += len(g)
+                seen = last[own[last] >= min_count]
+                value[last] += step
+                value[seen] = np.log(own[seen] / context[seen - 1])
+                context = own
+            sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), value, len(sizes)).astype(np.float64)  # integers where nothing is summed
+            mean = pa.array(np.divide(sums, sizes, out=np.zeros(len(sizes)), where=sizes > 0), mask=sizes == 0)
+            return pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(sums), mean], names=["doc_id", "n_words", "log_score", "mean_log_score"])
+
+        texts, answered = None, []
         for batch in batches:
-            texts = batch.column(2)
-            for lo in range(0, batch.num_rows, 64):
-                owner, gram, size, n, sums = [], [], [], [], []
-                for row in range(lo, min(lo + 64, batch.num_rows)):
-                    h = get(_split(texts[row].as_py()))
-                    done = step * sum(max(len(h) - k, 0) for k in range(1, order))
-                    own = [(np.zeros(1, np.int64), np.array([len(h)]), 0)]
-                    for k in range(1, min(order, len(h)) + 1):
-                        g, m = np.unique(mixed(h, k), return_counts=True)
-                        if len(known):
-                            at = np.minimum(np.searchsorted(known, g), len(known) - 1)
-                            hit = known[at] == g
-                            done += float(part[at[hit]] @ m[hit])
-                            g, m = g[~hit], m[~hit]
-                        own.append((g, m, k))
-                    # The text's own row: a key of its own, its words and what is scored already.
-                    own[0][0][0] = batch.column(1)[row].as_py()
-                    for g, m, k in own:
-                        owner.append(np.full(len(g), row))
-                        gram.append(g)
-                        n.append(m)
-                        size.append(np.full(len(g), k, np.int8))
-                        sums.append(np.full(len(g), done if k == 0 else 0.0))
-                at = pa.array(np.concatenate(owner))
-                cols = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.concatenate(c)) for c in (gram, size, n, sums))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "gram", "size", "n", "done"])
-
-    text = docs.select("doc_id", text_of().alias("text")).select("doc_id", F.xxhash64("text").alias("digest"), "text")
-    made = [T.StructField(c, t) for c, t in (("digest", T.LongType()), ("gram", T.LongType()), ("size", T.ByteType()), ("n", T.LongType()), ("done", T.DoubleType()))]
-    rows = text.mapInArrow(run, T.StructType([docs.schema["doc_id"], *made]))
-    rows = rows.join(parts.select("gram", "part").hint("shuffle_hash"), "gram", "left")
-    own = F.col("size") == 0
-    missing = F.when(F.col("size") == 1, F.lit(unknown)).otherwise(F.lit(0.0))
-    sums = rows.groupBy("doc_id", "digest").agg(
-        F.count_if(own).alias("copies"), F.sum(F.when(own, F.col("n")).otherwise(F.lit(0))).alias("n_words"),
-        F.sum(F.when(own, F.col("done")).otherwise(F.col("n") * F.coalesce("part", missing))).alias("log_score"))
-    sums = sums.withColumns({"n_words": F.expr("n_words div copies"), "log_score": F.col("log_score") / F.col("copies")})
-    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
-    return per_copy(sums.select("doc_id", "n_words", "log_score", mean.alias("mean_log_score"), "copies"))
+            kinds, many = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for row in range(batch.num_rows):
+                if kinds[row] == TEXTS:  # the first row of its chunk
+                    if texts is not None:
+                        yield score(texts, answered)
+                    texts, answered = (many[row], batch.column(4)[row].as_py(), batch.column(5)[row].values.to_numpy(), batch.column(6)[row].values), []
+                else:
+                    answered.append((many[row], batch.column(4)[row].as_py()))
+        if texts is not None:
+            yield score(texts, answered)
+
+    made = [T.StructField(c, t) for c, t in (("n_words", T.LongType()), ("log_score", T.DoubleType()), ("mean_log_score", T.DoubleType()))]
+    rows = _texts(docs).unionByName(answers.where(F.col("kind") == KEYS), allowMissingColumns=True)
+    rows = rows.repartition(width, "chunk").sortWithinPartitions("chunk", "kind", "part")
+    return rows.mapInArrow(run, T.StructType([docs.schema["doc_id"], *made]))
